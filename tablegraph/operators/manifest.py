@@ -102,17 +102,24 @@ def check_batch(m: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_B
     checked = bounded_batches(m, max_files).withColumns({"name": name}).withColumn("fmt", format_of(F.col("name")))
     same_name = Window.partitionBy("batch", "name").orderBy("pos")
     same_bytes = Window.partitionBy("batch", "sha256").orderBy("pos")
-    return checked.withColumns(
+    # Windows over the batch come first: their one shuffle by batch then also
+    # serves the finer ones.
+    whole = checked.withColumns(
+        {
+            "running_size": F.sum("size").over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)),
+            "mixed_formats": F.size(F.collect_set("fmt").over(_BATCH)) > 1,
+        }
+    )
+    return whole.withColumns(
         {
             "invalid_filename": F.col("name").isNull(),
             "duplicate_filename": F.col("name").isNotNull() & (F.row_number().over(same_name) > 1),
             "invalid_extension": F.col("name").isNotNull() & F.col("fmt").isNull(),
-            "mixed_formats": F.size(F.collect_set("fmt").over(_BATCH)) > 1,
             "empty_file": F.col("size") == 0,
-            "running_size": F.sum("size").over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)),
+            "batch_too_large": F.col("running_size") > max_bytes,
             "duplicate_content": F.row_number().over(same_bytes) > 1,
         }
-    ).withColumn("batch_too_large", F.col("running_size") > max_bytes)
+    )
 
 
 def duplicate_content(m: DataFrame, max_files: int = MAX_FILES) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegraph.functions.phrases import COLUMN_SEPARATOR, link_names
-from tablegraph.operators.positions import number_scan, with_row_id
+from tablegraph.operators.positions import ROW_ID, number_scan, with_row_id
+from tablegraph.sources.dataset import Dataset
 from tablegraph.sources.listing import file_listing
 
 UNKNOWN_TYPE = "unknown"
@@ -360,14 +361,20 @@ def dump_rows(stmts: DataFrame, table: str) -> DataFrame:
     return tuples.select("stmt_no", "tuple_no", *[typed(i, name) for i, name in enumerate(names)])
 
 
-def read_dump_tables(spark: SparkSession, path: str, positions: bool = False) -> dict[str, DataFrame]:
+def dump_dataset(spark: SparkSession, path: str) -> Dataset:
     """Every table a load of dumps creates, with its rows; files share one state in name order."""
     stmts = dump_statements(spark, path)
-    created = stmts.where(F.col("kind") == "create").select("target").distinct().orderBy("target")
-    tables = {}
-    for row in created.collect():
-        rows = dump_rows(stmts, row["target"])
-        if positions:
-            rows = with_row_id(rows, "stmt_no", "tuple_no")
-        tables[row["target"]] = rows.drop("stmt_no", "tuple_no")
-    return tables
+    columns: dict[str, list[tuple[str, str]]] = {}
+    for row in dump_columns(stmts).orderBy("table", "position").collect():
+        columns.setdefault(row["table"], []).append((row["name"], row["inferred_type"]))
+    tables = {
+        name: with_row_id(dump_rows(stmts, name), "stmt_no", "tuple_no").drop("stmt_no", "tuple_no")
+        for name in columns
+    }
+    return Dataset(tables, columns, dump_links(stmts))
+
+
+def read_dump_tables(spark: SparkSession, path: str, positions: bool = False) -> dict[str, DataFrame]:
+    """The tables of ``dump_dataset``."""
+    tables = dump_dataset(spark, path).tables
+    return tables if positions else {name: df.drop(ROW_ID) for name, df in tables.items()}

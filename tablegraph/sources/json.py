@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegraph.functions.text import quoted
+from tablegraph.operators.positions import ROW_ID
+from tablegraph.sources.dataset import Dataset
 from tablegraph.sources.listing import stem, table_entry
 
 PATH_SEPARATOR = "."
@@ -259,12 +261,15 @@ def pivot_flat(flat: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     return mapped.select(*map(quoted, keep), *[column(path, label) for path, label in columns])
 
 
-def read_json_tables(spark: SparkSession, path: str, positions: bool = False) -> dict[str, DataFrame]:
+def json_dataset(spark: SparkSession, path: str) -> Dataset:
     """Every record set below the path as a typed table, columns in first-seen order."""
     records = json_record_sets(read_json_documents(spark, path))
     names = [
         row["table"]
-        for row in records.groupBy("table").agg(F.count_distinct("name").alias("files")).orderBy("table").collect()
+        for row in records.groupBy("table")
+        .agg(F.count_distinct("name").alias("files"))
+        .orderBy("table")
+        .collect()
         if _single_source(row)
     ]
     found = records.where(F.col("record").isNotNull())
@@ -274,12 +279,23 @@ def read_json_tables(spark: SparkSession, path: str, positions: bool = False) ->
     for row in described.orderBy("table", "first").collect():
         columns[row["table"]].append((row["path"], row["inferred_type"]))
 
-    tables = {}
-    for name in names:
-        rows = flat.where(F.col("table") == name).drop("name", "table")
-        table = pivot_flat(rows.withColumnRenamed("pos", "_row_id"), columns[name])
-        tables[name] = table if positions else table.drop("_row_id")
-    return tables
+    tables = {
+        name: pivot_flat(
+            flat.where(F.col("table") == name)
+            .drop("name", "table")
+            .withColumn(ROW_ID, F.col("pos").cast("bigint"))
+            .drop("pos"),
+            columns[name],
+        )
+        for name in names
+    }
+    return Dataset(tables, columns)
+
+
+def read_json_tables(spark: SparkSession, path: str, positions: bool = False) -> dict[str, DataFrame]:
+    """The tables of ``json_dataset``."""
+    tables = json_dataset(spark, path).tables
+    return tables if positions else {name: df.drop(ROW_ID) for name, df in tables.items()}
 
 
 def _single_source(row) -> bool:
