@@ -217,18 +217,23 @@ def audit_catalog(
     return union_all(found)
 
 
-def write_catalog(df: DataFrame, root: str, name: str, batch_id: int) -> str:
-    """Append one batch to a catalog table; a repeated batch replaces itself."""
+def write_catalog(df: DataFrame, root: str, name: str, partition: str) -> str:
+    """Add rows to a catalog table, replacing the partitions they belong to.
+
+    Partitioned by session (or by micro-batch), so a repeated load replaces its
+    own rows and no others.
+    """
     path = f"{root.rstrip('/')}/catalog/{name}"
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(partition)
         .parquet(path)
     )
     return path
 
 
-def read_catalog(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/catalog/{name}")
+def read_catalog(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+    """A catalog table; with a schema the types of its partition columns are not guessed."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{root.rstrip('/')}/catalog/{name}")

@@ -34,9 +34,6 @@ REASONS = [
     (4, "already_ingested"),
 ]
 
-_BATCH = Window.partitionBy("batch")
-_IN_ORDER = _BATCH.orderBy("pos")
-
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, size, sha256 and text validity of each file, hashed where it is read.
@@ -102,12 +99,14 @@ def check_batch(m: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_B
     checked = bounded_batches(m, max_files).withColumns({"name": name}).withColumn("fmt", format_of(F.col("name")))
     same_name = Window.partitionBy("batch", "name").orderBy("pos")
     same_bytes = Window.partitionBy("batch", "sha256").orderBy("pos")
+    batch = Window.partitionBy("batch")
+    so_far = batch.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # Windows over the batch come first: their one shuffle by batch then also
     # serves the finer ones.
     whole = checked.withColumns(
         {
-            "running_size": F.sum("size").over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)),
-            "mixed_formats": F.size(F.collect_set("fmt").over(_BATCH)) > 1,
+            "running_size": F.sum("size").over(so_far),
+            "mixed_formats": F.size(F.collect_set("fmt").over(batch)) > 1,
         }
     )
     return whole.withColumns(
@@ -164,7 +163,7 @@ def reject_reason(
             # A rule about the whole batch is not tied to one of its files.
             F.struct(
                 F.lit(stage).alias("stage"),
-                (F.lit(-1) if stage == 2 else F.col("pos")).cast("bigint").alias("pos"),
+                F.when(F.lit(stage != 2), F.col("pos")).alias("pos"),
                 F.lit(rank).alias("rank"),
                 F.lit(reason).alias("reason"),
             ),
@@ -181,7 +180,7 @@ def reject_reason(
         "batch",
         "n_files",
         F.coalesce("reject_reason", "first.reason").alias("reject_reason"),
-        F.when(F.col("first.pos") >= 0, F.col("first.pos")).alias("at_pos"),
+        F.col("first.pos").alias("at_pos"),
     )
 
 

@@ -20,12 +20,11 @@ def described_columns(spark: SparkSession, columns: dict[str, list[tuple[str, st
     )
 
 
-def ingest(spark: SparkSession, path: str, fmt: str, out: str, session_id: str, batch_id: int = 0) -> None:
+def ingest(spark: SparkSession, path: str, fmt: str, out: str, session_id: str) -> None:
     """Store the tables found below a path and record them for a session.
 
     Rows are written before their description, so the catalog never points at
-    rows that are not there; a repeated run replaces both. ``batch_id`` names
-    the catalog partition this load owns.
+    rows that are not there. A repeated run replaces both.
     """
     dataset = read_dataset(spark, path, fmt)
     paths = {name: write_table(df, out, session_id, name) for name, df in dataset.tables.items()}
@@ -34,8 +33,8 @@ def ingest(spark: SparkSession, path: str, fmt: str, out: str, session_id: str,
         name: spark.read.parquet(place) if (place := paths[name]) else df for name, df in dataset.tables.items()
     }
     session = F.lit(session_id).alias("session_id")
-    write_catalog(catalog_tables(stored, paths).select(session, "*"), out, "tables", batch_id)
-    write_catalog(described_columns(spark, dataset.columns).select(session, "*"), out, "columns", batch_id)
+    write_catalog(catalog_tables(stored, paths).select(session, "*"), out, "tables", "session_id")
+    write_catalog(described_columns(spark, dataset.columns).select(session, "*"), out, "columns", "session_id")
     if dataset.links is not None:
         links = dedupe_links(dataset.links, ["stmt_no", "item_no"])
-        write_catalog(links.select(session, "*"), out, "links", batch_id)
+        write_catalog(links.select(session, "*"), out, "links", "session_id")

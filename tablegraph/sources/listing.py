@@ -19,17 +19,6 @@ class TableFiles:
     largest: int
 
 
-def file_listing(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """Path and byte length of each file with the extension; no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{extension}")
-        .load(path)
-        .select("path", "length")
-    )
-
-
 def stem(name: Column) -> Column:
     """A file name without its last extension."""
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
@@ -46,6 +35,17 @@ def table_entry(file_path: Column) -> Column:
     return F.when(parent.rlike(r"\.[A-Za-z]+$"), parent).otherwise(own)
 
 
+def file_listing(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    """Path and byte length of each file of a format; no content is read."""
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("path", "length")
+        .where(F.lower(table_entry(F.col("path"))).endswith("." + extension))
+    )
+
+
 def table_files(spark: SparkSession, path: str, extension: str) -> list[TableFiles]:
     """The tables of a load in file-name order; one row of metadata per table."""
     own = F.col("path")

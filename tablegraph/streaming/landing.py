@@ -20,12 +20,21 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 FILES_PER_BATCH = 1000
 
 
+MANIFEST_SCHEMA = (
+    "batch string, pos string, filename string, path string, size bigint, sha256 string, batch_id bigint"
+)
+SESSIONS_SCHEMA = (
+    "session_id string, format string, total_files bigint, total_size_bytes bigint, status string, "
+    "reject_reason string, folder string, batch_id bigint"
+)
+
+
 def landed_manifest(files: DataFrame) -> DataFrame:
     """Manifest rows from landed files: the upload folder is the batch, names give the order."""
     own = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("batch"),
-        F.xxhash64("path").alias("pos"),
+        own.alias("pos"),
         own.alias("filename"),
         "path",
         F.col("length").alias("size"),
@@ -36,60 +45,41 @@ def landed_manifest(files: DataFrame) -> DataFrame:
 def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
     """Check, parse and record the uploads of one micro-batch; safe to run twice."""
     spark = files.sparkSession
+    number = F.lit(batch_id).cast("bigint").alias("batch_id")
     # Hashed once: the manifest is stored and every later step reads it back.
-    write_catalog(landed_manifest(files), out, "manifest", batch_id)
-    everything = read_catalog(spark, out, "manifest")
-    batch = F.col("batch_id") == batch_id
-    m = everything.where(batch).drop("batch_id")
-    accepted_before = _accepted(spark, out, batch_id)
-    known = everything.where(F.col("batch_id") < batch_id)
-    known = known.join(accepted_before, "batch", "left_semi") if accepted_before is not None else known.limit(0)
+    write_catalog(landed_manifest(files).select("*", number), out, "manifest", "batch_id")
+    everything = read_catalog(spark, out, "manifest", MANIFEST_SCHEMA)
+    m = everything.where(F.col("batch_id") == batch_id).drop("batch_id")
 
-    verdict = reject_reason(m, known)
+    known = everything.where(F.col("batch_id") < batch_id)
+    if batch_id > 0:
+        earlier = read_catalog(spark, out, "sessions", SESSIONS_SCHEMA)
+        taken = earlier.where((F.col("batch_id") < batch_id) & (F.col("status") == "ready"))
+        known = known.join(taken.select(F.col("session_id").alias("batch")), "batch", "left_semi")
+
+    shape = m.groupBy("batch").agg(
+        F.min(format_of(safe_filename(F.col("filename")))).alias("format"),
+        F.min(F.regexp_replace("path", r"/[^/]+$", "")).alias("folder"),
+    )
     sessions = (
-        verdict.join(batch_totals(m), "batch")
-        .join(_formats(m), "batch", "left")
+        reject_reason(m, known)
+        .join(batch_totals(m), "batch")
+        .join(shape, "batch")
         .select(
             F.col("batch").alias("session_id"),
-            "fmt",
+            "format",
             "total_files",
             "total_size_bytes",
             F.when(F.col("reject_reason").isNull(), "ready").otherwise("failed").alias("status"),
             "reject_reason",
+            "folder",
+            number,
         )
     )
     # One row per upload; the rows of their tables never come to the driver.
-    accepted = sessions.where(F.col("status") == "ready").select("session_id", "fmt").collect()
-    folders = {
-        row["batch"]: row["folder"]
-        for row in m.groupBy("batch").agg(F.min(F.regexp_replace("path", r"/[^/]+$", "")).alias("folder")).collect()
-    }
-    for row in accepted:
-        session = row["session_id"]
-        ingest(spark, folders[session], row["fmt"], f"{out}/{batch_id}", session, _slot(session))
-    write_catalog(sessions, out, "sessions", batch_id)
-
-
-def _formats(m: DataFrame) -> DataFrame:
-    fmt = format_of(safe_filename(F.col("filename")))
-    return m.groupBy("batch").agg(F.min(fmt).alias("fmt"))
-
-
-def _slot(session: str) -> int:
-    """A catalog partition for one session, the same on every run."""
-    import zlib
-
-    return zlib.crc32(session.encode())
-
-
-def _accepted(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """Uploads accepted by earlier micro-batches, none before the first."""
-    if batch_id == 0:
-        return None
-    sessions = read_catalog(spark, out, "sessions")
-    return sessions.where((F.col("batch_id") < batch_id) & (F.col("status") == "ready")).select(
-        F.col("session_id").alias("batch")
-    )
+    for upload in sessions.where(F.col("status") == "ready").collect():
+        ingest(spark, upload["folder"], upload["format"], out, upload["session_id"])
+    write_catalog(sessions, out, "sessions", "batch_id")
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str) -> StreamingQuery:
