@@ -62,6 +62,11 @@ def scan_order(df: DataFrame) -> DataFrame:
     ).withColumn("_place", F.monotonically_increasing_id())
 
 
+def number_small_file(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """Positions in a file that one task reads, where the running number is the position."""
+    return df.select(*df.columns, F.monotonically_increasing_id().alias(row_id))
+
+
 def number_scan(scanned: DataFrame, row_id: str = ROW_ID, per: list[str] | None = None) -> DataFrame:
     """Turn the marks of ``scan_order`` into dense positions.
 

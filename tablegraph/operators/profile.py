@@ -55,13 +55,15 @@ def _column_facts(name: str) -> Column:
     """Everything inference needs to know about one text column, in one aggregate."""
     c = quoted(name)
     number = _numeric_text(c)
+    fits = F.when(number.isNotNull(), number.try_cast("bigint").isNotNull())
     wide = F.when(number.rlike(INT_PATTERN), number.try_cast("decimal(38,0)"))
+    unsigned = wide.between(0, F.lit("18446744073709551615").cast("decimal(38,0)"))
     return F.struct(
         F.count("*").alias("rows"),
         F.count(c).alias("present"),
         F.bool_and(number.rlike(INT_PATTERN)).alias("ints"),
-        F.bool_and(number.try_cast("bigint").isNotNull()).alias("fits"),
-        F.bool_and(wide.between(0, F.lit("18446744073709551615").cast("decimal(38,0)"))).alias("unsigned"),
+        F.bool_and(fits).alias("fits"),
+        F.bool_and(F.when(number.isNotNull(), F.coalesce(unsigned, F.lit(False)))).alias("unsigned"),
         F.bool_and(number.rlike(FLOAT_PATTERN)).alias("floats"),
         F.bool_and(c.isin(BOOL_TOKENS)).alias("bools"),
     )
@@ -74,7 +76,7 @@ def _inferred(facts: Column) -> Column:
         .when(facts["present"] == 0, "float64")
         .when(facts["ints"] & facts["fits"] & full, "int64")
         .when(facts["ints"] & facts["fits"], "float64")
-        .when(facts["ints"] & F.coalesce(facts["unsigned"], F.lit(False)) & full, "uint64")
+        .when(facts["ints"] & facts["unsigned"] & full, "uint64")
         .when(facts["ints"], "object")
         .when(facts["floats"], "float64")
         .when(facts["bools"] & full, "bool")
@@ -82,33 +84,41 @@ def _inferred(facts: Column) -> Column:
     )
 
 
-def profile_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per text column: its position and the type its values amount to.
+def column_facts(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame:
+    """One row: the inferred type of every column under ``types``, and any extra aggregates.
 
     One aggregation over the table, whatever the number of columns.
     """
-    names = df.columns if columns is None else columns
-    facts = df.agg(*[_column_facts(name).alias(f"f{i}") for i, name in enumerate(names)])
+    facts = df.agg(*[_column_facts(name).alias(f"f{i}") for i, name in enumerate(columns)], *extra)
     entries = [
-        F.struct(F.lit(i).alias("position"), F.lit(name).alias("column"), _inferred(F.col(f"f{i}")).alias("inferred_type"))
-        for i, name in enumerate(names)
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(name).alias("column"),
+            _inferred(F.col(f"f{i}")).alias("inferred_type"),
+        )
+        for i, name in enumerate(columns)
     ]
-    return facts.select(F.inline(F.array(*entries)))
+    kept = [name for name in facts.columns if name not in {f"f{i}" for i in range(len(columns))}]
+    return facts.select(F.array(*entries).alias("types"), *kept)
+
+
+def profile_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per text column: its position and the type its values amount to."""
+    return column_facts(df, df.columns if columns is None else columns).select(F.inline("types"))
 
 
-def cast_to_profile(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """Cast text columns to their inferred types; the profile is one row per column."""
-    stored = {row["column"]: STORED_TYPES[row["inferred_type"]] for row in profile.collect()}
+def cast_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Cast text columns to the types their labels are stored as."""
 
     def typed(name: str) -> Column:
-        target = stored.get(name, "string")
+        target = STORED_TYPES[labels[name]] if name in labels else "string"
         if target == "string":
             return quoted(name)
         if target == "boolean":
             return (F.lower(quoted(name)) == "true").alias(name)
         return _numeric_text(quoted(name)).cast(target).alias(name)
 
-    return df.select(*[typed(name) if name in stored else quoted(name) for name in df.columns])
+    return df.select(*[typed(name) for name in df.columns])
 
 
 # Labels of typed columns read from Parquet.

@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegraph.operators.catalog import catalog_tables, write_catalog, write_table
+from tablegraph.operators.catalog import write_catalog, write_table
 from tablegraph.operators.links import dedupe_links
+from tablegraph.operators.profile import union_all
 from tablegraph.sources.readers import read_dataset
 
-COLUMN_SCHEMA = "name string, columns array<struct<name:string,inferred_type:string>>"
+TABLE_SCHEMA = "session_id string, name string, row_count bigint, parquet_path string"
+COLUMN_SCHEMA = "session_id string, table string, position int, name string, inferred_type string"
+
+
+@dataclass(frozen=True)
+class StoredLoad:
+    """Tables whose rows are written and which are ready to be recorded."""
+
+    session_id: str
+    #: Name, row count and path of each table.
+    tables: list[tuple[str, int, str | None]]
+    columns: dict[str, list[tuple[str, str]]]
+    links: DataFrame | None
 
 
-def described_columns(spark: SparkSession, columns: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """Column descriptions as rows: table, position, name, type label."""
-    rows = spark.createDataFrame(list(columns.items()), COLUMN_SCHEMA)
-    return rows.select(F.col("name").alias("table"), F.posexplode("columns").alias("position", "column")).select(
-        "table", "position", "column.name", "column.inferred_type"
-    )
+def store(spark: SparkSession, path: str, fmt: str, out: str, session_id: str) -> StoredLoad:
+    """Read the files below a path and write their rows, replacing an earlier run."""
+    dataset = read_dataset(spark, path, fmt)
+    tables = []
+    for name, df in dataset.tables.items():
+        place = write_table(df, out, session_id, name)
+        # The stored files know their row counts, so this reads no rows.
+        stored = df if place is None else spark.read.parquet(place)
+        tables.append((name, stored.count(), place))
+    return StoredLoad(session_id, tables, dataset.columns, dataset.links)
+
+
+def record(spark: SparkSession, loads: list[StoredLoad], out: str, load: str) -> None:
+    """Write the description of stored loads to the catalog, replacing what ``load`` wrote before."""
+    tables = [(one.session_id, *table) for one in loads for table in one.tables]
+    columns = [
+        (one.session_id, name, position, *column)
+        for one in loads
+        for name, listed in one.columns.items()
+        for position, column in enumerate(listed)
+    ]
+    links = [
+        dedupe_links(one.links, ["stmt_no", "item_no"]).select(F.lit(one.session_id).alias("session_id"), "*")
+        for one in loads
+        if one.links is not None
+    ]
+    mark = F.lit(load).alias("load")
+    write_catalog(spark.createDataFrame(tables, TABLE_SCHEMA).coalesce(1).select("*", mark), out, "tables", "load")
+    write_catalog(spark.createDataFrame(columns, COLUMN_SCHEMA).coalesce(1).select("*", mark), out, "columns", "load")
+    if links:
+        write_catalog(union_all(links).select("*", mark), out, "links", "load")
 
 
 def ingest(spark: SparkSession, path: str, fmt: str, out: str, session_id: str) -> None:
@@ -26,15 +66,4 @@ def ingest(spark: SparkSession, path: str, fmt: str, out: str, session_id: str)
     Rows are written before their description, so the catalog never points at
     rows that are not there. A repeated run replaces both.
     """
-    dataset = read_dataset(spark, path, fmt)
-    paths = {name: write_table(df, out, session_id, name) for name, df in dataset.tables.items()}
-    # Counted from the stored rows, which is cheaper than reading the files again.
-    stored = {
-        name: spark.read.parquet(place) if (place := paths[name]) else df for name, df in dataset.tables.items()
-    }
-    session = F.lit(session_id).alias("session_id")
-    write_catalog(catalog_tables(stored, paths).select(session, "*"), out, "tables", "session_id")
-    write_catalog(described_columns(spark, dataset.columns).select(session, "*"), out, "columns", "session_id")
-    if dataset.links is not None:
-        links = dedupe_links(dataset.links, ["stmt_no", "item_no"])
-        write_catalog(links.select(session, "*"), out, "links", "session_id")
+    record(spark, [store(spark, path, fmt, out, session_id)], out, f"session-{session_id}")

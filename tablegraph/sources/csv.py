@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegraph.functions.text import quoted
-from tablegraph.operators.positions import ROW_ID, number_scan, scan_order
-from tablegraph.operators.profile import cast_to_profile, normalize_missing, profile_types
+from tablegraph.operators.manifest import check_csv_headers
+from tablegraph.operators.positions import number_scan, number_small_file, scan_order
+from tablegraph.operators.profile import cast_columns, column_facts, normalize_missing
 from tablegraph.sources.listing import TableFiles, table_files
 
 RECORD = "_bad_record"
@@ -31,11 +31,20 @@ def header_line(text: Column) -> Column:
     return F.regexp_extract(text, r"^﻿?([^\r\n]*)", 1)
 
 
+def header_fields(text: Column, sep: str = ",") -> Column:
+    """Column names in the first line of a file; none when that line is blank."""
+    line = header_line(text)
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(csv_fields(line, sep))
+
+
 def header_names(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """Column names of one table. Reads the first line only."""
-    first = spark.read.text(path).limit(1).select(csv_fields(header_line(F.col("value")), sep).alias("names"))
-    row = first.first()
-    return [] if row is None else [name for name in row["names"]]
+    """Column names of one table, from its first line only; raises when it is not a header."""
+    first = spark.read.text(path).limit(1)
+    row = check_csv_headers(first, header_fields(F.col("value"), sep)).select("names", "reject_reason").first()
+    reason = "no_header" if row is None else row["reject_reason"]
+    if reason is not None:
+        raise ValueError(f"{path}: {reason}")
+    return row["names"]
 
 
 def _has_open_lines(spark: SparkSession, path: str) -> bool:
@@ -69,28 +78,34 @@ def _scan(spark: SparkSession, table: TableFiles, sep: str, names: list[str]) ->
     )
 
 
+def _surplus(n_cols: int, sep: str) -> tuple[Column, Column]:
+    """Whether a row holds more fields than the header, and how many it holds."""
+    fields = csv_fields(F.regexp_replace(F.col(RECORD), r"[\r\n]+$", ""), sep)
+    extra = F.slice(fields, n_cols + 1, F.greatest(F.size(fields) - n_cols, F.lit(1)))
+    broken = (
+        F.col(RECORD).isNotNull()
+        & (F.size(fields) > n_cols)
+        & F.exists(extra, lambda field: field != "")
+    )
+    return broken, F.size(fields)
+
+
 def csv_surplus_rows(scanned: DataFrame, n_cols: int, sep: str = ",") -> DataFrame:
     """Rows holding more fields than the header, which make a file unreadable.
 
     Rows that are merely short are fine (their missing fields are null), and so
     are surplus fields that are all empty.
     """
-    fields = csv_fields(F.regexp_replace(F.col(RECORD), r"[\r\n]+$", ""), sep)
-    surplus = F.slice(fields, n_cols + 1, F.greatest(F.size(fields) - n_cols, F.lit(1)))
-    return scanned.where(
-        F.col(RECORD).isNotNull()
-        & (F.size(fields) > n_cols)
-        & F.exists(surplus, lambda field: field != "")
-    ).withColumn("n_fields", F.size(fields))
+    broken, n_fields = _surplus(n_cols, sep)
+    return scanned.where(broken).withColumn("n_fields", n_fields)
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str = ",") -> dict[str, DataFrame]:
     """The unchecked text form of each table: header columns plus ``_bad_record``."""
-    scans = {}
-    for table in table_files(spark, path, "csv"):
-        names = [name.strip() for name in header_names(spark, table.path, sep)]
-        scans[table.name] = _scan(spark, table, sep, names)
-    return scans
+    return {
+        table.name: _scan(spark, table, sep, header_names(spark, table.path, sep))
+        for table in table_files(spark, path, "csv")
+    }
 
 
 def read_csv_tables(
@@ -101,13 +116,21 @@ def read_csv_tables(
     Raises when a row holds more fields than the header.
     """
     tables = {}
-    for name, scanned in scan_csv(spark, path, sep).items():
-        names = [column for column in scanned.columns if column != RECORD]
-        surplus = csv_surplus_rows(scanned, len(names), sep)
-        if not surplus.isEmpty():
-            raise ValueError(f"{name}: a row has more fields than the header")
+    for table in table_files(spark, path, "csv"):
+        names = header_names(spark, table.path, sep)
+        scanned = _scan(spark, table, sep, names)
+        # One pass over the file checks every row and profiles every column.
+        checked = normalize_missing(
+            scanned.withColumn("_surplus", _surplus(len(names), sep)[0]), columns=names
+        )
+        facts = column_facts(checked, names, F.count_if("_surplus").alias("surplus")).first()
+        if facts["surplus"]:
+            raise ValueError(f"{table.name}: {facts['surplus']} rows have more fields than the header")
         source = scanned.drop(RECORD)
-        numbered = number_scan(scan_order(source)) if positions else source
-        text = normalize_missing(numbered, columns=names)
-        tables[name] = cast_to_profile(text, profile_types(text, names)) if typed else text
+        if positions:
+            one_task = table.n_files == 1 and table.largest < SPLIT_BYTES
+            source = number_small_file(source) if one_task else number_scan(scan_order(source))
+        text = normalize_missing(source, columns=names)
+        labels = {row["column"]: row["inferred_type"] for row in facts["types"]}
+        tables[table.name] = cast_columns(text, labels) if typed else text
     return tables

@@ -12,10 +12,11 @@ from tablegraph.functions.text import quoted
 
 @dataclass(frozen=True)
 class TableFiles:
-    """One table of a load: its name, its path, and the size of its largest file."""
+    """One table of a load: its name, its path, how many files it has and the largest one's size."""
 
     name: str
     path: str
+    n_files: int
     largest: int
 
 
@@ -56,9 +57,9 @@ def table_files(spark: SparkSession, path: str, extension: str) -> list[TableFil
     rows = (
         file_listing(spark, path, extension)
         .groupBy(entry.alias("entry"), location.alias("location"))
-        .agg(F.max("length").alias("largest"))
+        .agg(F.count("*").alias("n_files"), F.max("length").alias("largest"))
         .withColumn("name", stem(quoted("entry")))
         .orderBy("entry", "location")
         .collect()
     )
-    return [TableFiles(row["name"], row["location"], row["largest"]) for row in rows]
+    return [TableFiles(row["name"], row["location"], row["n_files"], row["largest"]) for row in rows]

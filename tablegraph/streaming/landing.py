@@ -5,6 +5,8 @@ An upload is a folder ``<landing>/<session>/<files>``, moved into place whole.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,12 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tablegraph.functions.filenames import format_of, safe_filename
 from tablegraph.operators.catalog import read_catalog, write_catalog
 from tablegraph.operators.manifest import batch_totals, reject_reason
-from tablegraph.plans.ingest import ingest
+from tablegraph.plans.ingest import record, store
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 #: Uploads taken up by one micro-batch, each parsed by its own jobs.
 FILES_PER_BATCH = 1000
+UPLOADS_AT_ONCE = 8
 
 
 MANIFEST_SCHEMA = (
@@ -77,8 +80,14 @@ def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
         )
     )
     # One row per upload; the rows of their tables never come to the driver.
-    for upload in sessions.where(F.col("status") == "ready").collect():
-        ingest(spark, upload["folder"], upload["format"], out, upload["session_id"])
+    # Uploads are small and many, so their jobs are handed in side by side.
+    accepted = sessions.where(F.col("status") == "ready").collect()
+    with ThreadPoolExecutor(UPLOADS_AT_ONCE) as pool:
+        loads = list(
+            pool.map(lambda up: store(spark, up["folder"], up["format"], out, up["session_id"]), accepted)
+        )
+    if loads:
+        record(spark, loads, out, f"batch-{batch_id}")
     write_catalog(sessions, out, "sessions", "batch_id")
 
 

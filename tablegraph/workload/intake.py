@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablegraph.functions.filenames import format_of, safe_filename
 from tablegraph.operators import manifest as M
-from tablegraph.sources.csv import csv_fields, header_line
+from tablegraph.sources.csv import header_fields
 from tablegraph.workload.data import MANIFEST, cte, derive, query, table
 
 #: The queries use a small limit, so that the rule has batches to refuse.
@@ -205,18 +205,16 @@ FROM {documents}
     "csv_header_check",
     cte(h=_HEADERS)
     + """, l AS (SELECT doc_id, doc_id % 11 AS c, split_part(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), 1) AS line FROM h),
-    p AS (SELECT doc_id, c, line, list_transform(string_split(line, ','), x -> trim(x)) AS names FROM l)
+    p AS (SELECT doc_id, c, line, [trim(x) FOR x IN string_split(line, ',')] AS names FROM l)
     SELECT doc_id, CASE c WHEN 0 THEN 'starts_with_data' WHEN 1 THEN 'unnamed_column' WHEN 2 THEN 'repeated_column'
       WHEN 3 THEN 'no_header' WHEN 4 THEN NULL WHEN 5 THEN 'unnamed_column' WHEN 6 THEN NULL
-      ELSE CASE WHEN list_contains(names, '') OR len(list_filter(names, x -> starts_with(x, 'Unnamed:'))) > 0 THEN 'unnamed_column'
+      ELSE CASE WHEN list_contains(names, '') OR len([x FOR x IN names IF starts_with(x, 'Unnamed:')]) > 0 THEN 'unnamed_column'
                 WHEN len(list_distinct(names)) < len(names) THEN 'repeated_column' END END AS reject_reason,
       CASE c WHEN 3 THEN 0 WHEN 6 THEN 2 ELSE len(names) END AS n_columns FROM p""",
 )
 def csv_header_check(spark, sf):
     files = derive(spark, sf, _HEADERS)
-    line = header_line(F.col("text"))
-    names = F.when(line == "", F.array().cast("array<string>")).otherwise(csv_fields(line))
-    return M.check_csv_headers(files, names).select("doc_id", "reject_reason", F.size("names").alias("n_columns"))
+    return M.check_csv_headers(files, header_fields(F.col("text"))).select("doc_id", "reject_reason", F.size("names").alias("n_columns"))
 
 
 _BYTES = """
