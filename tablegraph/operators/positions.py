@@ -67,23 +67,34 @@ def number_small_file(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     return df.select(*df.columns, F.monotonically_increasing_id().alias(row_id))
 
 
-def number_scan(scanned: DataFrame, row_id: str = ROW_ID, per: list[str] | None = None) -> DataFrame:
-    """Turn the marks of ``scan_order`` into dense positions.
-
-    ``per`` restarts the count for each of its values (such as a table name);
-    these must be constant inside a file.
-    """
+def scan_offsets(scanned: DataFrame, per: list[str] | None = None) -> DataFrame:
+    """One row per file block: its first running number and the rows in earlier blocks."""
     per = per or []
     piece = ["_file", "_block"]
     counts = scanned.groupBy(*per, *piece).agg(
         F.min("_place").alias("_first"), F.count("*").alias("_rows")
     )
-    window = Window.partitionBy(*per) if per else Window.partitionBy()
-    earlier = window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    earlier = (
+        Window.partitionBy(*per).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    return counts.withColumn("_before", before).drop("_rows")
+
+
+def number_scan(
+    scanned: DataFrame, row_id: str = ROW_ID, per: list[str] | None = None, offsets: DataFrame | None = None
+) -> DataFrame:
+    """Turn the marks of ``scan_order`` into dense positions.
+
+    ``per`` restarts the count for each of its values (such as a table name).
+    Offsets that were stored before spare counting the blocks again.
+    """
+    per = per or []
+    if offsets is None:
+        offsets = scan_offsets(scanned, per)
     keep = [name for name in scanned.columns if name not in ("_file", "_block", "_place")]
     return (
-        scanned.join(offsets.drop("_rows"), [*per, *piece])
+        scanned.join(offsets, [*per, "_file", "_block"])
         .withColumn(row_id, F.col("_before") + F.col("_place") - F.col("_first"))
         .select(*keep, row_id)
     )

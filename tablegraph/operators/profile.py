@@ -51,35 +51,49 @@ def _numeric_text(c: Column) -> Column:
     return F.trim(c)
 
 
-def _column_facts(name: str) -> Column:
-    """Everything inference needs to know about one text column, in one aggregate."""
-    c = quoted(name)
+# Classes of a text value, as bits: the ways in which a column can be read
+# follow from which of them occur.
+_INT, _UNSIGNED, _WIDE, _FLOAT, _BOOL, _TEXT = 1, 2, 4, 8, 16, 32
+_INT_LEAST, _INT_MOST, _UNSIGNED_MOST = "-9223372036854775808", "9223372036854775807", "18446744073709551615"
+
+
+def _value_class(c: Column) -> Column:
+    """The class of one value; the usual cases are settled by the first test that fits.
+
+    No cast here can fail: a failing one costs far more than a pattern.
+    """
     number = _numeric_text(c)
-    fits = F.when(number.isNotNull(), number.try_cast("bigint").isNotNull())
-    wide = F.when(number.rlike(INT_PATTERN), number.try_cast("decimal(38,0)"))
-    unsigned = wide.between(0, F.lit("18446744073709551615").cast("decimal(38,0)"))
-    return F.struct(
-        F.count("*").alias("rows"),
-        F.count(c).alias("present"),
-        F.bool_and(number.rlike(INT_PATTERN)).alias("ints"),
-        F.bool_and(fits).alias("fits"),
-        F.bool_and(F.when(number.isNotNull(), F.coalesce(unsigned, F.lit(False)))).alias("unsigned"),
-        F.bool_and(number.rlike(FLOAT_PATTERN)).alias("floats"),
-        F.bool_and(c.isin(BOOL_TOKENS)).alias("bools"),
+    digits = F.length(F.regexp_replace(number, "^[+-]?0*", ""))
+    whole = number.cast("decimal(38,0)")
+    long_whole = (
+        F.when(digits > 38, _WIDE)
+        .when(whole.between(F.lit(_INT_LEAST).cast("decimal(38,0)"), F.lit(_INT_MOST).cast("decimal(38,0)")), _INT)
+        .when(whole.between(0, F.lit(_UNSIGNED_MOST).cast("decimal(38,0)")), _UNSIGNED)
+        .otherwise(_WIDE)
     )
+    return (
+        F.when(c.isNull(), 0)
+        .when(number.rlike(INT_PATTERN), F.when(F.length(number) < 19, _INT).otherwise(long_whole))
+        .when(number.rlike(FLOAT_PATTERN), _FLOAT)
+        .when(c.isin(BOOL_TOKENS), _BOOL)
+        .otherwise(_TEXT)
+    )
+
+
+def _inferred(seen: Column, gapped: Column, rows: Column) -> Column:
+    """The type of a column from the classes seen in it and whether values are missing."""
 
+    def within(bits: int) -> Column:
+        return seen.bitwiseAND(F.lit(~bits)) == 0
 
-def _inferred(facts: Column) -> Column:
-    full = facts["present"] == facts["rows"]
     return (
-        F.when(facts["rows"] == 0, "object")
-        .when(facts["present"] == 0, "float64")
-        .when(facts["ints"] & facts["fits"] & full, "int64")
-        .when(facts["ints"] & facts["fits"], "float64")
-        .when(facts["ints"] & facts["unsigned"] & full, "uint64")
-        .when(facts["ints"], "object")
-        .when(facts["floats"], "float64")
-        .when(facts["bools"] & full, "bool")
+        F.when(rows == 0, "object")
+        .when(seen == 0, "float64")
+        .when(within(_INT), F.when(gapped, "float64").otherwise("int64"))
+        .when(within(_INT | _UNSIGNED) & ~gapped, "uint64")
+        .when(within(_INT | _UNSIGNED | _WIDE), "object")
+        .when(within(_INT | _UNSIGNED | _WIDE | _FLOAT), "float64")
+        .when(within(_BOOL) & ~gapped, "bool")
         .otherwise("object")
     )
 
@@ -89,16 +103,22 @@ def column_facts(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame
 
     One aggregation over the table, whatever the number of columns.
     """
-    facts = df.agg(*[_column_facts(name).alias(f"f{i}") for i, name in enumerate(columns)], *extra)
+    # One lambda classifies every value, so the code does not grow with the columns.
+    texts = F.array(*[quoted(name).cast("string") for name in columns])
+    classed = df.withColumn("_classes", F.transform(texts, _value_class))
+    at = [F.get("_classes", F.lit(i)) for i in range(len(columns))]
+    seen = [F.bit_or(c).alias(f"s{i}") for i, c in enumerate(at)]
+    gaps = [F.count_if(c == 0).alias(f"g{i}") for i, c in enumerate(at)]
+    facts = classed.agg(F.count("*").alias("rows"), *seen, *gaps, *extra)
     entries = [
         F.struct(
             F.lit(i).alias("position"),
             F.lit(name).alias("column"),
-            _inferred(F.col(f"f{i}")).alias("inferred_type"),
+            _inferred(F.col(f"s{i}"), F.col(f"g{i}") > 0, F.col("rows")).alias("inferred_type"),
         )
         for i, name in enumerate(columns)
     ]
-    kept = [name for name in facts.columns if name not in {f"f{i}" for i in range(len(columns))}]
+    kept = facts.columns[1 + 2 * len(columns) :]
     return facts.select(F.array(*entries).alias("types"), *kept)
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegraph.functions.phrases import COLUMN_SEPARATOR, link_names
-from tablegraph.operators.positions import ROW_ID, number_scan, with_row_id
+from tablegraph.operators.positions import ROW_ID, number_scan, scan_offsets, with_row_id
 from tablegraph.sources.dataset import Dataset
+from tablegraph.session import work_path
 from tablegraph.sources.listing import file_listing
 
 UNKNOWN_TYPE = "unknown"
@@ -29,8 +30,8 @@ _TEXTUAL = f"{_ESCAPED}|{_STRING}|{_NAME_QUOTED}|{_DOLLAR}"
 _SIMPLE = f"{_ESCAPED}|{_STRING}|{_NAME_QUOTED}"
 
 _STATEMENT = rf"(?:[^;'\"$/\-]++|{_TEXTUAL}|{_COMMENT}|[$/\-'\"])++"
-_TOKENS = f"{_TEXTUAL}|{_COMMENT}"
-_OPENERS = r"['\"]|\$\w*\$|/\*"
+# A piece in which every string, quoted name, dollar quote and comment ends.
+_CLOSED = rf"\A(?:[^'\"$/\-]++|{_TEXTUAL}|{_COMMENT}|-|\$(?!\w*\$)|/(?!\*))*+\z"
 
 
 def _nested(levels: int) -> str:
@@ -52,6 +53,10 @@ _TYPE_END = (
     r"\b(?:CONSTRAINT|NOT\s+NULL|NULL|DEFAULT|PRIMARY\s+KEY|UNIQUE|REFERENCES|CHECK|GENERATED|COLLATE)\b"
 )
 
+_INTEGER = r"^[+-]?\s*[0-9]+$"
+_FLOAT = r"^[+-]?\s*(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_BLANKS = " \t\r\n"
+
 # Other spellings of declared types, and the label each is given.
 TYPE_LABELS = {
     "INTEGER": "INT",
@@ -96,32 +101,52 @@ def dump_statements(spark: SparkSession, path: str) -> DataFrame:
     spread over many tasks. That is exact when no piece ends inside a string or
     comment, which every piece is checked for; a file with such a piece (a
     function body, a text value with that line end) is read whole instead.
+
+    Statements are cut once and stored by kind, so the few that declare tables
+    are found again without reading the rows.
     """
     files = [row["path"] for row in file_listing(spark, path, "sql").orderBy("path").collect()]
-    pieces = _pieces(spark, files, lineSep=STATEMENT_END)
-    rest = F.regexp_replace("value", _TOKENS, " ")
-    cut = {row["_file"] for row in pieces.where(rest.rlike(_OPENERS)).select("_file").distinct().collect()}
-    # The listing and the scan may spell a path differently, so they meet on names.
-    by_name = {_plain(file): file for file in files}
-    whole = [by_name[_plain(file)] for file in cut]
-    split = [file for file in files if file not in set(whole)]
-    parts = []
-    if split:
-        parts.append(_pieces(spark, split, lineSep=STATEMENT_END))
-    if whole:
-        parts.append(_pieces(spark, whole, wholetext=True))
-    text = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    bare = F.trim(F.regexp_replace("raw", rf"({_TEXTUAL})|{_COMMENT}", "$1"))
+    stage = work_path(spark, "statements")
+    _store_statements(_pieces(spark, files, lineSep=STATEMENT_END), f"{stage}/split")
+    split = _stored_statements(spark, f"{stage}/split")
+    # At most one row per file.
+    cut = [row["_file"] for row in split.where("open").select("_file").distinct().collect()]
+    statements = split
+    if cut:
+        _store_statements(_pieces(spark, cut, wholetext=True), f"{stage}/whole")
+        whole = _stored_statements(spark, f"{stage}/whole")
+        statements = split.where(~F.col("_file").isin(cut)).unionByName(whole)
+    scan_offsets(statements).write.parquet(f"{stage}/offsets")
+    return number_scan(
+        statements.withColumn("file", F.regexp_extract("_file", r"([^/]+)$", 1)).drop("open"),
+        row_id="stmt_no",
+        offsets=spark.read.parquet(f"{stage}/offsets"),
+    )
+
+
+_STORED_SCHEMA = "_file string, _block bigint, open boolean, target string, text string, _place bigint, kind string"
+
+
+def _store_statements(pieces: DataFrame, path: str) -> None:
+    """Cut pieces of text into statements and write them by kind."""
+    raw = F.col("raw")
+    commented = raw.contains("--") | raw.contains("/*")
+    bare = F.when(commented, F.regexp_replace(raw, rf"({_TEXTUAL})|{_COMMENT}", "$1")).otherwise(raw)
+    # The piece is dropped before its statements are spread over rows.
+    cut = pieces.select(
+        "_file", "_block", (~F.col("value").rlike(_CLOSED)).alias("open"), _all(F.col("value"), _STATEMENT).alias("raws")
+    )
     statements = (
-        text.select("_file", "_block", F.explode(_all(F.col("value"), _STATEMENT)).alias("raw"))
-        .select("_file", "_block", F.regexp_replace(bare, r"^\s+|\s+$", "").alias("text"))
+        cut.select("_file", "_block", "open", F.explode("raws").alias("raw"))
+        .select("_file", "_block", "open", F.trim(bare, F.lit(_BLANKS)).alias("text"))
         .where(F.col("text") != "")
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    return number_scan(
-        statements.withColumn("file", F.regexp_extract("_file", r"([^/]+)$", 1)), row_id="stmt_no"
-    ).select("file", "stmt_no", *_classified(F.col("text")), "text")
+    statements.select("*", *_classified(F.col("text"))).write.partitionBy("kind").parquet(path)
+
+
+def _stored_statements(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_STORED_SCHEMA).parquet(path)
 
 
 def _pieces(spark: SparkSession, files: list[str], **options) -> DataFrame:
@@ -137,32 +162,20 @@ def _pieces(spark: SparkSession, files: list[str], **options) -> DataFrame:
     )
 
 
-def _plain(path: str) -> str:
-    return path.split(":", 1)[-1].lstrip("/")
-
-
 def _classified(text: Column) -> tuple[Column, Column]:
-    """The kind of a statement and the table it is about."""
-    create = rf"(?is)^CREATE\s+(?:(?:GLOBAL|LOCAL|TEMPORARY|TEMP|UNLOGGED)\s+)*+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_TARGET}\s*\("
-    alter = rf"(?is)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{_TARGET}"
-    insert = rf"(?is)^INSERT\s+INTO\s+{_TARGET}"
-    kind = (
-        F.when(text.rlike(create), "create")
-        .when(text.rlike(alter), "alter")
-        .when(text.rlike(insert), "insert")
-        .otherwise("ignored")
-    )
-    target = (
-        F.when(kind == "create", F.regexp_extract(text, create, 1))
-        .when(kind == "alter", F.regexp_extract(text, alter, 1))
-        .when(kind == "insert", F.regexp_extract(text, insert, 1))
+    """The kind of a statement and the table it is about, by one pattern."""
+    head = (
+        r"(?is)^(?:(?:CREATE\s+(?:(?:GLOBAL|LOCAL|TEMPORARY|TEMP|UNLOGGED)\s+)*+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?"
+        rf"(?={_TARGET}\s*\())|ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?|INSERT\s+INTO\s+){_TARGET}"
     )
-    return kind.alias("kind"), _name(target).alias("target")
+    target = F.regexp_extract(text, head, 2)
+    kind = F.when(target == "", "ignored").otherwise(F.lower(F.regexp_extract(text, r"^(\w+)", 1)))
+    return kind.alias("kind"), F.when(target != "", _name(target)).alias("target")
 
 
 def _create_items(text: Column) -> Column:
     body = F.regexp_extract(text, rf"(?s)\(({_BALANCED})\)", 1)
-    return F.transform(_all(body, _ITEM), lambda item: F.regexp_replace(item, r"^\s+|\s+$", ""))
+    return F.transform(_all(body, _ITEM), lambda item: F.trim(item, F.lit(_BLANKS)))
 
 
 def _type_label(item: Column) -> Column:
@@ -266,30 +279,37 @@ def dump_links(stmts: DataFrame) -> DataFrame:
     return links.join(created, "from_table", "left_semi")
 
 
-def sql_literal(raw: Column) -> tuple[Column, Column]:
-    """The kind of a literal and its value as text.
+def sql_literal(text: Column) -> tuple[Column, Column]:
+    """The kind of a trimmed literal and its value as text.
 
     Kinds are null, boolean, string, integer and float; any other expression
     keeps its SQL text.
     """
-    text = F.trim(raw)
-    plain = F.replace(F.regexp_replace(text, "^'|'$", ""), F.lit("''"), F.lit("'"))
-    body = F.replace(F.regexp_replace(text, "^[eE]'|'$", ""), F.lit("''"), F.lit("'"))
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\\n", "\n"), r"\\t", "\t"), r"\\(.)", "$1")
+    upper = F.upper(text)
+    quoted = text.startswith("'") & text.rlike(rf"^{_STRING}$")
+    escaped = F.upper(F.substring(text, 1, 2)).eqNullSafe("E'") & text.rlike(r"^[eE]'(?:[^'\\]++|\\.|'')*+'$")
     kind = (
-        F.when(text.isNull() | (F.upper(text) == "NULL"), "null")
-        .when(F.upper(text).isin("TRUE", "FALSE"), "boolean")
-        .when(text.rlike(rf"^{_STRING}$") | text.rlike(rf"^[eE]'(?:[^'\\]++|\\.|'')*+'$"), "string")
-        .when(text.rlike(r"^[+-]?\s*[0-9]+$"), "integer")
-        .when(text.rlike(r"^[+-]?\s*(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), "float")
+        F.when(text.isNull() | (upper == "NULL"), "null")
+        .when(quoted, "string")
+        .when(text.rlike(_INTEGER), "integer")
+        .when(text.rlike(_FLOAT), "float")
+        .when(upper.isin("TRUE", "FALSE"), "boolean")
+        .when(escaped, "string")
         .otherwise("expression")
     )
+    inner = F.replace(F.substring(text, 2, F.length(text) - 2), F.lit("''"), F.lit("'"))
+    body = F.replace(F.substring(text, 3, F.length(text) - 3), F.lit("''"), F.lit("'"))
+    unescaped = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(body, r"\\n", "\n"), r"\\t", "\t"), r"\\(.)", "$1"
+    )
+    spaced = text.rlike(r"^(?:\+|-\s)") & (text.rlike(_INTEGER) | text.rlike(_FLOAT))
     value = (
-        F.when(kind == "boolean", F.lower(text))
-        .when((kind == "string") & text.rlike("^'"), plain)
-        .when(kind == "string", escaped)
-        .when(kind.isin("integer", "float"), F.regexp_replace(text, r"^\+|\s", ""))
-        .when(kind == "expression", text)
+        F.when(upper == "NULL", None)
+        .when(quoted, inner)
+        .when(upper.isin("TRUE", "FALSE"), F.lower(text))
+        .when(escaped, unescaped)
+        .when(spaced, F.regexp_replace(text, r"^\+|\s", ""))
+        .otherwise(text)
     )
     return kind, value
 
@@ -341,15 +361,22 @@ def dump_rows(stmts: DataFrame, table: str) -> DataFrame:
     tuples = dump_tuples(own)
     if not names:
         return tuples.select("stmt_no", "tuple_no")
-    raw = {name: F.get("fields", F.array_position("names", F.lit(name)).cast("int") - 1) for name in names}
-    literals = {name: sql_literal(c) for name, c in raw.items()}
-    kinds = tuples.agg(
-        *[F.collect_set(literals[name][0]).alias(f"k{i}") for i, name in enumerate(names)]
-    ).first()
+    # One lambda reads every cell, so the code does not grow with the columns.
+    def cell(text: Column) -> Column:
+        kind, value = sql_literal(text)
+        return F.struct(kind.alias("kind"), value.alias("value"))
+
+    raws = F.transform(
+        F.array(*map(F.lit, names)),
+        lambda name: F.trim(F.get("fields", F.array_position("names", name).cast("int") - 1)),
+    )
+    cells = tuples.select("stmt_no", "tuple_no", F.transform(raws, cell).alias("cells"))
+    at = [F.get("cells", F.lit(i)) for i in range(len(names))]
+    kinds = cells.agg(*[F.collect_set(c["kind"]).alias(f"k{i}") for i, c in enumerate(at)]).first()
 
     def typed(i: int, name: str) -> Column:
         found = set(kinds[f"k{i}"]) - {"null"}
-        value = literals[name][1]
+        value = at[i]["value"]
         if found == {"integer"}:
             return value.cast("bigint").alias(name)
         if found and found <= {"integer", "float"}:
@@ -358,7 +385,7 @@ def dump_rows(stmts: DataFrame, table: str) -> DataFrame:
             return value.cast("boolean").alias(name)
         return value.alias(name)
 
-    return tuples.select("stmt_no", "tuple_no", *[typed(i, name) for i, name in enumerate(names)])
+    return cells.select("stmt_no", "tuple_no", *[typed(i, name) for i, name in enumerate(names)])
 
 
 def dump_dataset(spark: SparkSession, path: str) -> Dataset:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablegraph.functions.text import quoted
 from tablegraph.operators.positions import ROW_ID
+from tablegraph.session import work_path
 from tablegraph.sources.dataset import Dataset
 from tablegraph.sources.listing import stem, table_entry
 
@@ -120,37 +121,53 @@ def json_record_sets(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Text that is not JSON ends the job, as a file of it ends a load.
+_STRICT = {"mode": "FAILFAST"}
+
+
+def _objects(text: Column) -> Column:
+    """The objects of an array, as texts.
+
+    An item's text tells an object from all but a string that starts with a
+    brace; only an array that may hold one is parsed again to be sure.
+    """
+    items = F.from_json(text, "array<string>", _STRICT)
+    shapes = F.transform(F.from_json(text, "array<variant>"), lambda v: F.schema_of_variant(v))
+    checked = F.filter(
+        F.arrays_zip(items.alias("raw"), shapes.alias("shape")), lambda item: item["shape"].startswith("OBJECT")
+    )
+    return F.when(
+        text.rlike(r'"\s*\{'), F.transform(checked, lambda item: item["raw"])
+    ).otherwise(F.filter(items, lambda item: item.startswith("{")))
+
+
 def _tables(docs: DataFrame) -> DataFrame:
     """One row per table of a document, its object records as an array of texts."""
     doc = F.col("doc")
-
-    def objects(text: Column) -> Column:
-        items = F.arrays_zip(
-            F.from_json(text, "array<string>").alias("raw"),
-            F.transform(F.from_json(text, "array<variant>"), lambda v: F.schema_of_variant(v)).alias("shape"),
-        )
-        kept = F.filter(items, lambda item: item["shape"].startswith("OBJECT"))
-        return F.transform(kept, lambda item: item["raw"])
+    opening = F.substring(F.ltrim(doc), 1, 1)
 
     def table(name: Column, records: Column) -> Column:
         return F.struct(name.cast("string").alias("table"), records.alias("records"))
 
-    rooted = docs.withColumn("kind", root_kind(doc)).withColumn(
-        "entries", F.when(F.col("kind") == "object", object_entries(doc))
-    )
-    lists = F.filter("entries", lambda e: e["kind"] == "array")
+    lists = F.filter(object_entries(doc), lambda e: e["kind"] == "array")
+    whole = F.when(F.from_json(doc, "map<string,string>", _STRICT).isNotNull(), F.array(table(F.col("name"), F.array(doc))))
     sets = (
-        F.when(F.col("kind") == "array", F.array(table(F.col("name"), objects(doc))))
+        F.when(opening == "[", F.array(table(F.col("name"), _objects(doc))))
+        .when((opening == "{") & ~doc.contains("["), whole)
         .when(
-            (F.col("kind") == "object") & (F.size(lists) > 0),
-            F.transform(lists, lambda e: table(e["path"], objects(e["value"]))),
+            opening == "{",
+            _bind(
+                lists,
+                lambda found: F.when(
+                    F.size(found) > 0, F.transform(found, lambda e: table(e["path"], _objects(e["value"])))
+                ).otherwise(whole),
+            ),
         )
-        .when(F.col("kind") == "object", F.array(table(F.col("name"), F.array(doc))))
         .otherwise(
             F.raise_error(F.concat(F.col("name"), F.lit(": the root must be an object or an array")))
         )
     )
-    return rooted.select("name", F.inline(sets))
+    return docs.select("name", F.inline(sets))
 
 
 def nesting_depth(text: Column) -> Column:
@@ -232,6 +249,29 @@ STORED_TYPES = {
 }
 
 
+def describe_records(records: DataFrame) -> DataFrame:
+    """``infer_json_types`` over the records themselves, at the price of one parse each.
+
+    Records of one shape (the same keys with the same kinds) say the same about
+    the columns, and the first of them decides the order. So shapes are counted
+    with a combine before the shuffle, and only one record per shape is flattened.
+    """
+    shape = F.schema_of_variant(F.parse_json("record"))
+    firsts = records.groupBy("table", shape.alias("shape")).agg(F.min("pos").alias("pos"))
+    chosen = records.select("table", "pos", "record").join(
+        firsts.select("table", "pos"), ["table", "pos"], "left_semi"
+    )
+    return infer_json_types(flatten_json(chosen))
+
+
+def _typed(text: Column, path: str, label: str) -> Column:
+    target = STORED_TYPES[label]
+    if target in ("bigint", "double"):
+        # A column of numbers may hold booleans, which count as 1 and 0.
+        text = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
+    return (text if target == "string" else text.cast(target)).alias(path)
+
+
 def pivot_flat(flat: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """Records of one table as rows with the given ``(path, type)`` columns.
 
@@ -245,50 +285,93 @@ def pivot_flat(flat: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     mapped = flat.withColumn(
         "entries", F.map_from_entries(F.transform(kept, lambda e: F.struct(e["path"], e["value"])))
     )
+    values = [
+        _typed(F.try_element_at(F.col("entries"), F.lit(path)), path, label) for path, label in columns
+    ]
+    return mapped.select(*map(quoted, keep), *values)
+
+
+def _path_tree(paths: list[str]) -> dict | None:
+    """The nesting that the dotted paths amount to, None when it is not certain.
+
+    It is not when a path is both a value and an object, as ``a`` and ``a.b``.
+    """
+    tree: dict = {}
+    for path in paths:
+        node = tree
+        *outer, last = path.split(PATH_SEPARATOR)
+        for part in outer:
+            node = node.setdefault(part, {})
+            if node is None:
+                return None
+        if last in node:
+            return None
+        node[last] = None
+    return tree
+
+
+def _tree_schema(tree: dict) -> str:
+    def name(part: str) -> str:
+        return "`" + part.replace("`", "``") + "`"
+
+    return ", ".join(
+        f"{name(part)}: string" if inner is None else f"{name(part)}: struct<{_tree_schema(inner)}>"
+        for part, inner in tree.items()
+    )
+
+
+def json_table(records: DataFrame, columns: list[tuple[str, str]], dotted_keys: bool) -> DataFrame:
+    """Records of one table as rows, read by one parse under the columns' own schema.
+
+    Records whose keys hold dots, or whose paths are objects in one record and
+    values in another, are flattened entry by entry instead.
+    """
+    tree = None if dotted_keys else _path_tree([path for path, _ in columns])
+    if tree is None or not columns:
+        return pivot_flat(flatten_entries(records), columns)
+    keep = [name for name in records.columns if name != "record"]
+    parsed = records.select(
+        *map(quoted, keep), F.from_json("record", f"struct<{_tree_schema(tree)}>").alias("_record")
+    )
+
+    def value(path: str) -> Column:
+        found = F.col("_record")
+        for part in path.split(PATH_SEPARATOR):
+            found = found.getField(part)
+        return found
+
+    return parsed.select(*map(quoted, keep), *[_typed(value(path), path, label) for path, label in columns])
 
-    def column(path: str, label: str) -> Column:
-        text = F.try_element_at(F.col("entries"), F.lit(path))
-        target = STORED_TYPES[label]
-        if target == "bigint":
-            # A column of integers may hold booleans, which count as 1 and 0.
-            text = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
-            return text.cast("bigint").alias(path)
-        if target == "double":
-            text = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
-            return text.cast("double").alias(path)
-        return (text if target == "string" else text.cast(target)).alias(path)
 
-    return mapped.select(*map(quoted, keep), *[column(path, label) for path, label in columns])
+def has_dotted_keys(records: DataFrame) -> bool:
+    """Whether some key holds a dot itself, so that a path does not tell the nesting."""
+    return not records.where(F.col("record").rlike(r'"[^"]*\.[^"]*"\s*:')).isEmpty()
 
 
 def json_dataset(spark: SparkSession, path: str) -> Dataset:
-    """Every record set below the path as a typed table, columns in first-seen order."""
-    records = json_record_sets(read_json_documents(spark, path))
-    names = [
-        row["table"]
-        for row in records.groupBy("table")
-        .agg(F.count_distinct("name").alias("files"))
-        .orderBy("table")
-        .collect()
-        if _single_source(row)
-    ]
+    """Every record set below the path as a typed table, columns in first-seen order.
+
+    Documents are cut into records once and stored by table; each table is then
+    described and read from its own records.
+    """
+    stage = work_path(spark, "records")
+    json_record_sets(read_json_documents(spark, path)).write.partitionBy("table").parquet(stage)
+    schema = "name string, pos int, record string, table string"
+    records = spark.read.schema(schema).parquet(stage)
+    sources = records.groupBy("table").agg(F.count_distinct("name").alias("files")).orderBy("table").collect()
+    for row in sources:
+        if row["files"] > 1:
+            raise ValueError(f"{row['table']}: named by more than one file")
     found = records.where(F.col("record").isNotNull())
-    flat = flatten_entries(found)
-    described = infer_json_types(flat.select("table", "pos", F.inline("entries")))
-    columns: dict[str, list[tuple[str, str]]] = {name: [] for name in names}
-    for row in described.orderBy("table", "first").collect():
+    columns: dict[str, list[tuple[str, str]]] = {row["table"]: [] for row in sources}
+    for row in describe_records(found).orderBy("table", "first").collect():
         columns[row["table"]].append((row["path"], row["inferred_type"]))
 
-    tables = {
-        name: pivot_flat(
-            flat.where(F.col("table") == name)
-            .drop("name", "table")
-            .withColumn(ROW_ID, F.col("pos").cast("bigint"))
-            .drop("pos"),
-            columns[name],
-        )
-        for name in names
-    }
+    dotted = has_dotted_keys(found)
+    tables = {}
+    for name, described in columns.items():
+        own = found.where(F.col("table") == name).select(F.col("pos").cast("bigint").alias(ROW_ID), "record")
+        tables[name] = json_table(own, described, dotted)
     return Dataset(tables, columns)
 
 
@@ -296,10 +379,3 @@ def read_json_tables(spark: SparkSession, path: str, positions: bool = False) ->
     """The tables of ``json_dataset``."""
     tables = json_dataset(spark, path).tables
     return tables if positions else {name: df.drop(ROW_ID) for name, df in tables.items()}
-
-
-def _single_source(row) -> bool:
-    """Two files giving a table of the same name cannot both be kept."""
-    if row["files"] > 1:
-        raise ValueError(f"{row['table']}: named by more than one file")
-    return True

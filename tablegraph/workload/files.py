@@ -10,7 +10,7 @@ from tablegraph.session import work_path
 from tablegraph.sources import csv as V
 from tablegraph.sources import dump as D
 from tablegraph.sources import json as J
-from tablegraph.workload.data import cte, derive, query, table
+from tablegraph.workload.data import ORACLES, cte, derive, query, table
 
 # --- CSV ----------------------------------------------------------------------
 
@@ -221,8 +221,10 @@ def json_skip_non_objects(spark, sf):
     UNION ALL SELECT name, 's', 'string', o_orderstatus FROM d WHERE c = 2""",
 )
 def json_flatten(spark, sf):
-    records = J.json_record_sets(_documents(spark, sf)).where(F.col("record").isNotNull())
-    return J.flatten_json(records).select("name", "path", "kind", "value")
+    docs = _documents(spark, sf)
+    deepest = docs.agg(F.max(J.nesting_depth(F.col("doc")))).first()[0]
+    records = J.json_record_sets(docs).where(F.col("record").isNotNull())
+    return J.flatten_json(records, depth=deepest).select("name", "path", "kind", "value")
 
 
 # One table with a record per order: absent keys, mixed kinds, a dotted key
@@ -250,6 +252,11 @@ def _mixed(spark, sf):
              unnest(['integer', 'float', 'boolean', 'integer', 'string', 'array', 'null', 'string']) AS label)""",
 )
 def infer_json_types(spark, sf):
+    return J.describe_records(_mixed(spark, sf)).select("table", "path", "inferred_type")
+
+
+@query("infer_json_types_long", ORACLES["infer_json_types"])
+def infer_json_types_long(spark, sf):
     return J.infer_json_types(J.flatten_json(_mixed(spark, sf))).select("table", "path", "inferred_type")
 
 
@@ -262,10 +269,10 @@ def infer_json_types(spark, sf):
       CASE WHEN c = 2 THEN 'late' END AS "at.status" FROM m""",
 )
 def json_union_columns(spark, sf):
-    flat = J.flatten_entries(_mixed(spark, sf))
-    described = J.infer_json_types(flat.select("table", "pos", F.inline("entries")))
-    columns = [(row["path"], row["inferred_type"]) for row in described.orderBy("first").collect()]
-    return J.pivot_flat(flat, columns).drop("table")
+    records = _mixed(spark, sf)
+    described = J.describe_records(records).orderBy("first").collect()
+    columns = [(row["path"], row["inferred_type"]) for row in described]
+    return J.json_table(records, columns, J.has_dotted_keys(records)).drop("table")
 
 
 @query(
@@ -273,9 +280,12 @@ def json_union_columns(spark, sf):
     """SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events""",
 )
 def json_events_scan(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "props")
-    flat = J.flatten_entries(events, "props")
-    return J.pivot_flat(flat.drop("props"), [("k", "integer")])
+    events = table(spark, sf, "events").select(
+        F.lit("events").alias("table"), F.col("event_id").alias("pos"), F.col("props").alias("record")
+    )
+    columns = [(row["path"], row["inferred_type"]) for row in J.describe_records(events).collect()]
+    rows = J.json_table(events, columns, J.has_dotted_keys(events))
+    return rows.drop("table").withColumnRenamed("pos", "event_id")
 
 
 # --- SQL dumps ------------------------------------------------------------------
@@ -410,7 +420,7 @@ def dump_rows_multi(spark, sf):
 )
 def dump_literals(spark, sf):
     tuples = D.dump_tuples(_dump(spark, sf)).where(F.col("table") == "customer")
-    kind, value = D.sql_literal(F.get("fields", F.lit(5)))
+    kind, value = D.sql_literal(F.trim(F.get("fields", F.lit(5))))
     return tuples.select(kind.alias("kind"), value.alias("value")).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
