@@ -39,12 +39,13 @@ def normalize_missing(
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     chosen = set(columns)
-    return df.select(
-        *[
-            F.when(~quoted(name).isin(tokens), quoted(name)).alias(name) if name in chosen else quoted(name)
-            for name in df.columns
-        ]
-    )
+    listed = ", ".join("'" + token.replace("'", "\\'") + "'" for token in tokens)
+
+    def present(name: str) -> str:
+        c = "`" + name.replace("`", "``") + "`"
+        return f"CASE WHEN {c} NOT IN ({listed}) THEN {c} END AS {c}" if name in chosen else c
+
+    return df.selectExpr(*map(present, df.columns))
 
 
 def _numeric_text(c: Column) -> Column:
@@ -53,7 +54,8 @@ def _numeric_text(c: Column) -> Column:
 
 # Classes of a text value, as bits: the ways in which a column can be read
 # follow from which of them occur.
-_INT, _UNSIGNED, _WIDE, _FLOAT, _BOOL, _TEXT = 1, 2, 4, 8, 16, 32
+_INT, _NEGATIVE, _UNSIGNED, _WIDE, _FLOAT, _BOOL, _TEXT = 1, 2, 4, 8, 16, 32, 64
+_WHOLE = _INT | _NEGATIVE | _UNSIGNED | _WIDE
 _INT_LEAST, _INT_MOST, _UNSIGNED_MOST = "-9223372036854775808", "9223372036854775807", "18446744073709551615"
 
 
@@ -65,23 +67,25 @@ def _value_class(c: Column) -> Column:
     number = _numeric_text(c)
     digits = F.length(F.regexp_replace(number, "^[+-]?0*", ""))
     whole = number.cast("decimal(38,0)")
+    narrow = F.when(number.startswith("-"), _NEGATIVE).otherwise(_INT)
     long_whole = (
         F.when(digits > 38, _WIDE)
-        .when(whole.between(F.lit(_INT_LEAST).cast("decimal(38,0)"), F.lit(_INT_MOST).cast("decimal(38,0)")), _INT)
+        .when(whole.between(F.lit(_INT_LEAST).cast("decimal(38,0)"), F.lit(_INT_MOST).cast("decimal(38,0)")), narrow)
         .when(whole.between(0, F.lit(_UNSIGNED_MOST).cast("decimal(38,0)")), _UNSIGNED)
         .otherwise(_WIDE)
     )
     return (
         F.when(c.isNull(), 0)
-        .when(number.rlike(INT_PATTERN), F.when(F.length(number) < 19, _INT).otherwise(long_whole))
+        .when(number.rlike(INT_PATTERN), F.when(F.length(number) < 19, narrow).otherwise(long_whole))
         .when(number.rlike(FLOAT_PATTERN), _FLOAT)
         .when(c.isin(BOOL_TOKENS), _BOOL)
         .otherwise(_TEXT)
     )
 
 
-def _inferred(seen: Column, gapped: Column, rows: Column) -> Column:
+def _inferred(fact: Column) -> Column:
     """The type of a column from the classes seen in it and whether values are missing."""
+    seen, gapped, rows = fact["seen"], fact["gaps"] > 0, fact["rows"]
 
     def within(bits: int) -> Column:
         return seen.bitwiseAND(F.lit(~bits)) == 0
@@ -89,10 +93,10 @@ def _inferred(seen: Column, gapped: Column, rows: Column) -> Column:
     return (
         F.when(rows == 0, "object")
         .when(seen == 0, "float64")
-        .when(within(_INT), F.when(gapped, "float64").otherwise("int64"))
+        .when(within(_INT | _NEGATIVE), F.when(gapped, "float64").otherwise("int64"))
         .when(within(_INT | _UNSIGNED) & ~gapped, "uint64")
-        .when(within(_INT | _UNSIGNED | _WIDE), "object")
-        .when(within(_INT | _UNSIGNED | _WIDE | _FLOAT), "float64")
+        .when(within(_WHOLE), "object")
+        .when(within(_WHOLE | _FLOAT), "float64")
         .when(within(_BOOL) & ~gapped, "bool")
         .otherwise("object")
     )
@@ -103,23 +107,21 @@ def column_facts(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame
 
     One aggregation over the table, whatever the number of columns.
     """
-    # One lambda classifies every value, so the code does not grow with the columns.
+    # One lambda classifies every value and one names every type, so neither
+    # the plan nor the code grows with more than a line per column.
     texts = F.array(*[quoted(name).cast("string") for name in columns])
     classed = df.withColumn("_classes", F.transform(texts, _value_class))
-    at = [F.get("_classes", F.lit(i)) for i in range(len(columns))]
-    seen = [F.bit_or(c).alias(f"s{i}") for i, c in enumerate(at)]
-    gaps = [F.count_if(c == 0).alias(f"g{i}") for i, c in enumerate(at)]
-    facts = classed.agg(F.count("*").alias("rows"), *seen, *gaps, *extra)
-    entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column"),
-            _inferred(F.col(f"s{i}"), F.col(f"g{i}") > 0, F.col("rows")).alias("inferred_type"),
+    fact = "struct(bit_or(_classes[{0}]) AS seen, count_if(_classes[{0}] = 0) AS gaps, count(*) AS rows)"
+    facts = F.expr("array(" + ", ".join(fact.format(i) for i in range(len(columns))) + ")")
+    names = F.array(*map(F.lit, columns))
+
+    def described(one: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("position"), F.get(names, i).alias("column"), _inferred(one).alias("inferred_type")
         )
-        for i, name in enumerate(columns)
-    ]
-    kept = facts.columns[1 + 2 * len(columns) :]
-    return facts.select(F.array(*entries).alias("types"), *kept)
+
+    found = classed.agg(facts.alias("facts"), *extra)
+    return found.withColumn("types", F.transform("facts", described)).drop("facts")
 
 
 def profile_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

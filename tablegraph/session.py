@@ -21,6 +21,13 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+#: Settings that only take effect when a session is built.
+BUILD_SETTINGS = {
+    # Recording where each column expression was written costs more than
+    # planning it, which shows on tables with many columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it."""

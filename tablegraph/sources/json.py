@@ -201,9 +201,27 @@ def flatten_entries(records: DataFrame, record: str = "record", depth: int | Non
             ).otherwise(F.array(e)),
         )
         entries = F.flatten(opened)
-    return records.withColumn("entries", entries).withColumn(
-        "entries", F.filter("entries", lambda e: e["kind"] != "object")
-    )
+    leaves = F.filter(entries, lambda e: e["kind"] != "object")
+    return records.withColumn("entries", _bind(leaves, _one_per_path))
+
+
+def _one_per_path(leaves: Column) -> Column:
+    """A path written twice in one record (``a.b`` and ``a: {b}``): its first place, its last value."""
+    paths = F.transform(leaves, lambda e: e["path"])
+
+    def merged(found: Column) -> Column:
+        last = F.filter(leaves, lambda e, i: ~F.array_contains(F.slice(found, i + 2, F.size(found)), e["path"]))
+        return F.transform(
+            last,
+            lambda e: F.struct(
+                e["path"].alias("path"),
+                F.get(leaves, F.array_position(found, e["path"]).cast("int") - 1)["ord"].alias("ord"),
+                e["kind"].alias("kind"),
+                e["value"].alias("value"),
+            ),
+        )
+
+    return F.when(F.size(F.array_distinct(paths)) == F.size(leaves), leaves).otherwise(_bind(paths, merged))
 
 
 def flatten_json(records: DataFrame, record: str = "record", depth: int | None = None) -> DataFrame:
@@ -278,13 +296,9 @@ def pivot_flat(flat: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     Takes the output of ``flatten_entries``. Absent keys are null. Each row is
     built from its own entries, so nothing is shuffled.
     """
-    entries = F.col("entries")
-    paths = F.transform(entries, lambda e: e["path"])
-    kept = _last_of_each(entries, paths)
+    pairs = F.transform("entries", lambda e: F.struct(e["path"], e["value"]))
     keep = [name for name in flat.columns if name not in ("entries", "record")]
-    mapped = flat.withColumn(
-        "entries", F.map_from_entries(F.transform(kept, lambda e: F.struct(e["path"], e["value"])))
-    )
+    mapped = flat.withColumn("entries", F.map_from_entries(pairs))
     values = [
         _typed(F.try_element_at(F.col("entries"), F.lit(path)), path, label) for path, label in columns
     ]
