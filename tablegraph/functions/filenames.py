@@ -15,10 +15,10 @@ def safe_filename(name: Column) -> Column:
     Directories are dropped first by ``/`` and then by ``\\``, a drive letter
     goes too, and hidden names and ``.``/``..`` are refused.
     """
-    posix = F.regexp_extract(F.regexp_replace(name, r"/+(\./*)*$", ""), r"([^/]*)$", 1)
+    posix = F.regexp_extract(F.regexp_replace(name, r"/+(\./+)*\.?$", ""), r"([^/]*)$", 1)
     # A drive letter or a bare network share is an anchor, not a name.
     local = F.regexp_replace(posix, r"^(?:(?s:.):|\\\\[^\\]+\\[^\\]+\\?$)", "")
-    bare = F.regexp_extract(F.regexp_replace(local, r"\\+(\.\\*)*$", ""), r"([^\\]*)$", 1)
+    bare = F.regexp_extract(F.regexp_replace(local, r"\\+(\.\\+)*\.?$", ""), r"([^\\]*)$", 1)
     return F.when((bare != "") & ~bare.startswith("."), bare)
 
 

@@ -74,7 +74,7 @@ def join_key(c: Column, dtype: T.DataType) -> Column:
     whole = c.try_cast("decimal(38,0)").cast("string")
     return F.when(
         _finite(c),
-        F.when(c == F.floor(c), F.coalesce(whole, _float_text(c))).otherwise(_float_text(c)),
+        F.when(c == F.rint(c), F.coalesce(whole, _float_text(c))).otherwise(_float_text(c)),
     )
 
 
