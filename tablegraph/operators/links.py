@@ -157,8 +157,9 @@ def closed_neighbourhood(nodes: DataFrame, edges: DataFrame, node: str) -> tuple
     Nodes have an ``id``; edges have ``source`` and ``target`` ids.
     """
     near = edges.where((F.col("source") == node) | (F.col("target") == node))
-    ends = near.select(F.explode(F.array("source", "target")).alias("id"))
-    inside = nodes.join(ends, "id", "left_semi").unionByName(
-        nodes.where(F.col("id") == node)
-    )
-    return inside.dropDuplicates(["id"]), near
+    # Only the far end of each edge: the node itself would be one hot key.
+    far = F.when(F.col("source") == node, F.col("target")).otherwise(F.col("source"))
+    others = near.select(far.alias("id")).distinct()
+    own = F.col("id") == node
+    inside = nodes.where(own).unionByName(nodes.where(~own).join(others, "id", "left_semi"))
+    return inside, near

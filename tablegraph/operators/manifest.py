@@ -132,13 +132,17 @@ def duplicate_content(m: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
 
 
 def already_ingested(m: DataFrame, files: DataFrame) -> DataFrame:
-    """Files whose bytes are already on record, all hashes in one join."""
-    return m.join(files.select("sha256"), "sha256", "left_semi")
+    """Files whose bytes are already on record, all hashes in one join.
+
+    Recorded hashes are made distinct before they are shuffled, so a text that
+    was stored many times is one row of the join.
+    """
+    return m.join(files.select("sha256").distinct(), "sha256", "left_semi")
 
 
 def not_yet_ingested(m: DataFrame, files: DataFrame) -> DataFrame:
     """The complement of ``already_ingested``."""
-    return m.join(files.select("sha256"), "sha256", "left_anti")
+    return m.join(files.select("sha256").distinct(), "sha256", "left_anti")
 
 
 def reject_reason(

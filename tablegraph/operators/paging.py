@@ -30,11 +30,12 @@ def read_page(df: DataFrame, offset: int = 0, limit: int = PAGE_DEFAULT) -> Data
     """Rows ``offset`` to ``offset + limit - 1`` of a stored table, in order.
 
     A range of ``_row_id`` that reaches the Parquet scan, so only row groups
-    holding the page are read; past the end the page is empty.
+    holding the page are read; past the end the page is empty. The limit tells
+    the planner how few rows are left to sort.
     """
     _check(offset, limit, PAGE_MOST)
     wanted = (F.col(ROW_ID) >= offset) & (F.col(ROW_ID) < offset + limit)
-    return df.where(wanted).orderBy(ROW_ID)
+    return df.where(wanted).orderBy(ROW_ID).limit(limit)
 
 
 def page_info(df: DataFrame, offset: int = 0, limit: int = PAGE_DEFAULT, total: int | None = None) -> DataFrame:

@@ -14,6 +14,10 @@ from tablegraph.session import work_root
 
 ROW_ID = "_row_id"
 
+#: Offsets of up to this many files or file blocks are sent to every task;
+#: more are joined.
+MOST_PIECES = 1_000_000
+
 #: Bits that ``monotonically_increasing_id`` leaves for the place in a partition.
 _PLACE_BITS = 33
 
@@ -24,6 +28,11 @@ def _offsets(counts: DataFrame, order: list[str]) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
 
 
+def _sized(offsets: DataFrame, pieces: int | None) -> DataFrame:
+    """Offsets ready to join: broadcast when their number is known to be small."""
+    return F.broadcast(offsets) if pieces is not None and pieces <= MOST_PIECES else offsets
+
+
 def parquet_with_row_id(spark: SparkSession, path: str, row_id: str = ROW_ID) -> DataFrame:
     """A Parquet table with each row's position, files taken in path order.
 
@@ -35,7 +44,8 @@ def parquet_with_row_id(spark: SparkSession, path: str, row_id: str = ROW_ID) ->
     if row_id in table.columns:
         return table
     index = F.col("_metadata.row_index")
-    if len(table.inputFiles()) <= 1:
+    files = len(table.inputFiles())
+    if files <= 1:
         return table.withColumn(row_id, index)
 
     file = F.col("_metadata.file_path")
@@ -43,7 +53,7 @@ def parquet_with_row_id(spark: SparkSession, path: str, row_id: str = ROW_ID) ->
     offsets = _offsets(counts, ["_piece"]).select("_piece", "_before")
     placed = table.withColumn("_piece", file).withColumn("_index", index)
     return (
-        placed.join(offsets, "_piece")
+        placed.join(_sized(offsets, files), "_piece")
         .withColumn(row_id, F.col("_before") + F.col("_index"))
         .select(*table.columns, row_id)
     )
@@ -82,19 +92,24 @@ def scan_offsets(scanned: DataFrame, per: list[str] | None = None) -> DataFrame:
 
 
 def number_scan(
-    scanned: DataFrame, row_id: str = ROW_ID, per: list[str] | None = None, offsets: DataFrame | None = None
+    scanned: DataFrame,
+    row_id: str = ROW_ID,
+    per: list[str] | None = None,
+    offsets: DataFrame | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Turn the marks of ``scan_order`` into dense positions.
 
     ``per`` restarts the count for each of its values (such as a table name).
-    Offsets that were stored before spare counting the blocks again.
+    Offsets that were stored before spare counting the blocks again; ``pieces``
+    is the most file blocks there can be, if known.
     """
     per = per or []
     if offsets is None:
         offsets = scan_offsets(scanned, per)
     keep = [name for name in scanned.columns if name not in ("_file", "_block", "_place")]
     return (
-        scanned.join(offsets, [*per, "_file", "_block"])
+        scanned.join(_sized(offsets, pieces), [*per, "_file", "_block"])
         .withColumn(row_id, F.col("_before") + F.col("_place") - F.col("_first"))
         .select(*keep, row_id)
     )
@@ -105,16 +120,19 @@ def with_row_id(df: DataFrame, *order_by: str | Column, row_id: str = ROW_ID) ->
 
     One range shuffle puts rows in order across partitions; the result is
     checkpointed, so partition boundaries cannot move between counting the
-    partitions and numbering their rows, even when an executor is lost.
+    partitions and numbering their rows, even when an executor is lost. Rows
+    that tie keep the order they are read in, which also lets a run of equal
+    keys spread over many partitions.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_root(spark))
-    ordered = df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id())
-    stored = ordered.checkpoint()
+    read = df.withColumn("_read", F.monotonically_increasing_id())
+    ordered = read.orderBy(*order_by, "_read").drop("_read")
+    stored = ordered.withColumn("_place", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_place", _PLACE_BITS)
     counts = stored.groupBy(part.alias("_piece")).agg(F.count("*").alias("_rows"))
-    offsets = _offsets(counts, ["_piece"]).select("_piece", "_before")
+    offsets = _sized(_offsets(counts, ["_piece"]).select("_piece", "_before"), stored.rdd.getNumPartitions())
     place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
         stored.withColumn("_piece", part)

@@ -155,13 +155,18 @@ def _union_edges(parts: list[tuple[Link, DataFrame]]) -> DataFrame:
 
 
 def with_edge_ids(edges: DataFrame) -> DataFrame:
-    """Add the text identities of the two rows and of the edge."""
-    return edges.withColumns(
-        {
-            "source": row_id(F.col("source_table"), F.col("source_pos")),
-            "target": row_id(F.col("target_table"), F.col("target_pos")),
-        }
-    ).withColumn("id", edge_id(F.col("source"), F.col("target"), F.col("label")))
+    """Add the text identities of the two rows and of the edge.
+
+    One projection, so that it folds into the top-n step below it.
+    """
+    source = row_id(F.col("source_table"), F.col("source_pos"))
+    target = row_id(F.col("target_table"), F.col("target_pos"))
+    return edges.select(
+        "*",
+        source.alias("source"),
+        target.alias("target"),
+        edge_id(source, target, F.col("label")).alias("id"),
+    )
 
 
 def cap_edges(edges: DataFrame, cap: int = EDGE_CAP) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,9 @@ RECORD = "_bad_record"
 #: A file below this size is one task whichever way it is read.
 SPLIT_BYTES = 64 * 1024 * 1024
 
+#: Spark cuts files into blocks no smaller than this.
+LEAST_SPLIT_BYTES = 4 * 1024 * 1024
+
 
 def csv_fields(line: Column, sep: str = ",") -> Column:
     """The fields of one CSV record, quotes removed."""
@@ -129,7 +132,10 @@ def read_csv_tables(
         source = scanned.drop(RECORD)
         if positions:
             one_task = table.n_files == 1 and table.largest < SPLIT_BYTES
-            source = number_small_file(source) if one_task else number_scan(scan_order(source))
+            blocks = table.n_files * (table.largest // LEAST_SPLIT_BYTES + 1)
+            source = (
+                number_small_file(source) if one_task else number_scan(scan_order(source), pieces=blocks)
+            )
         text = normalize_missing(source, columns=names)
         labels = {row["column"]: row["inferred_type"] for row in facts["types"]}
         tables[table.name] = cast_columns(text, labels) if typed else text

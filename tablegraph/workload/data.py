@@ -93,7 +93,7 @@ SELECT CASE WHEN lang <> 'en' THEN CAST(-1 AS BIGINT) ELSE CAST(floor(doc_id / 5
          WHEN 24 THEN '../..'
          ELSE CAST(doc_id AS VARCHAR(20)) || '.csv' END AS filename,
        CASE WHEN doc_id % 29 = 11 THEN ''
-            WHEN doc_id % 29 IN (21, 22, 23) THEN 'copy ' || CAST(floor(doc_id / 5.0) AS VARCHAR(20))
+            WHEN doc_id % 29 IN (21, 22, 23) THEN 'copy ' || CAST(CAST(floor(doc_id / 5.0) AS BIGINT) AS VARCHAR(20))
             ELSE text END AS content
 FROM {documents}
 """

@@ -227,14 +227,14 @@ def json_flatten(spark, sf):
     return J.flatten_json(records, depth=deepest).select("name", "path", "kind", "value")
 
 
-# One table with a record per order: absent keys, mixed kinds, a dotted key
-# that clashes with a nested one, a list.
+# One table with a record per order: absent keys, mixed kinds, nested objects,
+# a list.
 _MIXED = """
 SELECT 'orders' AS "table", o_orderkey AS pos, o_orderkey, o_custkey, o_orderstatus, o_orderkey % 3 AS c,
   '{{"id":' || CAST(o_orderkey AS VARCHAR(20))
   || CASE o_orderkey % 3 WHEN 0 THEN ',"price":' || CAST(o_custkey AS VARCHAR(20)) || ',"flag":true,"both":true,"any":"x"'
        WHEN 1 THEN ',"price":' || CAST(o_custkey AS VARCHAR(20)) || '.25,"flag":false,"both":' || CAST(o_custkey AS VARCHAR(20)) || ',"any":7'
-       ELSE ',"at":{{"status":"' || o_orderstatus || '"}},"at.status":"late"' END
+       ELSE ',"at":{{"status":"' || o_orderstatus || '"}}' END
   || ',"list":[1,"a"],"nothing":null}}' AS record
 FROM {orders}
 """
@@ -266,7 +266,7 @@ def infer_json_types_long(spark, sf):
     + """SELECT pos, o_orderkey AS id, CASE c WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN o_custkey + 0.25 END AS price,
       CASE c WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS flag, CASE c WHEN 0 THEN 1 WHEN 1 THEN o_custkey END AS "both",
       CASE c WHEN 0 THEN 'x' WHEN 1 THEN '7' END AS "any", '[1,"a"]' AS list, CAST(NULL AS VARCHAR) AS nothing,
-      CASE WHEN c = 2 THEN 'late' END AS "at.status" FROM m""",
+      CASE WHEN c = 2 THEN o_orderstatus END AS "at.status" FROM m""",
 )
 def json_union_columns(spark, sf):
     records = _mixed(spark, sf)
@@ -275,6 +275,25 @@ def json_union_columns(spark, sf):
     return J.json_table(records, columns, J.has_dotted_keys(records)).drop("table")
 
 
+# A dotted key beside a nested object of the same path: the later one counts.
+_CLASH = """
+SELECT 'events' AS table, event_id AS pos, event_id, user_id, event_type, event_id % 2 AS c,
+  CASE event_id % 2 WHEN 0 THEN '{{"a.b":' || CAST(user_id AS VARCHAR(20)) || ',"a":{{"b":"' || event_type || '"}}}}'
+       ELSE '{{"a":{{"b":"' || event_type || '"}},"a.b":' || CAST(user_id AS VARCHAR(20)) || '}}' END AS record
+FROM {events}
+"""
+
+
+@query(
+    "json_dotted_clash",
+    """SELECT event_id AS pos, CASE event_id % 2 WHEN 0 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS "a.b" FROM events""",
+)
+def json_dotted_clash(spark, sf):
+    records = derive(spark, sf, _CLASH).select("table", "pos", "record")
+    columns = [(row["path"], row["inferred_type"]) for row in J.describe_records(records).collect()]
+    return J.json_table(records, columns, J.has_dotted_keys(records)).drop("table")
+
+
 @query(
     "json_events_scan",
     """SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events""",

@@ -216,7 +216,7 @@ kept AS (SELECT * FROM e ORDER BY ord, sp, tp LIMIT 2000)
 
 
 def _orders_graph(spark, sf, **options):
-    tables = linked_tables(spark, sf)
+    tables = linked_tables(spark, sf, ["lineitem", "orders", "customer"])
     return R.row_graph(tables, declared_links(spark), "orders", **options)
 
 
@@ -293,15 +293,19 @@ e AS (
 """
 
 
+def _nation_graph(spark, sf):
+    tables = linked_tables(spark, sf, ["region", "nation", "customer", "supplier"])
+    return R.row_graph(tables, declared_links(spark), "nation", edge_cap=1000)
+
+
 @query("row_edges_capped", _NATION_GRAPH + f"SELECT {EDGE_TEXT} FROM (SELECT * FROM e ORDER BY ord, sp, tp LIMIT 1000) k")
 def row_edges_capped(spark, sf):
-    graph = R.row_graph(linked_tables(spark, sf), declared_links(spark), "nation", edge_cap=1000)
-    return graph.edges.select("id", "source", "target", "label")
+    return _nation_graph(spark, sf).edges.select("id", "source", "target", "label")
 
 
 @query("row_edges_capped_flag", _NATION_GRAPH + "SELECT count(*) > 1000 AS truncated FROM e")
 def row_edges_capped_flag(spark, sf):
-    return R.row_graph(linked_tables(spark, sf), declared_links(spark), "nation", edge_cap=1000).truncated
+    return _nation_graph(spark, sf).truncated
 
 
 _KEY_CASES = """
