@@ -20,6 +20,9 @@ UNKNOWN_TYPE = "unknown"
 LINK_TYPE = "FOREIGN_KEY"
 STATEMENT_END = ";\n"
 
+#: Up to this many CREATE TABLE statements are sent to every task.
+MOST_CREATES = 50_000
+
 # Pieces of the patterns. Possessive throughout, so long texts do not recurse.
 _ESCAPED = r"(?<=\b[eE])'(?:[^'\\]++|\\.|'')*+'"
 _STRING = r"'[^']*+(?:''[^']*+)*+'"
@@ -334,12 +337,15 @@ def dump_tuples(stmts: DataFrame) -> DataFrame:
         .withColumn("fields", _all(F.col("tuple"), _ITEM))
         .drop("tuple")
     )
+    declared = dump_creates(stmts)
     creates = (
-        dump_creates(stmts)
-        .withColumn("names", F.transform("columns", lambda c: c["name"]))
+        declared.withColumn("names", F.transform("columns", lambda c: c["name"]))
         .groupBy("table")
         .agg(F.sort_array(F.collect_list(F.struct("stmt_no", "names"))).alias("creates"))
     )
+    # Counted in their own small part of the store, so that rows stay where they are.
+    if declared.count() <= MOST_CREATES:
+        creates = F.broadcast(creates)
     earlier = F.filter("creates", lambda c: c["stmt_no"] < F.col("stmt_no"))
     return (
         inserts.join(creates, "table")

@@ -274,10 +274,14 @@ def describe_records(records: DataFrame) -> DataFrame:
     the columns, and the first of them decides the order. So shapes are counted
     with a combine before the shuffle, and only one record per shape is flattened.
     """
+    spark = records.sparkSession
     shape = F.schema_of_variant(F.parse_json("record"))
     firsts = records.groupBy("table", shape.alias("shape")).agg(F.min("pos").alias("pos"))
+    # Stored, so that the planner knows their size before it joins the records.
+    stage = work_path(spark, "shapes")
+    firsts.select("table", "pos").write.parquet(stage)
     chosen = records.select("table", "pos", "record").join(
-        firsts.select("table", "pos"), ["table", "pos"], "left_semi"
+        spark.read.parquet(stage), ["table", "pos"], "left_semi"
     )
     return infer_json_types(flatten_json(chosen))
 
