@@ -135,12 +135,13 @@ def _store_statements(pieces: DataFrame, path: str) -> None:
     raw = F.col("raw")
     commented = raw.contains("--") | raw.contains("/*")
     bare = F.when(commented, F.regexp_replace(raw, rf"({_TEXTUAL})|{_COMMENT}", "$1")).otherwise(raw)
-    # The piece is dropped before its statements are spread over rows.
+    # The piece is dropped before its statements are spread over rows, and the
+    # outer form keeps the planner from cutting it more than once.
     cut = pieces.select(
         "_file", "_block", (~F.col("value").rlike(_CLOSED)).alias("open"), _all(F.col("value"), _STATEMENT).alias("raws")
     )
     statements = (
-        cut.select("_file", "_block", "open", F.explode("raws").alias("raw"))
+        cut.select("_file", "_block", "open", F.explode_outer("raws").alias("raw"))
         .select("_file", "_block", "open", F.trim(bare, F.lit(_BLANKS)).alias("text"))
         .where(F.col("text") != "")
         .withColumn("_place", F.monotonically_increasing_id())

@@ -228,7 +228,9 @@ def flatten_json(records: DataFrame, record: str = "record", depth: int | None =
     """The long form: one row per leaf, with path, order in the record, kind and raw text."""
     keys = [name for name in records.columns if name != record]
     flat = flatten_entries(records, record, depth)
-    return flat.select(*map(quoted, keys), F.inline("entries"))
+    # The outer form keeps the planner from testing the entries for emptiness
+    # first, which would compute them more than once.
+    return flat.select(*map(quoted, keys), F.inline_outer("entries")).where(F.col("path").isNotNull())
 
 
 def infer_json_types(flat: DataFrame) -> DataFrame:
