@@ -8,7 +8,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegraph.llm import licenses, outliers, packing, quality, sharding, tokens
+from tablegraph.llm import (
+    decontaminate,
+    jaccard,
+    licenses,
+    outliers,
+    packing,
+    passages,
+    quality,
+    sharding,
+    tokens,
+    toxicity,
+)
 from tablegraph.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,16 +52,31 @@ def op1(spark, sf):
     return packing.pack(table(spark, sf, "documents"), ranks_path())
 
 
+@query("op2_toxicity")
+def op2(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op3_sharding")
 def op3(spark, sf):
     return sharding.shard(table(spark, sf, "documents"))
 
 
+@query("op4_decontamination")
+def op4(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op5_license_scan")
 def op5(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+@query("op6_jaccard_join")
+def op6(spark, sf):
+    return jaccard.link(table(spark, sf, "documents"))
+
+
 @query("op7_quality_rules")
 def op7(spark, sf):
     return outliers.judge(table(spark, sf, "documents"))
@@ -64,3 +90,8 @@ def op8(spark, sf):
 @query("op9_token_counts")
 def op9(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), ranks_path())
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf):
+    return passages.merged(passages.shared_passages(table(spark, sf, "documents")))
