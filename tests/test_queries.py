@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tablegraph import workload
 from tests.compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -25,7 +26,7 @@ def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query_agrees_with_its_sql(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     sql = entry.oracle_sql().get(name)
