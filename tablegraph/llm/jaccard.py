@@ -171,11 +171,12 @@ def _within(n: np.ndarray, maps: list[np.ndarray], group: np.ndarray, nearest: b
             slack.append((differ[a, b] * 1000 // np.maximum(1, total[a, b])))
     a, b, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second, slack))
     if nearest and len(a):
-        # The closest partner on either side of each row.
+        # The closest partner of each row, and the first row of all with those it may link to.
         ends = np.r_[a, b]
         pairs = np.r_[np.arange(len(a)), np.arange(len(a))]
         order = np.lexsort((pairs, np.r_[s, s], ends))
-        chosen = np.unique(pairs[order][np.r_[True, ends[order][1:] != ends[order][:-1]]])
+        closest = pairs[order][np.r_[True, ends[order][1:] != ends[order][:-1]]]
+        chosen = np.unique(np.r_[closest, np.flatnonzero(np.minimum(a, b) == 0)])
         a, b, s = a[chosen], b[chosen], s[chosen]
     return a, b, s
 
@@ -183,7 +184,8 @@ def _within(n: np.ndarray, maps: list[np.ndarray], group: np.ndarray, nearest: b
 def candidates(placed: DataFrame, nearest: bool) -> DataFrame:
     """Distinct pairs (key_a, key_b) of different groups that share a tile and whose bitmaps allow a link.
 
-    ``placed``: tile, key, n, bitmap, group.
+    ``placed``: tile, key, n, bitmap, group, and ``tiles``, some tiles of the key in rising order. A pair that finds
+    a common one in these two lists is given by the first such tile alone; any other pair by each tile it shares.
     """
     ordered = placed.repartition("tile").sortWithinPartitions("tile", "n", "key")
 
@@ -198,6 +200,11 @@ def candidates(placed: DataFrame, nearest: bool) -> DataFrame:
                     maps = [np.frombuffer(m.as_buffer(), np.uint64) for m in columns["bitmap"][own.start : own.stop]]
                     keys = columns["key"][own]
                     a, b, s = _within(columns["n"][own], maps, group, nearest)
+                    if len(a) and not nearest:
+                        lists_of = columns["tiles"][own.start : own.stop].to_pylist()
+                        tile, known = int(columns["tile"][lo]), [set(t) for t in lists_of]
+                        here = [not (c := known[x] & known[y]) or min(c) == tile for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                        a, b, s = a[here], b[here], s[here]
                     if len(a):
                         low, high = np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b])
                         yield batch(key_a=low, key_b=high, slack=s)
@@ -205,10 +212,13 @@ def candidates(placed: DataFrame, nearest: bool) -> DataFrame:
     found = arrow_map(ordered, work, "key_a long, key_b long, slack long").groupBy("key_a", "key_b").agg(F.min("slack").alias("slack"))
     if not nearest:
         return found.select("key_a", "key_b")
-    # A set may be nearest to others in many tiles; two partners each are enough to begin with.
+    # Two partners of each set are enough to begin with: the closest and the smallest.
     ends = found.select(F.explode(F.array("key_a", "key_b")).alias("key"), "key_a", "key_b", "slack")
-    best = ends.groupBy("key").agg(F.min(F.struct("slack", "key_a", "key_b")).alias("best"))
-    return best.select("best.key_a", "best.key_b").distinct()
+    best = ends.groupBy("key").agg(
+        F.min(F.struct("slack", "key_a", "key_b")).alias("best"), F.min(F.struct("key_a", "key_b")).alias("least")
+    )
+    both = best.select(F.explode(F.array(F.struct("best.key_a", "best.key_b"), "least")).alias("pair"))
+    return both.select("pair.key_a", "pair.key_b").distinct()
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -276,7 +286,15 @@ def link(docs: DataFrame) -> DataFrame:
     info = classes.groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("rep").alias("rep"))
     info = saved(info.join(placed.select("key").distinct(), "key", "left_semi"), "members")
     rows = placed.join(info, "key").select("tile", "key", "n", "bitmap", F.col("rep").alias("group"))
-    edges = saved(verified(docs, classes, candidates(rows, nearest=True)), "near")
+
+    def sampled(rows: DataFrame, round_: int) -> DataFrame:
+        """Two tiles per set, the same ones for sets that share most of theirs: nearest partners are sought there."""
+        hashed = rows.withColumn("hash", F.xxhash64("tile", F.lit(round_)))
+        own = hashed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+        chosen = hashed.join(own, "key").where("hash = lo or hash = hi")
+        return chosen.select("tile", "key", "n", "bitmap", "group", F.array().cast("array<long>").alias("tiles"))
+
+    edges = saved(verified(docs, classes, candidates(sampled(rows, 0), nearest=True)), "near")
     for nearest in (True, False):
         found = components(edges, spark).withColumnRenamed("id", "group").withColumnRenamed("component", "joined")
         grouped = (
@@ -286,6 +304,11 @@ def link(docs: DataFrame) -> DataFrame:
         # Tiles of one group have no pair left.
         open_tiles = grouped.groupBy("tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
         grouped = grouped.join(open_tiles.select("tile"), "tile", "left_semi")
+        if nearest:
+            grouped = sampled(grouped, 1)
+        else:
+            some = F.slice(F.array_sort(F.collect_set("tile")), 1, 8).alias("tiles")
+            grouped = grouped.join(grouped.groupBy("key").agg(some), "key")
         edges = saved(edges.unionByName(verified(docs, classes, candidates(grouped, nearest))), "near")
     # Rows of one id with several texts link the classes of those texts.
     own = sets.select("doc_id", "n_shingles", "key", "key2").join(classes.select("key", "key2", "rep"), ["key", "key2"], "left")
