@@ -89,11 +89,16 @@ def route_failures(failures: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Dat
 def apply_results(jobs: DataFrame, results: DataFrame, now: Column, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Jobs after the accepted results, with the state their session takes (null: unchanged).
 
-    ``results`` has ``job_id, started_at, succeeded, permanent, message`` and at
-    most one row per claim.
+    ``results`` has ``job_id, started_at, succeeded, permanent, message``. Results
+    may arrive more than once, and contradict each other: one counts per job, a
+    success before a failure and a permanent failure before a passing one.
     """
-    told = accepted_results(results, jobs).select(
-        "job_id", "succeeded", "permanent", F.col("message").alias("_message"), F.lit(True).alias("_told")
+    one = F.max(F.struct("succeeded", "permanent", "message")).alias("_one")
+    told = (
+        accepted_results(results, jobs)
+        .groupBy("job_id")
+        .agg(one)
+        .select("job_id", "_one.succeeded", "_one.permanent", F.col("_one.message").alias("_message"), F.lit(True).alias("_told"))
     )
     final = F.col("permanent") | (F.col("attempt_count") >= max_attempts)
     after = (

@@ -134,6 +134,10 @@ def test_results_of_a_lost_claim_do_not_count(spark):
     ]
     permanent = results.withColumn("permanent", F.lit(True))
     assert G.apply_results(jobs, permanent, now()).where("job_id = 'e'").first()["status"] == "failed"
+    # Told twice, once as done and once as failed: one row, and the success counts.
+    twice = results.union(results.withColumn("succeeded", ~F.col("succeeded")))
+    told = G.apply_results(jobs, twice, now())
+    assert told.count() == jobs.count() and told.where("job_id in ('a', 'd', 'e') and status <> 'done'").count() == 0
 
 
 def test_failure_routes(spark):

@@ -77,81 +77,51 @@ def test_same_table_from_two_files_is_refused(spark, folder):
         read_json_tables(spark, folder(a_json='{"t":[{"id":1}]}', b_json='{"t":[{"id":2}]}'))
 
 
-def _python_flat(record):
-    flat = {}
-
-    def walk(part, prefix):
-        for key, value in part.items():
-            path = f"{prefix}.{key}" if prefix else key
-            if isinstance(value, dict):
-                walk(value, path)
-            else:
-                flat[path] = value
-
-    walk(record, "")
-    return flat
-
-
-def _kind(value):
-    kinds = {bool: "boolean", int: "integer", float: "float", str: "string", list: "array", type(None): "null"}
-    return kinds[type(value)]
-
-
-def _label(kinds):
-    if not kinds:
-        return "null"
-    if kinds == {"boolean"}:
-        return "boolean"
-    if kinds <= {"boolean", "integer"}:
-        return "integer"
-    if kinds <= {"boolean", "integer", "float"}:
-        return "float"
-    return "array" if kinds == {"array"} else "string"
-
-
-def _random_object(rng, depth):
-    out = []
-    for _ in range(rng.randint(0, 4)):
-        key = rng.choice(["a", "b", "c", "a.b", "x y", 'q"t'])
+# Texts of values, and what each counts as; a null says nothing.
+LEAVES = {
+    "1": "integer", "-2": "integer", "2.0": "float", "1e3": "float", "true": "boolean", "null": None, '"s"': "string",
+    '"2.0"': "string", '"{"': "string", "[1,{}]": "array", "[]": "array",
+}
+# Type of a column by all that it holds; any other mixture is a string.
+TYPES = {
+    "": "null", "boolean": "boolean", "integer": "integer", "float": "float", "array": "array", "boolean integer": "integer",
+    "boolean float": "float", "float integer": "float", "boolean float integer": "float",
+}
+
+
+def _made(rng, depth, above=""):
+    """A random object as text, with the (path, value text) of its leaves in order."""
+    text, leaves = [], []
+    for key in rng.sample(["a", "b", "c", "a.b", "x y", 'q"t'], rng.randint(0, 4)):
         if depth and rng.random() < 0.35:
-            value = _random_object(rng, depth - 1)
+            value, below = _made(rng, depth - 1, f"{above}{key}.")
         else:
-            value = rng.choice(["1", "-2", "2.0", "1e3", "true", "null", '"s"', '"2.0"', '"{"', "[1,{}]", "[]"])
-        out.append(f"{json.dumps(key)}:{value}")
-    return "{" + ",".join(out) + "}"
+            value = rng.choice(list(LEAVES))
+            below = [(above + key, value)]
+        text.append(f"{json.dumps(key)}:{value}")
+        leaves += below
+    return "{" + ",".join(text) + "}", leaves
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_flattening_matches_a_walk_over_random_records(spark, seed):
+def test_flattening_of_random_records(spark, seed):
     rng = random.Random(seed)
-    texts = [_random_object(rng, 3) for _ in range(60)]
-    records = spark.createDataFrame([("t", i, text) for i, text in enumerate(texts)], "table string, pos int, record string")
-    parsed = [json.loads(text) for text in texts]
-
-    expected_order, kinds = [], {}
-    for record in parsed:
-        for path, value in _python_flat(record).items():
-            if path not in kinds:
-                expected_order.append(path)
-            kinds.setdefault(path, set())
-            if value is not None:
-                kinds[path].add(_kind(value))
-    expected = [(path, _label(kinds[path])) for path in expected_order]
+    made = [_made(rng, 3) for _ in range(60)]
+    data = [("t", i, text) for i, (text, _) in enumerate(made)]
+    records = spark.createDataFrame(data, "table string, pos int, record string")
+    # Of two leaves with one path the last counts, in the place of the first.
+    flat = [dict(leaves) for _, leaves in made]
+    held = {path: {LEAVES[record[path]] for record in flat if path in record} - {None} for record in flat for path in record}
+    expected = [(path, TYPES.get(" ".join(sorted(kinds)), "string")) for path, kinds in held.items()]
 
     long_form = infer_json_types(flatten_json(records)).orderBy("first").collect()
     by_shape = describe_records(records).orderBy("first").collect()
     assert {(r["path"], r["inferred_type"]) for r in long_form} == set(expected)
     assert [(r["path"], r["inferred_type"]) for r in long_form] == [(r["path"], r["inferred_type"]) for r in by_shape]
 
-    columns = [(r["path"], "string") for r in by_shape]
-    wide = pivot_flat(flatten_entries(records), columns).orderBy("pos").collect()
-    for row, record in zip(wide, parsed, strict=True):
-        flat = _python_flat(record)
-        for path, _ in columns:
-            got, want = row[path], flat.get(path)
-            if want is None:
-                assert got is None
-            elif isinstance(want, str):
-                assert got == want
-            else:
-                assert json.loads(got) == want
+    wide = pivot_flat(flatten_entries(records), [(r["path"], "string") for r in by_shape]).orderBy("pos").collect()
+    for row, record in zip(wide, flat, strict=True):
+        for path, _ in expected:
+            want = json.loads(record.get(path, "null"))
+            got = row[path] if want is None or isinstance(want, str) or row[path] is None else json.loads(row[path])
+            assert got == want

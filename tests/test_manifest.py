@@ -1,75 +1,55 @@
 import hashlib
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablegraph.operators.manifest import batch_totals, check_utf8, describe_content, manifest, reject_reason
 from tests.conftest import rows
-from tests.test_functions import python_name
-
-FORMATS = {"csv", "json", "sql", "parquet"}
-
-
-def python_verdict(files, known, max_bytes):
-    """The rules applied to one batch, one after the other."""
-    if len(files) > 5:
-        return "too_many_files", None
-    seen, formats = set(), set()
-    for pos, name, _ in files:
-        safe = python_name(name)
-        if safe is None:
-            return "invalid_filename", pos
-        if safe in seen:
-            return "duplicate_filename", pos
-        seen.add(safe)
-        extension = safe.rpartition(".")[2].lower() if "." in safe else ""
-        if extension not in FORMATS:
-            return "invalid_extension", pos
-        formats.add(extension)
-    if len(formats) > 1:
-        return "mixed_formats", None
-    total, hashes = 0, []
-    for pos, _, content in files:
-        if not content:
-            return "empty_file", pos
-        total += len(content)
-        if total > max_bytes:
-            return "batch_too_large", pos
-        digest = hashlib.sha256(content).hexdigest()
-        if digest in hashes:
-            return "duplicate_content", pos
-        hashes.append(digest)
-    for (pos, _, _), digest in zip(files, hashes, strict=True):
-        if digest in known:
-            return "already_ingested", pos
-    return None, None
-
-
-def test_verdicts_match_the_rules_one_by_one(spark):
-    rng = random.Random(5)
-    names = ["a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "x/a.csv", "f.json", ".h", "g.txt", "n"]
-    weights = [8, 8, 8, 8, 8, 1, 1, 0.4, 0.4, 0.4]
-    texts = [b"", b"one", b"two", b"three" * 4, b"known", b"u1", b"u2", b"u3", b"u4", b"u5"]
-    text_weights = [0.5, 2, 2, 1, 0.5, 6, 6, 6, 6, 6]
-    batches = {}
-    for batch in range(400):
-        size = rng.choice([1, 2, 2, 3, 3, 4, 5, 6])
-        batches[batch] = [
-            (pos, rng.choices(names, weights)[0], rng.choices(texts, text_weights)[0]) for pos in range(size)
-        ]
-    batches[400] = [(pos, "hot.csv", b"hot") for pos in range(3000)]
-    data = [(batch, pos, name, content) for batch, files in batches.items() for pos, name, content in files]
+
+BIG, OLD = b"x" * 9, b"known"
+# Files of a batch (name, content), and the first rule it breaks with the place of the file; at most 8 bytes a batch.
+BATCHES = [
+    ([("a.csv", b"one")], (None, None)),
+    ([("a.csv", b"one"), ("b.csv", b"two")], (None, None)),
+    ([(f"{k}.csv", bytes([65 + k])) for k in range(5)], (None, None)),
+    ([(f"{k}.csv", bytes([65 + k])) for k in range(6)], ("too_many_files", None)),
+    ([("hot.csv", b"hot")] * 3000, ("too_many_files", None)),
+    ([(".h", b"one")], ("invalid_filename", 0)),
+    ([("a.csv", b"one"), ("..", b"two")], ("invalid_filename", 1)),
+    ([("a.csv", b"one"), ("x/a.csv", b"two")], ("duplicate_filename", 1)),
+    ([("a.txt", b"one")], ("invalid_extension", 0)),
+    ([("a.csv", b"one"), ("n", b"two")], ("invalid_extension", 1)),
+    ([("a.csv", b"one"), ("b.json", b"two")], ("mixed_formats", None)),
+    ([("a.csv", b"one"), ("b.csv", b"")], ("empty_file", 1)),
+    ([("a.csv", BIG)], ("batch_too_large", 0)),
+    ([("a.csv", b"12345"), ("b.csv", b"6789")], ("batch_too_large", 1)),
+    ([("a.csv", b"123"), ("b.csv", b"45678")], (None, None)),
+    ([("a.csv", b"one"), ("b.csv", b"one")], ("duplicate_content", 1)),
+    ([("a.csv", OLD)], ("already_ingested", 0)),
+    ([("a.csv", b"one"), ("b.csv", OLD)], ("already_ingested", 1)),
+    # Two rules at once: names file by file, then formats, then contents file by file, then the record.
+    ([(".h", b"")] * 6, ("too_many_files", None)),
+    ([("a.txt", b"1"), (".h", b"2")], ("invalid_extension", 0)),
+    ([(".h", b"1"), ("a.txt", b"2")], ("invalid_filename", 0)),
+    ([("a.csv", b"1"), ("a.csv", b"2"), (".h", b"3")], ("duplicate_filename", 1)),
+    ([("a.txt", b"1"), ("a.txt", b"2")], ("invalid_extension", 0)),
+    ([("a.csv", b"1"), ("b.json", b"2"), ("c.txt", b"3")], ("invalid_extension", 2)),
+    ([("a.csv", b""), ("b.json", b"2")], ("mixed_formats", None)),
+    ([("a.csv", b""), ("b.csv", BIG)], ("empty_file", 0)),
+    ([("a.csv", BIG), ("b.csv", b"")], ("batch_too_large", 0)),
+    ([("a.csv", b"one"), ("b.csv", b"one"), ("c.csv", b"")], ("duplicate_content", 1)),
+    ([("a.csv", b"12345"), ("b.csv", b"12345")], ("batch_too_large", 1)),
+    ([("a.csv", OLD), ("b.csv", b"")], ("empty_file", 1)),
+    ([("a.csv", b"k"), ("b.csv", b"k"), ("c.csv", OLD)], ("duplicate_content", 1)),
+]
+
+
+def test_first_broken_rule_of_each_batch(spark):
+    data = [(batch, pos, *file) for batch, (files, _) in enumerate(BATCHES) for pos, file in enumerate(files)]
     m = describe_content(spark.createDataFrame(data, "batch int, pos int, filename string, content binary"))
-    known = {hashlib.sha256(b"known").hexdigest()}
-    on_record = spark.createDataFrame([(digest,) for digest in known], "sha256 string")
+    on_record = spark.createDataFrame([(hashlib.sha256(OLD).hexdigest(),)], "sha256 string")
     got = {row["batch"]: (row["reject_reason"], row["at_pos"]) for row in reject_reason(m, on_record, max_bytes=8).collect()}
-    expected = {batch: python_verdict(files, known, 8) for batch, files in batches.items()}
-    assert got == expected
-    assert {reason for reason, _ in expected.values()} == {
-        None, "too_many_files", "invalid_filename", "duplicate_filename", "invalid_extension", "mixed_formats",
-        "empty_file", "batch_too_large", "duplicate_content", "already_ingested",
-    }
+    assert got == {batch: verdict for batch, (_, verdict) in enumerate(BATCHES)}
 
 
 def test_batch_without_files(spark):
