@@ -37,16 +37,29 @@ _STATEMENT = rf"(?:[^;'\"$/\-]++|{_TEXTUAL}|{_COMMENT}|[$/\-'\"])++"
 _CLOSED = rf"\A(?:[^'\"$/\-]++|{_TEXTUAL}|{_COMMENT}|-|\$(?!\w*\$)|/(?!\*))*+\z"
 
 
+def _nest(inner: str) -> str:
+    """One level more than ``inner``: strings whole, parentheses and brackets around ``inner``."""
+    return rf"(?:[^()\[\]'\"]++|{_SIMPLE}|[(\[]{inner}[)\]])*+"
+
+
 def _nested(levels: int) -> str:
-    """Text with balanced parentheses to the given depth, strings taken whole."""
-    inner = rf"(?:[^()'\"]++|{_SIMPLE})*+"
+    """Text with balanced parentheses and brackets to the given depth, strings taken whole."""
+    inner = rf"(?:[^()\[\]'\"]++|{_SIMPLE})*+"
     for _ in range(levels):
-        inner = rf"(?:[^()'\"]++|{_SIMPLE}|\({inner}\))*+"
+        inner = _nest(inner)
     return inner
 
 
-_BALANCED = _nested(4)
-_ITEM = rf"(?:[^,()'\"]++|{_SIMPLE}|\({_BALANCED}\))++"
+#: Levels that the patterns know without looking at a statement; deeper statements get patterns of their own.
+LEVELS = 4
+_BALANCED = _nested(LEVELS)
+
+
+def _item(balanced: str) -> str:
+    return rf"(?:[^,()\[\]'\"]++|{_SIMPLE}|[(\[]{balanced}[)\]])++"
+
+
+_ITEM = _item(_BALANCED)
 _NAME = rf"(?:{_NAME_QUOTED}|[^\s\"'(),.;]++)"
 _TARGET = rf"(?:{_NAME}\s*\.\s*)*+({_NAME})"
 _REFERENCE = rf"(?is)\bREFERENCES\s+{_TARGET}\s*(?:\(({_BALANCED})\))?"
@@ -83,8 +96,52 @@ TYPE_LABELS = {
 }
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _all(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(group))
+
+
+def _depth(text: Column) -> Column:
+    """The deepest nesting of parentheses and brackets outside strings, ``LEVELS`` at least.
+
+    Counted only where one bracket opens inside another.
+    """
+    marks = _all(text, rf"{_SIMPLE}|[()\[\]]")
+    start = F.struct(F.lit(0).alias("now"), F.lit(LEVELS).alias("most"))
+
+    def step(seen: Column, mark: Column) -> Column:
+        now = seen["now"] + F.when(mark.isin("(", "["), 1).when(mark.isin(")", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(seen["most"], now).alias("most"))
+
+    nests = text.rlike(rf"[(\[](?:[^()\[\]'\"]++|{_SIMPLE})*+[(\[]")
+    return F.when(nests, F.aggregate(marks, start, step, lambda seen: seen["most"])).otherwise(LEVELS)
+
+
+def _balanced(depth: Column) -> Column:
+    """The pattern of balanced text for a depth that is a column: it grows by one level at a time."""
+    opening, closing = _nest("\0").split("\0")
+    deeper = F.aggregate(
+        F.sequence(F.lit(LEVELS), depth),
+        F.lit(_BALANCED),
+        lambda inner, _: F.concat(F.lit(opening), inner, F.lit(closing)),
+    )
+    return F.when(depth > LEVELS, deeper).otherwise(_BALANCED)
+
+
+def _items(text: Column) -> Column:
+    """Comma-separated items of a text, at any depth of nesting."""
+    opening, closing = _item("\0").split("\0")
+    return _all(text, F.concat(F.lit(opening), _balanced(_depth(text)), F.lit(closing)))
+
+
+def _plain_strings(text: Column) -> Column:
+    """Dollar-quoted strings written as ordinary ones."""
+    def plain(part: Column) -> Column:
+        body = F.regexp_replace(part, r"^\$\w*\$|\$\w*\$$", "")
+        quoted = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.when(part.rlike(r"^\$\w*\$"), quoted).otherwise(part)
+
+    parts = _all(text, rf"{_TEXTUAL}|[^'\"$]++|['\"$]")
+    return F.when(text.rlike(r"\$\w*\$"), F.array_join(F.transform(parts, plain), "")).otherwise(text)
 
 
 def _name(raw: Column) -> Column:
@@ -178,8 +235,10 @@ def _classified(text: Column) -> tuple[Column, Column]:
 
 
 def _create_items(text: Column) -> Column:
-    body = F.regexp_extract(text, rf"(?s)\(({_BALANCED})\)", 1)
-    return F.transform(_all(body, _ITEM), lambda item: F.trim(item, F.lit(_BLANKS)))
+    text = _plain_strings(text)
+    pattern = F.concat(F.lit(r"(?s)\(("), _balanced(_depth(text)), F.lit(r")\)"))
+    body = F.call_function("regexp_extract", text, pattern, F.lit(1))
+    return F.transform(_items(body), lambda item: F.trim(item, F.lit(_BLANKS)))
 
 
 def _type_label(item: Column) -> Column:
@@ -286,16 +345,18 @@ def dump_links(stmts: DataFrame) -> DataFrame:
 def sql_literal(text: Column) -> tuple[Column, Column]:
     """The kind of a trimmed literal and its value as text.
 
-    Kinds are null, boolean, string, integer and float; any other expression
-    keeps its SQL text.
+    Kinds are null, boolean, string, integer, wide (an integer past 64 bits) and
+    float; any other expression keeps its SQL text.
     """
     upper = F.upper(text)
     quoted = text.startswith("'") & text.rlike(rf"^{_STRING}$")
     escaped = F.upper(F.substring(text, 1, 2)).eqNullSafe("E'") & text.rlike(r"^[eE]'(?:[^'\\]++|\\.|'')*+'$")
+    dollar = text.startswith("$") & text.rlike(rf"^(?:{_DOLLAR})$")
+    digits = F.regexp_replace(text, r"\s|^\+", "")
     kind = (
         F.when(text.isNull() | (upper == "NULL"), "null")
-        .when(quoted, "string")
-        .when(text.rlike(_INTEGER), "integer")
+        .when(quoted | dollar, "string")
+        .when(text.rlike(_INTEGER), F.when(digits.try_cast("bigint").isNull(), "wide").otherwise("integer"))
         .when(text.rlike(_FLOAT), "float")
         .when(upper.isin("TRUE", "FALSE"), "boolean")
         .when(escaped, "string")
@@ -310,6 +371,7 @@ def sql_literal(text: Column) -> tuple[Column, Column]:
     value = (
         F.when(upper == "NULL", None)
         .when(quoted, inner)
+        .when(dollar, F.regexp_replace(text, r"^\$\w*\$|\$\w*\$$", ""))
         .when(upper.isin("TRUE", "FALSE"), F.lower(text))
         .when(escaped, unescaped)
         .when(spaced, F.regexp_replace(text, r"^\+|\s", ""))
@@ -326,7 +388,10 @@ def dump_tuples(stmts: DataFrame) -> DataFrame:
     """
     head = rf"(?is)^INSERT\s+INTO\s+(?:{_NAME}\s*\.\s*)*+{_NAME}\s*(?:\(({_BALANCED})\)\s*)?(?:OVERRIDING\s+\w+\s+VALUE\s*)?VALUES\s*(?=\()"
     text = F.col("text")
-    tuples = _all(F.regexp_replace(text, head, ""), rf"\(({_BALANCED})\)", 1)
+    # Each match starts where the last one ended, so clauses after the list are not rows.
+    values = _plain_strings(F.regexp_replace(text, head, ""))
+    tuple_pattern = F.concat(F.lit(r"\G\s*,?\s*\(("), _balanced(_depth(values)), F.lit(r")\)"))
+    tuples = _all(values, tuple_pattern, 1)
     inserts = (
         stmts.where((F.col("kind") == "insert") & text.rlike(head))
         .select(
@@ -335,7 +400,7 @@ def dump_tuples(stmts: DataFrame) -> DataFrame:
             _names(F.regexp_extract(text, head, 1)).alias("listed"),
             F.posexplode(tuples).alias("tuple_no", "tuple"),
         )
-        .withColumn("fields", _all(F.col("tuple"), _ITEM))
+        .withColumn("fields", _items(F.col("tuple")))
         .drop("tuple")
     )
     declared = dump_creates(stmts)
@@ -379,14 +444,21 @@ def dump_rows(stmts: DataFrame, table: str) -> DataFrame:
     )
     cells = tuples.select("stmt_no", "tuple_no", F.transform(raws, cell).alias("cells"))
     at = [F.get("cells", F.lit(i)) for i in range(len(names))]
-    kinds = cells.agg(*[F.collect_set(c["kind"]).alias(f"k{i}") for i, c in enumerate(at)]).first()
+    digits = [F.when(c["kind"] == "wide", F.length(F.regexp_replace(c["value"], r"^-?0*", ""))) for c in at]
+    kinds = cells.agg(
+        *[F.collect_set(c["kind"]).alias(f"k{i}") for i, c in enumerate(at)],
+        *[F.max(n).alias(f"n{i}") for i, n in enumerate(digits)],
+    ).first()
 
     def typed(i: int, name: str) -> Column:
         found = set(kinds[f"k{i}"]) - {"null"}
         value = at[i]["value"]
         if found == {"integer"}:
             return value.cast("bigint").alias(name)
-        if found and found <= {"integer", "float"}:
+        if found and found <= {"integer", "wide"}:
+            # Of more digits than a decimal holds, they stay text.
+            return (value if kinds[f"n{i}"] > 38 else value.cast("decimal(38,0)")).alias(name)
+        if found and found <= {"integer", "wide", "float"}:
             return value.cast("double").alias(name)
         if found == {"boolean"}:
             return value.cast("boolean").alias(name)

@@ -92,7 +92,7 @@ def test_strings_comments_and_function_bodies(spark, folder):
         (2, "it's; \n", 1),
         (-3, "a,b", 2),
         (4, "now()", 3),
-        (5, "$$not; one$$", 4),
+        (5, "not; one", 4),
     ]
 
 
@@ -116,3 +116,33 @@ def test_types_follow_the_values(spark, folder):
     assert rows(df, "a") == [(1, "1", True, 1.0, None), (2, "x", False, 1.5, None)]
     labels = [row["inferred_type"] for row in dump_columns(dump_statements(spark, path)).orderBy("position").collect()]
     assert labels == ["INT", "INT", "BOOLEAN", "DECIMAL(10, 2)", "unknown"]
+
+
+def test_nesting_arrays_dollar_quotes_and_tails(spark, folder):
+    deep = "(" * 14 + "a > 0" + ")" * 14
+    path = folder(
+        d_sql=f"CREATE TABLE t (a INT, b TEXT DEFAULT ARRAY['x','y'], c TEXT[], CHECK ({deep}), d INT REFERENCES u (id));\n"
+        "INSERT INTO t VALUES (1, ARRAY[1,2], 'x', 1) ON CONFLICT (a) DO NOTHING;\n"
+        "INSERT INTO t (a, b, c) VALUES (2, $$a, (b$$, 'y]'), (3, $q$it's$q$, '(') RETURNING (a);\n"
+        "INSERT INTO t VALUES (4, ((((((((2)))))))), f(g(h(1, ARRAY[2, 3]), 4), ')'), NULL);\n"
+    )
+    names = [row["name"] for row in dump_columns(dump_statements(spark, path)).orderBy("position").collect()]
+    assert names == ["a", "b", "c", "d"]
+    assert rows(read_dump_tables(spark, path)["t"], "a") == [
+        (1, "ARRAY[1,2]", "x", 1),
+        (2, "a, (b", "y]", None),
+        (3, "it's", "(", None),
+        (4, "((((((((2))))))))", "f(g(h(1, ARRAY[2, 3]), 4), ')')", None),
+    ]
+    assert links(spark, path) == [("t", "u", "FOREIGN_KEY", "d", "id", "belongs to", "has many")]
+
+
+def test_integers_past_64_bits(spark, folder):
+    path = folder(
+        d_sql="CREATE TABLE t (a INT, b INT, c INT);\n"
+        f"INSERT INTO t VALUES (99999999999999999999, 1, {'9' * 40}), (-1, 99999999999999999999, 1), (2, 0.5, 2);\n"
+    )
+    df = read_dump_tables(spark, path)["t"]
+    assert [kind for _, kind in df.dtypes] == ["decimal(38,0)", "double", "string"]
+    assert [int(row["a"]) for row in df.collect()] == [99999999999999999999, -1, 2]
+    assert [row["c"] for row in df.collect()] == ["9" * 40, "1", "2"]
