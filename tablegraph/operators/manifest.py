@@ -6,7 +6,7 @@ Columns: ``batch``, ``pos`` (place in the batch), ``filename`` as sent,
 The rule on the number of files comes first, as it does at intake, and every
 rule that compares files of a batch looks only at batches that pass it. So the
 windows below hold at most ``max_files`` rows each, however large a rejected
-batch may be; such a batch is one counted row.
+batch may be.
 """
 
 from __future__ import annotations
@@ -35,21 +35,21 @@ REASONS = [
 ]
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size, sha256 and text validity of each file, hashed where it is read.
+def hashed(files: DataFrame, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
+    """Binary files with size, sha256 and text validity, without their content.
 
-    Files past the batch limit are listed without being read: their batch is
-    refused for its size alone.
+    Files past ``max_bytes`` are listed without being read: their batch is
+    refused for its size alone, so they have neither hash nor validity.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= MAX_BATCH_BYTES).select(
-        "path",
+    kept = [F.col(name) for name in files.columns if name not in ("length", "content")]
+    small = files.where(F.col("length") <= max_bytes).select(
+        *kept,
         F.col("length").alias("size"),
         F.sha2("content", 256).alias("sha256"),
         F.is_valid_utf8(F.col("content")).alias("utf8"),
     )
-    large = files.where(F.col("length") > MAX_BATCH_BYTES).select(
-        "path",
+    large = files.where(F.col("length") > max_bytes).select(
+        *kept,
         F.col("length").alias("size"),
         F.lit(None).cast("string").alias("sha256"),
         F.lit(None).cast("boolean").alias("utf8"),
@@ -57,6 +57,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return small.unionByName(large)
 
 
+def manifest(spark: SparkSession, path: str, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
+    """Path, size, sha256 and text validity of each file, hashed where it is read.
+
+    ``max_bytes`` is the batch limit the files will be checked against.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return hashed(files, max_bytes).drop("modificationTime")
+
+
 def describe_content(files: DataFrame, content: str = "content") -> DataFrame:
     """Add size, sha256 and validity of a content column, and drop the content."""
     c = F.col(content)
@@ -94,12 +103,21 @@ def bounded_batches(m: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
 
 
 def check_batch(m: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
-    """Each file of a batch within the file limit, with one flag per rule it breaks."""
+    """Each file with one flag per rule it breaks.
+
+    Files of a batch over the file limit are marked ``too_many_files`` and their
+    other flags are null: no other rule looks at them. Files without a hash
+    equal no other file.
+    """
     name = safe_filename(F.col("filename"))
-    checked = bounded_batches(m, max_files).withColumns({"name": name}).withColumn("fmt", format_of(F.col("name")))
-    same_name = Window.partitionBy("batch", "name").orderBy("pos")
-    same_bytes = Window.partitionBy("batch", "sha256").orderBy("pos")
-    batch = Window.partitionBy("batch")
+    counts = batch_file_count(m, max_files=max_files)
+    over = counts.select("batch", F.col("reject_reason").isNotNull().alias("too_many_files"))
+    # A refused batch is spread by position, so that a window holds at most ``max_files`` of its rows.
+    spread = F.when(F.col("too_many_files"), F.col("pos").cast("string"))
+    checked = m.join(over, "batch").withColumns({"name": name, "_spread": spread}).withColumn("fmt", format_of(F.col("name")))
+    batch = Window.partitionBy("batch", "_spread")
+    same_name = Window.partitionBy("batch", "_spread", "name").orderBy("pos")
+    same_bytes = Window.partitionBy("batch", "_spread", "sha256").orderBy("pos")
     so_far = batch.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # Windows over the batch come first: their one shuffle by batch then also
     # serves the finer ones.
@@ -109,16 +127,18 @@ def check_batch(m: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_B
             "mixed_formats": F.size(F.collect_set("fmt").over(batch)) > 1,
         }
     )
-    return whole.withColumns(
-        {
-            "invalid_filename": F.col("name").isNull(),
-            "duplicate_filename": F.col("name").isNotNull() & (F.row_number().over(same_name) > 1),
-            "invalid_extension": F.col("name").isNotNull() & F.col("fmt").isNull(),
-            "empty_file": F.col("size") == 0,
-            "batch_too_large": F.col("running_size") > max_bytes,
-            "duplicate_content": F.row_number().over(same_bytes) > 1,
-        }
-    )
+    flags = {
+        "running_size": F.col("running_size"),
+        "mixed_formats": F.col("mixed_formats"),
+        "invalid_filename": F.col("name").isNull(),
+        "duplicate_filename": F.col("name").isNotNull() & (F.row_number().over(same_name) > 1),
+        "invalid_extension": F.col("name").isNotNull() & F.col("fmt").isNull(),
+        "empty_file": F.col("size") == 0,
+        "batch_too_large": F.col("running_size") > max_bytes,
+        "duplicate_content": F.col("sha256").isNotNull() & (F.row_number().over(same_bytes) > 1),
+    }
+    looked_at = {flag: F.when(~F.col("too_many_files"), value) for flag, value in flags.items()}
+    return whole.withColumns(looked_at).drop("_spread")
 
 
 def duplicate_content(m: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
@@ -127,7 +147,7 @@ def duplicate_content(m: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     return (
         bounded_batches(m, max_files)
         .withColumn("first_pos", F.first("pos").over(same_bytes))
-        .where(F.col("first_pos") < F.col("pos"))
+        .where(F.col("sha256").isNotNull() & (F.col("first_pos") < F.col("pos")))
     )
 
 
@@ -163,7 +183,7 @@ def reject_reason(
 
     broken = [
         F.when(
-            F.col(reason),
+            F.col(reason) & ~F.col("too_many_files"),
             # A rule about the whole batch is not tied to one of its files.
             F.struct(
                 F.lit(stage).alias("stage"),

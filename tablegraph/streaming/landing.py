@@ -1,50 +1,101 @@
 """A landing folder as a stream: every new upload is checked, parsed and recorded.
 
-An upload is a folder ``<landing>/<session>/<files>``, moved into place whole.
+An upload is a folder ``<landing>/<session>/<files>``, moved into place whole, and
+taken up whole: a micro-batch is everything that has landed since the last one.
+An upload that can't be read fails alone, with the reason on its session.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablegraph.functions.filenames import format_of, safe_filename
 from tablegraph.operators.catalog import read_catalog, write_catalog
-from tablegraph.operators.manifest import batch_totals, reject_reason
-from tablegraph.plans.ingest import record, store
+from tablegraph.operators.manifest import batch_totals, hashed, reject_reason
+from tablegraph.plans.ingest import StoredLoad, record, store
+from tablegraph.session import work_path
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-#: Uploads taken up by one micro-batch, each parsed by its own jobs.
-FILES_PER_BATCH = 1000
+#: Accepted uploads parsed side by side, each by its own jobs.
 UPLOADS_AT_ONCE = 8
 
+#: Fixed value: the reason of an upload whose files broke a rule of their format.
+UNREADABLE = "unreadable"
 
 MANIFEST_SCHEMA = (
-    "batch string, pos string, filename string, path string, size bigint, sha256 string, batch_id bigint"
+    "batch string, pos string, filename string, path string, size bigint, sha256 string, arrived timestamp, "
+    "batch_id bigint"
 )
 SESSIONS_SCHEMA = (
     "session_id string, format string, total_files bigint, total_size_bytes bigint, status string, "
-    "reject_reason string, folder string, batch_id bigint"
+    "reject_reason string, error string, folder string, batch_id bigint"
 )
 
 
 def landed_manifest(files: DataFrame) -> DataFrame:
     """Manifest rows from landed files: the upload folder is the batch, names give the order."""
     own = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(
+    return hashed(files).select(
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("batch"),
         own.alias("pos"),
         own.alias("filename"),
         "path",
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
+        "size",
+        "sha256",
+        F.col("modificationTime").alias("arrived"),
     )
 
 
+def late_copies(m: DataFrame) -> DataFrame:
+    """Uploads of a manifest that hold bytes of an accepted upload which arrived earlier.
+
+    Uploads are settled in order of arrival, then name: an upload whose bytes are
+    all first there is accepted and refuses the others that hold them, until
+    none is left. Only bytes that several uploads share are looked at.
+    """
+    spark = m.sparkSession
+    place = F.max("arrived").alias("arrived")
+    order = m.groupBy("batch").agg(place).select("batch", F.struct("arrived", "batch").alias("place"))
+    shared = m.where("sha256 is not null").groupBy("sha256").agg(F.countDistinct("batch").alias("n")).where("n > 1")
+    claims = m.join(shared, "sha256", "left_semi").select("batch", "sha256").distinct().join(order, "batch")
+    stage = work_path(spark, "claims")
+    refused = spark.createDataFrame([], "batch string")
+    turn = 0
+    claims.write.parquet(f"{stage}/open-0")
+    while not (claims := spark.read.parquet(f"{stage}/open-{turn}")).isEmpty():
+        owners = claims.groupBy("sha256").agg(F.min("place").alias("first"))
+        first = claims.join(owners, "sha256").groupBy("batch").agg(F.min(F.col("place") == F.col("first")).alias("all"))
+        accepted = first.where("all").select("batch")
+        taken = claims.join(accepted, "batch", "left_semi").select("sha256").distinct()
+        lost = claims.join(accepted, "batch", "left_anti").join(taken, "sha256", "left_semi").select("batch").distinct()
+        lost.write.parquet(f"{stage}/lost-{turn}")
+        lost = spark.read.parquet(f"{stage}/lost-{turn}")
+        refused = refused.unionByName(lost)
+        rest = claims.join(accepted, "batch", "left_anti").join(lost, "batch", "left_anti")
+        turn += 1
+        rest.write.parquet(f"{stage}/open-{turn}")
+    return refused
+
+
+def _load(spark: SparkSession, upload, out: str) -> tuple[StoredLoad | None, str | None]:
+    """Store one upload, or say why its files can't be read; other failures stop the micro-batch, to be repeated."""
+    try:
+        return store(spark, upload["folder"], upload["format"], out, upload["session_id"]), None
+    except ValueError as error:
+        return None, str(error)
+    except PySparkException as error:
+        # A condition names a fault of the data or its structure; a lost machine has none.
+        if error.getCondition() is None:
+            raise
+        return None, f"{error.getCondition()}: {error}"[:2000]
+
+
 def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
     """Check, parse and record the uploads of one micro-batch; safe to run twice."""
     spark = files.sparkSession
@@ -64,31 +115,39 @@ def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
         F.min(format_of(safe_filename(F.col("filename")))).alias("format"),
         F.min(F.regexp_replace("path", r"/[^/]+$", "")).alias("folder"),
     )
+    checked = reject_reason(m, known).select("batch", "reject_reason")
+    fine = m.join(checked.where("reject_reason is null"), "batch", "left_semi")
+    late = late_copies(fine).withColumn("late", F.lit(True))
+    reason = F.coalesce("reject_reason", F.when(F.col("late"), "already_ingested"))
     sessions = (
-        reject_reason(m, known)
+        checked.join(late, "batch", "left")
+        .withColumn("reject_reason", reason)
         .join(batch_totals(m), "batch")
         .join(shape, "batch")
-        .select(
-            F.col("batch").alias("session_id"),
-            "format",
-            "total_files",
-            "total_size_bytes",
-            F.when(F.col("reject_reason").isNull(), "ready").otherwise("failed").alias("status"),
-            "reject_reason",
-            "folder",
-            number,
-        )
+        .select(F.col("batch").alias("session_id"), "format", "total_files", "total_size_bytes", "reject_reason", "folder")
     )
     # One row per upload; the rows of their tables never come to the driver.
     # Uploads are small and many, so their jobs are handed in side by side.
-    accepted = sessions.where(F.col("status") == "ready").collect()
+    accepted = sessions.where("reject_reason is null").collect()
     with ThreadPoolExecutor(UPLOADS_AT_ONCE) as pool:
-        loads = list(
-            pool.map(lambda up: store(spark, up["folder"], up["format"], out, up["session_id"]), accepted)
-        )
-    if loads:
-        record(spark, loads, out, f"batch-{batch_id}")
-    write_catalog(sessions, out, "sessions", "batch_id")
+        loads = list(pool.map(lambda upload: _load(spark, upload, out), accepted))
+    stored = [load for load, _ in loads if load is not None]
+    if stored:
+        record(spark, stored, out, f"batch-{batch_id}")
+    failed = [(upload["session_id"], error) for upload, (load, error) in zip(accepted, loads, strict=True) if load is None]
+    faults = spark.createDataFrame(failed, "session_id string, error string")
+    settled = sessions.join(faults.withColumn("broken", F.lit(UNREADABLE)), "session_id", "left").withColumn(
+        "reject_reason", F.coalesce("reject_reason", "broken")
+    )
+    status = F.when(F.col("reject_reason").isNull(), "ready").otherwise("failed").alias("status")
+    write_catalog(
+        settled.select(
+            "session_id", "format", "total_files", "total_size_bytes", status, "reject_reason", "error", "folder", number
+        ),
+        out,
+        "sessions",
+        "batch_id",
+    )
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -101,7 +160,6 @@ def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str)
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .load(landing)
     )
     return (

@@ -101,13 +101,14 @@ def batch_empty_files(spark, sf):
 
 
 _RUNNING = f"""SELECT batch, pos, CAST(sum(size) OVER (PARTITION BY batch ORDER BY pos) AS BIGINT) AS running_size,
-  sum(size) OVER (PARTITION BY batch ORDER BY pos) > {SMALL_BATCH_BYTES} AS batch_too_large FROM b"""
+  sum(size) OVER (PARTITION BY batch ORDER BY pos) > {SMALL_BATCH_BYTES} AS batch_too_large, false AS too_many_files FROM b
+  UNION ALL SELECT batch, pos, NULL, NULL, true FROM m JOIN cnt USING (batch) WHERE n_files > 5"""
 
 
 @query("batch_running_size", _M + _RUNNING)
 def batch_running_size(spark, sf):
     checked = M.check_batch(_manifest(spark, sf), max_bytes=SMALL_BATCH_BYTES)
-    return checked.select("batch", "pos", "running_size", "batch_too_large")
+    return checked.select("batch", "pos", "running_size", "batch_too_large", "too_many_files")
 
 
 @query(

@@ -76,11 +76,27 @@ def test_utf8(spark, content, broken):
     assert check_utf8(df).count() == broken
 
 
-def test_hot_batch_never_reaches_a_window(spark):
+def test_files_of_a_hot_batch_come_back_marked(spark):
     from tablegraph.operators.manifest import check_batch
 
     m = spark.range(5000).select(
         F.lit(1).alias("batch"), F.col("id").alias("pos"), F.lit("a.csv").alias("filename"),
         F.lit(1).alias("size"), F.lit("h").alias("sha256"),
     )
-    assert check_batch(m).count() == 0
+    checked = check_batch(m)
+    assert checked.where("too_many_files").count() == 5000
+    assert checked.where("duplicate_content is not null or duplicate_filename is not null").count() == 0
+    assert rows(reject_reason(m)) == [(1, 5000, "too_many_files", None)]
+
+
+def test_files_past_the_limit_equal_nothing(spark, folder):
+    from tablegraph.operators.manifest import check_batch, duplicate_content
+
+    path = folder(a_csv=b"id\n1\n2\n", b_csv=b"id\n3\n4\n", c_csv=b"id\n")
+    assert [row["sha256"] is None for row in manifest(spark, path, max_bytes=5).orderBy("path").collect()] == [True, True, False]
+    assert manifest(spark, path, max_bytes=10**9).where("sha256 is null").count() == 0
+    m = manifest(spark, path, max_bytes=5).select(
+        F.lit(1).alias("batch"), F.regexp_extract("path", "([^/]+)$", 1).alias("pos"),
+        F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), "size", "sha256",
+    )
+    assert check_batch(m).where("duplicate_content").count() == 0 and duplicate_content(m).count() == 0

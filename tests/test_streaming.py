@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from tablegraph.operators.catalog import read_catalog
@@ -90,3 +92,27 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
         N.take_uploads(files, out, 0)
     assert read_catalog(spark, out, "sessions", N.SESSIONS_SCHEMA).count() == 1
     assert read_catalog(spark, out, "tables").count() == 1
+
+
+def test_a_bad_upload_fails_alone_and_equal_bytes_are_taken_once(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    uploads = {
+        "a": {"t.csv": "id\n1\n"},
+        "b": {"t.csv": "id\n1\n", "u.csv": "id\n2\n"},
+        "c": {"u.csv": "id\n2\n"},
+        "ragged": {"r.csv": "a,b\n1,2,3\n"},
+        "six": {f"{i}.csv": f"id\n{i + 10}\n" for i in range(6)},
+    }
+    for place, (session, files) in enumerate(uploads.items()):
+        (landing / session).mkdir(parents=True)
+        for name, content in files.items():
+            (landing / session / name).write_text(content)
+            os.utime(landing / session / name, (1_000_000 + place, 1_000_000 + place))
+    N.ingest_stream(spark, str(landing), out, str(tmp_path / "checkpoint")).awaitTermination()
+    sessions = read_catalog(spark, out, "sessions", N.SESSIONS_SCHEMA)
+    assert rows(sessions.select("session_id", "status", "reject_reason"), "session_id") == [
+        ("a", "ready", None), ("b", "failed", "already_ingested"), ("c", "ready", None),
+        ("ragged", "failed", "unreadable"), ("six", "failed", "too_many_files"),
+    ]
+    assert sessions.where("session_id = 'ragged' and error is not null").count() == 1
+    assert rows(read_catalog(spark, out, "tables").select("session_id", "name"), "session_id") == [("a", "t"), ("c", "u")]
