@@ -19,6 +19,8 @@ ROOT_DEFAULT = 50
 ROOT_MOST = 200
 NEIGHBOUR_CAP = 500
 EDGE_CAP = 2000
+#: The most edges a view may keep; their ends are broadcast. ``full_row_graph`` has no limit.
+EDGE_MOST = 100_000
 
 EDGE_ORDER = ["link_ord", "source_pos", "target_pos"]
 
@@ -205,13 +207,14 @@ def row_graph(
     """The first rows of one table and the rows they are linked to, for viewing.
 
     Neighbouring tables are searched whole unless ``neighbour_cap`` limits them
-    to their first rows (``NEIGHBOUR_CAP`` gives the quick view). The root's
+    to their first rows (``NEIGHBOUR_CAP`` gives the quick view). ``truncated``
+    says that the root, a capped neighbour or the edges go on. The root's
     rows, a few hundred at most, are the small side of every join.
     """
     if not 1 <= limit <= ROOT_MOST:
         raise ValueError(f"limit must be between 1 and {ROOT_MOST}")
-    if edge_cap < 1:
-        raise ValueError("edge_cap must be at least 1")
+    if not 1 <= edge_cap <= EDGE_MOST:
+        raise ValueError(f"edge_cap must be between 1 and {EDGE_MOST}")
     position = F.col(ROW_ID)
     page = tables[root].where(position < limit)
     followed = plan_links(links, tables, root)
@@ -244,9 +247,13 @@ def row_graph(
         # At most two ends per kept edge, so the set of touched rows is small.
         touched = ends.where(F.col("table") == name).select(F.col("pos").alias(ROW_ID))
         nodes.append(_nodes(side(name).join(F.broadcast(touched), ROW_ID, "left_semi"), name, content))
-    truncated = capped.unionByName(more_rows.select(F.col("more").alias("capped"))).agg(
-        F.bool_or("capped").alias("truncated")
-    )
+    left_out = [capped, more_rows.select(F.col("more").alias("capped"))]
+    if neighbour_cap is not None:
+        left_out += [
+            tables[name].where(position >= neighbour_cap).limit(1).agg((F.count("*") > 0).alias("capped"))
+            for name in neighbours
+        ]
+    truncated = union_all(left_out).agg(F.bool_or("capped").alias("truncated"))
     return RowGraph(union_all(nodes), with_edge_ids(kept), truncated)
 
 

@@ -102,6 +102,14 @@ def test_edge_cap_keeps_the_first_edges(spark):
     assert row_graph(tables, link, "a", edge_cap=3000, neighbour_cap=7).edges.count() == 210
 
 
+def test_neighbour_cap_is_flagged(spark):
+    tables = {"a": placed(spark, [(0,)] * 3, "k int"), "b": placed(spark, [(i,) for i in (5, 6, 0)], "k int")}
+    link = links(spark, ("a", "b", "k", "k", "x"))
+    graph = row_graph(tables, link, "a", neighbour_cap=2)
+    assert graph.edges.count() == 0 and graph.truncated.first()[0] is True
+    assert row_graph(tables, link, "a", neighbour_cap=3).truncated.first()[0] is False
+
+
 def test_self_link_stays_on_the_page(spark):
     staff = placed(spark, [(1, None), (2, 1), (3, 9), (9, 1)], "id int, manager_id int")
     link = links(spark, ("staff", "staff", "manager_id", "id", "belongs to manager"))
