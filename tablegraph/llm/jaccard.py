@@ -73,12 +73,12 @@ def sets_of(docs: DataFrame) -> DataFrame:
         nothing = np.zeros(0, np.uint64)
         for part in pieces(batches):
             sizes, keys, prefixes, maps = [], [], [], []
-            for text in text_bytes(part):
+            for text, named in zip(text_bytes(part), part.column("doc_id").is_valid().to_pylist(), strict=True):
                 values = shingle_set(text, hashes)
                 n = len(values)
                 key = np.frombuffer(hashlib.md5(values.tobytes()).digest(), np.int64)
-                fresh = n and key[0] not in sent
-                if fresh:  # copies met by the same task send their set once
+                fresh = n and named and key[0] not in sent
+                if fresh:  # copies met by the same task send their set once; a row without an id takes no part
                     if len(sent) >= REMEMBERED_SETS:
                         sent.clear()
                     sent.add(key[0])

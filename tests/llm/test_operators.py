@@ -241,6 +241,14 @@ def test_jaccard_groups_are_exact(spark):
     assert got == _groups(texts)
 
 
+def test_a_row_without_an_id_hides_no_link_of_its_copies(spark):
+    near = [f"n{k}" for k in range(90)]
+    rows = [(None, " ".join(near)), (8, " ".join(near)), (9, " ".join([*near, "more"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.link(table).collect()} == {None: None, 8: 8, 9: 8}
+    assert {r["doc_id"] for r in passages.shared_passages(table).collect()} == {8, 9}
+
+
 def test_bitmaps_bound_the_overlap_from_above():
     import numpy as np
 
