@@ -407,6 +407,42 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert cut[3]["text"].split() == texts[3][:80] + texts[3][135:] and cut[3]["n_chars"] == len(cut[3]["text"])
 
 
+def test_windows_of_one_key_meet_their_like_across_batches_and_tasks(spark):
+    random.seed(9)
+    side = {doc: random.randrange(400) for doc in range(3000)}
+    # One key holds nearly all windows, each of 400 shingles beside some eight; others hold one or two.
+    rows = [(doc, doc, [7, 1000 + doc // 2], [doc % 50, 3], [c, doc]) for doc, c in side.items()]
+    found = spark.createDataFrame(rows, "doc_id long, key long, windows array<long>, places array<long>, beside array<int>")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        met = passages.meetings(found).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(met) <= 2 * 2 * len(rows) and all(row["doc_a"] != row["doc_b"] for row in met)
+
+    def parts(links):
+        parent = {doc: doc for doc in side}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        return len({root(doc) for doc in side})
+
+    links = [(row["doc_a"], row["doc_b"]) for row in met]
+    assert parts([(a, b) for a, b in links if side[a] == side[b]]) == len(set(side.values()))
+    stars = [(row["doc_a"], row["doc_b"]) for row in met if row["star"]]
+    assert parts(stars) == 1 and {(2 * k, 2 * k + 1) for k in range(1500)} <= set(links)
+
+
 def test_every_exact_repeat_of_fifty_words_is_found(spark):
     texts = {row["doc_id"]: row["text"].encode().lower().split() for row in documents(spark).collect()}
     holders = defaultdict(set)
