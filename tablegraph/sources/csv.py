@@ -62,10 +62,12 @@ def _scan(spark: SparkSession, table: TableFiles, sep: str, names: list[str]) ->
 
     A file with a field that spans lines cannot be split between tasks. Large
     files are checked for that first and split when no line leaves a quote open.
+    A line of blanks alone is no row either way; in a table of one column
+    neither is a value of blanks alone, which the two readings can't tell apart.
     """
     fields = ", ".join("`" + name.replace("`", "``") + "` string" for name in [*names, RECORD])
     spans_lines = table.largest < SPLIT_BYTES or _has_open_lines(spark, table.path)
-    return (
+    scanned = (
         spark.read.schema(fields)
         .options(
             header=True,
@@ -79,6 +81,10 @@ def _scan(spark: SparkSession, table: TableFiles, sep: str, names: list[str]) ->
         )
         .csv(table.path)
     )
+    if len(names) > 1 and not spans_lines:
+        return scanned  # reading line by line leaves such lines out
+    text = F.col(RECORD if len(names) > 1 else "`" + names[0].replace("`", "``") + "`")
+    return scanned.where(text.isNull() | ~text.rlike(r"^[\x00-\x20]+$"))
 
 
 def _surplus(n_cols: int, sep: str) -> tuple[Column, Column]:

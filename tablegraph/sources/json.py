@@ -269,16 +269,30 @@ STORED_TYPES = {
 }
 
 
+def _number_forms(text: Column) -> Column:
+    """What is left of a record when its strings and flat arrays are emptied and its numbers told apart only as
+    fractions and integers."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), r"\[[^\[\]{}]*+\]", "[]")
+    bare = F.regexp_replace(bare, r"-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)", "f")
+    return F.regexp_replace(bare, "-?[0-9]+", "i")
+
+
 def describe_records(records: DataFrame) -> DataFrame:
     """``infer_json_types`` over the records themselves, at the price of one parse each.
 
     Records of one shape (the same keys with the same kinds) say the same about
     the columns, and the first of them decides the order. So shapes are counted
     with a combine before the shuffle, and only one record per shape is flattened.
+    Past 64 bits a fraction and an integer may share a shape; such records are
+    told apart by the forms of their numbers as well.
     """
     spark = records.sparkSession
     shape = F.schema_of_variant(F.parse_json("record"))
-    firsts = records.groupBy("table", shape.alias("shape")).agg(F.min("pos").alias("pos"))
+    vague = F.col("shape").rlike(r"DOUBLE|DECIMAL\((?:19|[23][0-9]),0\)")
+    shaped = records.select("table", "pos", shape.alias("shape"), "record")
+    forms = F.when(vague, F.xxhash64(_number_forms(F.col("record"))))
+    firsts = shaped.groupBy("table", "shape", forms.alias("forms")).agg(F.min("pos").alias("pos"))
     # Stored, so that the planner knows their size before it joins the records.
     stage = work_path(spark, "shapes")
     firsts.select("table", "pos").write.parquet(stage)

@@ -53,6 +53,14 @@ def test_type_names(spark, folder, value, label):
     assert json_dataset(spark, folder(t_json=f'[{{"f":{value}}}]')).columns["t"] == [("f", label)]
 
 
+@pytest.mark.parametrize("big", ["9" * 20, "9" * 45])
+def test_integers_past_64_bits_beside_fractions(spark, folder, big):
+    texts = [f'{{"f":{big},"s":"1.5","v":[1.5,2]}}', f'{{"f":{big}.0,"s":"1.5","v":[1.5,2]}}']
+    for order, label in ((texts, "float"), (texts[::-1], "float"), (texts[:1], "integer")):
+        dataset = json_dataset(spark, folder(t_json="[" + ",".join(order) + "]"))
+        assert dict(dataset.columns["t"])["f"] == label
+
+
 def test_scalar_root_and_broken_text_fail(spark, folder):
     for content in ("42", '{"id":', '[{"id":1}'):
         with pytest.raises(Exception, match="root must be|[Mm]alformed|MALFORMED"):
