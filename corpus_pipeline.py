@@ -24,9 +24,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents scored below the threshold; labels of the table ``labels`` train the classifier."""
+    """Drops the documents scored below the threshold; labels of the table ``labels`` train the classifier. Where
+    they are too few to train one, nothing is known against any document and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.classify(docs, labels).where("predicted = 0"))
+    scored, fitted = quality.classified(docs, labels)
+    return _without(docs, scored.where("predicted = 0")) if fitted else docs
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

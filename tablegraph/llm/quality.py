@@ -124,7 +124,7 @@ def _moments(rows: DataFrame, dims: int) -> dict[int, tuple[float, np.ndarray, n
     return out
 
 
-def classify(
+def classified(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
@@ -133,15 +133,15 @@ def classify(
     shrink: float = 0.1,
     pool: float = 0.1,
     threshold: float = 0.7,
-) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``.
+) -> tuple[DataFrame, bool]:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``, and whether a model was fitted.
 
     Statistics of all texts are computed once and saved; class means and covariances are sums over all
     labelled rows that are not held out, so training is one aggregation whatever the size. Only the class
     moments reach the driver. Null and empty texts have zero statistics and are scored with them. Null ids
     are scored but never learned from; of several labels of a document the smallest counts; a document
     repeated in ``docs`` is scored and learned from each time. Where a class has fewer than two labelled
-    rows every score is 0.5.
+    rows no model is fitted and every score is 0.5.
     """
     rows = saved(features(docs), "statistics")
     known = saved(
@@ -162,9 +162,15 @@ def classify(
             score = model.scores(x) if model else np.full(len(x), 0.5)
             yield batch(doc_id=part.column("doc_id"), score=score)
 
-    return arrow_map(rows, work, "doc_id long, score double").select(
+    scored = arrow_map(rows, work, "doc_id long, score double").select(
         "doc_id",
         held_out(modulus, remainder).alias("held_out"),
         "score",
         (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"),
     )
+    return scored, able
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``classified`` alone."""
+    return classified(docs, labels, **options)[0]

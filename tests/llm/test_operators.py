@@ -467,3 +467,10 @@ def test_pipeline_drops_what_its_stages_name(spark):
     clean = {doc for doc in kept if not any(item in texts[doc].lower() for item in items)}
     assert math.isclose(len(clean & packed), len(clean), rel_tol=0.02)
     assert sum(row["length"] for row in rows) == sum({row["doc_id"]: row["doc_tokens"] for row in rows}.values())
+
+
+@pytest.mark.parametrize("own", [[], [(k, 1, 0) for k in range(40)], [(k, int(k > 0), 0) for k in range(40)]])
+def test_the_quality_stage_drops_nothing_without_a_model(spark, tmp_path, own):
+    spark.createDataFrame(own, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.createDataFrame([(k, f"some words of text {k}") for k in range(40)] + [(None, "no id")], "doc_id long, text string")
+    assert corpus_pipeline.quality_classifier(spark, table, str(tmp_path)).count() == 41
