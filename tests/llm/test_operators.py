@@ -474,3 +474,47 @@ def test_the_quality_stage_drops_nothing_without_a_model(spark, tmp_path, own):
     spark.createDataFrame(own, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     table = spark.createDataFrame([(k, f"some words of text {k}") for k in range(40)] + [(None, "no id")], "doc_id long, text string")
     assert corpus_pipeline.quality_classifier(spark, table, str(tmp_path)).count() == 41
+
+
+def _similar(a, b):
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def test_passages_with_changed_phrases_and_insertions_are_found_as_by_brute_force():
+    import numpy as np
+
+    source, width = np.random.default_rng(8), 8
+    for _ in range(300):
+        a = source.permutation(1000)[:30]
+        b = a.copy()
+        for _ in range(source.integers(0, 4)):
+            at, n = source.integers(0, len(b)), source.integers(1, 6)
+            other = source.integers(2000, 10**6, source.integers(0, 6))
+            b = np.r_[b[:at], other, b[at + n * source.integers(0, 2) :]]
+        if source.random() < 0.3:  # some shingles stand in b twice
+            b = np.r_[b, b[3:6]]
+        found = passages.shared_spans(a.astype(np.uint64), b.astype(np.uint64), [], width)
+        x, y = a.tolist(), b.tolist()
+        covered = {k for f, t, _, _ in found for k in range(f, t + 1)}
+        assert all(_similar(set(x[f : t + 1]), set(y[f2 : t2 + 1])) and max(t - f, t2 - f2) + 1 >= width for f, t, f2, t2 in found)
+        for f in range(len(x)):
+            for t in range(f + width - 1, len(x)):
+                if x[f] in y and x[t] in y:
+                    f2, t2 = y.index(x[f]), y.index(x[t])
+                    if f2 <= t2 and _similar(set(x[f : t + 1]), set(y[f2 : t2 + 1])):
+                        assert covered.issuperset(range(f, t + 1))
+
+
+def test_passages_around_replaced_and_inserted_words_are_found(spark):
+    random.seed(12)
+
+    def prose(n):
+        return [f"r{random.randrange(10**7)}" for _ in range(n)]
+
+    one, other = prose(100), prose(100)
+    replaced = [*one[:49], "new", "words", *one[51:]]
+    inserted = [*other[:50], *prose(15), *other[50:]]
+    texts = [prose(30) + one + prose(30), prose(60) + replaced + prose(9), prose(30) + other + prose(30), inserted + prose(70)]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    rows = {(r["doc_id"], r["first_word"], r["n_words"]) for r in passages.shared_passages(table).collect()}
+    assert {(0, 30, 100), (1, 60, 100), (2, 30, 100), (3, 0, 115)} <= rows
