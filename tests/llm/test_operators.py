@@ -24,6 +24,7 @@ from tablegraph.llm import (
     tokens,
     toxicity,
 )
+from tablegraph.llm.common import WordHashes
 from tablegraph.llm.queries import QUERIES, ranks_path
 
 SF = "/root/testdata/sf0.001"
@@ -518,3 +519,24 @@ def test_passages_around_replaced_and_inserted_words_are_found(spark):
     table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
     rows = {(r["doc_id"], r["first_word"], r["n_words"]) for r in passages.shared_passages(table).collect()}
     assert {(0, 30, 100), (1, 60, 100), (2, 30, 100), (3, 0, 115)} <= rows
+
+
+@pytest.mark.parametrize("rate, least", [(0, 1.0), (0.05, 0.95), (0.1, 0.9), (0.2, 0.5)])
+def test_items_are_found_where_their_opening_words_repeat(rate, least):
+    random.seed(3)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF_LABELS}/benchmark.parquet' ORDER BY item_id").fetchall()
+    index = decontaminate.build([(item, text.encode()) for item, text in items], decontaminate.EDITS)
+    texts, want = [], set()
+    for k, (_, text) in enumerate(items):
+        filler = [f"z{random.randrange(10**6)}" for _ in range(50)]
+        opening = [w for _ in range(3) for w in [*text.split()[:3], *filler[: random.randrange(5)]]]
+        edited = list(text)
+        for _ in range(int(len(text) * rate)):
+            at = random.randrange(len(text))
+            edited[at : at + random.randrange(2)] = random.choice(["x", "", "y"])
+        texts.append(" ".join([*filler[:20], *opening, "".join(edited), *filler[20:]]).encode())
+        item = decontaminate.normal(text.encode())[1]
+        if decontaminate.least_edits(item, decontaminate.normal(texts[-1])[1]) <= decontaminate.EDITS * len(item):
+            want.add((k, k))
+    found = {(k, i) for k, i, *_ in decontaminate._search(index, decontaminate.EDITS, texts, WordHashes())}
+    assert found <= want and len(want) == len(items) and len(found) >= least * len(want)
