@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablegraph.llm import (
+    alignment,
     decontaminate,
+    fuzzy,
     jaccard,
     licenses,
     outliers,
@@ -19,6 +21,7 @@ from tablegraph.llm import (
     sharding,
     tokens,
     toxicity,
+    whitening,
 )
 from tablegraph.session import configure
 
@@ -95,3 +98,18 @@ def op9(spark, sf):
 @query("op10_substring_dedup")
 def op10(spark, sf):
     return passages.merged(passages.shared_passages(table(spark, sf, "documents")))
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), ranks_path(), alignment.piece_path())
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op13_simhash_near_dedup")
+def op13(spark, sf):
+    return fuzzy.near_duplicates(table(spark, sf, "documents"))
