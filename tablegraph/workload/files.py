@@ -446,3 +446,26 @@ def dump_literals(spark, sf):
 @query("dump_empty_table", "SELECT CAST(0 AS INTEGER) AS id, '' AS label FROM region WHERE r_regionkey < 0")
 def dump_empty_table(spark, sf):
     return D.dump_rows(_dump(spark, sf), "empty_table").drop("stmt_no", "tuple_no")
+
+
+@query(
+    "dump_all_rows",
+    """SELECT 'customer' AS "table", count(*) AS n, min(c_custkey) AS least, max(c_custkey) AS most, 0 AS first, count(*) - 1 AS last, count(*) AS positions FROM customer
+       UNION ALL SELECT 'supplier', 2 * count(*), min(-1 - s_suppkey), max(s_suppkey), 0, 2 * count(*) - 1, 2 * count(*) FROM supplier""",
+)
+def dump_all_rows(spark, sf):
+    cells = D.stored_cells(_dump(spark, sf))
+    key = F.get("cells", F.lit(0))["value"].cast("bigint")
+    return cells.groupBy("table").agg(
+        F.count("*").alias("n"),
+        F.min(key).alias("least"),
+        F.max(key).alias("most"),
+        F.min("_row_id").alias("first"),
+        F.max("_row_id").alias("last"),
+        F.count_distinct("_row_id").alias("positions"),
+    )
+
+
+@query("dump_unread", "SELECT 'insert' AS kind, 'part' AS target, 'no_table' AS reason, count(*) AS n FROM part")
+def dump_unread(spark, sf):
+    return D.dump_unread(_dump(spark, sf)).groupBy("kind", "target", "reason").agg(F.count("*").alias("n"))

@@ -1,5 +1,10 @@
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from tablegraph.sources import dump as D
 from tablegraph.sources.dump import dump_columns, dump_links, dump_statements, read_dump_tables
 from tests.conftest import rows
 
@@ -146,3 +151,96 @@ def test_integers_past_64_bits(spark, folder):
     assert [kind for _, kind in df.dtypes] == ["decimal(38,0)", "double", "string"]
     assert [int(row["a"]) for row in df.collect()] == [99999999999999999999, -1, 2]
     assert [row["c"] for row in df.collect()] == ["9" * 40, "1", "2"]
+
+
+def pieces_in_turn(texts, end):
+    """What cutting at statement ends and joining open pieces must give, walking character by character."""
+    out, held, state, k = [], "", "", 0
+    text = end.join(texts)
+    while k < len(text):
+        ch, rest = text[k], text[k:]
+        step = 1
+        if not state:
+            if rest.startswith(end):
+                out, held, k = [*out, held], "", k + len(end)
+                continue
+            mark = re.match(r"\$\w*\$", rest)
+            if ch == "'":
+                state = "E" if re.search(r"\b[eE]$", text[:k]) else "'"
+            elif ch == '"':
+                state = '"'
+            elif rest[:2] in ("--", "/*"):
+                state, step = rest[:2], 2
+            elif mark:
+                state, step = mark[0], len(mark[0])
+        elif state == "E" and ch == "\\":
+            step = 2
+        elif state in ("'", "E") and rest[:2] == "''" or state == '"' and rest[:2] == '""':
+            step = 2
+        elif state in ("'", "E") and ch == "'" or state == '"' and ch == '"' or state == "--" and ch == "\n":
+            state = ""
+        elif state == "/*" and rest[:2] == "*/":
+            state, step = "", 2
+        elif state.startswith("$") and rest.startswith(state):
+            state, step = "", len(state)
+        held += text[k : k + step]
+        k += step
+    return [*out, held] if held else out
+
+
+@pytest.mark.parametrize("end", [";\n", ";\r\n"])
+def test_pieces_join_over_any_block_borders(spark, end):
+    rng = random.Random(len(end))
+    words = ["a", "b;", "c d", "e", "1, 2", "'", "''", '"', "--", "\n", "/*", "*/", "$$", "$x$", "$y$", "E'", " E'it\\'s", "it''s", "b c", "-", "/", "\\", "$"]
+    for _ in range(2):
+        texts = ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+        want = pieces_in_turn(texts, end)
+        for borders in (1, 3):
+            data = [(t, "file:/d.sql", k // borders * 100) for k, t in enumerate(texts)]
+            table = spark.createDataFrame(data, "value string, _file string, _block bigint").coalesce(1)
+            got = [r["value"] for r in D.joined_pieces(table, end).orderBy("_block").collect()]
+            assert got == want if borders == 1 else sorted(got) == sorted(want)
+
+
+def test_a_value_with_statement_ends_is_cut_in_many_tasks(spark, folder):
+    """CRLF, and statement ends inside values, comments and function bodies, in files far larger than a block."""
+    body = "CREATE FUNCTION f() RETURNS void AS $b$ BEGIN;\n INSERT INTO t VALUES (0, 'no');\n END $b$ LANGUAGE sql;\n"
+    lines = [f"INSERT INTO t VALUES ({k}, 'line; {k};\nnext -- ''{k}''') -- it's;\n;\n" for k in range(4000)]
+    text = "CREATE TABLE t (id INT, note TEXT);\n" + body + "".join(lines)
+    path = folder(d_sql=text, e_sql="CREATE TABLE u (id INT);\r\n" + "".join(f"INSERT INTO u VALUES ({k});\r\n" for k in range(300)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        stmts = D.dump_statements(spark, path)
+        assert stmts.where("kind = 'insert' and target = 'u'").count() == 300
+        tables = D.read_dump_tables(spark, path, positions=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = rows(tables["t"].select("_row_id", "id", "note"), "_row_id")
+    assert got == [(k, k, f"line; {k};\nnext -- '{k}'") for k in range(4000)]
+    assert rows(tables["u"], "_row_id") == [(k, k) for k in range(300)]
+
+
+def test_interleaved_tables_keep_their_own_order(spark, folder):
+    inserts = "".join(f"INSERT INTO {'ab'[k % 2]} VALUES ({k}), ({k + 100});\n" for k in range(20))
+    path = folder(d_sql="CREATE TABLE a (x INT);\nCREATE TABLE b (x TEXT);\nCREATE TABLE c (x INT);\n" + inserts)
+    tables = D.read_dump_tables(spark, path, positions=True)
+    assert [r["x"] for r in rows_of(tables["a"])] == [v for k in range(0, 20, 2) for v in (k, k + 100)]
+    assert [r["_row_id"] for r in rows_of(tables["b"])] == list(range(20)) and tables["c"].columns == ["x", "_row_id"]
+
+
+def rows_of(df):
+    return df.orderBy("_row_id").collect()
+
+
+def test_statements_that_give_nothing_are_told(spark, folder):
+    path = folder(d_sql=(
+        "INSERT INTO a VALUES (1);\nCREATE TABLE a (x INT);\nINSERT INTO a SELECT 1;\nINSERT INTO a VALUES (1;\n"
+        "INSERT INTO a VALUES (1), (2);\nCREATE TABLE b (CHECK (1 > 0));\n"
+    ))
+    unread = D.dump_unread(D.dump_statements(spark, path))
+    assert rows(unread.select("stmt_no", "target", "reason"), "stmt_no") == [
+        (0, "a", "no_table"), (2, "a", "no_values"), (3, "a", "no_rows"), (5, "b", "no_columns")
+    ]
