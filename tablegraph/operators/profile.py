@@ -83,7 +83,7 @@ def _value_class(c: Column) -> Column:
     )
 
 
-def _inferred(fact: Column) -> Column:
+def inferred_type(fact: Column) -> Column:
     """The type of a column from the classes seen in it and whether values are missing."""
     seen, gapped, rows = fact["seen"], fact["gaps"] > 0, fact["rows"]
 
@@ -102,6 +102,15 @@ def _inferred(fact: Column) -> Column:
     )
 
 
+def seen_classes(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Per key what ``inferred_type`` needs to know of its values, by one grouping with a combine."""
+    classed = values.withColumn("_class", _value_class(quoted(value)))
+    fact = F.struct(
+        F.bit_or("_class").alias("seen"), F.count_if(F.col("_class") == 0).alias("gaps"), F.count("*").alias("rows")
+    )
+    return classed.groupBy(*keys).agg(fact.alias("fact"))
+
+
 def column_facts(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame:
     """One row: the inferred type of every column under ``types``, and any extra aggregates.
 
@@ -117,7 +126,7 @@ def column_facts(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame
 
     def described(one: Column, i: Column) -> Column:
         return F.struct(
-            i.alias("position"), F.get(names, i).alias("column"), _inferred(one).alias("inferred_type")
+            i.alias("position"), F.get(names, i).alias("column"), inferred_type(one).alias("inferred_type")
         )
 
     found = classed.agg(facts.alias("facts"), *extra)

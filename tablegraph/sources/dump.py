@@ -193,6 +193,14 @@ def dump_statements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def numbered_statements(pieces: DataFrame, stage: str) -> DataFrame:
+    """The statements of given texts (``value``, ``_file``, ``_block``), in the order of their files."""
+    spark = pieces.sparkSession
+    _store_statements(pieces, f"{stage}/statements")
+    statements = _stored_statements(spark, f"{stage}/statements")
+    return number_scan(statements.withColumn("file", F.col("_file")).drop("open"), row_id="stmt_no")
+
+
 def _by_line_end(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
     """Files by what ends their statements, as their first lines tell; one job per some hundred files."""
     windows = set()
@@ -608,10 +616,11 @@ def dump_tuples(stmts: DataFrame) -> DataFrame:
     )
 
 
-def dump_cells(stmts: DataFrame) -> DataFrame:
+def dump_cells(stmts: DataFrame, names: bool = False) -> DataFrame:
     """The rows of all created tables in one pass: per row the kind and value of each declared column, in order.
 
     Values of columns that were not declared are dropped, and declared columns an INSERT does not list are null.
+    With ``names`` each row carries the names of its columns.
     """
     # One lambda reads every cell, so the code does not grow with tables or columns.
     def cell(text: Column) -> Column:
@@ -621,7 +630,8 @@ def dump_cells(stmts: DataFrame) -> DataFrame:
     raws = F.transform(
         "columns", lambda name: F.trim(F.get("fields", F.array_position("names", name).cast("int") - 1))
     )
-    return dump_tuples(stmts).select("table", "stmt_no", "tuple_no", F.transform(raws, cell).alias("cells"))
+    keep = ["table", "stmt_no", "tuple_no", *(["columns"] if names else [])]
+    return dump_tuples(stmts).select(*keep, F.transform(raws, cell).alias("cells")).withColumnsRenamed({"columns": "names"})
 
 
 def cell_kinds(cells: DataFrame) -> DataFrame:
@@ -648,6 +658,19 @@ def stored_type(kinds: list[str], digits: int | None) -> str:
     return "boolean" if found == {"boolean"} else "string"
 
 
+def stored_type_of(kinds: str, digits: str) -> Column:
+    """``stored_type`` of columns of kinds and digits."""
+    found, some = F.coalesce(kinds, F.array().cast("array<string>")), F.size(F.coalesce(kinds, F.array().cast("array<string>"))) > 0
+    within = lambda *names: F.forall(found, lambda kind: kind.isin(*names))
+    return (
+        F.when(some & within("integer"), "bigint")
+        .when(some & within("integer", "wide"), F.when(F.col(digits) > 38, "string").otherwise("decimal(38,0)"))
+        .when(some & within("integer", "wide", "float"), "double")
+        .when(some & within("boolean"), "boolean")
+        .otherwise("string")
+    )
+
+
 def _typed_cells(cells: DataFrame, names: list[str], types: dict[int, str], *keep: str) -> DataFrame:
     values = [F.get("cells", F.lit(i))["value"].cast(types.get(i, "string")).alias(name) for i, name in enumerate(names)]
     return cells.select(*values, *keep)
@@ -709,14 +732,19 @@ def dump_dataset(spark: SparkSession, path: str) -> Dataset:
     return Dataset(tables, columns, dump_links(stmts))
 
 
-def stored_cells(stmts: DataFrame) -> DataFrame:
-    """``dump_cells`` stored by table, each row with its position in its table."""
-    stage = work_path(stmts.sparkSession, "cells")
-    numbered = with_row_id(dump_cells(stmts), "table", "stmt_no", "tuple_no", row_id="_all")
+def numbered_cells(stmts: DataFrame, names: bool = False) -> DataFrame:
+    """``dump_cells``, each row with its position in its table."""
+    numbered = with_row_id(dump_cells(stmts, names), "table", "stmt_no", "tuple_no", row_id="_all")
     # One row per table: how many rows come before its own.
     firsts = numbered.groupBy("table").agg(F.min("_all").alias("_before"))
-    placed = numbered.join(firsts, "table").select("table", (F.col("_all") - F.col("_before")).alias(ROW_ID), "cells")
-    placed.write.partitionBy("table").parquet(stage)
+    listed = ["names"] if names else []
+    return numbered.join(firsts, "table").select("table", (F.col("_all") - F.col("_before")).alias(ROW_ID), "cells", *listed)
+
+
+def stored_cells(stmts: DataFrame) -> DataFrame:
+    """``numbered_cells`` stored by table."""
+    stage = work_path(stmts.sparkSession, "cells")
+    numbered_cells(stmts).write.partitionBy("table").parquet(stage)
     schema = f"{ROW_ID} bigint, cells array<struct<kind:string,value:string>>, table string"
     return stmts.sparkSession.read.schema(schema).parquet(stage)
 

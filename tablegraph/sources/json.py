@@ -108,15 +108,29 @@ def object_entries(text: Column, prefix: Column | None = None, order: Column | N
     return _bind(parsed, members)
 
 
-def json_record_sets(docs: DataFrame) -> DataFrame:
+def document_fault(doc: Column) -> Column:
+    """Why a document holds no tables: ``invalid`` when it is not JSON, ``scalar`` when it is neither object nor
+    array; null when it may hold some."""
+    kind = root_kind(doc)
+    return F.when(kind.isin("invalid", "scalar"), kind)
+
+
+def json_rejects(docs: DataFrame) -> DataFrame:
+    """The documents that hold no tables, with the reason."""
+    return docs.select("name", document_fault(F.col("doc")).alias("reason")).where("reason is not null")
+
+
+def json_record_sets(docs: DataFrame, strict: bool = True) -> DataFrame:
     """The tables in each document: one row per record, with its position in its table.
 
     An array is one table. An object with list values is one table per such
     key, its other keys dropped; an object without lists is a table of one row.
     List items that are not objects are skipped, and a list without any object
     leaves a row with neither position nor record, so its table is not lost.
+    A document without tables ends the job; unless ``strict`` it gives no rows
+    and is left to ``json_rejects``.
     """
-    return _tables(docs).select(
+    return _tables(docs if strict else docs.where(document_fault(F.col("doc")).isNull())).select(
         "name", "table", F.posexplode_outer("records").alias("pos", "record")
     )
 

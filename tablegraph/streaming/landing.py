@@ -7,24 +7,18 @@ An upload that can't be read fails alone, with the reason on its session.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablegraph.functions.filenames import format_of, safe_filename
-from tablegraph.operators.catalog import read_catalog, write_catalog
-from tablegraph.operators.manifest import batch_totals, hashed, reject_reason
-from tablegraph.plans.ingest import StoredLoad, record, store
+from tablegraph.operators.catalog import commit, read_catalog, write_catalog
+from tablegraph.operators.manifest import MAX_BATCH_BYTES, batch_totals, hashed, reject_reason
+from tablegraph.plans.bulk import load_uploads
 from tablegraph.session import work_path
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-#: Accepted uploads parsed side by side, each by its own jobs.
-UPLOADS_AT_ONCE = 8
-
 #: Fixed value: the reason of an upload whose files broke a rule of their format.
 UNREADABLE = "unreadable"
 
@@ -34,7 +28,7 @@ MANIFEST_SCHEMA = (
 )
 SESSIONS_SCHEMA = (
     "session_id string, format string, total_files bigint, total_size_bytes bigint, status string, "
-    "reject_reason string, error string, folder string, batch_id bigint"
+    "reject_reason string, error string, folder string, created_at timestamp, batch_id bigint"
 )
 
 
@@ -83,19 +77,6 @@ def late_copies(m: DataFrame) -> DataFrame:
     return refused
 
 
-def _load(spark: SparkSession, upload, out: str) -> tuple[StoredLoad | None, str | None]:
-    """Store one upload, or say why its files can't be read; other failures stop the micro-batch, to be repeated."""
-    try:
-        return store(spark, upload["folder"], upload["format"], out, upload["session_id"]), None
-    except ValueError as error:
-        return None, str(error)
-    except PySparkException as error:
-        # A condition names a fault of the data or its structure; a lost machine has none.
-        if error.getCondition() is None:
-            raise
-        return None, f"{error.getCondition()}: {error}"[:2000]
-
-
 def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
     """Check, parse and record the uploads of one micro-batch; safe to run twice."""
     spark = files.sparkSession
@@ -114,6 +95,7 @@ def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
     shape = m.groupBy("batch").agg(
         F.min(format_of(safe_filename(F.col("filename")))).alias("format"),
         F.min(F.regexp_replace("path", r"/[^/]+$", "")).alias("folder"),
+        F.max("arrived").alias("created_at"),
     )
     checked = reject_reason(m, known).select("batch", "reject_reason")
     fine = m.join(checked.where("reject_reason is null"), "batch", "left_semi")
@@ -124,25 +106,28 @@ def take_uploads(files: DataFrame, out: str, batch_id: int) -> None:
         .withColumn("reject_reason", reason)
         .join(batch_totals(m), "batch")
         .join(shape, "batch")
-        .select(F.col("batch").alias("session_id"), "format", "total_files", "total_size_bytes", "reject_reason", "folder")
+        .select(F.col("batch").alias("session_id"), "format", "total_files", "total_size_bytes", "reject_reason", "folder", "created_at")
+    )
+    accepted = work_path(spark, "accepted")
+    sessions.write.parquet(accepted)
+    sessions = spark.read.schema(sessions.schema).parquet(accepted)
+    fine = sessions.where("reject_reason is null").select("session_id", "format")
+    # The files of all accepted uploads, whatever their number, in one plan per format.
+    batch = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    contents = files.where(F.col("length") <= MAX_BATCH_BYTES).select(
+        batch.alias("session_id"), safe_filename(F.regexp_extract("path", r"([^/]+)$", 1)).alias("filename"), "content"
     )
-    # One row per upload; the rows of their tables never come to the driver.
-    # Uploads are small and many, so their jobs are handed in side by side.
-    accepted = sessions.where("reject_reason is null").collect()
-    with ThreadPoolExecutor(UPLOADS_AT_ONCE) as pool:
-        loads = list(pool.map(lambda upload: _load(spark, upload, out), accepted))
-    stored = [load for load, _ in loads if load is not None]
-    if stored:
-        record(spark, stored, out, f"batch-{batch_id}")
-    failed = [(upload["session_id"], error) for upload, (load, error) in zip(accepted, loads, strict=True) if load is None]
-    faults = spark.createDataFrame(failed, "session_id string, error string")
+    load = f"batch-{batch_id}"
+    faults = load_uploads(contents.join(fine, "session_id"), out, load)
     settled = sessions.join(faults.withColumn("broken", F.lit(UNREADABLE)), "session_id", "left").withColumn(
         "reject_reason", F.coalesce("reject_reason", "broken")
     )
+    commit(fine.join(faults, "session_id", "left_anti"), out, load)
     status = F.when(F.col("reject_reason").isNull(), "ready").otherwise("failed").alias("status")
     write_catalog(
         settled.select(
-            "session_id", "format", "total_files", "total_size_bytes", status, "reject_reason", "error", "folder", number
+            "session_id", "format", "total_files", "total_size_bytes", status, "reject_reason", "error", "folder",
+            "created_at", number,
         ),
         out,
         "sessions",

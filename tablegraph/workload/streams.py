@@ -97,15 +97,17 @@ def stream_job_state(spark, sf):
     return S.read_job_state(spark.read.parquet(f"{out}/changes"))
 
 
-def _land(df: DataFrame, landing: str, by: str) -> None:
-    """Write one upload folder per value, each holding one CSV file with a header."""
+def _land(df: DataFrame, landing: str, by: str, fmt: str = "csv", **options) -> None:
+    """Write one upload folder per value, each holding one file unless ``options`` say otherwise."""
+    own = [name for name in df.columns if name != by]
     (
         df.repartition(by)
-        .sortWithinPartitions(by, "c_custkey")
+        .sortWithinPartitions(by, *own[:1])
         .write.mode("append")
-        .option("header", "true")
+        .options(**{"header": "true", **options})
         .partitionBy(by)
-        .csv(landing)
+        .format(fmt)
+        .save(landing)
     )
 
 
@@ -113,13 +115,27 @@ def _land(df: DataFrame, landing: str, by: str) -> None:
     "stream_ingest",
     """SELECT 'first=' || c_mktsegment AS session_id, 'ready' AS status, CAST(NULL AS VARCHAR) AS reject_reason,
          1 AS total_files, count(*) AS row_count FROM customer GROUP BY c_mktsegment
-       UNION ALL SELECT 'again=' || c_mktsegment, 'failed', 'already_ingested', 1, NULL FROM customer GROUP BY c_mktsegment""",
+       UNION ALL SELECT 'again=' || c_mktsegment, 'failed', 'already_ingested', 1, NULL FROM customer GROUP BY c_mktsegment
+       UNION ALL SELECT 'parquet=' || s_nationkey, 'ready', NULL, 1, count(*) FROM supplier GROUP BY s_nationkey
+       UNION ALL SELECT 'json=' || n_nationkey, 'ready', NULL, 1, 1 FROM nation
+       UNION ALL SELECT DISTINCT 'lines=' || n_regionkey, 'failed', 'unreadable', 1, NULL FROM nation
+       UNION ALL SELECT 'utf16=' || r_regionkey, 'failed', 'unreadable', 1, NULL FROM region
+       UNION ALL SELECT 'ragged=' || r_regionkey, 'failed', 'unreadable', 1, NULL FROM region
+       UNION ALL SELECT 'many=1', 'failed', 'too_many_files', count(*), NULL FROM nation""",
 )
 def stream_ingest(spark, sf):
     root = work_path(spark, "landing")
     landing, out, checkpoint = f"{root}/in", f"{root}/out", f"{root}/checkpoint"
-    customers = table(spark, sf, "customer")
+    customers, nations, regions = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
     _land(customers.withColumnRenamed("c_mktsegment", "first"), landing, "first")
+    _land(table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "parquet"), landing, "parquet", "parquet")
+    _land(nations.withColumnRenamed("n_nationkey", "json"), landing, "json", "json")
+    # Several objects one after another are no JSON document.
+    _land(nations.withColumnRenamed("n_regionkey", "lines"), landing, "lines", "json")
+    _land(regions.withColumnRenamed("r_regionkey", "utf16"), landing, "utf16", encoding="UTF-16")
+    ragged = regions.select(F.col("r_regionkey").alias("ragged"), F.concat("r_name", F.lit(",more")).alias("r_name"))
+    _land(ragged, landing, "ragged", quote="\0")
+    _land(nations.withColumn("many", F.lit(1)), landing, "many", maxRecordsPerFile="1")
     N.ingest_stream(spark, landing, out, checkpoint).awaitTermination()
     # The same bytes land again under other names, and are refused.
     _land(customers.withColumnRenamed("c_mktsegment", "again"), landing, "again")

@@ -1,8 +1,12 @@
+import datetime
+import io
 import os
 
-from pyspark.sql import functions as F
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from tablegraph.operators.catalog import read_catalog
+from tablegraph.plans.bulk import stored_table
 from tablegraph.streaming import landing as N
 from tablegraph.streaming import messages as S
 from tests.conftest import rows
@@ -78,8 +82,7 @@ def test_landed_uploads_are_taken_once(spark, tmp_path):
     assert rows(tables.select("session_id", "name", "row_count"), "session_id", "name") == [
         ("s1", "people", 2), ("s1", "towns", 1), ("s4", "c", 1)
     ]
-    path = tables.where(F.col("name") == "people").first()["parquet_path"]
-    assert rows(spark.read.parquet(path), "_row_id") == [(1, "a", 0), (2, "b", 1)]
+    assert rows(stored_table(spark, out, "s1", "people"), "_row_id") == [(1, "a", 0), (2, "b", 1)]
 
 
 def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
@@ -116,3 +119,82 @@ def test_a_bad_upload_fails_alone_and_equal_bytes_are_taken_once(spark, tmp_path
     ]
     assert sessions.where("session_id = 'ragged' and error is not null").count() == 1
     assert rows(read_catalog(spark, out, "tables").select("session_id", "name"), "session_id") == [("a", "t"), ("c", "u")]
+
+
+def parquet(**columns):
+    sink = io.BytesIO()
+    pq.write_table(pa.table(columns), sink)
+    return sink.getvalue()
+
+
+MOMENT = datetime.datetime(2020, 1, 1, 1, 2, 3, 4)
+UPLOADS = {
+    "csv": {"people.csv": b'id,name,note\n1,a,"two\nlines, ""q"""\n2,b\n\n3,NA,x\n', "towns.csv": b"\xef\xbb\xbfid\r\n7\r\n"},
+    "json": {"all.json": b'{"t":[{"id":1,"a":{"b":1.5}},{"id":true}],"none":[],"n":3}', "one.json": b'{"k":"v"}'},
+    "sql": {"d.sql": b"CREATE TABLE c (id INT, p INT REFERENCES c(id), t TEXT);\nINSERT INTO c VALUES (1, NULL, 'a;\nb'), (2, 1, 'x');\n"},
+    "sql2": {"e.sql": b"CREATE TABLE c (id INT);\nINSERT INTO c VALUES (9);\nCREATE TABLE e (x INT);\n"},
+    "parquet": {"p.parquet": parquet(i=pa.array([1, None], pa.int32()), t=[MOMENT, None], s=["a", "é"], l=[[1], [2, 3]])},
+    "x_json": {"bad.json": b'{"id":'},
+    "x_scalar": {"bad.json": b"42"},
+    "x_parquet": {"p.parquet": b"PAR1 but nothing more"},
+    "x_bytes": {"p.csv": b"a,b\n\xff\xfe,1\n"},
+    "x_ragged": {"fine.csv": b"a\n5\n", "r.csv": b"a,b\n1,2,3\n"},
+    "x_header": {"h.csv": b"1,2\n1,2\n"},
+    "x_twice": {"a.json": b'{"t":[{"id":1}]}', "b.json": b'{"t":[{"id":2}]}'},
+}
+
+
+def land_all(landing, uploads):
+    for session, files in uploads.items():
+        (landing / session).mkdir(parents=True)
+        for name, content in files.items():
+            (landing / session / name).write_bytes(content)
+
+
+def test_every_kind_of_broken_file_fails_its_own_upload(spark, tmp_path):
+    land_all(tmp_path / "landing", UPLOADS)
+    out = str(tmp_path / "out")
+    N.ingest_stream(spark, str(tmp_path / "landing"), out, str(tmp_path / "checkpoint")).awaitTermination()
+    sessions = read_catalog(spark, out, "sessions", N.SESSIONS_SCHEMA).collect()
+    for row in sessions:
+        broken = row["session_id"].startswith("x_")
+        assert (row["status"], row["reject_reason"]) == (("failed", "unreadable") if broken else ("ready", None)), row
+        assert (row["error"] is not None) == broken and row["created_at"] is not None
+    tables = read_catalog(spark, out, "tables")
+    assert rows(tables.select("session_id", "name", "row_count"), "session_id", "name") == [
+        ("csv", "people", 3), ("csv", "towns", 1), ("json", "none", 0), ("json", "one", 1), ("json", "t", 2),
+        ("parquet", "p", 2), ("sql", "c", 2), ("sql2", "c", 1), ("sql2", "e", 0),
+    ]
+    assert tables.select("table_id").distinct().count() == 9
+    want = {
+        ("csv", "people"): [(1, "a", 'two\nlines, "q"', 0), (2, "b", None, 1), (3, None, "x", 2)],
+        ("csv", "towns"): [(7, 0)],
+        ("json", "t"): [(1, 1.5, 0), (1, None, 1)],
+        ("sql", "c"): [(1, None, "a;\nb", 0), (2, 1, "x", 1)],
+        ("sql2", "c"): [(9, 0)],
+        ("parquet", "p"): [(1, MOMENT, "a", "[1]", 0), (None, None, "é", "[2, 3]", 1)],
+    }
+    for (session, name), expected in want.items():
+        assert rows(stored_table(spark, out, session, name), "_row_id") == expected
+    described = read_catalog(spark, out, "columns").where("session_id in ('csv', 'parquet') and table <> 'towns'")
+    assert [(r["name"], r["inferred_type"], r["stored_type"]) for r in described.orderBy("session_id", "position").collect()] == [
+        ("id", "int64", "bigint"), ("name", "object", "string"), ("note", "object", "string"),
+        ("i", "float64", "int"), ("t", "datetime64[us]", "timestamp_ntz"), ("s", "object", "string"), ("l", "object", "string"),
+    ]
+    assert rows(read_catalog(spark, out, "links").select("session_id", "from_table", "to_table")) == [("sql", "c", "c")]
+
+
+def test_jobs_do_not_grow_with_uploads(spark, tmp_path):
+    def jobs(n):
+        root = tmp_path / str(n)
+        land_all(root, {f"s{k}": {"t.csv": f"id,a{k % 3}\n{k},x\n".encode(), "u.csv": f"k\n{k + 50}\n".encode()} for k in range(n)})
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
+        spark.sparkContext.setJobGroup(f"take-{n}", "")
+        try:
+            N.take_uploads(files, str(tmp_path / f"out{n}"), 0)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert read_catalog(spark, str(tmp_path / f"out{n}"), "tables").count() == 2 * n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"take-{n}"))
+
+    assert jobs(12) <= jobs(3) + 3
