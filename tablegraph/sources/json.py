@@ -109,10 +109,18 @@ def object_entries(text: Column, prefix: Column | None = None, order: Column | N
 
 
 def document_fault(doc: Column) -> Column:
-    """Why a document holds no tables: ``invalid`` when it is not JSON, ``scalar`` when it is neither object nor
-    array; null when it may hold some."""
-    kind = root_kind(doc)
-    return F.when(kind.isin("invalid", "scalar"), kind)
+    """Why a document holds no tables: ``invalid`` when it is not one JSON value, ``scalar`` when that is neither
+    object nor array; null when it may hold some.
+
+    A parser stops at the end of the first value, so the document is read as the item of a list and as the member of
+    an object: text behind it breaks one of the two or makes it two items.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"d":'), doc, F.lit("}")))
+    item = lambda k: F.try_variant_get(listed, f"$[{k}]", "variant")
+    shape = F.schema_of_variant(item(0))
+    one = listed.isNotNull() & member.isNotNull() & item(0).isNotNull() & item(1).isNull()
+    return F.when(~one, "invalid").when(~shape.startswith("OBJECT") & ~shape.startswith("ARRAY"), "scalar")
 
 
 def json_rejects(docs: DataFrame) -> DataFrame:
@@ -130,7 +138,16 @@ def json_record_sets(docs: DataFrame, strict: bool = True) -> DataFrame:
     A document without tables ends the job; unless ``strict`` it gives no rows
     and is left to ``json_rejects``.
     """
-    return _tables(docs if strict else docs.where(document_fault(F.col("doc")).isNull())).select(
+    doc = F.col("doc")
+    if strict:
+        alone = (F.size(F.from_json(F.concat(F.lit("["), doc, F.lit("]")), "array<string>", _STRICT)) == 1) & F.from_json(
+            F.concat(F.lit('{"d":'), doc, F.lit("}")), "map<string,string>", _STRICT
+        ).isNotNull()
+        several = F.raise_error(F.concat(F.col("name"), F.lit(": more than one value")))
+        checked = docs.select("name", F.when(alone, doc).otherwise(several).alias("doc"))
+    else:
+        checked = docs.where(document_fault(doc).isNull())
+    return _tables(checked).select(
         "name", "table", F.posexplode_outer("records").alias("pos", "record")
     )
 

@@ -162,7 +162,6 @@ SELECT 'o' || CAST(o_orderkey AS VARCHAR(20)) AS name, o_orderkey, o_custkey, o_
     ELSE '{{"id":' END AS doc
 FROM {orders}
 """
-_TABLES_ONLY = "c < 3"
 
 
 @query(
@@ -187,22 +186,26 @@ UNION ALL SELECT name, 'more', 0, '{"s":"' || o_orderstatus || '"}' FROM d WHERE
 
 
 def _documents(spark, sf):
-    """The documents that hold tables; others are an error, see ``json_root_kind``."""
-    return derive(spark, sf, _DOCS).where(_TABLES_ONLY).select("name", "doc")
+    return derive(spark, sf, _DOCS).select("name", "doc")
 
 
 @query("json_record_sets", cte(d=_DOCS) + _RECORDS)
 def json_record_sets(spark, sf):
-    return J.json_record_sets(_documents(spark, sf))
+    return J.json_record_sets(_documents(spark, sf), strict=False)
+
+
+@query("json_rejects", cte(d=_DOCS) + "SELECT name, CASE c WHEN 3 THEN 'scalar' ELSE 'invalid' END AS reason FROM d WHERE c > 2")
+def json_rejects(spark, sf):
+    return J.json_rejects(_documents(spark, sf))
 
 
 @query(
     "json_skip_non_objects",
-    cte(d=_DOCS) + "SELECT name, 2 AS n_records FROM d WHERE c = 1",
+    cte(d=_DOCS) + "SELECT name, CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS n_records FROM d WHERE c < 3",
 )
 def json_skip_non_objects(spark, sf):
-    lists = derive(spark, sf, _DOCS).where(F.col("doc").startswith("[")).select("name", "doc")
-    return J.json_record_sets(lists).groupBy("name").agg(F.count("record").cast("int").alias("n_records"))
+    records = J.json_record_sets(_documents(spark, sf), strict=False)
+    return records.groupBy("name").agg(F.count("record").cast("int").alias("n_records"))
 
 
 @query(
@@ -223,7 +226,7 @@ def json_skip_non_objects(spark, sf):
 def json_flatten(spark, sf):
     docs = _documents(spark, sf)
     deepest = docs.agg(F.max(J.nesting_depth(F.col("doc")))).first()[0]
-    records = J.json_record_sets(docs).where(F.col("record").isNotNull())
+    records = J.json_record_sets(docs, strict=False).where(F.col("record").isNotNull())
     return J.flatten_json(records, depth=deepest).select("name", "path", "kind", "value")
 
 

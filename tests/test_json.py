@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablegraph.sources import json as J
 from tablegraph.sources.json import (
     describe_records,
     flatten_entries,
@@ -133,3 +134,18 @@ def test_flattening_of_random_records(spark, seed):
             want = json.loads(record.get(path, "null"))
             got = row[path] if want is None or isinstance(want, str) or row[path] is None else json.loads(row[path])
             assert got == want
+
+
+def test_documents_without_tables_are_told(spark):
+    docs = {
+        "object": '{"a":1}', "array": ' [{"a":1}] ', "scalar": "42", "text": '"x"', "null": "null", "empty": "", "cut": '{"id":',
+        "two": '{"a":1}\n{"a":2}', "listed": '{"a":1},{"a":2}', "closed": '{"a":1}]', "closed twice": '{"a":1}}', "stray": "],[",
+    }
+    table = spark.createDataFrame(list(docs.items()), "name string, doc string")
+    told = {row["name"]: row["reason"] for row in J.json_rejects(table).collect()}
+    assert told == {name: "scalar" if name in ("scalar", "text", "null") else "invalid" for name in docs if name not in ("object", "array")}
+    records = J.json_record_sets(table, strict=False).collect()
+    assert sorted((row["name"], row["record"]) for row in records) == [("array", '{"a":1}'), ("object", '{"a":1}')]
+    for name in ("two", "listed", "closed", "closed twice"):
+        with pytest.raises(Exception, match="(?i)more than one value|malformed"):
+            J.json_record_sets(table.where(F.col("name") == name)).collect()
