@@ -9,7 +9,9 @@ from tablegraph.operators import ledger as G
 from tablegraph.operators import paging as P
 from tablegraph.operators.positions import ROW_ID, with_row_id
 from tablegraph.plans.ingest import ingest
+from tablegraph.plans.schema_graph import schema_graph
 from tablegraph.session import work_path
+from tablegraph.workload.files import dump_files
 from tablegraph.workload.data import (
     CATALOG_COLUMNS,
     CATALOG_TABLES,
@@ -489,3 +491,77 @@ def stuck_jobs(spark, sf):
 @query("queue_depth", _JOBS + "SELECT status, count(*) AS n_jobs FROM j GROUP BY 1")
 def queue_depth(spark, sf):
     return G.queue_depth(_jobs(spark, sf))
+
+
+# --- the stored catalog ---------------------------------------------------------
+
+
+def _load(spark, sf, out, session, *names):
+    source = work_path(spark, "upload")
+    for name in names:
+        table(spark, sf, name).write.parquet(f"{source}/{name}.parquet")
+    ingest(spark, source, "parquet", out, session)
+
+
+def _stored_rows(spark, out):
+    """What the stored catalog lists, with the rows found at each path."""
+    tables = C.read_catalog(spark, out, "tables")
+    # One row per table of the few that the query loaded.
+    counts = [(row["table_id"], spark.read.parquet(row["parquet_path"]).count()) for row in tables.collect()]
+    found = spark.createDataFrame(counts, "table_id string, n_rows bigint")
+    columns = C.read_catalog(spark, out, "columns").groupBy("table_id").agg(F.count("*").alias("n_columns"))
+    return tables.join(found, "table_id").join(columns, "table_id").select("session_id", "name", "row_count", "n_rows", "n_columns")
+
+
+@query(
+    "catalog_replace_stored",
+    """SELECT 'a' AS session_id, 'supplier' AS name, count(*) AS row_count, count(*) AS n_rows, 4 AS n_columns FROM supplier
+       UNION ALL SELECT 'b', 'region', count(*), count(*), 2 FROM region""",
+)
+def catalog_replace_stored(spark, sf):
+    out = work_path(spark, "stored")
+    _load(spark, sf, out, "a", "nation", "region")
+    _load(spark, sf, out, "b", "region")
+    _load(spark, sf, out, "a", "supplier")
+    return _stored_rows(spark, out)
+
+
+@query(
+    "session_delete_stored",
+    """SELECT 'b' AS session_id, 'nation' AS name, count(*) AS row_count, count(*) AS n_rows, 3 AS n_columns FROM nation
+       UNION ALL SELECT 'c', 'region', count(*), count(*), 2 FROM region""",
+)
+def session_delete_stored(spark, sf):
+    out = work_path(spark, "stored")
+    for session, name in (("a", "supplier"), ("b", "nation"), ("c", "region")):
+        _load(spark, sf, out, session, name)
+    states = [("a", "ready"), ("b", "processing"), ("c", "failed")]
+    sessions = spark.createDataFrame(states, "session_id string, status string")
+    for _ in range(2):  # a repeated call changes nothing
+        C.delete_stored(sessions, out, sessions.where("session_id in ('a', 'b')"))
+    return _stored_rows(spark, out)
+
+
+@query(
+    "stored_schema_graph",
+    """SELECT 'node' AS kind, name, row_count, column_count, CAST(NULL AS VARCHAR) AS to_name FROM (
+         SELECT 'region' AS name, 0 AS row_count, 2 AS column_count UNION ALL SELECT 'nation', 0, 3
+         UNION ALL SELECT 'empty_table', 0, 2 UNION ALL SELECT 'customer', count(*), 7 FROM customer
+         UNION ALL SELECT 'supplier', 2 * count(*), 4 FROM supplier)
+       UNION ALL SELECT 'edge', * FROM (VALUES ('nation', NULL, NULL, 'region'), ('customer', NULL, NULL, 'nation'),
+         ('supplier', NULL, NULL, 'supplier'), ('supplier', NULL, NULL, 'nation')) v(name, row_count, column_count, to_name)""",
+)
+def stored_schema_graph(spark, sf):
+    out = work_path(spark, "stored")
+    ingest(spark, dump_files(spark, sf), "sql", out, "s1")
+    tables, columns, links = (C.read_catalog(spark, out, name) for name in ("tables", "columns", "links"))
+    graph = schema_graph(tables, columns, links, session_id="s1")
+    names = tables.select("table_id", "name")
+    ends = [names.select(F.col("table_id").alias(f"{end}_table_id"), F.col("name").alias(f"{end}_name")) for end in ("from", "to")]
+    edges = graph.edges.select("from_table_id", "to_table_id").join(ends[0], "from_table_id").join(ends[1], "to_table_id")
+    none = F.lit(None).cast("bigint")
+    return graph.nodes.select(
+        F.lit("node").alias("kind"), "name", "row_count", "column_count", F.lit(None).cast("string").alias("to_name")
+    ).unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("from_name").alias("name"), none.alias("row_count"), none.alias("column_count"), "to_name")
+    )

@@ -352,8 +352,8 @@ FROM {supplier}
 _PART_INSERT = "SELECT 'INSERT INTO part VALUES (' || CAST(p_partkey AS VARCHAR(20)) || ');' AS value FROM {part}"
 
 
-def _dump(spark, sf):
-    """A load of dump files, taken in name order: the schema, then rows."""
+def dump_files(spark, sf):
+    """A folder of dump files, taken in name order: the schema, then rows."""
     root = work_path(spark, "dump")
 
     def text(df, name):
@@ -363,7 +363,11 @@ def _dump(spark, sf):
     rendered = {"1_customer": _CUSTOMER_INSERT, "2_supplier": _SUPPLIER_INSERT, "3_part": _PART_INSERT}
     for name, sql in rendered.items():
         text(derive(spark, sf, sql), name)
-    return D.dump_statements(spark, root)
+    return root
+
+
+def _dump(spark, sf):
+    return D.dump_statements(spark, dump_files(spark, sf))
 
 
 @query(

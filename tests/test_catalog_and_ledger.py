@@ -1,4 +1,5 @@
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from tablegraph.operators import catalog as C
 from tablegraph.operators import ledger as G
 from tablegraph.operators import links as L
 from tablegraph.operators.paging import session_page
+from tablegraph.plans.bulk import load_uploads, stored_table
 from tablegraph.plans.ingest import ingest
 from tablegraph.plans.schema_graph import schema_graph
 from tests.conftest import rows
@@ -178,3 +180,40 @@ def test_neighbourhood_of_a_node(spark):
     inside, near = L.closed_neighbourhood(nodes, edges, "a")
     assert rows(inside, "id") == [("a",), ("b",), ("c",)] and near.count() == 2
     assert rows(L.closed_neighbourhood(nodes, edges.limit(0), "d")[0]) == [("d",)]
+
+
+def test_a_second_load_replaces_everything_of_the_first(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    dump = "CREATE TABLE o (id INT, c_id INT REFERENCES o(id));\nINSERT INTO o VALUES (1, NULL);\n"
+    ingest(spark, folder(d_sql=dump), "sql", out, "s")
+    ingest(spark, folder(d_sql=dump), "sql", out, "other")
+    first = C.read_catalog(spark, out, "tables").where("session_id = 's'").first()
+    ingest(spark, folder(o_csv="id\n1\n2\n"), "csv", out, "s")
+    tables = C.read_catalog(spark, out, "tables")
+    second = tables.where("session_id = 's'").first()
+    assert second["table_id"] == first["table_id"] and second["row_count"] == 2
+    assert not os.path.exists(first["parquet_path"]) and spark.read.parquet(second["parquet_path"]).count() == 2
+    assert rows(C.read_catalog(spark, out, "links").select("session_id")) == [("other",)]
+    listing = C.table_listing(tables, C.read_catalog(spark, out, "columns")).where("session_id = 's'").first()
+    assert [c["name"] for c in listing["columns"]] == ["id"]
+    assert len(os.listdir(tmp_path / "out" / "parsed" / "s")) - 1 <= 1  # the load that counts, no other
+    audit = C.audit_catalog(tables=tables, columns=C.read_catalog(spark, out, "columns"))
+    assert audit.count() == 0
+
+
+def test_deleted_sessions_leave_neither_rows_nor_description(spark, tmp_path):
+    out = str(tmp_path / "out")
+    uploads = [(s, "csv", "t.csv", bytearray(f"id\n{k}\n".encode())) for k, s in enumerate("abc")]
+    files = spark.createDataFrame(uploads, "session_id string, format string, filename string, content binary")
+    load_uploads(files, out, "batch-0")
+    sessions = spark.createDataFrame([("a", "ready"), ("b", "ready"), ("c", "queued")], "session_id string, status string")
+    C.commit(sessions, out, "batch-0")
+    for _ in range(2):
+        gone = C.delete_stored(sessions, out, sessions.where("session_id <> 'b'"))
+        assert rows(gone) == [("a",)]
+    assert rows(C.read_catalog(spark, out, "tables").select("session_id"), "session_id") == [("b",), ("c",)]
+    assert rows(spark.read.parquet(f"{out}/rows").select("session_id"), "session_id") == [("b",), ("c",)]
+    assert rows(spark.read.parquet(f"{out}/catalog/columns").select("session_id"), "session_id") == [("b",), ("c",)]
+    assert rows(stored_table(spark, out, "b", "t")) == [(1, 0)]
+    C.delete_stored(sessions, out, sessions.where("session_id = 'b'"))
+    assert rows(C.read_catalog(spark, out, "tables").select("session_id")) == [("c",)]
