@@ -21,8 +21,8 @@ cloudpickle.register_pickle_by_value(tablegraph.llm)
 BROADCAST_BYTES = 32 << 20
 #: Words of a shingle.
 SHINGLE = 5
-#: Distinct words a task remembers the hash of before it starts afresh.
-REMEMBERED_WORDS = 400_000
+#: Distinct words a task remembers the hash of before it starts afresh: some 200 bytes each.
+REMEMBERED_WORDS = 200_000
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -125,10 +125,11 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
                 text_keys.append(key)
                 lengths.append(len(words))
                 keys, places, beside = [none], [none], [none]
-                if named and len(words) >= least_words and key not in sent:
+                whole = key[0] << 64 | key[1] & 0xFFFFFFFFFFFFFFFF
+                if named and len(words) >= least_words and whole not in sent:
                     if len(sent) >= REMEMBERED_TEXTS:
                         sent.clear()
-                    sent.add(key)
+                    sent.add(whole)
                     for k in range(functions):
                         values = _function(grams, k)
                         _, centre, _ = compact_windows(values, width)
@@ -260,17 +261,17 @@ def _before(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _places(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> np.ndarray:
-    """For each shingle of ``a`` the place of the same one in ``b``, or -1."""
+def _places(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """For each shingle of ``a`` the place of the same one in ``b``, or -1; ``shifts`` lead from one to the other."""
     order = np.argsort(b, kind="stable")
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
     places = np.where(ranked[at] == a, order[at], -1)
     if not (ranked[1:] == ranked[:-1]).any():
         return places
-    # A shingle that b repeats counts where the meetings' shift puts it, or else next to its neighbour.
+    # A shingle that b repeats counts where a meeting's shift puts it, or else next to its neighbour.
     fixed = np.zeros(len(a), bool)
-    for shift in sorted({y - x for x, y in anchors}):
+    for shift in np.unique(shifts).tolist():
         there = np.arange(len(a)) + shift
         inside = (there >= 0) & (there < len(b))
         same = np.zeros(len(a), bool)
@@ -288,7 +289,7 @@ def _places(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> np.
     return places
 
 
-def shared_spans(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], width: int) -> list[tuple[int, int, int, int]]:
+def shared_spans(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
     """Verified near-duplicate passages of two shingle sequences: (first, last in a, first, last in b).
 
     Runs of equal shingles are joined over gaps of any length: from each run on, the furthest one is taken to
@@ -298,7 +299,7 @@ def shared_spans(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], w
     """
     if not len(a) or not len(b):
         return []
-    places = _places(a, b, anchors)
+    places = _places(a, b, shifts)
     on = np.flatnonzero(places >= 0)
     if not len(on):
         return []
@@ -342,7 +343,7 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     documents takes along its own part of it; texts as a whole never move.
     """
     pairs = met.groupBy("doc_a", "doc_b").agg(
-        F.collect_set(F.struct("place_a", "place_b")).alias("places"),
+        F.collect_set(F.col("place_b") - F.col("place_a")).alias("shifts"),
         *[f(f"place_{s}").alias(f"{n}_{s}") for s in "ab" for n, f in (("lo", F.min), ("hi", F.max))],
     )
     pairs = saved(pairs, "pairs")
@@ -374,10 +375,11 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             rows = []
-            names = ("doc_a", "doc_b", "places", "since_a", "since_b", "grams_a", "grams_b")
-            for doc_a, doc_b, places, from_a, from_b, a, b in zip(*(part.column(c).to_pylist() for c in names), strict=True):
-                anchors = sorted((p["place_a"] - from_a, p["place_b"] - from_b) for p in places)
-                for f, t, f2, t2 in shared_spans(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), anchors, width):
+            ends = zip(*(part.column(c).to_pylist() for c in ("doc_a", "doc_b", "since_a", "since_b")), strict=True)
+            for k, (doc_a, doc_b, from_a, from_b) in enumerate(ends):
+                a, b = (np.frombuffer(part.column(c)[k].as_buffer(), np.uint64) for c in ("grams_a", "grams_b"))
+                shifts = part.column("shifts")[k].values.to_numpy() + (from_a - from_b)
+                for f, t, f2, t2 in shared_spans(a, b, shifts, width):
                     rows.append((doc_a, f + from_a, t - f + SHINGLE, doc_b))
                     rows.append((doc_b, f2 + from_b, t2 - f2 + SHINGLE, doc_a))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -385,7 +387,7 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
             names = ("doc_id", "first_word", "n_words", "other_doc_id")
             yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-    columns = ["doc_a", "doc_b", "places", "since_a", "since_b", "grams_a", "grams_b"]
+    columns = ["doc_a", "doc_b", "shifts", "since_a", "since_b", "grams_a", "grams_b"]
     return arrow_map(joined.select(*columns), verify, SPANS)
 
 
@@ -394,8 +396,8 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS, functions:
 
     Both documents of a pair get a row for each passage of at least ``least_words`` words that they share;
     of equal passages of one document only the row with the smallest partner stays. Documents with equal word
-    sequences are one text: each of them is a passage as a whole, and meetings of the text are sought once,
-    under its smallest id, and given to all of them. Within one text nothing is compared.
+    sequences are one text: each of them is a passage as a whole, and what the text shares with others is sought
+    once and returned under its smallest id. Within one text nothing is compared.
 
     Windows are found in one pass over the whole texts, met by one shuffle of their keys, and verified pair
     by pair on the shingle sequences of the two texts, read again for the documents concerned only.
@@ -424,12 +426,13 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS, functions:
     inside = (F.col("doc_b") == F.col("doc")) & F.col("place_b").between(F.col("first_word"), F.col("last"))
     rest = rest.join(spans, inside, "left_anti")
     near = near.unionByName(verified(docs, rest, width))
-    members = texts_of.join(classes.select("key", "key2", "rep", "other"), ["key", "key2"])
-    spread = members.select("doc_id", "rep").join(near.withColumnRenamed("doc_id", "rep"), "rep").drop("rep")
+    # A document that copies another is a passage as a whole, which holds all others of its text: they stand under
+    # the representative alone.
+    members = texts_of.join(classes.where("rep < other").select("key", "key2", "rep", "other"), ["key", "key2"])
     copy = F.when(F.col("doc_id") == F.col("rep"), F.col("other")).otherwise(F.col("rep"))
-    whole = members.where("rep < other").select("doc_id", F.lit(0).alias("first_word"), "n_words", copy.alias("other_doc_id"))
+    whole = members.select("doc_id", F.lit(0).alias("first_word"), "n_words", copy.alias("other_doc_id"))
     return saved(
-        spread.unionByName(whole).groupBy("doc_id", "first_word", "n_words").agg(F.min("other_doc_id").alias("other_doc_id")),
+        near.unionByName(whole).groupBy("doc_id", "first_word", "n_words").agg(F.min("other_doc_id").alias("other_doc_id")),
         "passages",
     )
 
@@ -473,9 +476,10 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_cuts")
     )
     cuts = saved(cuts, "cuts")
-    joined = join_checked(docs, cuts, ["doc_id"], "left", 96)
-    rebuilt = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.col("_cuts")]
-    changed = joined.where(F.col("_cuts").isNotNull()).select(*rebuilt)
+    # Each row is carried as one value, so that no column of it meets a name of this function.
+    rows = docs.select("doc_id", F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = join_checked(rows, cuts, ["doc_id"], "left", 96)
+    changed = joined.where(F.col("_cuts").isNotNull()).select("row", "text", "_cuts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -504,5 +508,5 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
             for c in docs.columns
         ]
     )
-    plain = joined.where(F.col("_cuts").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = joined.where(F.col("_cuts").isNull()).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return plain.unionByName(mended)

@@ -540,3 +540,30 @@ def test_items_are_found_where_their_opening_words_repeat(rate, least):
             want.add((k, k))
     found = {(k, i) for k, i, *_ in decontaminate._search(index, decontaminate.EDITS, texts, WordHashes())}
     assert found <= want and len(want) == len(items) and len(found) >= least * len(want)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Names that the stages use inside, and rows that repeat an id."""
+    text = ("one two three " * 40).strip()
+    rows = [(1, text, "a", 1, "r", 2), (2, text, "b", 1, "r", 2), (3, "x", None, None, None, None),
+            (3, "y", "c", 0, "r", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _cuts string, _first int, `row` string, place int")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, table, SF_LABELS)
+        assert out.columns == table.columns
+        kept = {(row["doc_id"], row["_cuts"]) for row in out.collect()}
+        assert kept == ({(1, "a"), (3, None)} if name == "ngram_jaccard_join" else {(1, "a"), (3, None), (3, "c")})
+
+
+def test_copies_stand_as_a_whole_and_their_text_once(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    shared = " ".join(words[:70])
+    rows = [(k, " ".join(words)) for k in range(10, 40)] + [(k, f"{shared} other {k}") for k in range(50, 55)]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = defaultdict(set)
+    for row in found:
+        spans[row["doc_id"]].add((row["first_word"], row["n_words"], row["other_doc_id"]))
+    assert set(spans) == {doc for doc, _ in rows}
+    assert all(spans[k] == {(0, 400, 10)} for k in range(11, 40)) and (0, 400, 39) in spans[10]
+    assert all(any(first == 0 and n >= 70 for first, n, _ in spans[k]) for k in range(50, 55))
