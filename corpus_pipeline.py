@@ -38,10 +38,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     kept = _without(docs, linked.where("component_id <> doc_id"))
     again = saved(linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     single = join_checked(kept, again, ["doc_id"], "left_anti", 24)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    several = join_checked(kept, again, ["doc_id"], "left_semi", 24).withColumn("_first", first).where("_first = 1")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.select(*columns).unionByName(several.select(*columns))
+    # Each row is carried as one value, so that no column of it meets a name of this function.
+    rows = join_checked(kept, again, ["doc_id"], "left_semi", 24).select("doc_id", "text", F.struct(*columns).alias("row"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    several = rows.select("row", place.alias("place")).where("place = 1")
+    return single.select(*columns).unionByName(several.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
