@@ -358,10 +358,11 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         for part in pieces(batches):
             since, until = part.column("since").to_pylist(), part.column("until").to_pylist()
-            grams = [
-                shingles(hashes.of(word_bytes(text)))[lo:hi].tobytes()
-                for text, lo, hi in zip(text_bytes(part), since, until, strict=True)
-            ]
+            grams = []
+            for text, lo, hi in zip(text_bytes(part), since, until, strict=True):
+                # Only the words of the stretch are hashed; another text under the same id may end before it.
+                own = word_bytes(text)[lo : hi + SHINGLE - 1]
+                grams.append(shingles(hashes.of(own)).tobytes() if len(own) >= SHINGLE else b"")
             yield batch(doc_id=part.column("doc_id"), since=part.column("since"), grams=pa.array(grams, pa.binary()))
 
     stretches = arrow_map(again, read, "doc_id long, since int, grams binary").repartition("doc_id")
