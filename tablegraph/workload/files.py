@@ -49,6 +49,19 @@ def csv_scan(spark, sf):
     return V.read_csv_tables(spark, _as_csv(derive(spark, sf, _PEOPLE), "people"))["people"]
 
 
+# Every text on more than one line, so that each record spans lines.
+_LETTERS = """
+SELECT doc_id, 'text:' || chr(10) || coalesce(text, '') || chr(10) || '"end", ' AS body, 'l-' || coalesce(lang, '') AS lang
+FROM {documents}
+"""
+
+
+@query("csv_quoted_lines", cte(l=_LETTERS) + "SELECT doc_id, body, lang FROM l")
+def csv_quoted_lines(spark, sf):
+    root = _as_csv(derive(spark, sf, _LETTERS), "letters")
+    return V.read_csv_tables(spark, root, split_bytes=0)["letters"]
+
+
 @query("csv_positions", "SELECT o_orderkey, o_orderkey - (SELECT min(o_orderkey) FROM orders) AS _row_id FROM orders")
 def csv_positions(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
