@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rarest words of a template, as the file has them, that must all stand where the template has them.
-ANCHORS = 3
 #: Share of a template's words that must stand in place.
 COVERAGE = 0.7
 
@@ -82,35 +80,21 @@ def rarity(files: DataFrame, vocabulary: list[str]) -> list[str]:
 def _places(template: Template, by_rarity: list[str], coverage: float) -> Column:
     """Verified places of a template in the array ``words``: (start, matched words).
 
-    The file's rarest words of the template are looked up in its postings; differences between their
-    positions in the file and in the template are the candidate starts, kept where all the rare words agree.
+    A match holds the key phrase whole, so the rarest word of that phrase stands in it: each of its places in
+    the file opens one candidate start, and none is missed, wherever else the file has the template's words.
+    Postings of all words are then intersected by relative position; coverage and key phrase decide.
     """
     rank = {word: k for k, word in enumerate(by_rarity)}
-    own = sorted(set(template.words), key=rank.__getitem__)
     postings = _strings(template.words)
     places = F.sequence(F.lit(0), F.lit(len(template.words) - 1))
     needed = math.ceil(coverage * len(template.words))
-    least = min(2, len(own), ANCHORS) if coverage < 1 else len(own)
-    anchors = F.slice(F.array_intersect(_strings(own), "found"), 1, len(own) if coverage == 1 else ANCHORS)
     key_at, key_n = template.key
     key_words = sorted(set(template.words[key_at : key_at + key_n]))
-
-    def in_file(anchor: Column) -> Column:
-        return F.filter(F.transform("words", lambda word, at: F.when(word == anchor, at)), lambda at: at.isNotNull())
-
-    def in_template(anchor: Column) -> Column:
-        return F.filter(places, lambda at: F.get(postings, at) == anchor)
-
-    first = F.get(anchors, F.lit(0))
-    starts = F.array_distinct(
-        F.flatten(F.transform(in_file(first), lambda p: F.transform(in_template(first), lambda q: p - q)))
-    )
-    aligned = F.filter(
-        starts,
-        lambda start: F.forall(
-            anchors,
-            lambda anchor: F.exists(places, lambda q: (F.get(postings, q) == anchor) & F.coalesce(F.get("words", start + q) == anchor, F.lit(False))),
-        ),
+    anchor_at = min(range(key_at, key_at + key_n), key=lambda at: rank[template.words[at]])
+    anchor = F.lit(template.words[anchor_at])
+    starts = F.filter(
+        F.transform("words", lambda word, at: F.when(word == anchor, at - F.lit(anchor_at))),
+        lambda start: start.isNotNull(),
     )
 
     def matched(start: Column) -> Column:
@@ -123,24 +107,23 @@ def _places(template: Template, by_rarity: list[str], coverage: float) -> Column
         )
 
     verified = F.filter(
-        F.transform(aligned, lambda start: F.struct(start.alias("start"), matched(start).alias("matched"), key_holds(start).alias("key"))),
+        F.transform(starts, lambda start: F.struct(start.alias("start"), matched(start).alias("matched"), key_holds(start).alias("key"))),
         lambda place: place["key"] & (place["matched"] >= needed),
     )
-    enough = (F.size(F.array_intersect(_strings(own), "found")) >= least) & (
-        F.size(F.array_intersect(_strings(key_words), "found")) == len(key_words)
-    )
-    return F.when(enough, verified).otherwise(F.array().cast("array<struct<start:int,matched:int,key:boolean>>"))
+    has_key = F.size(F.array_intersect(_strings(key_words), "found")) == len(key_words)
+    return F.when(has_key, verified).otherwise(F.array().cast("array<struct<start:int,matched:int,key:boolean>>"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """Licence phrases and labels of every whole text.
 
     Two scans: one counts in how many files each licence word stands (the vocabulary of the templates bounds
-    what is counted and collected), the other looks files up by their rarest licence words. Each file is one
+    what is counted and collected), the other looks files up by the rarest word of each key phrase. Each file is one
     row throughout, so nothing is shuffled by document and no word or phrase can be hot; templates are tried
     only on files that hold their key words. Null and empty texts have no words, null first and last places,
     empty labels and score 0. ``score`` is 1 with a base phrase, else the largest covered share of a
-    template found, else 0. Null ids and repeated rows are scanned row by row.
+    template found, else 0. A very long text costs a template's words per place of its rarest key word, and must
+    fit one row; columns besides ``doc_id`` and ``text``, whatever their names, stay out. Null ids and repeated rows are scanned row by row.
     """
     vocabulary = sorted({word for t in (*BASE, *templates) for word in t.words})
     files = _words(docs)

@@ -197,6 +197,34 @@ def test_license_scan_finds_phrases_and_notices(spark):
     assert labels == {1: "cc-by-nc", 2: "", 3: "bsd", 4: "mit"}
 
 
+def test_license_notice_is_found_wherever_else_its_words_stand(spark):
+    """Every label agrees with sliding each template over the words, in texts that repeat the rare words."""
+    source = random.Random(11)
+    texts = [
+        "Redistribution and use in source and binary forms, with or without modifications. See modification notes.",
+        "obtaining copy charge: Permission is hereby granted, free of cost, to any person obtaining the copy",
+        "source and binary forms only", "", None, "mit " * 500 + "license",
+    ]
+    for _ in range(150):
+        template = source.choice(licenses.TEMPLATES).words
+        words = [source.choice(template) if source.random() < 0.2 else word for word in template]
+        around = source.choices(template, k=source.randrange(6))
+        texts.append(" ".join([*around, *words, *reversed(around)]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(rows).collect()}
+    for doc, text in enumerate(texts):
+        words, labels, score = _licence_words(text or ""), set(), 0.0
+        for template in (*licenses.BASE, *licenses.TEMPLATES):
+            base, n, (at, k) = template in licenses.BASE, len(template.words), template.key
+            for start in range(-n, len(words)):
+                same = [0 <= start + q < len(words) and words[start + q] == template.words[q] for q in range(n)]
+                if all(same[at : at + k]) and sum(same) >= (n if base else licenses.COVERAGE * n):
+                    labels.add(template.label)
+                    score = 1.0 if base else max(score, sum(same) / n)
+        assert got[doc] == (",".join(sorted(labels)), score), text
+    assert got[0][0] == "bsd"
+
+
 def _shingles(text, lower=True):
     words = (text.encode().lower() if lower else text.encode()).split()
     if not words:
