@@ -88,14 +88,77 @@ def link_keys(src: DataFrame, dst: DataFrame, link: Link) -> tuple[DataFrame, Da
     )
 
 
-def row_edges(src: DataFrame, dst: DataFrame, link: Link) -> DataFrame:
+#: Rows of one key, on either side, from which the key is dealt over cells.
+HOT_ROWS = 1_000_000
+#: Rows of either side in a cell of a hot key, on average.
+CELL_ROWS = 50_000
+#: Keys a sketch reports per side, so what is sent to every task is bounded by twice as many.
+SKETCH_KEYS = 200
+
+
+def hot_keys(
+    tables: dict[str, DataFrame], links: list[Link], hot_rows: int = HOT_ROWS
+) -> dict[int, list[tuple[str, int, int]]]:
+    """Per link its hottest keys as text, with about how many rows of the source and the target hold them.
+
+    A frequent-items sketch per side and link, all in one job; no key is
+    shuffled. A key with over a 200th of a side's rows is reported. The counts
+    only decide how rows are dealt, so an estimate does no harm.
+    """
+    sketches = []
+    for link in links:
+        for side, df in enumerate(link_keys(tables[link.from_table], tables[link.to_table], link)):
+            top = df.agg(F.expr(f"approx_top_k(_key, {SKETCH_KEYS}, 8192)").alias("top"))
+            sketches.append(
+                top.select(F.inline("top").alias("item", "n")).select(
+                    F.lit(link.ord).alias("ord"), F.lit(side).alias("side"), F.col("item").cast("string").alias("key"), "n"
+                )
+            )
+    found: dict[int, dict[str, list[int]]] = {}
+    if sketches:
+        for row in union_all(sketches).where(F.col("key").isNotNull()).collect():
+            found.setdefault(row["ord"], {}).setdefault(row["key"], [1, 1])[row["side"]] = row["n"]
+    hot = {ord: [(key, *n) for key, n in keys.items() if max(n) >= hot_rows] for ord, keys in found.items()}
+    return {ord: keys for ord, keys in hot.items() if keys}
+
+
+def _dealt(side: DataFrame, cells: DataFrame, position: str, own: str, other: str) -> DataFrame:
+    """Rows with the cells they belong to: one part of their own side, all parts of the other."""
+    parts = F.coalesce(F.col(f"{own}s"), F.lit(1))
+    others = F.coalesce(F.col(f"{other}s"), F.lit(1))
+    return side.join(F.broadcast(cells), "_key", "left").select(
+        "_key",
+        position,
+        F.pmod(F.xxhash64(position), parts).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), others - 1)).alias(other),
+    )
+
+
+def row_edges(
+    src: DataFrame,
+    dst: DataFrame,
+    link: Link,
+    hot: list[tuple[str, int, int]] | None = None,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """Every pair of rows the link connects, as positions.
 
-    Only keys and positions are shuffled, nulls never are, and a key that holds
-    a large share of the rows is split between tasks at run time.
+    Only keys and positions are shuffled, and nulls never are. The keys in
+    ``hot`` (see ``hot_keys``) are dealt over cells: each side is cut into
+    parts of about ``cell_rows``, and every pair of parts is a cell of its own,
+    so each pair of rows meets once and a key that holds a third of both
+    sides spreads over many tasks. Other keys have one cell.
     """
     source, target = link_keys(src, dst, link)
-    return source.join(target, "_key").select(
+    on = ["_key"]
+    if hot:
+        parts = [(key, -(-n_source // cell_rows), -(-n_target // cell_rows)) for key, n_source, n_target in hot]
+        cells = src.sparkSession.createDataFrame(parts, "_key string, _sources int, _targets int")
+        cells = cells.withColumn("_key", F.col("_key").cast(source.schema["_key"].dataType))
+        source = _dealt(source, cells, "source_pos", "_source", "_target")
+        target = _dealt(target, cells, "target_pos", "_target", "_source")
+        on = ["_key", "_source", "_target"]
+    return source.join(target, on).select(
         F.lit(link.ord).alias("link_ord"),
         F.lit(link.from_table).alias("source_table"),
         "source_pos",
@@ -263,11 +326,30 @@ _EDGE_SCHEMA = (
 )
 
 
-def full_row_graph(tables: dict[str, DataFrame], links: DataFrame) -> DataFrame:
-    """Every edge between the rows of all linked tables, by position; see ``with_edge_ids``."""
+def full_row_graph(
+    tables: dict[str, DataFrame],
+    links: DataFrame,
+    most_edges: int | None = None,
+    hot_rows: int = HOT_ROWS,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Every edge between the rows of all linked tables, by position; see ``with_edge_ids``.
+
+    With ``most_edges`` the edges are counted from per-key counts first, and a
+    graph of more raises before any pair is made. Keys with ``hot_rows`` rows
+    and more on a side are dealt over cells.
+    """
     followed = plan_links(links, tables)
     if not followed:
         return next(iter(tables.values())).sparkSession.createDataFrame([], _EDGE_SCHEMA).drop("source", "target", "id")
+    if most_edges is not None:
+        n_edges = row_edge_counts(tables, followed).agg(F.sum("n_edges")).first()[0]
+        if n_edges > most_edges:
+            raise ValueError(f"the links give {n_edges} edges, over the {most_edges} allowed")
+    hot = hot_keys(tables, followed, hot_rows)
     return _union_edges(
-        [(link, row_edges(tables[link.from_table], tables[link.to_table], link)) for link in followed]
+        [
+            (link, row_edges(tables[link.from_table], tables[link.to_table], link, hot.get(link.ord), cell_rows))
+            for link in followed
+        ]
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablegraph.operators.paging import page_info, read_page
 from tablegraph.operators.positions import parquet_with_row_id, with_row_id
-from tablegraph.plans.row_graph import full_row_graph, plan_links, row_edge_counts, row_graph, with_edge_ids
+from tablegraph.plans.row_graph import full_row_graph, hot_keys, plan_links, row_edge_counts, row_graph, with_edge_ids
 from tests.conftest import rows
 
 LINKS = "from_table string, to_table string, type string, from_column string, to_column string, name string, inverse_name string"
@@ -177,3 +177,25 @@ def test_positions_in_a_given_order(spark):
     got = rows(with_row_id(df, "g", F.desc("v")).select("v", "g", "_row_id"), "_row_id")
     assert [(v, g) for v, g, _ in got] == sorted(((v, v % 7) for v in values), key=lambda p: (p[1], -p[0]))
     assert [position for _, _, position in got] == list(range(2000))
+
+
+@pytest.mark.parametrize("key", [7, "seven"])
+def test_hot_keys_are_dealt_over_cells(spark, key):
+    """A key with a third of both sides gives each pair once, from many cells."""
+    kind = "string" if isinstance(key, str) else "long"
+
+    def table(n):
+        values = [key if i % 3 == 0 else (None if i % 31 == 0 else type(key)(100 + i % 50)) for i in range(n)]
+        return spark.createDataFrame(list(enumerate(values)), f"_row_id long, k {kind}"), values
+
+    (left, a), (right, b) = table(240), table(150)
+    tables, link = {"a": left, "b": right}, links(spark, ("a", "b", "k", "k", None))
+    planned = plan_links(link, tables)
+    hot = hot_keys(tables, planned, hot_rows=40)
+    assert hot == {planned[0].ord: [(str(key), 80, 50)]} and hot_keys(tables, planned) == {}
+    expected = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x is not None and x == y)
+    for edges in (full_row_graph(tables, link, hot_rows=40, cell_rows=9), full_row_graph(tables, link)):
+        assert sorted(rows(edges.select("source_pos", "target_pos"))) == expected
+    assert full_row_graph(tables, link, most_edges=len(expected)).count() == len(expected)
+    with pytest.raises(ValueError, match=f"{len(expected)} edges"):
+        full_row_graph(tables, link, most_edges=len(expected) - 1)
