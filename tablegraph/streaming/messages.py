@@ -122,9 +122,12 @@ def settle_messages(stream: DataFrame, settled_path: str, checkpoint: str) -> St
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """The latest state of each job, as an update-mode aggregation over its events."""
+    """The latest state of each job, as an update-mode aggregation over its events.
+
+    Of events at one time the status last by name counts, whatever order they arrive in.
+    """
     return events.groupBy("job_id").agg(
-        F.max_by("status", "ts").alias("status"),
+        F.max_by("status", F.struct("ts", "status")).alias("status"),
         F.max("ts").alias("ts"),
     )
 
