@@ -43,6 +43,11 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MET = "doc_a long, place_a int, doc_b long, place_b int, star boolean, part int, window long, beside int, key long"
 _EXTRA = (("window", pa.int64()), ("beside", pa.int32()), ("key", pa.int64()))
 
+_FOUND = (
+    "doc_id long, n_words int, key long, key2 long, windows array<long>, places array<long>, beside array<int>, "
+    "values array<long>, begins array<int>"
+)
+
 SPANS = "doc_id long, first_word int, n_words int, other_doc_id long"
 
 
@@ -108,8 +113,10 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
     """Per document its text's key, and the join keys and centres of its compact windows, and 31 bits of the
     shingle that follows the centre's words.
 
-    A window's join key is the function and its least shingle. Copies met by one task send theirs once; a row
-    without an id sends none.
+    A window's join key is the function and its least shingle. Of the first function's windows the ends are kept
+    too, as ranges of the places where subsequences of the least length begin: ``values`` holds the join keys in
+    order, ``begins`` the first place of each, and the last range ends with the text. Neighbours of one key are
+    one range. Copies met by one task send theirs once; a row without an id sends none.
     """
     width = least_words - SHINGLE + 1
 
@@ -117,14 +124,14 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
         hashes, sent = WordHashes(), set()
         none = np.zeros(0, np.uint64)
         for part in pieces(batches):
-            text_keys, lengths, all_keys, all_places, all_beside = [], [], [], [], []
+            text_keys, lengths, all_keys, all_places, all_beside, all_values, all_begins = [], [], [], [], [], [], []
             for text, named in zip(text_bytes(part), part.column("doc_id").is_valid().to_pylist(), strict=True):
                 words = word_bytes(text)
                 grams = shingles(hashes.of(words))
                 key = _key(grams)
                 text_keys.append(key)
                 lengths.append(len(words))
-                keys, places, beside = [none], [none], [none]
+                keys, places, beside, ranges = [none], [none], [none], (none, none)
                 whole = key[0] << 64 | key[1] & 0xFFFFFFFFFFFFFFFF
                 if named and len(words) >= least_words and whole not in sent:
                     if len(sent) >= REMEMBERED_TEXTS:
@@ -132,7 +139,9 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
                     sent.add(whole)
                     for k in range(functions):
                         values = _function(grams, k)
-                        _, centre, _ = compact_windows(values, width)
+                        left, centre, _ = compact_windows(values, width)
+                        if k == 0:
+                            ranges = _ranges(values[centre], left, centre, width)
                         if len(set(values[centre].tolist())) < len(centre):
                             centre = _thinned(values, centre, width // 2)
                         keys.append(values[centre])
@@ -141,6 +150,8 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
                 all_keys.append(np.concatenate(keys))
                 all_places.append(np.concatenate(places))
                 all_beside.append(np.concatenate(beside))
+                all_values.append(ranges[0])
+                all_begins.append(ranges[1])
             stacked = np.array(text_keys, np.int64).reshape(-1, 2)
             yield batch(
                 doc_id=part.column("doc_id"),
@@ -150,11 +161,21 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
                 windows=lists(all_keys),
                 places=lists(all_places),
                 beside=lists(all_beside).cast(pa.list_(pa.int32())),
+                values=lists(all_values),
+                begins=lists(all_begins).cast(pa.list_(pa.int32())),
             )
 
-    return arrow_map(
-        texts(docs), work, "doc_id long, n_words int, key long, key2 long, windows array<long>, places array<long>, beside array<int>"
-    )
+    return arrow_map(texts(docs), work, _FOUND)
+
+
+def _ranges(values: np.ndarray, left: list[int], centre: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, first place) of the runs of ``width`` tokens that each window holds around its centre.
+
+    The windows' runs lie one behind the other and leave none out, so where one ends the next begins.
+    """
+    fresh = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
+    begins = np.maximum(np.array(left, np.int64), np.array(centre, np.int64) - width + 1)
+    return values[fresh], begins[fresh].astype(np.uint64)
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -392,6 +413,108 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     return arrow_map(joined.select(*columns), verify, SPANS)
 
 
+def run_hashes(grams: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` shingles, from sums of powers, in one pass whatever the width."""
+    step, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    n = len(grams)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(n, step, np.uint64)], dtype=np.uint64)
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, back, np.uint64)], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(grams * powers[:n], dtype=np.uint64)]
+    starts = max(0, n - width + 1)
+    return mixed((sums[width : width + starts] - sums[:starts]) * inverse[:starts])
+
+
+def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataFrame, width: int) -> DataFrame:
+    """(doc_a, place_a, doc_b, place_b) of exact repeats that no meeting of windows has brought to light.
+
+    A window is open while one of its runs of ``width`` shingles lies in no passage of ``near``. In a key that
+    unlike texts share, be they any number, and that has an open window, the intervals of all windows are joined
+    on the runs they hold: a run held twice is a repeat by itself, so each meets the first of its run, and no
+    partner is left out. Windows of a key that no other text has, or without an open one, are not read again.
+    """
+    intervals = F.arrays_zip(
+        "values", F.col("begins").alias("begins"),
+        F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.col("n_words") - SHINGLE - width + 2)).alias("until"),
+    )
+    rows = found.where(F.col("doc_id").isNotNull() & (F.size("values") > 0)).select(
+        "doc_id", "key", F.explode(intervals).alias("w")
+    )
+    rows = rows.select("doc_id", "key", F.col("w.values").alias("window"), F.col("w.begins").alias("begins"), F.col("w.until").alias("until"))
+    shared = rows.groupBy("window").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    shared = saved(shared.where("low <> high").select("window"), "shared_keys")
+    held = join_checked(rows.drop("key"), shared, ["window"], "inner", 16).join(rep, "doc_id")
+    held = held.select("rep", "window", "begins", "until").distinct()
+    held = held.groupBy("rep").agg(F.collect_list(F.struct("window", "begins", "until")).alias("held"))
+    spans = near.groupBy("doc_id", "first_word").agg(F.max("n_words").alias("span")).groupBy(F.col("doc_id").alias("rep"))
+    spans = spans.agg(F.collect_list(F.struct("first_word", (F.col("first_word") + F.col("span") - SHINGLE - width + 2).alias("past"))).alias("spans"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            reps, keys, begins, ends, states = [], [], [], [], []
+            for k, doc in enumerate(part.column("rep").to_pylist()):
+                own = part.column("held")[k].values
+                window, since, until = (own.field(c).to_numpy() for c in ("window", "begins", "until"))
+                # Over the places where runs begin: how many passages hold the run, then how many places none holds.
+                cover = np.zeros(int(until.max()) + 1, np.int64)
+                if part.column("spans")[k].is_valid:
+                    passages = part.column("spans")[k].values
+                    first, past = (np.minimum(passages.field(c).to_numpy(), len(cover) - 1) for c in ("first_word", "past"))
+                    # The shorter side of a passage may hold no run of that length.
+                    np.add.at(cover, first, 1)
+                    np.add.at(cover, np.maximum(first, past), -1)
+                free = np.r_[0, np.cumsum(np.cumsum(cover) <= 0)]
+                reps.append(np.full(len(window), doc))
+                keys.append(window)
+                begins.append(since)
+                ends.append(until)
+                states.append(free[until] > free[since])
+            if reps:
+                yield batch(
+                    rep=np.concatenate(reps), window=np.concatenate(keys), begins=np.concatenate(begins),
+                    until=np.concatenate(ends), open=np.concatenate(states),
+                )
+
+    judged = saved(
+        arrow_map(held.join(spans, "rep", "left"), judge, "rep long, window long, begins int, until int, open boolean"), "intervals"
+    )
+    keys = judged.groupBy("window").agg(F.max("open").alias("open"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+    keys = saved(keys.where("open and low <> high").select("window"), "open_keys")
+    wanted = join_checked(judged.drop("open"), keys, ["window"], "inner", 16)
+    wanted = saved(
+        wanted.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("begins", "until")).alias("ranges")), "open_ranges"
+    )
+    again = texts(docs).join(wanted, "doc_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in pieces(batches):
+            docs_of, found_runs, places = [], [], []
+            for k, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), text_bytes(part), strict=True)):
+                words = word_bytes(text)
+                if len(words) < SHINGLE + width - 1:  # another text under the same id
+                    continue
+                runs = run_hashes(shingles(hashes.of(words)), width)
+                ranges = part.column("ranges")[k].values
+                since, until = (np.minimum(ranges.field(c).to_numpy(), len(runs)) for c in ("begins", "until"))
+                marks = np.zeros(len(runs) + 1, np.int64)
+                np.add.at(marks, since, 1)
+                np.add.at(marks, until, -1)
+                at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+                docs_of.append(np.full(len(at), doc))
+                found_runs.append(runs[at].view(np.int64))
+                places.append(at.astype(np.int32))
+            if docs_of:
+                yield batch(doc=np.concatenate(docs_of), run=np.concatenate(found_runs), place=np.concatenate(places))
+
+    runs = saved(arrow_map(again, read, "doc long, run long, place int"), "runs")
+    first = runs.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("last"))
+    first = first.where("first.doc <> last").select("run", "first")
+    met = runs.join(first, "run").where("doc <> first.doc")
+    return met.select(
+        F.col("first.doc").alias("doc_a"), F.col("first.place").alias("place_a"), F.col("doc").alias("doc_b"), F.col("place").alias("place_b")
+    )
+
+
 def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS, functions: int = FUNCTIONS) -> DataFrame:
     """Near-duplicate passages: rows (doc_id, first_word, n_words, other_doc_id), one per passage and partner.
 
@@ -401,7 +524,9 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS, functions:
     once and returned under its smallest id. Within one text nothing is compared.
 
     Windows are found in one pass over the whole texts, met by one shuffle of their keys, and verified pair
-    by pair on the shingle sequences of the two texts, read again for the documents concerned only.
+    by pair on the shingle sequences of the two texts, read again for the documents concerned only. A window
+    meets two others of its key; what that leaves open is joined on the runs that the windows' intervals hold,
+    so every exact repeat of ``least_words`` words is found, however many unlike texts share its keys.
 
     Null and empty texts and texts of fewer than ``least_words`` words have no passage. Rows without an id
     take no part. An id that repeats with several texts is compared under that id, never with itself.
@@ -426,7 +551,8 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS, functions:
     spans = near.select(F.col("doc_id").alias("doc"), "first_word", (F.col("first_word") + F.col("n_words") - SHINGLE).alias("last"))
     inside = (F.col("doc_b") == F.col("doc")) & F.col("place_b").between(F.col("first_word"), F.col("last"))
     rest = rest.join(spans, inside, "left_anti")
-    near = near.unionByName(verified(docs, rest, width))
+    near = saved(near.unionByName(verified(docs, rest, width)), "near")
+    near = near.unionByName(verified(docs, open_meetings(docs, found, rep, near, width), width))
     # A document that copies another is a passage as a whole, which holds all others of its text: they stand under
     # the representative alone.
     members = texts_of.join(classes.where("rep < other").select("key", "key2", "rep", "other"), ["key", "key2"])

@@ -472,6 +472,46 @@ def test_windows_of_one_key_meet_their_like_across_batches_and_tasks(spark):
     assert parts(stars) == 1 and {(2 * k, 2 * k + 1) for k in range(1500)} <= set(links)
 
 
+def test_intervals_hold_every_run_once_and_equal_runs_hash_alike():
+    import numpy as np
+
+    random.seed(21)
+    for _ in range(40):
+        values = np.array([random.randrange(1 << 60) for _ in range(random.choice((9, 60, 200)))], np.uint64)
+        values = values[np.array([random.randrange(len(values)) for _ in range(len(values))])]  # some stand twice
+        width = 9
+        left, centre, right = passages.compact_windows(values, width)
+        keys, begins = passages._ranges(values[centre], left, centre, width)
+        ends = np.r_[begins[1:], len(values) - width + 1].astype(int)
+        # compact_windows compares all but the lowest 24 bits; these values differ above them.
+        for key, since, until in zip(keys, begins.astype(int), ends, strict=True):
+            assert since < until and all(values[i : i + width].min() == key for i in range(since, until))
+        assert begins[0] == 0
+        runs = passages.run_hashes(values, width)
+        sides = [tuple(values[i : i + width].tolist()) for i in range(len(values) - width + 1)]
+        assert len(runs) == len(sides) and len(set(zip(sides, runs.tolist()))) == len(set(sides)) == len(set(runs.tolist()))
+    assert len(passages.run_hashes(values[:5], 9)) == 0
+
+
+def test_repeats_beside_a_boilerplate_of_many_texts_are_found(spark):
+    random.seed(31)
+
+    def prose(n):
+        return [f"w{random.randrange(10**7)}" for _ in range(n)]
+
+    boilerplate, texts = prose(45), {}
+    for k in range(200):
+        texts[1000 + k] = prose(30) + boilerplate + prose(30)
+    for k in range(60):  # two texts each share the boilerplate and ten words more, others of the key stand between
+        own, side = prose(10), k % 2
+        for doc in (500 + k, 1500 + k):
+            texts[doc] = prose(25) + (own + boilerplate if side else boilerplate + own) + prose(25)
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    found = {(row["doc_id"], row["other_doc_id"], row["n_words"]) for row in passages.shared_passages(table).collect()}
+    want = {pair for k in range(60) for pair in ((500 + k, 1500 + k, 55), (1500 + k, 500 + k, 55))}
+    assert found == want
+
+
 def test_every_exact_repeat_of_fifty_words_is_found(spark):
     texts = {row["doc_id"]: row["text"].encode().lower().split() for row in documents(spark).collect()}
     holders = defaultdict(set)
