@@ -113,10 +113,9 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
     """Per document its text's key, and the join keys and centres of its compact windows, and 31 bits of the
     shingle that follows the centre's words.
 
-    A window's join key is the function and its least shingle. Of the first function's windows the ends are kept
-    too, as ranges of the places where subsequences of the least length begin: ``values`` holds the join keys in
-    order, ``begins`` the first place of each, and the last range ends with the text. Neighbours of one key are
-    one range. Copies met by one task send theirs once; a row without an id sends none.
+    A window's join key is the function and its least shingle. The intervals of the first function's windows are
+    kept too (``_intervals``): ``values`` holds their keys in order, ``begins`` the first place of each, and the last
+    one ends with the text. Copies met by one task send theirs once; a row without an id sends none.
     """
     width = least_words - SHINGLE + 1
 
@@ -139,9 +138,9 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
                     sent.add(whole)
                     for k in range(functions):
                         values = _function(grams, k)
-                        left, centre, _ = compact_windows(values, width)
+                        left, centre, right = compact_windows(values, width)
                         if k == 0:
-                            ranges = _ranges(values[centre], left, centre, width)
+                            ranges = _intervals(grams, values, left, centre, right, width)
                         if len(set(values[centre].tolist())) < len(centre):
                             centre = _thinned(values, centre, width // 2)
                         keys.append(values[centre])
@@ -168,14 +167,31 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
     return arrow_map(texts(docs), work, _FOUND)
 
 
-def _ranges(values: np.ndarray, left: list[int], centre: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(value, first place) of the runs of ``width`` tokens that each window holds around its centre.
+def _intervals(
+    grams: np.ndarray, values: np.ndarray, left: list[int], centre: list[int], right: list[int], width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first place) of the runs of ``width`` tokens that each window holds around its centre.
 
-    The windows' runs lie one behind the other and leave none out, so where one ends the next begins.
+    The windows' runs lie one behind the other and leave none out, so where one interval ends the next begins. A
+    window has one for the runs that reach half a width past its centre and one for those that reach as far
+    before it; the key is of the centre's value and of the half that all of them hold, so equal runs have equal keys,
+    and texts that only share the centre do not meet. Neighbours of one key are one interval.
     """
-    fresh = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
-    begins = np.maximum(np.array(left, np.int64), np.array(centre, np.int64) - width + 1)
-    return values[fresh], begins[fresh].astype(np.uint64)
+    if not centre:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    half = (width + 1) // 2
+    halves = run_hashes(grams, half)
+    at = np.array(centre)
+    low, high = np.maximum(np.array(left), at - width + 1), np.minimum(at, np.array(right) - width + 1)
+    # Runs that begin before ``middle`` hold the half up to the centre, the others the half that begins there.
+    middle = np.clip(at - half + 1, low, high + 1)
+    begins = np.c_[low, middle].ravel()
+    some = (np.c_[middle, high + 1].ravel()) > begins
+    blocks = halves[np.c_[np.maximum(at - half + 1, 0), np.minimum(at, len(halves) - 1)].ravel()]
+    keys = mixed(np.repeat(values[at], 2) + blocks)
+    keys, begins = keys[some], begins[some]
+    fresh = np.r_[True, keys[1:] != keys[:-1]]
+    return keys[fresh], begins[fresh].astype(np.uint64)
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -427,10 +443,11 @@ def run_hashes(grams: np.ndarray, width: int) -> np.ndarray:
 def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataFrame, width: int) -> DataFrame:
     """(doc_a, place_a, doc_b, place_b) of exact repeats that no meeting of windows has brought to light.
 
-    A window is open while one of its runs of ``width`` shingles lies in no passage of ``near``. In a key that
-    unlike texts share, be they any number, and that has an open window, the intervals of all windows are joined
-    on the runs they hold: a run held twice is a repeat by itself, so each meets the first of its run, and no
-    partner is left out. Windows of a key that no other text has, or without an open one, are not read again.
+    An interval is open while one of its runs of ``width`` shingles lies in no passage of ``near``. In a key that
+    unlike texts share, be they any number, and that has an open interval, all intervals are joined on the runs
+    they hold: a run held twice is a repeat by itself, so an open one meets the first of its run, or the last if it is
+    the first, and none is left out. Intervals of a key that no other text has, or without an open one, are not
+    read again.
     """
     intervals = F.arrays_zip(
         "values", F.col("begins").alias("begins"),
@@ -450,7 +467,7 @@ def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataF
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            reps, keys, begins, ends, states = [], [], [], [], []
+            reps, keys, begins, ends, opens, shuts = [], [], [], [], [], []
             for k, doc in enumerate(part.column("rep").to_pylist()):
                 own = part.column("held")[k].values
                 window, since, until = (own.field(c).to_numpy() for c in ("window", "begins", "until"))
@@ -462,56 +479,65 @@ def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataF
                     # The shorter side of a passage may hold no run of that length.
                     np.add.at(cover, first, 1)
                     np.add.at(cover, np.maximum(first, past), -1)
-                free = np.r_[0, np.cumsum(np.cumsum(cover) <= 0)]
+                # The first and the last open place of each interval.
+                free = np.flatnonzero(np.cumsum(cover)[:-1] <= 0)
+                lo, hi = np.searchsorted(free, since), np.searchsorted(free, until)
+                padded = np.r_[free, 0]
                 reps.append(np.full(len(window), doc))
                 keys.append(window)
                 begins.append(since)
                 ends.append(until)
-                states.append(free[until] > free[since])
+                opens.append(np.where(hi > lo, padded[lo], 0).astype(np.int32))
+                shuts.append(np.where(hi > lo, padded[hi - 1] + 1, 0).astype(np.int32))
             if reps:
                 yield batch(
                     rep=np.concatenate(reps), window=np.concatenate(keys), begins=np.concatenate(begins),
-                    until=np.concatenate(ends), open=np.concatenate(states),
+                    until=np.concatenate(ends), open=np.concatenate(opens), shut=np.concatenate(shuts),
                 )
 
     judged = saved(
-        arrow_map(held.join(spans, "rep", "left"), judge, "rep long, window long, begins int, until int, open boolean"), "intervals"
-    )
-    keys = judged.groupBy("window").agg(F.max("open").alias("open"), F.min("rep").alias("low"), F.max("rep").alias("high"))
-    keys = saved(keys.where("open and low <> high").select("window"), "open_keys")
-    wanted = join_checked(judged.drop("open"), keys, ["window"], "inner", 16)
-    wanted = saved(
-        wanted.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("begins", "until")).alias("ranges")), "open_ranges"
+        arrow_map(held.join(spans, "rep", "left"), judge, "rep long, window long, begins int, until int, open int, shut int"), "intervals"
     )
+    keys = judged.groupBy("window").agg(F.max("shut").alias("shut"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+    keys = saved(keys.where("shut > 0 and low <> high").select("window"), "open_keys")
+    wanted = join_checked(judged, keys, ["window"], "inner", 16).groupBy(F.col("rep").alias("doc_id"))
+    wanted = saved(wanted.agg(F.collect_list(F.struct("begins", "until", "open", "shut")).alias("ranges")), "open_ranges")
     again = texts(docs).join(wanted, "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in pieces(batches):
-            docs_of, found_runs, places = [], [], []
+            docs_of, found_runs, places, states = [], [], [], []
             for k, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), text_bytes(part), strict=True)):
                 words = word_bytes(text)
                 if len(words) < SHINGLE + width - 1:  # another text under the same id
                     continue
                 runs = run_hashes(shingles(hashes.of(words)), width)
                 ranges = part.column("ranges")[k].values
-                since, until = (np.minimum(ranges.field(c).to_numpy(), len(runs)) for c in ("begins", "until"))
-                marks = np.zeros(len(runs) + 1, np.int64)
-                np.add.at(marks, since, 1)
-                np.add.at(marks, until, -1)
-                at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+                inside = []
+                for since, until in (("begins", "until"), ("open", "shut")):
+                    marks = np.zeros(len(runs) + 1, np.int64)
+                    np.add.at(marks, np.minimum(ranges.field(since).to_numpy(), len(runs)), 1)
+                    np.add.at(marks, np.minimum(ranges.field(until).to_numpy(), len(runs)), -1)
+                    inside.append(np.cumsum(marks)[:-1] > 0)
+                at = np.flatnonzero(inside[0])
+                states.append(inside[1][at])
                 docs_of.append(np.full(len(at), doc))
                 found_runs.append(runs[at].view(np.int64))
                 places.append(at.astype(np.int32))
             if docs_of:
-                yield batch(doc=np.concatenate(docs_of), run=np.concatenate(found_runs), place=np.concatenate(places))
-
-    runs = saved(arrow_map(again, read, "doc long, run long, place int"), "runs")
-    first = runs.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("last"))
-    first = first.where("first.doc <> last").select("run", "first")
-    met = runs.join(first, "run").where("doc <> first.doc")
+                yield batch(doc=np.concatenate(docs_of), run=np.concatenate(found_runs), place=np.concatenate(places), open=np.concatenate(states))
+
+    runs = saved(arrow_map(again, read, "doc long, run long, place int, open boolean"), "runs")
+    own = F.struct("doc", "place")
+    ends = runs.groupBy("run").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.max("open").alias("open"))
+    ends = ends.where("open and first.doc <> last.doc").select("run", "first", "last")
+    met = runs.where("open").join(ends, "run").withColumn("other", F.when(F.col("doc") == F.col("first.doc"), F.col("last")).otherwise(F.col("first")))
+    # A pair is one whichever of the two is open.
+    a, b = F.least(own, "other"), F.greatest(own, "other")
+    met = met.select(a.alias("a"), b.alias("b"))
     return met.select(
-        F.col("first.doc").alias("doc_a"), F.col("first.place").alias("place_a"), F.col("doc").alias("doc_b"), F.col("place").alias("place_b")
+        F.col("a.doc").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc").alias("doc_b"), F.col("b.place").alias("place_b")
     )
 
 

@@ -481,12 +481,17 @@ def test_intervals_hold_every_run_once_and_equal_runs_hash_alike():
         values = values[np.array([random.randrange(len(values)) for _ in range(len(values))])]  # some stand twice
         width = 9
         left, centre, right = passages.compact_windows(values, width)
-        keys, begins = passages._ranges(values[centre], left, centre, width)
+        keys, begins = passages._intervals(values, values, left, centre, right, width)
         ends = np.r_[begins[1:], len(values) - width + 1].astype(int)
-        # compact_windows compares all but the lowest 24 bits; these values differ above them.
-        for key, since, until in zip(keys, begins.astype(int), ends, strict=True):
-            assert since < until and all(values[i : i + width].min() == key for i in range(since, until))
-        assert begins[0] == 0
+        assert begins[0] == 0 and (begins.astype(int) < ends).all()
+        key_of = {}
+        for key, since, until in zip(keys.tolist(), begins.astype(int), ends, strict=True):
+            for i in range(since, until):  # equal runs have one key, and runs of one key have one least value
+                assert key_of.setdefault(tuple(values[i : i + width].tolist()), key) == key
+        least = defaultdict(set)
+        for run, key in key_of.items():
+            least[key].add(min(run))
+        assert all(len(found) == 1 for found in least.values())
         runs = passages.run_hashes(values, width)
         sides = [tuple(values[i : i + width].tolist()) for i in range(len(values) - width + 1)]
         assert len(runs) == len(sides) and len(set(zip(sides, runs.tolist()))) == len(set(sides)) == len(set(runs.tolist()))
