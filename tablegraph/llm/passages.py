@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -180,17 +181,18 @@ def _intervals(
     if not centre:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     half = (width + 1) // 2
-    halves = run_hashes(grams, half)
     at = np.array(centre)
     low, high = np.maximum(np.array(left), at - width + 1), np.minimum(at, np.array(right) - width + 1)
     # Runs that begin before ``middle`` hold the half up to the centre, the others the half that begins there.
     middle = np.clip(at - half + 1, low, high + 1)
-    begins = np.c_[low, middle].ravel()
-    some = (np.c_[middle, high + 1].ravel()) > begins
-    blocks = halves[np.c_[np.maximum(at - half + 1, 0), np.minimum(at, len(halves) - 1)].ravel()]
-    keys = mixed(np.repeat(values[at], 2) + blocks)
-    keys, begins = keys[some], begins[some]
-    fresh = np.r_[True, keys[1:] != keys[:-1]]
+    begins, blocks = np.empty(2 * len(at), np.int64), np.empty(2 * len(at), np.int64)
+    begins[::2], begins[1::2] = low, middle
+    blocks[::2], blocks[1::2] = at - half + 1, at
+    # Where an interval is empty, so that the next begins at its place, its half may lie outside the text.
+    some = np.append(begins[1:] > begins[:-1], high[-1] >= middle[-1])
+    begins = begins[some]
+    keys = mixed(np.repeat(values[at], 2)[some] + run_hashes(grams, half, blocks[some]))
+    fresh = np.append(True, keys[1:] != keys[:-1])
     return keys[fresh], begins[fresh].astype(np.uint64)
 
 
@@ -429,15 +431,23 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     return arrow_map(joined.select(*columns), verify, SPANS)
 
 
-def run_hashes(grams: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` shingles, from sums of powers, in one pass whatever the width."""
-    step, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number, modulo 2 ** 64, and their inverses."""
+    step = 0x9E3779B97F4A7C15
+    return tuple(
+        np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64) for base in (step, pow(step, -1, 1 << 64))
+    )
+
+
+def run_hashes(grams: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of ``width`` shingles, or of those that begin ``at`` some places, from sums of powers."""
     n = len(grams)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(n, step, np.uint64)], dtype=np.uint64)
-    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, back, np.uint64)], dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum(grams * powers[:n], dtype=np.uint64)]
-    starts = max(0, n - width + 1)
-    return mixed((sums[width : width + starts] - sums[:starts]) * inverse[:starts])
+    powers, inverse = _powers(1 << max(10, n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(grams * powers[:n], out=sums[1:])
+    at = np.arange(max(0, n - width + 1)) if at is None else at
+    return mixed((sums[at + width] - sums[at]) * inverse[at])
 
 
 def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataFrame, width: int) -> DataFrame:
@@ -531,8 +541,9 @@ def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataF
     runs = saved(arrow_map(again, read, "doc long, run long, place int, open boolean"), "runs")
     own = F.struct("doc", "place")
     ends = runs.groupBy("run").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.max("open").alias("open"))
-    ends = ends.where("open and first.doc <> last.doc").select("run", "first", "last")
-    met = runs.where("open").join(ends, "run").withColumn("other", F.when(F.col("doc") == F.col("first.doc"), F.col("last")).otherwise(F.col("first")))
+    # A table of its own, so that a run of many rows can be split between tasks when it meets it.
+    ends = saved(ends.where("open and first.doc <> last.doc").select("run", "first", "last"), "run_ends")
+    met = join_checked(runs.where("open"), ends, ["run"], "inner", 64).withColumn("other", F.when(F.col("doc") == F.col("first.doc"), F.col("last")).otherwise(F.col("first")))
     # A pair is one whichever of the two is open.
     a, b = F.least(own, "other"), F.greatest(own, "other")
     met = met.select(a.alias("a"), b.alias("b"))
