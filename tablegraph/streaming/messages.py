@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 # Fixed value: the forms in which an identifier may be written.
 UUID_PATTERN = (
@@ -12,6 +12,12 @@ UUID_PATTERN = (
 )
 MESSAGE_SCHEMA = "job_id string, session_id string, attempt string"
 
+# Where the state of a query lies when it may outgrow memory.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 #: The attempt of a message that does not carry one.
 FIRST_ATTEMPT = 0
 
@@ -89,7 +95,7 @@ def dedupe_messages(stream: DataFrame, event_time: str, within: str) -> DataFram
     """One message per job id among those that arrive within the given delay of each other.
 
     State holds only the ids of that period. For exactness over all time use
-    ``settle_messages``, which compares against the table of settled jobs.
+    ``settle_messages``, which keeps every id as state.
     """
     return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["job_id"])
 
@@ -97,30 +103,36 @@ def dedupe_messages(stream: DataFrame, event_time: str, within: str) -> DataFram
 def settle_messages(stream: DataFrame, settled_path: str, checkpoint: str) -> StreamingQuery:
     """Write each job id once, however often and however late its messages arrive.
 
-    A batch keeps its first message per job and drops jobs that an earlier
-    batch settled. Rows of the batch itself are left out of that comparison, so
-    a batch that runs twice gives the same result.
+    The ids settled so far are keyed state in RocksDB, dealt by id and kept in the checkpoint: a micro-batch looks
+    up its own ids only, whatever the number settled before, and the settled table is written, never read. A batch that
+    runs twice starts from the state before it and replaces its own rows. The state lives and dies with the
+    checkpoint; messages without an id count as one job.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.dropDuplicates(["job_id"]).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        if batch_id > 0:
-            schema = "job_id string, batch_id bigint"
-            settled = spark.read.schema(schema).parquet(settled_path)
-            first = first.join(
-                settled.where(F.col("batch_id") < batch_id).select("job_id"), "job_id", "left_anti"
-            )
-        _replace_batch(first, settled_path)
+        _replace_batch(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), settled_path)
 
-    return (
-        stream.writeStream.foreachBatch(write)
+    return _start_on_disk_state(
+        stream.sparkSession,
+        stream.dropDuplicates(["job_id"])
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        .trigger(availableNow=True),
     )
 
 
+def _start_on_disk_state(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Start a query whose state is kept by RocksDB, with its changes alone written each batch."""
+    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
+    try:
+        for name, value in DISK_STATE.items():
+            spark.conf.set(name, value)
+        return writer.start()  # takes the settings along
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def job_state_stream(events: DataFrame) -> DataFrame:
     """The latest state of each job, as an update-mode aggregation over its events.
 
@@ -138,13 +150,13 @@ def write_job_state(events: DataFrame, path: str, checkpoint: str) -> StreamingQ
     def write(batch: DataFrame, batch_id: int) -> None:
         _replace_batch(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path)
 
-    return (
+    return _start_on_disk_state(
+        events.sparkSession,
         job_state_stream(events)
         .writeStream.foreachBatch(write)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        .trigger(availableNow=True),
     )
 
 

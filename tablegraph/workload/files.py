@@ -365,6 +365,35 @@ FROM {supplier}
 _PART_INSERT = "SELECT 'INSERT INTO part VALUES (' || CAST(p_partkey AS VARCHAR(20)) || ');' AS value FROM {part}"
 
 
+# One table for each supplier, its columns, types and links made of the supplier's values; every third has rows.
+_STOCK_TABLES = r"""
+SELECT 'CREATE TABLE stock_' || CAST(s_suppkey AS VARCHAR(20)) || ' (id BIGINT PRIMARY KEY, "' || s_name || '" '
+  || CASE s_suppkey % 3 WHEN 0 THEN 'numeric(' || CAST(s_nationkey + 5 AS VARCHAR(9)) || ', 2)' WHEN 1 THEN 'character varying(' || CAST(s_nationkey + 1 AS VARCHAR(9)) || ')' ELSE 'boolean' END
+  || ' DEFAULT NULL, s_nationkey INTEGER REFERENCES nation_' || CAST(s_nationkey AS VARCHAR(9)) || '(n_nationkey)'
+  || CASE WHEN s_acctbal < 5000 THEN ', parent_id BIGINT' ELSE '' END || ');' || chr(10)
+  || CASE WHEN s_acctbal < 5000 THEN 'ALTER TABLE stock_' || CAST(s_suppkey AS VARCHAR(20)) || ' ADD FOREIGN KEY (parent_id, id) REFERENCES stock_'
+    || CAST(s_suppkey + 1 AS VARCHAR(20)) || ' (a, b);' || chr(10) ELSE '' END
+  || CASE WHEN s_suppkey % 3 = 0 THEN 'INSERT INTO stock_' || CAST(s_suppkey AS VARCHAR(20)) || ' (id) VALUES (1);' ELSE '' END AS value
+FROM {supplier}
+"""
+_STOCK = """
+SELECT 'stock_' || s_suppkey AS "table", position, name, inferred_type FROM (
+  SELECT s_suppkey, 0 AS position, 'id' AS name, 'BIGINT' AS inferred_type FROM supplier
+  UNION ALL SELECT s_suppkey, 1, s_name, CASE s_suppkey % 3 WHEN 0 THEN 'DECIMAL(' || (s_nationkey + 5) || ', 2)'
+    WHEN 1 THEN 'VARCHAR(' || (s_nationkey + 1) || ')' ELSE 'BOOLEAN' END FROM supplier
+  UNION ALL SELECT s_suppkey, 2, 's_nationkey', 'INT' FROM supplier
+  UNION ALL SELECT s_suppkey, 3, 'parent_id', 'BIGINT' FROM supplier WHERE s_acctbal < 5000)
+"""
+
+
+def _declared(spark, sf):
+    """The statements of a dump with the fixed schema and a table for each supplier."""
+    root = work_path(spark, "declared")
+    spark.createDataFrame([(_SCHEMA,)], "value string").coalesce(1).write.text(f"{root}/0_schema.sql")
+    derive(spark, sf, _STOCK_TABLES).write.text(f"{root}/1_stock.sql")
+    return D.dump_statements(spark, root)
+
+
 def dump_files(spark, sf):
     """A folder of dump files, taken in name order: the schema, then rows."""
     root = work_path(spark, "dump")
@@ -409,9 +438,9 @@ SELECT * FROM (VALUES ('region', 0, 'r_regionkey', 'INT'), ('region', 1, 'r_name
 """
 
 
-@query("dump_columns", _DECLARED)
+@query("dump_columns", f"{_DECLARED} UNION ALL {_STOCK}")
 def dump_columns(spark, sf):
-    return D.dump_columns(_dump(spark, sf))
+    return D.dump_columns(_declared(spark, sf))
 
 
 @query(
@@ -422,10 +451,13 @@ def dump_columns(spark, sf):
       ('supplier', 'supplier', 'FOREIGN_KEY', 'parent_id', 's_suppkey', 'belongs to parent', 'has many parent'),
       ('supplier', 'branch', 'FOREIGN_KEY', 's_nationkey,s_suppkey', 'a,b', 'belongs to', 'has many'),
       ('supplier', 'nation', 'FOREIGN_KEY', 's_nationkey', NULL, 'belongs to', 'has many'))
-      AS v(from_table, to_table, type, from_column, to_column, name, inverse_name)""",
+      AS v(from_table, to_table, type, from_column, to_column, name, inverse_name)
+    UNION ALL SELECT 'stock_' || s_suppkey, 'nation_' || s_nationkey, 'FOREIGN_KEY', 's_nationkey', 'n_nationkey', 'belongs to', 'has many' FROM supplier
+    UNION ALL SELECT 'stock_' || s_suppkey, 'stock_' || (s_suppkey + 1), 'FOREIGN_KEY', 'parent_id,id', 'a,b', 'belongs to', 'has many'
+      FROM supplier WHERE s_acctbal < 5000""",
 )
 def dump_links(spark, sf):
-    return D.dump_links(_dump(spark, sf)).drop("stmt_no", "item_no")
+    return D.dump_links(_declared(spark, sf)).drop("stmt_no", "item_no")
 
 
 _CUSTOMER_ROWS = """
@@ -468,6 +500,18 @@ def dump_empty_table(spark, sf):
     return D.dump_rows(_dump(spark, sf), "empty_table").drop("stmt_no", "tuple_no")
 
 
+@query(
+    "dump_tables_without_rows",
+    f"""SELECT * FROM ({_STOCK}) AS s WHERE CAST(substr("table", 7) AS BIGINT) % 3 <> 0
+        UNION ALL {_DECLARED}""",
+)
+def dump_tables_without_rows(spark, sf):
+    """The columns that tables keep of which the dump has no row, however many tables there are."""
+    stmts = _declared(spark, sf)
+    filled = D.dump_tuples(stmts).select("table").distinct()
+    return D.dump_columns(stmts).join(filled, "table", "left_anti")
+
+
 @query(
     "dump_all_rows",
     """SELECT 'customer' AS "table", count(*) AS n, min(c_custkey) AS least, max(c_custkey) AS most, 0 AS first, count(*) - 1 AS last, count(*) AS positions FROM customer

@@ -49,11 +49,19 @@ def test_late_copies_are_dropped_across_batches(spark, tmp_path):
     def run(*data):
         spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        S.settle_messages(stream, settled, checkpoint).awaitTermination()
+        started = S.settle_messages(stream, settled, checkpoint)
+        started.awaitTermination()
+        return started.lastProgress
 
     run(("a", 1), ("a", 2), ("b", 1))
-    run(("a", 3), ("c", 1))
+    progress = run(("a", 3), ("c", 1))
     assert rows(spark.read.parquet(settled).select("job_id"), "job_id") == [("a",), ("b",), ("c",)]
+    # Only the ids of the batch are looked up and only new ones kept; settled rows are no source of it.
+    state = progress["stateOperators"][0]
+    assert (state["numRowsTotal"], state["numRowsUpdated"]) == (3, 1) and state["customMetrics"]["rocksdbGetCount"] <= 2
+    assert [source["numInputRows"] for source in progress["sources"]] == [2]
+    run(("a", 4), ("b", 5))
+    assert spark.read.parquet(settled).count() == 3
 
 
 def test_landed_uploads_are_taken_once(spark, tmp_path):
