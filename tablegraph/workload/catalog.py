@@ -70,48 +70,42 @@ def _columns_sql(name, columns):
     return " UNION ALL ".join(parts)
 
 
-@query(
-    "catalog_columns",
-    " UNION ALL ".join(
-        [
-            _columns_sql(
-                "orders",
-                [
-                    ("o_orderkey", "int64"),
-                    ("o_custkey", "int64"),
-                    ("o_orderstatus", "object"),
-                    ("o_totalprice", "float64"),
-                    ("o_orderdate", "datetime64[us]"),
-                    ("o_orderpriority", "object"),
-                ],
-            ),
-            _columns_sql("labels", [("doc_id", "int64"), ("quality", "int32"), ("toxic", "int32")]),
-            _columns_sql(
-                "events",
-                [
-                    ("event_id", "int64"),
-                    ("ts", "datetime64[us]"),
-                    ("user_id", "int64"),
-                    ("event_type", "object"),
-                    ("value", "float64"),
-                    ("props", "object"),
-                ],
-            ),
-        ]
-    ),
-)
+# The given tables' columns by kind.
+_COLUMNS = {
+    "region": "r_regionkey:int32 r_name:object",
+    "nation": "n_nationkey:int32 n_name:object n_regionkey:int32",
+    "customer": "c_custkey:int64 c_name:object c_nationkey:int32 c_acctbal:float64 c_mktsegment:object",
+    "supplier": "s_suppkey:int64 s_name:object s_nationkey:int32 s_acctbal:float64",
+    "part": "p_partkey:int64 p_name:object p_brand:object p_type:object p_size:int32 p_retailprice:float64",
+    "orders": "o_orderkey:int64 o_custkey:int64 o_orderstatus:object o_totalprice:float64 o_orderdate:datetime64[us] o_orderpriority:object",
+    "lineitem": "l_orderkey:int64 l_partkey:int64 l_suppkey:int64 l_linenumber:int32 l_quantity:float64 l_extendedprice:float64 "
+    "l_discount:float64 l_tax:float64 l_returnflag:object l_linestatus:object l_shipdate:datetime64[us]",
+    "events": "event_id:int64 ts:datetime64[us] user_id:int64 event_type:object value:float64 props:object",
+    "documents": "doc_id:int64 text:object lang:object source:object n_chars:int64",
+    "embeddings": "vec_id:int64 embedding:object label:int32",
+    "pages": "page_id:int64 url:object html:object",
+    "benchmark": "item_id:int64 text:object",
+    "labels": "doc_id:int64 quality:int32 toxic:int32",
+    "conversations": "conv_id:int64 turn:int64 role:object text:object",
+}
+_COLUMNS = {name: [tuple(column.split(":", 1)) for column in columns.split()] for name, columns in _COLUMNS.items()}
+
+
+@query("catalog_columns", " UNION ALL ".join(_columns_sql(name, columns) for name, columns in _COLUMNS.items()))
 def catalog_columns(spark, sf):
-    return C.catalog_columns({name: placed(spark, sf, name) for name in ("orders", "labels", "events")})
+    return C.catalog_columns({name: table(spark, sf, name) for name in TABLES})
 
 
 @query(
     "ingest_catalog",
-    """SELECT 's1' AS session_id, 'orders' AS name, count(*) AS row_count, 6 AS n_columns FROM orders
-       UNION ALL SELECT 's1', 'customer', count(*), 5 FROM customer""",
+    " UNION ALL ".join(
+        f"SELECT 's1' AS session_id, '{name}' AS name, count(*) AS row_count, {len(columns)} AS n_columns FROM {name}"
+        for name, columns in _COLUMNS.items()
+    ),
 )
 def ingest_catalog(spark, sf):
     source, out = work_path(spark, "upload"), work_path(spark, "ingest")
-    for name in ("orders", "customer"):
+    for name in TABLES:
         table(spark, sf, name).write.parquet(f"{source}/{name}.parquet")
     ingest(spark, source, "parquet", out, "s1")
     columns = C.read_catalog(spark, out, "columns").groupBy("session_id", F.col("table").alias("name")).agg(
