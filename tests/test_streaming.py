@@ -54,14 +54,15 @@ def test_late_copies_are_dropped_across_batches(spark, tmp_path):
         return started.lastProgress
 
     run(("a", 1), ("a", 2), ("b", 1))
-    progress = run(("a", 3), ("c", 1))
+    run(("a", 3), ("c", 1))
     assert rows(spark.read.parquet(settled).select("job_id"), "job_id") == [("a",), ("b",), ("c",)]
-    # Only the ids of the batch are looked up and only new ones kept; settled rows are no source of it.
+    run(*[(f"d{k}", k) for k in range(100)])
+    # However many ids are settled, a batch looks up its own, one look more for each it adds, and reads its own rows.
+    progress = run(("a", 4), ("e", 5))
     state = progress["stateOperators"][0]
-    assert (state["numRowsTotal"], state["numRowsUpdated"]) == (3, 1) and state["customMetrics"]["rocksdbGetCount"] <= 2
+    assert (state["numRowsTotal"], state["numRowsUpdated"]) == (104, 1) and state["customMetrics"]["rocksdbGetCount"] <= 3
     assert [source["numInputRows"] for source in progress["sources"]] == [2]
-    run(("a", 4), ("b", 5))
-    assert spark.read.parquet(settled).count() == 3
+    assert spark.read.parquet(settled).count() == 104
 
 
 def test_landed_uploads_are_taken_once(spark, tmp_path):
