@@ -28,7 +28,9 @@ MODEL_BYTES = 64 << 20
 #: Rows that fit the calibration; more labelled rows are thinned to about this many by the hash of their id.
 CALIBRATION_ROWS = 200_000
 #: Word pairs a task gathers before it combines them.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
+#: Bytes of text whose keys a task looks up at once: three keys a word and their places, up to 40 bytes a byte.
+LOOKED_UP = 1 << 20
 _SPACED = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in bytes(range(256)).lower())
 _START = np.uint64(0x5BD1E9955BD1E995)
 
@@ -193,31 +195,35 @@ def _totals_by_broadcast(docs: DataFrame, table: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], model.column("weight").to_numpy()[order]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        known, weight = shared.value
-        for part in pieces(batches):
-            found = [_keys(text, hashes) for text in text_bytes(part)]
-            flat = np.concatenate([k for k, _ in found])
-            owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-            # Looked up in order, neighbours lie in the same part of memory.
-            order = np.argsort(flat)
-            flat, owner = flat[order], owner[order]
-            at = np.searchsorted(known, flat) if len(known) else np.zeros(len(flat), np.int64)
-            at[at == len(known)] = 0
-            hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-            owner, own = owner[hit], weight[at[hit]].astype(np.float64)
-            total = np.bincount(owner, weights=own, minlength=len(found))
-            strong = np.bincount(owner, weights=np.where(own >= STRONG, own, 0.0), minlength=len(found))
-            n = pa.array([n for _, n in found], pa.int64())
-            yield batch(doc_id=part.column("doc_id"), total=total, strong=strong, n=n)
+        yield from _looked_up(batches, *shared.value)
 
     return arrow_map(texts(docs), work, "doc_id long, total double, strong double, n long")
 
 
+def _looked_up(batches: Iterator[pa.RecordBatch], known: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The totals of the texts by the sorted keys ``known`` and their weights."""
+    hashes = WordHashes()
+    for part in pieces(batches, LOOKED_UP):
+        found = [_keys(text, hashes) for text in text_bytes(part)]
+        flat = np.concatenate([k for k, _ in found])
+        owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(k) for k, _ in found])
+        # Looked up in order, neighbours lie in the same part of memory.
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        at = np.searchsorted(known, flat) if len(known) else np.zeros(len(flat), np.int64)
+        at[at == len(known)] = 0
+        hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+        owner, own = owner[hit], weight[at[hit]].astype(np.float64)
+        total = np.bincount(owner, weights=own, minlength=len(found))
+        strong = np.bincount(owner, weights=np.where(own >= STRONG, own, 0.0), minlength=len(found))
+        n = pa.array([n for _, n in found], pa.int64())
+        yield batch(doc_id=part.column("doc_id"), total=total, strong=strong, n=n)
+
+
 def _totals_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for part in pieces(batches):
+        for part in pieces(batches, LOOKED_UP):
             found = [_keys(text, hashes) for text in text_bytes(part)]
             yield batch(
                 row=part.column("row"), doc_id=part.column("doc_id"), n=pa.array([n for _, n in found], pa.int64()),

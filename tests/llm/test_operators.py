@@ -640,3 +640,28 @@ def test_copies_stand_as_a_whole_and_their_text_once(spark):
     assert set(spans) == {doc for doc, _ in rows}
     assert all(spans[k] == {(0, 400, 10)} for k in range(11, 40)) and (0, 400, 39) in spans[10]
     assert all(any(first == 0 and n >= 70 for first, n, _ in spans[k]) for k in range(50, 55))
+
+
+def test_toxicity_looks_up_a_large_batch_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnop" for c in "qrstu"]
+    texts = [" ".join(rng.choices(vocabulary, k=3000)) for _ in range(900)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    known = np.sort(toxicity._keys(" ".join(vocabulary).encode(), WordHashes())[0])
+    weight = np.ones(len(known), np.float32)
+
+    def totals(rows):
+        return [t for part in toxicity._looked_up(iter([rows]), known, weight) for t in part.column("total").to_pylist()]
+
+    alone = [totals(rows.slice(k, 1))[0] for k in range(5)]
+    tracemalloc.start()
+    together = totals(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert together[:5] == alone and len(together) == 900
+    assert peak < 8 * rows.nbytes
