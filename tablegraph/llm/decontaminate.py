@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, edit verification."""
+"""Benchmark decontamination: bounds from grams, CGK embeddings with bit-sampling LSH, edit verification of all that is left."""
 
 from __future__ import annotations
 
@@ -10,22 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegraph.llm.common import WordHashes, arrow_map, batch, pieces, shingles, text_bytes, texts
+from tablegraph.llm.common import WordHashes, arrow_map, batch, pieces, text_bytes, texts
 
 #: Edits allowed per character of an item.
 EDITS = 0.2
 #: Random walks, tables of each, and symbols a table samples. A window that begins a word off and has edits
 #: besides keeps about half of the sampled symbols, so one table misses it with 1 - 0.5 ** 3 and all 24 with
-#: 4 %; a window of other text meets an item in 1 % of cases and is verified in vain.
+#: 4 %; what they miss is verified without them.
 WALKS, TABLES, SYMBOLS = 4, 6, 3
 #: Symbols are sampled from the steps in which a walk is still inside its string.
 REACH = 1.8
-#: Words by which two word pairs of a passage may be displaced against the item, at least; an edit displaces them by
-#: one word at most, so longer items allow as many as edits.
-BAND = 8
+#: Bytes of a gram of a document; grams lie end to end.
+GRAM = 6
+#: Slots of the table of an item's grams, as a power of two. Grams that share a slot lower a bound, never raise it.
+SLOT_BITS = 22
 #: Bytes of benchmark text searched for at once.
-BLOCK_BYTES = 8 << 20
-#: Windows embedded at once.
+BLOCK_BYTES = 256 << 10
+#: Bytes of document text searched at once; longer texts are cut, with as much overlap as a passage is long.
+TEXT_BYTES = 1 << 20
+#: Windows embedded or verified at once.
 AT_ONCE = 2048
 
 SCHEMA = "doc_id long, item_id long, first_word int, edits int, n_chars int"
@@ -33,17 +36,15 @@ SCHEMA = "doc_id long, item_id long, first_word int, edits int, n_chars int"
 
 @dataclass
 class Index:
-    """Items of one block: texts, postings of their word pairs, and the buckets of their embeddings."""
+    """Items of one block: texts, their grams and those within one edit of them, and the buckets of their embeddings."""
 
     ids: list[int]
     items: list[bytes]
-    pair_keys: np.ndarray  # sorted, distinct
-    pair_starts: np.ndarray  # into the postings
-    pair_items: np.ndarray
-    pair_places: np.ndarray
-    needed: np.ndarray  # pairs of an item that a passage must keep
-    reach: np.ndarray  # words by which two of them may be displaced
     lengths: np.ndarray
+    room: np.ndarray  # edits allowed
+    whole: tuple[np.ndarray, np.ndarray]  # slot -> items that hold the gram
+    close: tuple[np.ndarray, np.ndarray]  # slot -> items that hold a string within one edit of it
+    masks: list[np.ndarray]  # per item, byte and 64 places of it: where the byte stands; places before the item match all
     buckets: dict[int, list[int]]
 
 
@@ -92,49 +93,78 @@ def normal(text: bytes) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words)
 
 
+def _slots(columns: list[np.ndarray], kind: int) -> np.ndarray:
+    """The slot of the string of these bytes, looked for as one ``kind`` of neighbour."""
+    key = np.full(len(columns[0]), kind, np.uint64)
+    for column in columns:
+        key = key * np.uint64(0x100000001B3) + column
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+# Kinds of neighbour: the gram, the gram without a byte, a longer string without one, two strings without the same one.
+_SAME, _SHORT, _LONG, _OTHER = 1, 2, 3, 4
+
+
+def _without(columns: list[np.ndarray], at: int) -> list[np.ndarray]:
+    return columns[:at] + columns[at + 1 :]
+
+
+def _item_slots(item: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the grams of an item, and of all that a gram within one edit of one of its strings is looked up by."""
+    x = np.frombuffer(item, np.uint8).astype(np.uint64)
+
+    def strings(size: int) -> list[np.ndarray]:
+        return [x[k : max(k, len(x) - size + 1 + k)] for k in range(size)]
+
+    grams, longer = strings(GRAM), strings(GRAM + 1)
+    close = [_slots(_without(grams, k), _OTHER + k) for k in range(GRAM)]
+    close += [_slots(strings(GRAM - 1), _SHORT)]
+    close += [_slots(_without(longer, k), _LONG) for k in range(1, GRAM)]
+    return _slots(grams, _SAME), np.concatenate(close)
+
+
+def _by_slot(slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    n = len(slots)
+    pairs = np.unique(np.concatenate(slots) * n + np.repeat(np.arange(n), [len(s) for s in slots]))
+    starts = np.searchsorted(pairs // n, np.arange((1 << SLOT_BITS) + 1))
+    return starts.astype(np.int32), (pairs % n).astype(np.int32)
+
+
 def build(rows: list[tuple[int, bytes]], edits: float) -> Index | None:
-    """The index of items with at least two words."""
-    hashes = WordHashes()
-    kept = []
-    for item, text in rows:
-        words, plain = normal(text)
-        if len(words) >= 2:
-            kept.append((item, words, plain))
+    """The index of the items that hold a word."""
+    kept = [(item, plain) for item, text in rows if (plain := normal(text)[1])]
     if not kept:
         return None
-    keys, owners, places, needed = [], [], [], []
-    for k, (_, words, _) in enumerate(kept):
-        pairs = shingles(hashes.of(words), 2)
-        keys.append(pairs)
-        owners.append(np.full(len(pairs), k))
-        places.append(np.arange(len(pairs)))
-        needed.append(1 if len(pairs) < 8 else 2)
-    key, owner, place = map(np.concatenate, (keys, owners, places))
-    order = np.argsort(key, kind="stable")
-    key, owner, place = key[order], owner[order], place[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    items = [plain for _, plain in kept]
+    lengths = np.array([len(plain) for plain in items])
+    whole, close = zip(*map(_item_slots, items), strict=True)
+    masks = []
+    for plain in items:
+        free = -len(plain) % 64
+        bits = np.zeros((256, free + len(plain)), np.uint8)
+        bits[:, :free] = 1
+        bits[np.frombuffer(plain, np.uint8), np.arange(free, free + len(plain))] = 1
+        masks.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
     bits, shares = _random()
-    lengths = np.array([len(plain) for _, _, plain in kept])
-    found = bucket_keys(_matrix([plain for _, _, plain in kept]), lengths, bits, shares)
     buckets: dict[int, list[int]] = {}
-    for k, row in enumerate(found.tolist()):
+    for k, row in enumerate(bucket_keys(_matrix(items), lengths, bits, shares).tolist()):
         for bucket in row:
             buckets.setdefault(bucket, []).append(k)
-    return Index(
-        [i for i, _, _ in kept], [p for _, _, p in kept], key[starts], np.r_[starts, len(key)], owner, place,
-        np.array(needed), np.maximum(BAND, (edits * lengths).astype(np.int64)), lengths, buckets,
-    )
+    room = np.array([int(edits * n) for n in lengths.tolist()])
+    return Index([i for i, _ in kept], items, lengths, room, _by_slot(list(whole)), _by_slot(list(close)), masks, buckets)
 
 
-def least_edits(item: bytes, text: bytes) -> int:
-    """Fewest edits between ``item`` and any substring of ``text``, by the bit-parallel recurrence over the
-    columns of the edit matrix, one machine word of any length per column."""
+def _scores(item: bytes, text: bytes, anchored: bool = False) -> Iterator[int]:
+    """Per end in ``text``: the fewest edits between ``item`` and a string that ends there, or, ``anchored``, the text
+    up to there. The bit-parallel recurrence over the columns of the edit matrix, one machine word of any length per
+    column."""
     m = len(item)
     masks: dict[int, int] = {}
     for k, byte in enumerate(item):
         masks[byte] = masks.get(byte, 0) | (1 << k)
     full, high = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
+    up, down, score = full, 0, m
     for byte in text:
         equal = masks.get(byte, 0)
         vertical = equal | down
@@ -145,89 +175,273 @@ def least_edits(item: bytes, text: bytes) -> int:
             score += 1
         elif less & high:
             score -= 1
-            best = min(best, score)
-        more, less = (more << 1) & full, (less << 1) & full
+        yield score
+        more, less = (more << 1 | anchored) & full, (less << 1) & full
         up = less | ~(vertical | more) & full
         down = more & vertical
+
+
+def least_edits(item: bytes, text: bytes) -> int:
+    """Fewest edits between ``item`` and any substring of ``text``."""
+    return min(_scores(item, text), default=len(item)) if item else 0
+
+
+def _start(item: bytes, text: bytes, edits: int) -> int:
+    """Where the first substring of ``text`` begins that is ``edits`` away, the fewest of all, from ``item``."""
+    end = next(k for k, score in enumerate(_scores(item, text)) if score == edits) + 1
+    back = next(k for k, score in enumerate(_scores(item[::-1], text[:end][::-1], True)) if score == edits) + 1
+    return end - back
+
+
+def _distances(index: Index, owners: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """``least_edits`` of many pairs at once, or a number above the edits allowed: the beginning of an item has no
+    more edits than the whole, so about half of each item decides most pairs."""
+    words = -(-index.lengths[owners] // 64)
+    begun = (words + 2) // 2
+    best = _least_edits(index, owners, strings, begun)
+    left = np.flatnonzero((best <= index.room[owners]) & (begun < words))
+    best[left] = _least_edits(index, owners[left], [strings[k] for k in left.tolist()], words[left])
     return best
 
 
-def _windows(index: Index, words: list[bytes], hashes: WordHashes) -> list[tuple[int, int]]:
-    """(item, first word) of the item-sized windows where word pairs of the item stand in its order: one for every
-    distinct shift of a pair that another one of the same passage can stand beside."""
-    pairs = shingles(hashes.of(words), 2)
-    at = np.searchsorted(index.pair_keys, pairs)
-    at[at == len(index.pair_keys)] = 0
-    hit = np.flatnonzero(index.pair_keys[at] == pairs)
-    if not len(hit):
-        return []
-    lo, hi = index.pair_starts[at[hit]], index.pair_starts[at[hit] + 1]
-    count = hi - lo
-    posting = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    item, place = index.pair_items[posting], index.pair_places[posting]
-    shift = np.repeat(hit, count) - place
-    order = np.lexsort((shift, item))
-    item, shift, place = item[order], shift[order], place[order]
-    # Two pairs that a passage keeps stand in one order in both; chance ones near them tell nothing of its begin.
-    opened, reach = index.needed[item] == 1, index.reach[item]
-    one, ahead = np.arange(len(item)), 1
-    while len(one):
-        one = one[: np.searchsorted(one, len(item) - ahead)]
-        other = one + ahead
-        near = (item[other] == item[one]) & (shift[other] - shift[one] <= reach[one])
-        one, other = one[near], other[near]
-        apart = place[other] - place[one]
-        kept = apart * (apart + shift[other] - shift[one]) > 0
-        opened[one[kept]] = opened[other[kept]] = True
-        ahead += 1
-    return sorted(set(zip(item[opened].tolist(), np.maximum(shift[opened], 0).tolist(), strict=True)))
-
-
-def _search(index: Index, edits: float, docs: list[bytes], hashes: WordHashes) -> list[tuple[int, int, int, int, int]]:
-    """(place of the document, item, first word, edits, characters) of verified passages, best per item."""
-    bits, shares = _random()
-    opened, spans = [], {}
-    for k, text in enumerate(docs):
-        words, plain = normal(text)
-        if len(words) < 2:
+def _least_edits(index: Index, owners: np.ndarray, strings: list[bytes], words: np.ndarray) -> np.ndarray:
+    """Fewest edits between the first ``words`` times 64 places of each item and any substring: the recurrence of
+    ``_scores``, 64 places to a word, a pair to a lane."""
+    best = np.zeros(len(owners), np.int64)
+    order = np.lexsort(([len(s) for s in strings], words))
+    one, top, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    for same in np.split(order, np.flatnonzero(np.diff(words[order])) + 1):
+        for at in range(0, len(same), AT_ONCE):
+            lanes = same[at : at + AT_ONCE]
+            width = int(words[lanes[0]])
+            text = np.ascontiguousarray(_matrix([strings[k] for k in lanes.tolist()]).T)
+            held, own = np.unique(owners[lanes], return_inverse=True)
+            masks = np.ascontiguousarray(np.stack([index.masks[k][:, :width] for k in held.tolist()]).transpose(2, 0, 1)).reshape(width, -1)
+            base = own.ravel() * 256
+            free = (-index.lengths[owners[lanes]] % 64).astype(np.uint64)
+            # No edits before the item's first place.
+            up, down = [full << free] + [np.full(len(lanes), full) for _ in range(1, width)], [np.zeros(len(lanes), np.uint64)] * width
+            score = width * 64 - free.astype(np.int64)
+            least = score.copy()
+            for column in text[:-1]:
+                place = base + column
+                plus = minus = np.uint64(0)
+                for w in range(width):
+                    equal = masks[w].take(place)
+                    vertical = equal | down[w]
+                    equal |= minus
+                    horizontal = equal & up[w]
+                    horizontal += up[w]
+                    horizontal ^= up[w]
+                    horizontal |= equal
+                    more, less = horizontal | up[w], up[w] & horizontal
+                    np.invert(more, out=more)
+                    more |= down[w]
+                    out_plus, out_minus = more >> top, less >> top
+                    more <<= one
+                    more |= plus
+                    less <<= one
+                    less |= minus
+                    down[w] = more & vertical
+                    vertical |= more
+                    np.invert(vertical, out=vertical)
+                    less |= vertical
+                    up[w] = less
+                    plus, minus = out_plus, out_minus
+                score += plus.view(np.int64)
+                score -= minus.view(np.int64)
+                np.minimum(least, score, out=least)
+            best[lanes] = least
+    return best
+
+
+def _met(table: tuple[np.ndarray, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, gram) of the items that hold what the grams are looked up by."""
+    starts, owners = table
+    count = starts[slots + 1] - starts[slots]
+    posting = np.repeat(starts[slots] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    return owners[posting].astype(np.int64), np.repeat(np.arange(len(slots)), count)
+
+
+def _bounds(index: Index, grams: np.ndarray) -> np.ndarray:
+    """Per item and gram a lower bound, up to two, of the edits between the gram and any string of the item."""
+    columns = [(grams >> np.uint64(8 * (GRAM - 1 - k))) & np.uint64(255) for k in range(GRAM)]
+    bounds = np.full((len(index.items), len(grams)), 2, np.uint8)
+    flat, n = bounds.ravel(), len(grams)
+    looked_up = [_slots(_without(columns, k), kind) for k in range(GRAM) for kind in (_SHORT, _OTHER + k)]
+    for slots in (*looked_up, _slots(columns, _LONG)):
+        item, gram = _met(index.close, slots)
+        flat[item * n + gram] = 1
+    item, gram = _met(index.whole, _slots(columns, _SAME))
+    flat[item * n + gram] = 0
+    return bounds
+
+
+def _within(values: np.ndarray, place: np.ndarray, held: int, room: np.ndarray) -> np.ndarray:
+    """What is left of ``room`` after the values of ``held`` grams, from each gram on."""
+    sums = np.zeros(len(place) + 1, values.dtype)
+    np.cumsum(values.take(place), out=sums[1:])
+    within = sums[held:] - sums[:-held]
+    return np.subtract(room, within, out=within)
+
+
+def _windows(index: Index, bounds: np.ndarray, place: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(item, grams, sums): where the bounds of the grams from there on, as many as a passage of the item holds, add
+    up to no more than its room, and so do those of the grams half a gram further on.
+
+    A passage whose first gram is this one begins less than a gram before it; its first gram half a gram further on is
+    then the one before or this one. Eight items of like length are added up at once, a byte of a word each.
+    """
+    able = [k for k in np.argsort(held, kind="stable").tolist() if 0 < held[k] <= place.shape[1] and 2 * held[k] > index.room[k]]
+    small = [k for k in able if held[k] < 64]
+    for at in range(0, len(small), 8):
+        group = small[at : at + 8]
+        packed, room = np.zeros((bounds.shape[1], 8), np.uint8), np.zeros(8, np.uint8)
+        packed[:, : len(group)] = bounds[group].T
+        room[: len(group)] = index.room[group] | 128
+        # Sums pass 64 bits, their differences do not: a byte holds twice 63 at most, and its high bit stays within room.
+        fewest, high = int(held[group[0]]), np.uint64(0x8080808080808080)
+        first, other = (_within(packed.view(np.uint64).ravel(), p, fewest, room.view(np.uint64)) for p in place)
+        some = np.flatnonzero(first & (other | np.r_[other[:1], other[:-1]]) & high)
+        left = [x.view(np.uint8).reshape(-1, 8) for x in (first[some], other[some], other[np.maximum(some - 1, 0)])]
+        for k, item in enumerate(group):
+            own = np.flatnonzero(left[0][:, k] & (left[1][:, k] | left[2][:, k]) & 128)
+            at, allowed = some[own], int(index.room[item])
+            sums = []
+            for x, phase, since in zip(left, (0, 1, 1), (at, at, np.maximum(at - 1, 0)), strict=True):
+                total = allowed + 128 - x[own, k].astype(np.int64)
+                for more in range(fewest, int(held[item])):  # grams that this item's passages hold besides
+                    total += bounds[item].take(place[phase].take(np.minimum(since + more, place.shape[1] - 1)))
+                sums.append(total)
+            good = (sums[0] <= allowed) & (np.minimum(sums[1], sums[2]) <= allowed)
+            yield item, at[good], sums[0][good]
+    for item in able[len(small) :]:
+        first, other = (_within(bounds[item].astype(np.int64), p, int(held[item]), index.room[item]) for p in place)
+        other[1:] = np.maximum(other[1:], other[:-1])
+        some = np.flatnonzero((first >= 0) & (other >= 0))
+        yield item, some, index.room[item] - first[some]
+
+
+def _regions(index: Index, texts_of: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, begin, end, window) of all stretches that may hold a passage of the item.
+
+    Grams of a document lie end to end, so those inside a passage are turned into strings of the item one by one:
+    the passage has no fewer edits than they have together, and it holds as many as the shortest passage must. A
+    stretch is left out only where their bounds add up to more than the edits allowed, be it for the grams that begin
+    at the start of a text or for those half a gram further on. ``window`` is where the least sum begins, if it is at
+    most half of what is allowed, else -1.
+    """
+    padded = [text + b"\0" * (-len(text) % GRAM) for text in texts_of]
+    joined = np.frombuffer(b"".join(padded) + b"\0" * GRAM, np.uint8)
+    n = len(joined) // GRAM - 1
+    # Grams that a passage of an item holds at least, wherever it begins.
+    held = (index.lengths - index.room - GRAM + 1) // GRAM
+    out = []
+    for item in np.flatnonzero((held <= 0) | (2 * held <= index.room)).tolist():
+        out += [(k, item, 0, len(text), -1) for k, text in enumerate(texts_of) if len(text) >= index.lengths[item] - index.room[item]]
+    if n <= 0:
+        return out
+    sizes = np.array([len(text) // GRAM for text in padded])
+    owner, first = np.repeat(np.arange(len(padded)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
+    keys = np.zeros((2, n), np.uint64)
+    for phase, since in enumerate((0, GRAM // 2)):
+        for k in range(GRAM):
+            keys[phase] = keys[phase] << np.uint64(8) | joined[since + k :: GRAM][:n]
+    grams, place = np.unique(keys.ravel(), return_inverse=True)
+    place = place.reshape(2, n)
+    bounds = _bounds(index, grams)
+    for item, at, here in _windows(index, bounds, place, held):
+        grams_of, room = int(held[item]), int(index.room[item])
+        whole = owner[at] == owner[np.minimum(at + grams_of - 1, n - 1)]
+        at, here = at[whole], here[whole]
+        if not len(at):
             continue
-        found = _windows(index, words, hashes)
-        if found:
-            starts = np.r_[0, np.cumsum([len(w) + 1 for w in words])]
-            spans[k] = plain
-            opened += [(k, item, word, int(starts[word])) for item, word in found]
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    tried = set()
+        cuts = np.flatnonzero((np.diff(at) > grams_of) | (np.diff(owner[at]) != 0)) + 1
+        for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(at)].tolist(), strict=True):
+            k, least = int(owner[at[lo]]), lo + int(np.argmin(here[lo:hi]))
+            begin, end, window = (GRAM * (int(at[x]) - int(first[k])) for x in (lo, hi - 1, least))
+            end = min(len(texts_of[k]), end + int(index.lengths[item]) + room)
+            out.append((k, item, max(0, begin - GRAM + 1), end, window if 2 * here[least] <= room else -1))
+    return out
+
+
+def _parts(index: Index, plain: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(text, offset, bytes) of texts put together, or cut, to about ``TEXT_BYTES``."""
+    overlap, size = int((index.lengths + index.room).max()), 0
+    part: tuple[list[int], list[int], list[bytes]] = ([], [], [])
+    for k, text in enumerate(plain):
+        for at in range(0, max(1, len(text) - overlap), TEXT_BYTES):
+            own = text[at : at + TEXT_BYTES + overlap]
+            for column, value in zip(part, (k, at, own), strict=True):
+                column.append(value)
+            size += len(own)
+            if size >= TEXT_BYTES:
+                yield part
+                part, size = ([], [], []), 0
+    if part[0]:
+        yield part
+
+
+def _meet(index: Index, opened: list[tuple[int, bytes]]) -> list[bool]:
+    """Whether the embedding of an item-sized window meets the item's in one of the tables."""
+    bits, shares = _random()
+    out: list[bool] = []
     for at in range(0, len(opened), AT_ONCE):
         part = opened[at : at + AT_ONCE]
-        lengths = np.array([index.lengths[item] for _, item, _, _ in part])
-        strings = [spans[k][start : start + n] for (k, _, _, start), n in zip(part, lengths.tolist(), strict=True)]
+        lengths = np.array([index.lengths[item] for item, _ in part])
+        strings = [window for _, window in part]
         keys = bucket_keys(_matrix(strings + [b"\0" * int(lengths.max())])[:-1], lengths, bits, shares)
-        for (k, _, word, start), row in zip(part, keys.tolist(), strict=True):
-            for item in {i for key in row for i in index.buckets.get(key, ())}:
-                if (k, item, start) in tried:
-                    continue
-                tried.add((k, item, start))
-                n = len(index.items[item])
-                room = int(edits * n) + 16
-                distance = least_edits(index.items[item], spans[k][max(0, start - room) : start + n + room])
-                if distance <= edits * n and distance < best.get((k, item), (n + 1, 0))[0]:
-                    best[k, item] = (distance, word)
-    return [(k, item, word, distance, len(index.items[item])) for (k, item), (distance, word) in sorted(best.items())]
+        out += [any(item in index.buckets.get(key, ()) for key in row) for (item, _), row in zip(part, keys.tolist(), strict=True)]
+    return out
+
+
+def _search(index: Index, edits: float, docs: list[bytes], hashes: WordHashes | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(place of the document, item, first word, edits, characters) of all passages within ``edits``, best per item."""
+    plain = [normal(text)[1] for text in docs]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for owners, offsets, texts_of in _parts(index, plain):
+        stretches, opened = [], []
+        for k, item, begin, end, window in _regions(index, texts_of):
+            # Long stretches are cut, with as much overlap as a passage is long, so that lanes are of like length.
+            length, reach = int(index.lengths[item]), int(index.lengths[item] + index.room[item])
+            step = max(256, reach)
+            for at in range(begin, max(begin + 1, end - reach), step):
+                if at <= window < at + step:
+                    opened.append((len(stretches), item, texts_of[k][window : window + length]))
+                stretches.append((owners[k], item, offsets[k] + at, offsets[k] + min(end, at + step + reach)))
+        if not stretches:
+            continue
+        met = _meet(index, [(item, window) for _, item, window in opened])
+        first = [at for (at, _, _), meets in zip(opened, met, strict=True) if meets]
+        # What no table brings together is verified too, many at a time.
+        rest = sorted(set(range(len(stretches))) - set(first))
+        own = np.array([stretches[at][1] for at in rest], np.int64)
+        found = dict(zip(rest, _distances(index, own, [plain[stretches[at][0]][slice(*stretches[at][2:])] for at in rest]).tolist(), strict=True))
+        found |= {at: least_edits(index.items[stretches[at][1]], plain[stretches[at][0]][slice(*stretches[at][2:])]) for at in first}
+        for at, distance in found.items():
+            k, item, begin, end = stretches[at]
+            if distance <= index.room[item]:
+                best[k, item] = min(best.get((k, item), (distance + 1, 0, 0)), (distance, begin, end))
+    out = []
+    for (k, item), (distance, begin, end) in sorted(best.items()):
+        start = begin + _start(index.items[item], plain[k][begin:end], distance)
+        out.append((k, item, plain[k].count(b" ", 0, start + 1), distance, len(index.items[item])))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """Passages of benchmark items in documents: one row per document row and item, with its fewest edits.
 
     Texts are compared in lower case with single spaces. A passage counts when some substring of the
-    document is within ``edits`` times the item's length of the whole item in edit distance. Windows as long
-    as the item begin where two word pairs of the item stand near their order (one, for items of fewer than
-    nine words); windows whose sampled CGK embeddings meet the item's in one of 24 tables are verified
-    exactly. A passage with an edit in nearly every word keeps no pairs and is not found.
+    document is within ``edits`` times the item's length of the whole item in edit distance; ``first_word`` is the
+    word it begins in. None is left out: stretches are passed over only where bounds of their grams add up to more
+    edits (``_regions``). In the others, windows whose sampled CGK embeddings meet the item's in one of 24 tables
+    are verified one by one, and all that meet in none are verified too. Items of fewer than some sixty characters
+    have too few grams for a bound and are verified over whole texts.
 
     The benchmark is a stated set of queries, searched for in blocks of bounded size: each block is
     collected, indexed and sent to the tasks, and the documents are read once per block. Items with a null
-    or empty text or a single word are no passage, and neither is an item without an id. An empty table on
+    or empty text are no passage, and neither is an item without an id. An empty table on
     either side gives no row; null ids and repeated rows are searched row by row.
     """
     spark = docs.sparkSession
@@ -246,9 +460,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
 
 def _scan(docs: DataFrame, shared, edits: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, index = WordHashes(), Index(**shared.value)
+        index = Index(**shared.value)
         for part in pieces(batches):
-            found = _search(index, edits, text_bytes(part), hashes)
+            found = _search(index, edits, text_bytes(part))
             if found:
                 where, item, word, distance, size = zip(*found, strict=True)
                 yield batch(

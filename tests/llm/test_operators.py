@@ -665,3 +665,31 @@ def test_toxicity_looks_up_a_large_batch_in_little_memory():
     tracemalloc.stop()
     assert together[:5] == alone and len(together) == 900
     assert peak < 8 * rows.nbytes
+
+
+def test_every_passage_within_the_edits_is_found():
+    """Also those that keep no word of the item, short items, and items of one word; against each whole text."""
+    source = random.Random(5)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF_LABELS}/benchmark.parquet' ORDER BY item_id LIMIT 12").fetchall()
+    items += [(900, "one"), (901, "a b"), (902, "some short item of words"), (903, "sentence of words " * 40)]
+    index = decontaminate.build([(item, text.encode()) for item, text in items], decontaminate.EDITS)
+    texts, known = [], [word for _, text in items for word in text.split()]
+    for _, text in items:
+        for rate in (0.1, 0.18, 0.2, 0.22):
+            edited = list(text)
+            # One edit every few characters, so that hardly a word stays as it is.
+            for at in range(len(text) - 1, -1, -round(1 / rate)):
+                edited[at : at + source.randrange(2)] = source.choice(["q", "", "z"])
+            around = [" ".join(source.choices(known, k=source.randrange(30))) for _ in "ab"]
+            texts.append(f"{around[0]} {''.join(edited)} {around[1]}".encode())
+    want = {}
+    for k, text in enumerate(texts):
+        for i, item in enumerate(index.items):
+            edits = decontaminate.least_edits(item, decontaminate.normal(text)[1])
+            if edits <= decontaminate.EDITS * len(item):
+                want[k, i] = edits
+    found = decontaminate._search(index, decontaminate.EDITS, texts)
+    assert {(k, i): edits for k, i, _, edits, _ in found} == want and len(want) > 40
+    for k, i, word, edits, _ in found:  # the passage begins in the word that is named
+        words = decontaminate.normal(texts[k])[1].split(b" ")
+        assert decontaminate.least_edits(index.items[i], b" ".join(words[word:])) <= edits + len(words[word])
