@@ -285,21 +285,25 @@ def link(docs: DataFrame) -> DataFrame:
     placed = saved(tiles(counted), "tiles")
     info = classes.groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("rep").alias("rep"))
     info = saved(info.join(placed.select("key").distinct(), "key", "left_semi"), "members")
-    rows = placed.join(info, "key").select("tile", "key", "n", "bitmap", F.col("rep").alias("group"))
+    rows = placed.join(info, "key").select("tile", "key", "n", F.col("rep").alias("group"))
+
+    def mapped(rows: DataFrame) -> DataFrame:
+        """The rows with their bitmaps, which are joined last: they move once, and only for tiles that are read."""
+        return rows.join(info.select("key", "bitmap"), "key")
 
     def sampled(rows: DataFrame, round_: int) -> DataFrame:
         """Two tiles per set, the same ones for sets that share most of theirs: nearest partners are sought there."""
         hashed = rows.withColumn("hash", F.xxhash64("tile", F.lit(round_)))
         own = hashed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
         chosen = hashed.join(own, "key").where("hash = lo or hash = hi")
-        return chosen.select("tile", "key", "n", "bitmap", "group", F.array().cast("array<long>").alias("tiles"))
+        return chosen.select("tile", "key", "n", "group", F.array().cast("array<long>").alias("tiles"))
 
-    edges = saved(verified(docs, classes, candidates(sampled(rows, 0), nearest=True)), "near")
+    edges = saved(verified(docs, classes, candidates(mapped(sampled(rows, 0)), nearest=True)), "near")
     for nearest in (True, False):
         found = components(edges, spark).withColumnRenamed("id", "group").withColumnRenamed("component", "joined")
         grouped = (
             rows.join(found, "group", "left")
-            .select("tile", "key", "n", "bitmap", F.coalesce("joined", "group").alias("group"))
+            .select("tile", "key", "n", F.coalesce("joined", "group").alias("group"))
         )
         # Tiles of one group have no pair left.
         open_tiles = grouped.groupBy("tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
@@ -309,7 +313,7 @@ def link(docs: DataFrame) -> DataFrame:
         else:
             some = F.slice(F.array_sort(F.collect_set("tile")), 1, 8).alias("tiles")
             grouped = grouped.join(grouped.groupBy("key").agg(some), "key")
-        edges = saved(edges.unionByName(verified(docs, classes, candidates(grouped, nearest))), "near")
+        edges = saved(edges.unionByName(verified(docs, classes, candidates(mapped(grouped), nearest))), "near")
     # Rows of one id with several texts link the classes of those texts.
     own = sets.select("doc_id", "n_shingles", "key", "key2").join(classes.select("key", "key2", "rep"), ["key", "key2"], "left")
     several = own.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")

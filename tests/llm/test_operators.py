@@ -693,3 +693,18 @@ def test_every_passage_within_the_edits_is_found():
     for k, i, word, edits, _ in found:  # the passage begins in the word that is named
         words = decontaminate.normal(texts[k])[1].split(b" ")
         assert decontaminate.least_edits(index.items[i], b" ".join(words[word:])) <= edits + len(words[word])
+
+
+def test_bitmaps_are_joined_to_the_tiles_last(spark, monkeypatch):
+    """No join or grouping of tiles carries the bitmaps through its shuffle."""
+    plans, candidates = [], jaccard.candidates
+
+    def seen(placed, nearest):
+        plans.append(placed._jdf.queryExecution().optimizedPlan().toString())
+        return candidates(placed, nearest)
+
+    monkeypatch.setattr(jaccard, "candidates", seen)
+    jaccard.link(documents(spark))
+    for plan in plans:
+        carried = [line for line in plan.splitlines() if "Project" in line and "bitmap" in line]
+        assert len(carried) <= 2 and len(plans) == 3  # the table of bitmaps itself, and what the last join gives
