@@ -39,6 +39,9 @@ REMEMBERED_TEXTS = 200_000
 #: Shingles read on either side of the meetings of two texts: a passage of two parts, each just too short to be one
 #: by itself, may have its only meeting at the far end of one of them.
 MARGIN = 128
+#: Bytes of a word's hash that travel with a stretch. Shingles are made of five of them where stretches meet, so two
+#: that differ in one word alone are taken for equal once in 2 ** 40.
+WORD_BYTES = 5
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _MET = "doc_a long, place_a int, doc_b long, place_b int, star boolean, part int, window long, beside int, key long"
@@ -375,6 +378,20 @@ def shared_spans(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -
     return kept
 
 
+def short_hashes(words: np.ndarray) -> np.ndarray:
+    """Word hashes cut to ``WORD_BYTES`` bytes, a row each."""
+    return np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+
+
+def stretch_grams(words) -> np.ndarray:
+    """The shingles of a stretch of short word hashes; none if it is shorter than one."""
+    short = np.frombuffer(words, np.uint8).reshape(-1, WORD_BYTES)
+    whole = np.zeros((len(short), 8), np.uint8)
+    whole[:, :WORD_BYTES] = short
+    grams = whole.view(np.uint64).ravel()
+    return shingles(grams) if len(grams) >= SHINGLE else grams[:0]
+
+
 def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, first_word, n_words, other_doc_id), both ways, of the passages around the meetings.
 
@@ -397,27 +414,26 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         for part in pieces(batches):
             since, until = part.column("since").to_pylist(), part.column("until").to_pylist()
-            grams = []
-            for text, lo, hi in zip(text_bytes(part), since, until, strict=True):
-                # Only the words of the stretch are hashed; another text under the same id may end before it.
-                own = word_bytes(text)[lo : hi + SHINGLE - 1]
-                grams.append(shingles(hashes.of(own)).tobytes() if len(own) >= SHINGLE else b"")
-            yield batch(doc_id=part.column("doc_id"), since=part.column("since"), grams=pa.array(grams, pa.binary()))
-
-    stretches = arrow_map(again, read, "doc_id long, since int, grams binary").repartition("doc_id")
+            # Only the words of the stretch are hashed; another text under the same id may end before it.
+            own = [word_bytes(text)[lo : hi + SHINGLE - 1] for text, lo, hi in zip(text_bytes(part), since, until, strict=True)]
+            words = pa.array([short_hashes(hashes.of(w)).tobytes() for w in own], pa.binary())
+            yield batch(doc_id=part.column("doc_id"), since=part.column("since"), words=words)
+
+    stretches = arrow_map(again, read, "doc_id long, since int, words binary").repartition("doc_id")
     joined = pairs
     for s in "ab":
-        own = stretches.select(F.col("doc_id").alias(f"doc_{s}"), F.col("since").alias(f"since_{s}"), F.col("grams").alias(f"grams_{s}"))
+        own = stretches.select(F.col("doc_id").alias(f"doc_{s}"), F.col("since").alias(f"since_{s}"), F.col("words").alias(f"words_{s}"))
         start = F.greatest(F.col(f"lo_{s}") - MARGIN, F.lit(0))
-        part = F.substring(f"grams_{s}", (start - F.col(f"since_{s}")) * 8 + 1, (F.col(f"hi_{s}") + MARGIN - start) * 8)
-        joined = joined.join(own, f"doc_{s}").withColumn(f"grams_{s}", part).withColumn(f"since_{s}", start)
+        n = F.col(f"hi_{s}") + MARGIN - start + SHINGLE - 1
+        part = F.substring(f"words_{s}", (start - F.col(f"since_{s}")) * WORD_BYTES + 1, n * WORD_BYTES)
+        joined = joined.join(own, f"doc_{s}").withColumn(f"words_{s}", part).withColumn(f"since_{s}", start)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             rows = []
             ends = zip(*(part.column(c).to_pylist() for c in ("doc_a", "doc_b", "since_a", "since_b")), strict=True)
             for k, (doc_a, doc_b, from_a, from_b) in enumerate(ends):
-                a, b = (np.frombuffer(part.column(c)[k].as_buffer(), np.uint64) for c in ("grams_a", "grams_b"))
+                a, b = (stretch_grams(part.column(c)[k].as_buffer()) for c in ("words_a", "words_b"))
                 shifts = part.column("shifts")[k].values.to_numpy() + (from_a - from_b)
                 for f, t, f2, t2 in shared_spans(a, b, shifts, width):
                     rows.append((doc_a, f + from_a, t - f + SHINGLE, doc_b))
@@ -427,7 +443,7 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
             names = ("doc_id", "first_word", "n_words", "other_doc_id")
             yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-    columns = ["doc_a", "doc_b", "shifts", "since_a", "since_b", "grams_a", "grams_b"]
+    columns = ["doc_a", "doc_b", "shifts", "since_a", "since_b", "words_a", "words_b"]
     return arrow_map(joined.select(*columns), verify, SPANS)
 
 

@@ -708,3 +708,20 @@ def test_bitmaps_are_joined_to_the_tiles_last(spark, monkeypatch):
     for plan in plans:
         carried = [line for line in plan.splitlines() if "Project" in line and "bitmap" in line]
         assert len(carried) <= 2 and len(plans) == 3  # the table of bitmaps itself, and what the last join gives
+
+
+def test_stretches_travel_as_five_bytes_a_word():
+    import numpy as np
+
+    hashes = WordHashes()
+    words = [f"s{k % 37}".encode() for k in range(200)]
+    sent = passages.short_hashes(hashes.of(words)).tobytes()
+    grams = passages.stretch_grams(sent)
+    assert len(sent) == 5 * len(words) and len(grams) == len(words) - 4
+    same = {tuple(words[k : k + 5]): set() for k in range(len(grams))}
+    for k, gram in enumerate(grams.tolist()):
+        same[tuple(words[k : k + 5])].add(gram)
+    assert all(len(g) == 1 for g in same.values()) and len(np.unique(grams)) == len(same)
+    # A part cut out by place has the shingles of those words; a part shorter than a shingle has none.
+    assert (passages.stretch_grams(sent[5 * 50 : 5 * 90]) == grams[50:86]).all()
+    assert len(passages.stretch_grams(sent[: 5 * 4])) == 0 and len(passages.stretch_grams(b"")) == 0
