@@ -121,7 +121,7 @@ def text_bytes(rows: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``limit`` bytes, one row at least."""
     for rows in batches:
         step = max(1, int(rows.num_rows * limit / max(1, rows.nbytes)))

@@ -725,3 +725,14 @@ def test_stretches_travel_as_five_bytes_a_word():
     # A part cut out by place has the shingles of those words; a part shorter than a shingle has none.
     assert (passages.stretch_grams(sent[5 * 50 : 5 * 90]) == grams[50:86]).all()
     assert len(passages.stretch_grams(sent[: 5 * 4])) == 0 and len(passages.stretch_grams(b"")) == 0
+
+
+def test_tasks_take_large_batches_in_pieces_of_four_megabytes():
+    import pyarrow as pa
+
+    from tablegraph.llm.common import pieces
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), pa.array(["x" * 2000] * 6000)], names=["doc_id", "text"])
+    own = list(pieces(iter([rows])))
+    assert max(part.nbytes for part in own) <= 4 << 20
+    assert [k for part in own for k in part.column("doc_id").to_pylist()] == list(range(6000))
