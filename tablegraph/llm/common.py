@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ cloudpickle.register_pickle_by_value(tablegraph.llm)
 
 #: A join side is broadcast only when its counted rows stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a batch sent to a task function; by its number of rows alone a batch of long texts would be far larger.
+BATCH_BYTES = 4 << 20
 #: Words of a shingle.
 SHINGLE = 5
 #: Distinct words a task remembers the hash of before it starts afresh: some 200 bytes each.
@@ -51,7 +54,25 @@ def join_checked(
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
-    return df.mapInArrow(work, schema)
+    """``work`` over batches of at most about ``BATCH_BYTES``; a task gives back what it held when it ends.
+
+    Python workers live on from stage to stage, and so do the buffers that an executor filled for them.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
+def release_memory() -> None:
+    """Hands free memory of this process back to the system, which neither Arrow nor malloc does by itself."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 class WordHashes(dict):

@@ -736,3 +736,19 @@ def test_tasks_take_large_batches_in_pieces_of_four_megabytes():
     own = list(pieces(iter([rows])))
     assert max(part.nbytes for part in own) <= 4 << 20
     assert [k for part in own for k in part.column("doc_id").to_pylist()] == list(range(6000))
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    """A split of long texts reaches a task in parts."""
+    import pyarrow as pa
+
+    from tablegraph.llm.common import arrow_map, batch
+
+    spark.range(0, 8000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 2000) AS text").write.parquet(f"{tmp_path}/long")
+
+    def work(batches):
+        sizes = [(rows.num_rows, rows.nbytes) for rows in batches]
+        yield batch(n=pa.array([n for n, _ in sizes], pa.int64()), size=pa.array([b for _, b in sizes], pa.int64()))
+
+    rows = arrow_map(spark.read.parquet(f"{tmp_path}/long").coalesce(1), work, "n long, size long").collect()
+    assert sum(r["n"] for r in rows) == 8000 and max(r["size"] for r in rows) < 5 << 20
