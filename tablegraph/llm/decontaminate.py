@@ -22,28 +22,33 @@ WALKS, TABLES, SYMBOLS = 4, 6, 3
 REACH = 1.8
 #: Bytes of a gram of a document; grams lie end to end.
 GRAM = 6
-#: Slots of the table of an item's grams, as a power of two. Grams that share a slot lower a bound, never raise it.
-SLOT_BITS = 22
-#: Bytes of benchmark text searched for at once.
-BLOCK_BYTES = 256 << 10
+#: Edits up to which a gram is told from the strings of an item; it counts one more where none is so near.
+NEAR = 2
+#: Slots of a table of items' grams, as a power of two. A gram stands in two of them; one that shares both with others
+#: has its bound lowered, never raised.
+SLOT_BITS = 16
+#: Grams whose bounds a task remembers.
+REMEMBERED_GRAMS = 1 << 18
+#: Bytes of benchmark text, and items, searched for at once: tables take a byte an item for eight slots.
+BLOCK_BYTES, BLOCK_ITEMS = 256 << 10, 256
 #: Bytes of document text searched at once; longer texts are cut, with as much overlap as a passage is long.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 512 << 10
 #: Windows embedded or verified at once.
 AT_ONCE = 2048
+#: Stretches whose texts are held at once, to be dealt by length.
+STRETCHES = 16 * AT_ONCE
 
 SCHEMA = "doc_id long, item_id long, first_word int, edits int, n_chars int"
 
 
 @dataclass
 class Index:
-    """Items of one block: texts, their grams and those within one edit of them, and the buckets of their embeddings."""
+    """Items of one block: texts, where each byte stands in them, and the buckets of their embeddings."""
 
     ids: list[int]
     items: list[bytes]
     lengths: np.ndarray
     room: np.ndarray  # edits allowed
-    whole: tuple[np.ndarray, np.ndarray]  # slot -> items that hold the gram
-    close: tuple[np.ndarray, np.ndarray]  # slot -> items that hold a string within one edit of it
     masks: list[np.ndarray]  # per item, byte and 64 places of it: where the byte stands; places before the item match all
     buckets: dict[int, list[int]]
 
@@ -93,42 +98,105 @@ def normal(text: bytes) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words)
 
 
-def _slots(columns: list[np.ndarray], kind: int) -> np.ndarray:
-    """The slot of the string of these bytes, looked for as one ``kind`` of neighbour."""
-    key = np.full(len(columns[0]), kind, np.uint64)
+def _left_out() -> list[tuple[int, tuple[int, ...], list[tuple[int, tuple[int, ...]]]]]:
+    """(edits, places left out of a gram, windows): a gram is so many edits from a string just when, for one of these
+    entries, it is equal, without those places, to one of the item's windows of a size without some places of its own.
+
+    A place changed is left out on both sides, one dropped of the gram alone, one added inside of the window alone.
+    """
+    inner = range(1, GRAM)
+    entries = [(0, (), [(GRAM, ())]), (1, (), [(GRAM + 1, (q,)) for q in inner])]
+    entries += [(1, (i,), [(GRAM, (i,)), (GRAM - 1, ())]) for i in range(GRAM)]
+    entries.append((2, (), [(GRAM + 2, (p, q)) for q in range(2, GRAM + 1) for p in range(1, q)]))
+    for i in range(GRAM):
+        dropped = [(GRAM, (q,)) for q in range(1, GRAM - 1)]
+        changed = [(GRAM + 1, tuple(sorted((q, i if i < q else i + 1)))) for q in inner]
+        entries.append((2, (i,), dropped + changed))
+        entries += [(2, (i, j), [(GRAM, (i, j)), (GRAM - 1, (i,)), (GRAM - 1, (j - 1,)), (GRAM - 2, ())]) for j in range(i + 1, GRAM)]
+    return entries
+
+
+def _slots(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of the string of these bytes."""
+    key = np.zeros(len(columns[0]), np.uint64)
     for column in columns:
         key = key * np.uint64(0x100000001B3) + column
     key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-# Kinds of neighbour: the gram, the gram without a byte, a longer string without one, two strings without the same one.
-_SAME, _SHORT, _LONG, _OTHER = 1, 2, 3, 4
-
-
-def _without(columns: list[np.ndarray], at: int) -> list[np.ndarray]:
-    return columns[:at] + columns[at + 1 :]
+    key ^= key >> np.uint64(32)
+    rest = np.uint64((1 << SLOT_BITS) - 1)
+    return (key >> np.uint64(64 - SLOT_BITS)).astype(np.intp), (key & rest).astype(np.intp)
 
 
-def _item_slots(item: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the grams of an item, and of all that a gram within one edit of one of its strings is looked up by."""
-    x = np.frombuffer(item, np.uint8).astype(np.uint64)
+#: The bits of a byte as the bytes of a word.
+_SPREAD = sum((np.arange(256, dtype=np.uint64) >> np.uint64(k) & np.uint64(1)) << np.uint64(8 * k) for k in range(8))
 
-    def strings(size: int) -> list[np.ndarray]:
-        return [x[k : max(k, len(x) - size + 1 + k)] for k in range(size)]
 
-    grams, longer = strings(GRAM), strings(GRAM + 1)
-    close = [_slots(_without(grams, k), _OTHER + k) for k in range(GRAM)]
-    close += [_slots(strings(GRAM - 1), _SHORT)]
-    close += [_slots(_without(longer, k), _LONG) for k in range(1, GRAM)]
-    return _slots(grams, _SAME), np.concatenate(close)
+class Bounds:
+    """Lower bounds, up to ``NEAR`` + 1, of the edits between a gram and any string of an item, remembered by gram.
 
+    A table has a bit per slot and item. The items stand by length, eight to a word of bounds, a byte each.
+    """
 
-def _by_slot(slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = len(slots)
-    pairs = np.unique(np.concatenate(slots) * n + np.repeat(np.arange(n), [len(s) for s in slots]))
-    starts = np.searchsorted(pairs // n, np.arange((1 << SLOT_BITS) + 1))
-    return starts.astype(np.int32), (pairs % n).astype(np.int32)
+    def __init__(self, items: list[bytes], order: np.ndarray):
+        self.words = -(-len(items) // 64)
+        self.groups = -(-len(items) // 8)
+        text = np.frombuffer(b"".join(items[k] for k in order.tolist()), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(items)), [len(items[k]) for k in order.tolist()])
+        self.tables = []
+        flags = np.zeros((1 << SLOT_BITS, self.words * 64), bool)
+        for edits, places, windows in _left_out():
+            flags[:] = False
+            for size, gone in windows:
+                n = max(0, len(text) - size + 1)
+                whole = np.flatnonzero(owner[:n] == owner[size - 1 : size - 1 + n])
+                for slots in _slots([text[whole + k] for k in range(size) if k not in gone]):
+                    flags[slots, owner[whole]] = True
+            bits = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+            self.tables.append((edits, [k for k in range(GRAM) if k not in places], bits))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at, self.packed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.empty((self.groups, 1024), np.uint64)
+
+    def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words of bounds per group of items and column, column of each gram) of distinct grams in order."""
+        place = np.searchsorted(self.known, grams)
+        new = np.ones(len(grams), bool)
+        inside = place < len(self.known)
+        new[inside] = self.known[place[inside]] != grams[inside]
+        if len(self.known) + int(new.sum()) > REMEMBERED_GRAMS and len(self.known):
+            self._forget()
+            return self.of(grams)
+        if new.any():
+            first, last = len(self.known), len(self.known) + int(new.sum())
+            if last > self.packed.shape[1]:
+                room = np.empty((self.groups, max(last, min(2 * last, REMEMBERED_GRAMS))), np.uint64)
+                room[:, :first] = self.packed[:, :first]
+                self.packed = room
+            self._make(grams[new], self.packed[:, first:last])
+            self.at = np.insert(self.at, place[new], np.arange(first, last))
+            self.known = np.insert(self.known, place[new], grams[new])
+            place = np.searchsorted(self.known, grams)
+        return self.packed, self.at[place]
+
+    def _make(self, grams: np.ndarray, out: np.ndarray) -> None:
+        for since in range(0, len(grams), 2048):
+            own = grams[since : since + 2048]
+            columns = [(own >> np.uint64(8 * (GRAM - 1 - k))) & np.uint64(255) for k in range(GRAM)]
+            near = np.zeros((NEAR + 1, len(own), self.words), np.uint64)
+            one, other = np.empty_like(near[0]), np.empty_like(near[0])
+            for edits, places, bits in self.tables:
+                first, second = _slots([columns[k] for k in places])
+                bits.take(first, 0, one, "clip")
+                bits.take(second, 0, other, "clip")
+                one &= other
+                near[edits] |= one
+            words = np.full((self.groups, len(own)), 0x0101010101010101 * (NEAR + 1), np.uint64)
+            for edits in range(NEAR + 1):
+                if edits:
+                    near[edits] |= near[edits - 1]
+                words -= _SPREAD.take(np.ascontiguousarray(near[edits].view(np.uint8)[:, : self.groups].T))
+            out[:, since : since + 2048] = words
 
 
 def build(rows: list[tuple[int, bytes]], edits: float) -> Index | None:
@@ -138,7 +206,6 @@ def build(rows: list[tuple[int, bytes]], edits: float) -> Index | None:
         return None
     items = [plain for _, plain in kept]
     lengths = np.array([len(plain) for plain in items])
-    whole, close = zip(*map(_item_slots, items), strict=True)
     masks = []
     for plain in items:
         free = -len(plain) % 64
@@ -152,7 +219,7 @@ def build(rows: list[tuple[int, bytes]], edits: float) -> Index | None:
         for bucket in row:
             buckets.setdefault(bucket, []).append(k)
     room = np.array([int(edits * n) for n in lengths.tolist()])
-    return Index([i for i, _ in kept], items, lengths, room, _by_slot(list(whole)), _by_slot(list(close)), masks, buckets)
+    return Index([i for i, _ in kept], items, lengths, room, masks, buckets)
 
 
 def _scores(item: bytes, text: bytes, anchored: bool = False) -> Iterator[int]:
@@ -255,102 +322,83 @@ def _least_edits(index: Index, owners: np.ndarray, strings: list[bytes], words:
     return best
 
 
-def _met(table: tuple[np.ndarray, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, gram) of the items that hold what the grams are looked up by."""
-    starts, owners = table
-    count = starts[slots + 1] - starts[slots]
-    posting = np.repeat(starts[slots] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    return owners[posting].astype(np.int64), np.repeat(np.arange(len(slots)), count)
-
-
-def _bounds(index: Index, grams: np.ndarray) -> np.ndarray:
-    """Per item and gram a lower bound, up to two, of the edits between the gram and any string of the item."""
-    columns = [(grams >> np.uint64(8 * (GRAM - 1 - k))) & np.uint64(255) for k in range(GRAM)]
-    bounds = np.full((len(index.items), len(grams)), 2, np.uint8)
-    flat, n = bounds.ravel(), len(grams)
-    looked_up = [_slots(_without(columns, k), kind) for k in range(GRAM) for kind in (_SHORT, _OTHER + k)]
-    for slots in (*looked_up, _slots(columns, _LONG)):
-        item, gram = _met(index.close, slots)
-        flat[item * n + gram] = 1
-    item, gram = _met(index.whole, _slots(columns, _SAME))
-    flat[item * n + gram] = 0
-    return bounds
-
-
-def _within(values: np.ndarray, place: np.ndarray, held: int, room: np.ndarray) -> np.ndarray:
+def _within(values: np.ndarray, held: int, room: np.uint64 | int) -> np.ndarray:
     """What is left of ``room`` after the values of ``held`` grams, from each gram on."""
-    sums = np.zeros(len(place) + 1, values.dtype)
-    np.cumsum(values.take(place), out=sums[1:])
+    sums = np.zeros(len(values) + 1, values.dtype)
+    np.cumsum(values, out=sums[1:])
     within = sums[held:] - sums[:-held]
     return np.subtract(room, within, out=within)
 
 
-def _windows(index: Index, bounds: np.ndarray, place: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _windows(index: Index, order: np.ndarray, packed: np.ndarray, place: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(item, grams, sums): where the bounds of the grams from there on, as many as a passage of the item holds, add
-    up to no more than its room, and so do those of the grams half a gram further on.
-
-    A passage whose first gram is this one begins less than a gram before it; its first gram half a gram further on is
-    then the one before or this one. Eight items of like length are added up at once, a byte of a word each.
+    up to no more than its room. Eight items of like length are added up at once, a byte of a word each.
     """
-    able = [k for k in np.argsort(held, kind="stable").tolist() if 0 < held[k] <= place.shape[1] and 2 * held[k] > index.room[k]]
-    small = [k for k in able if held[k] < 64]
-    for at in range(0, len(small), 8):
-        group = small[at : at + 8]
-        packed, room = np.zeros((bounds.shape[1], 8), np.uint8), np.zeros(8, np.uint8)
-        packed[:, : len(group)] = bounds[group].T
-        room[: len(group)] = index.room[group] | 128
-        # Sums pass 64 bits, their differences do not: a byte holds twice 63 at most, and its high bit stays within room.
-        fewest, high = int(held[group[0]]), np.uint64(0x8080808080808080)
-        first, other = (_within(packed.view(np.uint64).ravel(), p, fewest, room.view(np.uint64)) for p in place)
-        some = np.flatnonzero(first & (other | np.r_[other[:1], other[:-1]]) & high)
-        left = [x.view(np.uint8).reshape(-1, 8) for x in (first[some], other[some], other[np.maximum(some - 1, 0)])]
-        for k, item in enumerate(group):
-            own = np.flatnonzero(left[0][:, k] & (left[1][:, k] | left[2][:, k]) & 128)
-            at, allowed = some[own], int(index.room[item])
-            sums = []
-            for x, phase, since in zip(left, (0, 1, 1), (at, at, np.maximum(at - 1, 0)), strict=True):
-                total = allowed + 128 - x[own, k].astype(np.int64)
+    most = NEAR + 1
+    for group in range(len(packed)):
+        own = order[8 * group : 8 * group + 8]
+        able = (held[own] > 0) & (held[own] <= len(place)) & (most * held[own] > index.room[own])
+        # Sums pass 64 bits, their differences do not: a byte holds what a window may add up to, and its high bit
+        # stays within room.
+        small = able & (index.room[own] < 128) & (most * held[own] <= 128 + index.room[own])
+        if not able.any():
+            continue
+        values = packed[group].take(place)
+        if small.any():
+            fewest, room = int(held[own[small]].min()), np.zeros(8, np.uint8)
+            room[: len(own)] = np.where(small, index.room[own], 127) | 128
+            left = _within(values, fewest, room.view(np.uint64)[0])
+            some = np.flatnonzero(left & _bytes(np.where(small, 128, 0)))
+            left = left[some].view(np.uint8).reshape(-1, 8)
+        for k in np.flatnonzero(able).tolist():
+            item = int(own[k])
+            bounds, allowed = values.view(np.uint8).reshape(-1, 8)[:, k], int(index.room[item])
+            if small[k]:
+                inside = np.flatnonzero(left[:, k] & 128)
+                at, sums = some[inside], allowed + 128 - left[inside, k].astype(np.int64)
                 for more in range(fewest, int(held[item])):  # grams that this item's passages hold besides
-                    total += bounds[item].take(place[phase].take(np.minimum(since + more, place.shape[1] - 1)))
-                sums.append(total)
-            good = (sums[0] <= allowed) & (np.minimum(sums[1], sums[2]) <= allowed)
-            yield item, at[good], sums[0][good]
-    for item in able[len(small) :]:
-        first, other = (_within(bounds[item].astype(np.int64), p, int(held[item]), index.room[item]) for p in place)
-        other[1:] = np.maximum(other[1:], other[:-1])
-        some = np.flatnonzero((first >= 0) & (other >= 0))
-        yield item, some, index.room[item] - first[some]
-
-
-def _regions(index: Index, texts_of: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+                    sums += bounds.take(np.minimum(at + more, len(place) - 1))
+            else:
+                sums = allowed - _within(bounds.astype(np.int64), int(held[item]), allowed)
+                at = np.arange(len(sums))
+            good = sums <= allowed
+            yield item, at[good], sums[good]
+
+
+def _bytes(values: np.ndarray) -> np.uint64:
+    """Up to eight small numbers as the bytes of a word."""
+    out = np.zeros(8, np.uint8)
+    out[: len(values)] = values
+    return out.view(np.uint64)[0]
+
+
+def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, begin, end, window) of all stretches that may hold a passage of the item.
 
     Grams of a document lie end to end, so those inside a passage are turned into strings of the item one by one:
     the passage has no fewer edits than they have together, and it holds as many as the shortest passage must. A
-    stretch is left out only where their bounds add up to more than the edits allowed, be it for the grams that begin
-    at the start of a text or for those half a gram further on. ``window`` is where the least sum begins, if it is at
-    most half of what is allowed, else -1.
+    stretch is left out only where their bounds add up to more than the edits allowed. ``window`` is where the least
+    sum begins, if it is at most half of what is allowed, else -1.
     """
     padded = [text + b"\0" * (-len(text) % GRAM) for text in texts_of]
-    joined = np.frombuffer(b"".join(padded) + b"\0" * GRAM, np.uint8)
-    n = len(joined) // GRAM - 1
+    joined = np.frombuffer(b"".join(padded), np.uint8)
+    n = len(joined) // GRAM
     # Grams that a passage of an item holds at least, wherever it begins.
     held = (index.lengths - index.room - GRAM + 1) // GRAM
     out = []
-    for item in np.flatnonzero((held <= 0) | (2 * held <= index.room)).tolist():
+    for item in np.flatnonzero((held <= 0) | ((NEAR + 1) * held <= index.room)).tolist():
         out += [(k, item, 0, len(text), -1) for k, text in enumerate(texts_of) if len(text) >= index.lengths[item] - index.room[item]]
     if n <= 0:
         return out
     sizes = np.array([len(text) // GRAM for text in padded])
     owner, first = np.repeat(np.arange(len(padded)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
-    keys = np.zeros((2, n), np.uint64)
-    for phase, since in enumerate((0, GRAM // 2)):
-        for k in range(GRAM):
-            keys[phase] = keys[phase] << np.uint64(8) | joined[since + k :: GRAM][:n]
-    grams, place = np.unique(keys.ravel(), return_inverse=True)
-    place = place.reshape(2, n)
-    bounds = _bounds(index, grams)
-    for item, at, here in _windows(index, bounds, place, held):
+    keys = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        keys = keys << np.uint64(8) | joined[k::GRAM]
+    grams, place = np.unique(keys, return_inverse=True)
+    packed, columns = near.of(grams)
+    place = columns[place]
+    for item, at, here in _windows(index, _by_length(index), packed, place, held):
         grams_of, room = int(held[item]), int(index.room[item])
         whole = owner[at] == owner[np.minimum(at + grams_of - 1, n - 1)]
         at, here = at[whole], here[whole]
@@ -365,6 +413,10 @@ def _regions(index: Index, texts_of: list[bytes]) -> list[tuple[int, int, int, i
     return out
 
 
+def _by_length(index: Index) -> np.ndarray:
+    return np.argsort(index.lengths, kind="stable")
+
+
 def _parts(index: Index, plain: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(text, offset, bytes) of texts put together, or cut, to about ``TEXT_BYTES``."""
     overlap, size = int((index.lengths + index.room).max()), 0
@@ -395,13 +447,13 @@ def _meet(index: Index, opened: list[tuple[int, bytes]]) -> list[bool]:
     return out
 
 
-def _search(index: Index, edits: float, docs: list[bytes], hashes: WordHashes | None = None) -> list[tuple[int, int, int, int, int]]:
+def _search(index: Index, edits: float, docs: list[bytes], hashes: WordHashes | None = None, near: Bounds | None = None) -> list[tuple[int, int, int, int, int]]:
     """(place of the document, item, first word, edits, characters) of all passages within ``edits``, best per item."""
     plain = [normal(text)[1] for text in docs]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    near = near or Bounds(index.items, _by_length(index))
+    stretches, opened = [], []
     for owners, offsets, texts_of in _parts(index, plain):
-        stretches, opened = [], []
-        for k, item, begin, end, window in _regions(index, texts_of):
+        for k, item, begin, end, window in _regions(index, near, texts_of):
             # Long stretches are cut, with as much overlap as a passage is long, so that lanes are of like length.
             length, reach = int(index.lengths[item]), int(index.lengths[item] + index.room[item])
             step = max(256, reach)
@@ -409,19 +461,23 @@ def _search(index: Index, edits: float, docs: list[bytes], hashes: WordHashes |
                 if at <= window < at + step:
                     opened.append((len(stretches), item, texts_of[k][window : window + length]))
                 stretches.append((owners[k], item, offsets[k] + at, offsets[k] + min(end, at + step + reach)))
-        if not stretches:
-            continue
-        met = _meet(index, [(item, window) for _, item, window in opened])
-        first = [at for (at, _, _), meets in zip(opened, met, strict=True) if meets]
-        # What no table brings together is verified too, many at a time.
-        rest = sorted(set(range(len(stretches))) - set(first))
-        own = np.array([stretches[at][1] for at in rest], np.int64)
-        found = dict(zip(rest, _distances(index, own, [plain[stretches[at][0]][slice(*stretches[at][2:])] for at in rest]).tolist(), strict=True))
-        found |= {at: least_edits(index.items[stretches[at][1]], plain[stretches[at][0]][slice(*stretches[at][2:])]) for at in first}
-        for at, distance in found.items():
-            k, item, begin, end = stretches[at]
-            if distance <= index.room[item]:
-                best[k, item] = min(best.get((k, item), (distance + 1, 0, 0)), (distance, begin, end))
+    if not stretches:
+        return []
+    met = _meet(index, [(item, window) for _, item, window in opened])
+    first = [at for (at, _, _), meets in zip(opened, met, strict=True) if meets]
+    # What no table brings together is verified too, many at a time.
+    rest = sorted(set(range(len(stretches))) - set(first))
+    found = {at: least_edits(index.items[stretches[at][1]], plain[stretches[at][0]][slice(*stretches[at][2:])]) for at in first}
+    for since in range(0, len(rest), STRETCHES):
+        some = rest[since : since + STRETCHES]
+        own = np.array([stretches[at][1] for at in some], np.int64)
+        strings = [plain[stretches[at][0]][slice(*stretches[at][2:])] for at in some]
+        found |= zip(some, _distances(index, own, strings).tolist(), strict=True)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for at, distance in found.items():
+        k, item, begin, end = stretches[at]
+        if distance <= index.room[item]:
+            best[k, item] = min(best.get((k, item), (distance + 1, 0, 0)), (distance, begin, end))
     out = []
     for (k, item), (distance, begin, end) in sorted(best.items()):
         start = begin + _start(index.items[item], plain[k][begin:end], distance)
@@ -436,7 +492,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     document is within ``edits`` times the item's length of the whole item in edit distance; ``first_word`` is the
     word it begins in. None is left out: stretches are passed over only where bounds of their grams add up to more
     edits (``_regions``). In the others, windows whose sampled CGK embeddings meet the item's in one of 24 tables
-    are verified one by one, and all that meet in none are verified too. Items of fewer than some sixty characters
+    are verified one by one, and all that meet in none are verified too. Items of fewer than some twenty characters
     have too few grams for a bound and are verified over whole texts.
 
     The benchmark is a stated set of queries, searched for in blocks of bounded size: each block is
@@ -446,8 +502,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = max(1, -(-(size or 0) // BLOCK_BYTES), -(-n // BLOCK_ITEMS))
     found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct()
@@ -461,8 +517,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
 def _scan(docs: DataFrame, shared, edits: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(**shared.value)
+        near = Bounds(index.items, _by_length(index))
         for part in pieces(batches):
-            found = _search(index, edits, text_bytes(part))
+            found = _search(index, edits, text_bytes(part), near=near)
             if found:
                 where, item, word, distance, size = zip(*found, strict=True)
                 yield batch(

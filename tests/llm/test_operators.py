@@ -752,3 +752,24 @@ def test_batches_are_bounded_by_bytes(spark, tmp_path):
 
     rows = arrow_map(spark.read.parquet(f"{tmp_path}/long").coalesce(1), work, "n long, size long").collect()
     assert sum(r["n"] for r in rows) == 8000 and max(r["size"] for r in rows) < 5 << 20
+
+
+def test_bounds_of_grams_never_exceed_their_edits_and_tell_three():
+    """Against the fewest edits between each gram and each item; what is remembered and forgotten changes nothing."""
+    import numpy as np
+
+    source = random.Random(8)
+    items = [bytes(source.choices(b"abcdefgh ", k=source.randrange(3, 90))) for _ in range(70)]
+    index = decontaminate.build(list(enumerate(items)), decontaminate.EDITS)
+    order = decontaminate._by_length(index)
+    near = decontaminate.Bounds(index.items, order)
+    grams = [bytes(source.choices(b"abcdefghij", k=decontaminate.GRAM)) for _ in range(150)]
+    grams += [item[at : at + decontaminate.GRAM] for item in index.items for at in range(0, len(item) - decontaminate.GRAM, 9)]
+    codes = np.unique(np.array([int.from_bytes(gram, "big") for gram in grams], np.uint64))
+    for own in (codes[::3], codes, codes[::2]):  # the second and the third find some there already
+        packed, columns = near.of(own)
+        for code, column in zip(own.tolist(), columns.tolist(), strict=True):
+            gram = code.to_bytes(decontaminate.GRAM, "big")
+            got = packed[:, column].copy().view(np.uint8)[: len(order)]
+            want = [min(decontaminate.NEAR + 1, decontaminate.least_edits(gram, index.items[k])) for k in order.tolist()]
+            assert (got <= want).all() and (got == want).mean() > 0.9
