@@ -773,3 +773,31 @@ def test_bounds_of_grams_never_exceed_their_edits_and_tell_three():
             got = packed[:, column].copy().view(np.uint8)[: len(order)]
             want = [min(decontaminate.NEAR + 1, decontaminate.least_edits(gram, index.items[k])) for k in order.tolist()]
             assert (got <= want).all() and (got == want).mean() > 0.9
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 100])
+def test_texts_without_an_open_interval_are_not_shuffled(spark, monkeypatch, limit):
+    """Where the ranges fit a broadcast no text moves, else, if their ids do, those with a range alone."""
+    seen = {}
+
+    def noted(df, work, schema):
+        if "ranges" in df.columns and "text" in df.columns:
+            seen["plan"], seen["rows"] = df._jdf.queryExecution().executedPlan().toString(), df.count()
+        return arrow_map(df, work, schema)
+
+    arrow_map = passages.arrow_map
+    monkeypatch.setattr(passages, "arrow_map", noted)
+    monkeypatch.setattr(passages, "BROADCAST_BYTES", limit, raising=False)
+    source = random.Random(2)
+    prose = lambda n: [f"w{source.randrange(5000)}" for _ in range(n)]
+    line, own = prose(45), prose(10)
+    rows = [(k, " ".join(prose(30) + line + (own if k in (7, 31) else prose(10)) + prose(30))) for k in range(40)]
+    rows += [(100 + k, " ".join(prose(90))) for k in range(60)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"] for r in found} >= {7, 31} and 0 < seen["rows"] <= 40
+    assert "BroadcastHashJoin" in seen["plan"] and ("SortMergeJoin" in seen["plan"]) == (limit == 100)
