@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -88,6 +89,47 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Bytes of a text hashed at once, at word ends.
+HASHED_BYTES = 1 << 20
+_BYTE_HASHES = np.random.default_rng(20_240_602).integers(1, 1 << 64, 256, dtype=np.uint64)
+_IS_WORD = np.array([byte not in b" \t\n\v\f\r" for byte in range(256)])
+
+
+def wrapping_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers at least of an odd number, modulo 2 ** 64, and their inverses."""
+    return _powers(1 << max(16, n.bit_length()))
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    step = 0x9E3779B97F4A7C15
+    return tuple(
+        np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64) for base in (step, pow(step, -1, 1 << 64))
+    )
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``word_bytes``, in order, from sums of powers over all bytes."""
+    raw = np.frombuffer(text.lower(), np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    _IS_WORD.take(raw, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + HASHED_BYTES, "right")))
+        n = int(ends[to - 1] - low)
+        powers, inverse = wrapping_powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_HASHES.take(raw[low : low + n]) * powers[:n], out=sums[1:])
+        first, past = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = (sums[past] - sums[first]) * inverse[first]
+        at = to
+    return mixed(out)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (a bijection, so no two values meet)."""
     v = values ^ (values >> np.uint64(31))

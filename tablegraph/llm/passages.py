@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from tablegraph.llm.common import (
     BROADCAST_BYTES,
     SHINGLE,
-    WordHashes,
     arrow_map,
     batch,
     join_checked,
@@ -26,7 +24,8 @@ from tablegraph.llm.common import (
     shingles,
     text_bytes,
     texts,
-    word_bytes,
+    word_hashes,
+    wrapping_powers,
 )
 
 #: Words of the shortest passage.
@@ -69,6 +68,20 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def _centres(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in the order of ``values``, and the centres of the compact windows alone."""
+    n = len(values)
+    # The place fills the low bits, so values are distinct and the first of equal ones is the least.
+    bits = np.uint64(max(24, n.bit_length()))
+    ranked = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
+    if n < width:
+        return ranked, np.zeros(0, np.int64)
+    least = _least(ranked, width)
+    # Least values stand at places that never fall back, so equal ones lie side by side.
+    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return ranked, at[np.r_[True, at[1:] != at[:-1]]]
+
+
 def compact_windows(values: np.ndarray, width: int) -> tuple[list[int], list[int], list[int]]:
     """(left, centre, right) of the compact windows of at least ``width`` tokens.
 
@@ -78,13 +91,7 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[list[int], list[int
     do its ancestors; so the tree is built over those tokens alone.
     """
     n = len(values)
-    if n < width:
-        return [], [], []
-    # The place fills the low bits, so values are distinct and the first of equal ones is the least.
-    bits = np.uint64(max(24, n.bit_length()))
-    ranked = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
-    least = _least(ranked, width)
-    chosen = np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ranked, chosen = _centres(values, width)
     centres, heights = chosen.tolist(), ranked[chosen].tolist()
     left, right, stack = [0] * len(centres), [n - 1] * len(centres), []
     for k, at in enumerate(centres):
@@ -127,13 +134,13 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
     width = least_words - SHINGLE + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent = WordHashes(), set()
+        sent = set()
         none = np.zeros(0, np.uint64)
         for part in pieces(batches):
             text_keys, lengths, all_keys, all_places, all_beside, all_values, all_begins = [], [], [], [], [], [], []
             for text, named in zip(text_bytes(part), part.column("doc_id").is_valid().to_pylist(), strict=True):
-                words = word_bytes(text)
-                grams = shingles(hashes.of(words))
+                words = word_hashes(text)
+                grams = shingles(words)
                 key = _key(grams)
                 text_keys.append(key)
                 lengths.append(len(words))
@@ -145,9 +152,11 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
                     sent.add(whole)
                     for k in range(functions):
                         values = _function(grams, k)
-                        left, centre, right = compact_windows(values, width)
                         if k == 0:
+                            left, centre, right = compact_windows(values, width)
                             ranges = _intervals(grams, values, left, centre, right, width)
+                        else:
+                            centre = _centres(values, width)[1].tolist()
                         if len(set(values[centre].tolist())) < len(centre):
                             centre = _thinned(values, centre, width // 2)
                         keys.append(values[centre])
@@ -414,12 +423,11 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     again = join_checked(texts(docs), saved(wanted, "wanted"), ["doc_id"], "inner", 32)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in pieces(batches):
             since, until = part.column("since").to_pylist(), part.column("until").to_pylist()
-            # Only the words of the stretch are hashed; another text under the same id may end before it.
-            own = [word_bytes(text)[lo : hi + SHINGLE - 1] for text, lo, hi in zip(text_bytes(part), since, until, strict=True)]
-            words = pa.array([short_hashes(hashes.of(w)).tobytes() for w in own], pa.binary())
+            # Another text under the same id may end before the stretch.
+            own = [word_hashes(text)[lo : hi + SHINGLE - 1] for text, lo, hi in zip(text_bytes(part), since, until, strict=True)]
+            words = pa.array([short_hashes(w).tobytes() for w in own], pa.binary())
             yield batch(doc_id=part.column("doc_id"), since=part.column("since"), words=words)
 
     stretches = arrow_map(again, read, "doc_id long, since int, words binary").repartition("doc_id")
@@ -450,19 +458,10 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     return arrow_map(joined.select(*columns), verify, SPANS)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd number, modulo 2 ** 64, and their inverses."""
-    step = 0x9E3779B97F4A7C15
-    return tuple(
-        np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64) for base in (step, pow(step, -1, 1 << 64))
-    )
-
-
 def run_hashes(grams: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
     """A hash of each run of ``width`` shingles, or of those that begin ``at`` some places, from sums of powers."""
     n = len(grams)
-    powers, inverse = _powers(1 << max(10, n.bit_length()))
+    powers, inverse = wrapping_powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(grams * powers[:n], out=sums[1:])
     at = np.arange(max(0, n - width + 1)) if at is None else at
@@ -542,14 +541,13 @@ def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataF
     again = _texts_wanted(docs, wanted, wanted.agg(F.sum(F.size("ranges") * RANGE_BYTES + 64)).first()[0] or 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in pieces(batches):
             docs_of, found_runs, places, states = [], [], [], []
             for k, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), text_bytes(part), strict=True)):
-                words = word_bytes(text)
+                words = word_hashes(text)
                 if len(words) < SHINGLE + width - 1:  # another text under the same id
                     continue
-                runs = run_hashes(shingles(hashes.of(words)), width)
+                runs = run_hashes(shingles(words), width)
                 ranges = part.column("ranges")[k].values
                 inside = []
                 for since, until in (("begins", "until"), ("open", "shut")):

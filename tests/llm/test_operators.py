@@ -801,3 +801,19 @@ def test_texts_without_an_open_interval_are_not_shuffled(spark, monkeypatch, lim
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {r["doc_id"] for r in found} >= {7, 31} and 0 < seen["rows"] <= 40
     assert "BroadcastHashJoin" in seen["plan"] and ("SortMergeJoin" in seen["plan"]) == (limit == 100)
+
+
+def test_word_hashes_are_one_to_a_word_wherever_it_stands(monkeypatch):
+    from tablegraph.llm import common
+
+    source = random.Random(4)
+    words = {"".join(source.choices("abcdeäñ\u00a0日", k=source.randrange(1, 9))) for _ in range(3000)} | {"x" * 300, "x" * 301, "ab", "ba"}
+    row = [w for w in [*words, *words] for w in (w, w.upper().replace("SS", "ss"))]
+    source.shuffle(row)
+    text = "".join(w + source.choice([" ", "\n", "\t ", "\x0b", "\x0c\r"]) for w in row).encode()
+    plain = common.word_bytes(text)
+    hashes = common.word_hashes(text)
+    assert len(hashes) == len(plain) and len(set(zip(plain, hashes.tolist()))) == len(set(plain)) == len(set(hashes.tolist()))
+    monkeypatch.setattr(common, "HASHED_BYTES", 100)
+    assert (common.word_hashes(text) == hashes).all() and (common.word_hashes(b"\n " + text[:-1]) == hashes).all()
+    assert [len(common.word_hashes(t)) for t in (b"", b" \n", b"a", b" a", b"a b ")] == [0, 0, 1, 1, 2]
