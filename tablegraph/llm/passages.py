@@ -315,14 +315,40 @@ def _before(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _places(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """For each shingle of ``a`` the place of the same one in ``b``, or -1; ``shifts`` lead from one to the other."""
+def _straight(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """Passages of equal shingles on the meetings' shifts: (first, last in a, first, last in b). Of those that overlap
+    there are as few as hold, on either side, all runs of ``width`` that any of them holds."""
+    spans = []
+    for shift in np.unique(shifts).tolist():
+        low, past = max(0, -shift), min(len(a), len(b) - shift)
+        if past - low < width:
+            continue
+        ends = np.flatnonzero(np.diff(np.r_[False, a[low:past] == b[low + shift : past + shift], False])) + low
+        spans += [(f, t - 1, f + shift, t - 1 + shift) for f, t in ends.reshape(-1, 2).tolist() if t - f >= width]
+    return sorted({*_covering(spans, 0, width), *_covering(spans, 2, width)})
+
+
+def _covering(spans: list[tuple[int, int, int, int]], side: int, width: int) -> list[tuple[int, int, int, int]]:
+    """Few of ``spans`` that hold all runs of ``width`` that any of them holds on that side."""
+    kept, end, furthest = [], width - 2, None
+    for span in sorted(spans, key=lambda s: (s[side], -s[side + 1])):
+        if furthest is not None and span[side] > end - width + 2:
+            kept.append(furthest)
+            end, furthest = furthest[side + 1], None
+        if span[side + 1] > (end if furthest is None else furthest[side + 1]):
+            furthest = span
+    return kept if furthest is None else [*kept, furthest]
+
+
+def _places(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, bool]:
+    """For each shingle of ``a`` the place of the same one in ``b``, or -1, and whether ``b`` holds one twice;
+    ``shifts`` lead from one to the other."""
     order = np.argsort(b, kind="stable")
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
     places = np.where(ranked[at] == a, order[at], -1)
     if not (ranked[1:] == ranked[:-1]).any():
-        return places
+        return places, False
     # A shingle that b repeats counts where a meeting's shift puts it, or else next to its neighbour.
     fixed = np.zeros(len(a), bool)
     for shift in np.unique(shifts).tolist():
@@ -340,7 +366,7 @@ def _places(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
             alone = step > 0 or k == 0 or places[k - 1] + 1 != places[k]
             if alone and b[there] == a[k]:
                 places[k] = there
-    return places
+    return places, True
 
 
 def shared_spans(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
@@ -350,10 +376,21 @@ def shared_spans(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -
     which the shingle sets of the two sides are similar enough. So a passage begins and ends with a run, a run
     of the least length is one by itself, and what a longer passage of the same runs fails, a shorter may pass.
     Of the two sides the longer one has the least length; passages that lie in one already found are left out.
+    A shingle of ``a`` has one place in ``b`` for this, so where ``b`` repeats some, the runs on the meetings' shifts
+    are passages besides.
     """
     if not len(a) or not len(b):
         return []
-    places = _places(a, b, shifts)
+    places, repeated = _places(a, b, shifts)
+    kept = _joined(a, b, places, width)
+    if repeated and len(shifts) > 1:
+        inside = lambda f, t, s, u: any(f0 <= f and t <= t0 and s0 <= s and u <= u0 for f0, t0, s0, u0 in kept)
+        kept += [span for span in _straight(a, b, shifts, width) if not inside(*span)]
+    return kept
+
+
+def _joined(a: np.ndarray, b: np.ndarray, places: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """The passages of ``shared_spans`` under one place in ``b`` for each shingle of ``a``."""
     on = np.flatnonzero(places >= 0)
     if not len(on):
         return []
@@ -468,6 +505,25 @@ def run_hashes(grams: np.ndarray, width: int, at: np.ndarray | None = None) -> n
     return mixed((sums[at + width] - sums[at]) * inverse[at])
 
 
+def _thinned_runs(runs: np.ndarray, wanted: np.ndarray, opened: np.ndarray, width: int) -> np.ndarray:
+    """The places wanted, in order, but for most of those of one run that a text holds again and again.
+
+    Of places that are not open the first of each run stays, which is enough to meet. Open ones that follow closely stay
+    but for those between two that lie no more than ``width`` apart: the passages of the two hold all words between.
+    """
+    at = np.flatnonzero(wanted)
+    order = at[np.lexsort((at, opened[at], runs[at]))]
+    same = np.r_[False, (runs[order][1:] == runs[order][:-1]) & (opened[order][1:] == opened[order][:-1])]
+    if not same.any():
+        return at
+    half = max(1, width // 2)
+    near = same & (np.diff(order, prepend=0) <= half)
+    last = np.append(~near[1:], True)
+    # One at least of each half of a width, and the ends of those that follow closely.
+    fresh = np.r_[True, order[1:] // half != order[:-1] // half]
+    return np.sort(order[np.where(opened[order], ~near | last | fresh, ~same)])
+
+
 def _texts_wanted(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The texts of the documents in ``wanted``, a saved table of ``size`` bytes, with its columns; where that is too
     large to be broadcast, its ids may not be, and the other texts stay where they are."""
@@ -555,7 +611,7 @@ def open_meetings(docs: DataFrame, found: DataFrame, rep: DataFrame, near: DataF
                     np.add.at(marks, np.minimum(ranges.field(since).to_numpy(), len(runs)), 1)
                     np.add.at(marks, np.minimum(ranges.field(until).to_numpy(), len(runs)), -1)
                     inside.append(np.cumsum(marks)[:-1] > 0)
-                at = np.flatnonzero(inside[0])
+                at = _thinned_runs(runs, inside[0], inside[1], width)
                 states.append(inside[1][at])
                 docs_of.append(np.full(len(at), doc))
                 found_runs.append(runs[at].view(np.int64))

@@ -817,3 +817,64 @@ def test_word_hashes_are_one_to_a_word_wherever_it_stands(monkeypatch):
     monkeypatch.setattr(common, "HASHED_BYTES", 100)
     assert (common.word_hashes(text) == hashes).all() and (common.word_hashes(b"\n " + text[:-1]) == hashes).all()
     assert [len(common.word_hashes(t)) for t in (b"", b" \n", b"a", b" a", b"a b ")] == [0, 0, 1, 1, 2]
+
+
+def test_a_phrase_said_over_and_over_is_covered_and_meets_few_times(spark, monkeypatch):
+    """Every run of fifty words that two texts share lies in a passage, and the runs of such a text are few rows."""
+    rng = random.Random(12)
+    tables, saved = {}, passages.saved
+
+    def noted(df, name):
+        tables[name] = saved(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(passages, "saved", noted)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    # The first text of the windows' keys says it too few times for a passage, so that the others' runs stay open.
+    texts = {1: prose(40) + ["go", "on"] * 12 + prose(40)}
+    for doc in range(2, 22):
+        texts[doc] = prose(20 + doc) + ["go", "on"] * 300 + prose(30)
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    found = passages.shared_passages(table).collect()
+    for doc in range(2, 22):
+        held = {at for r in found if r["doc_id"] == doc for at in range(r["first_word"], r["first_word"] + r["n_words"])}
+        assert held == set(range(20 + doc, 620 + doc))
+    assert all(r["doc_id"] > 1 for r in found)
+    assert tables["runs"].count() <= 20 * 100  # of 551 places each
+
+
+def test_runs_on_the_meetings_shifts_hold_all_runs_of_any_of_them():
+    import numpy as np
+
+    rng, width = random.Random(13), 5
+    for _ in range(200):
+        phrase = [rng.randrange(4) for _ in range(rng.choice((1, 2, 3)))]
+        a = np.array([9] * rng.randrange(4) + phrase * rng.randrange(3, 9) + [rng.randrange(5) for _ in range(8)], np.uint64)
+        b = np.array([8] * rng.randrange(4) + phrase * rng.randrange(3, 30) + [rng.randrange(5) for _ in range(8)], np.uint64)
+        shifts = np.array(rng.sample(range(-len(a), len(b)), 9))
+        got = passages._straight(a, b, shifts, width)
+        assert all(t - f == u - s and t - f + 1 >= width and (a[f : t + 1] == b[s : u + 1]).all() for f, t, s, u in got)
+        runs = [(i, i + k) for k in shifts.tolist() for i in range(len(a) - width + 1) if 0 <= i + k <= len(b) - width and (a[i : i + width] == b[i + k : i + k + width]).all()]
+        assert {i for i, _ in runs} == {i for f, t, _, _ in got for i in range(f, t - width + 2)}
+        assert {j for _, j in runs} == {j for _, _, s, u in got for j in range(s, u - width + 2)}
+
+
+def test_thinned_runs_leave_no_open_word_out():
+    import numpy as np
+
+    rng = random.Random(14)
+    for _ in range(200):
+        width = rng.choice((1, 2, 5, 9))
+        runs = np.array([rng.randrange(rng.choice((1, 3, 40))) for _ in range(rng.randrange(1, 120))], np.uint64)
+        wanted = np.array([rng.random() < 0.9 for _ in runs])
+        opened = wanted & np.array([rng.random() < rng.choice((0.3, 1)) for _ in runs])
+        kept = passages._thinned_runs(runs, wanted, opened, width).tolist()
+        assert kept == sorted(set(kept)) and wanted[kept].all() and set(runs[kept]) == set(runs[wanted])
+        for run in set(runs[opened].tolist()):
+            own = [k for k in kept if runs[k] == run and opened[k]]
+            for at in np.flatnonzero(opened & (runs == run)).tolist():  # it is kept, or lies between two that are near
+                low, high = max((k for k in own if k <= at), default=None), min((k for k in own if k >= at), default=None)
+                assert low is not None and high is not None and high - low <= width
