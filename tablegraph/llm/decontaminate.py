@@ -32,11 +32,13 @@ REMEMBERED_GRAMS = 1 << 18
 #: Bytes of benchmark text, and items, searched for at once: tables take a byte an item for eight slots.
 BLOCK_BYTES, BLOCK_ITEMS = 256 << 10, 256
 #: Bytes of document text searched at once; longer texts are cut, with as much overlap as a passage is long.
-TEXT_BYTES = 512 << 10
+TEXT_BYTES = 1 << 20
 #: Windows embedded or verified at once.
-AT_ONCE = 2048
+AT_ONCE = 4096
+#: Windows up to which they are sooner verified one by one.
+FEW = 64
 #: Stretches whose texts are held at once, to be dealt by length.
-STRETCHES = 16 * AT_ONCE
+STRETCHES = 8 * AT_ONCE
 
 SCHEMA = "doc_id long, item_id long, first_word int, edits int, n_chars int"
 
@@ -50,6 +52,7 @@ class Index:
     lengths: np.ndarray
     room: np.ndarray  # edits allowed
     masks: list[np.ndarray]  # per item, byte and 64 places of it: where the byte stands; places before the item match all
+    heads: list[np.ndarray]  # the same of its first half, made up to whole words
     buckets: dict[int, list[int]]
 
 
@@ -206,20 +209,28 @@ def build(rows: list[tuple[int, bytes]], edits: float) -> Index | None:
         return None
     items = [plain for _, plain in kept]
     lengths = np.array([len(plain) for plain in items])
-    masks = []
-    for plain in items:
-        free = -len(plain) % 64
-        bits = np.zeros((256, free + len(plain)), np.uint8)
-        bits[:, :free] = 1
-        bits[np.frombuffer(plain, np.uint8), np.arange(free, free + len(plain))] = 1
-        masks.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    masks = [_masks(plain) for plain in items]
+    heads = [_masks(plain[:n]) for plain, n in zip(items, _head(lengths).tolist(), strict=True)]
     bits, shares = _random()
     buckets: dict[int, list[int]] = {}
     for k, row in enumerate(bucket_keys(_matrix(items), lengths, bits, shares).tolist()):
         for bucket in row:
             buckets.setdefault(bucket, []).append(k)
     room = np.array([int(edits * n) for n in lengths.tolist()])
-    return Index([i for i, _ in kept], items, lengths, room, masks, buckets)
+    return Index([i for i, _ in kept], items, lengths, room, masks, heads, buckets)
+
+
+def _head(lengths: np.ndarray) -> np.ndarray:
+    """Places of the first half of items, made up to whole words of 64."""
+    return np.minimum(lengths, -(-lengths // 128) * 64)
+
+
+def _masks(plain: bytes) -> np.ndarray:
+    free = -len(plain) % 64
+    bits = np.zeros((256, free + len(plain)), np.uint8)
+    bits[:, :free] = 1
+    bits[np.frombuffer(plain, np.uint8), np.arange(free, free + len(plain))] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def _scores(item: bytes, text: bytes, anchored: bool = False) -> Iterator[int]:
@@ -261,20 +272,27 @@ def _start(item: bytes, text: bytes, edits: int) -> int:
 
 
 def _distances(index: Index, owners: np.ndarray, strings: list[bytes]) -> np.ndarray:
-    """``least_edits`` of many pairs at once, or a number above the edits allowed: the beginning of an item has no
-    more edits than the whole, so about half of each item decides most pairs."""
-    words = -(-index.lengths[owners] // 64)
-    begun = (words + 2) // 2
-    best = _least_edits(index, owners, strings, begun)
-    left = np.flatnonzero((best <= index.room[owners]) & (begun < words))
-    best[left] = _least_edits(index, owners[left], [strings[k] for k in left.tolist()], words[left])
+    """``least_edits`` of many pairs at once, or a number above the edits allowed: half of each item decides most pairs.
+
+    The first half has no more edits than the whole, and as many places of the string as the other half has may be left
+    out at its end: where the passage has fewer there, it has as many edits more, and so may the first half.
+    """
+    heads, lengths = _head(index.lengths)[owners], index.lengths[owners]
+    begun = [string[: max(0, len(string) - rest)] for string, rest in zip(strings, (lengths - heads).tolist(), strict=True)]
+    best = _least_edits(index.heads, heads, owners, begun)
+    left = np.flatnonzero((best <= index.room[owners]) & (heads < lengths))
+    if len(left) > FEW:
+        best[left] = _least_edits(index.masks, lengths[left], owners[left], [strings[k] for k in left.tolist()])
+    else:
+        best[left] = [least_edits(index.items[owners[k]], strings[k]) for k in left.tolist()]
     return best
 
 
-def _least_edits(index: Index, owners: np.ndarray, strings: list[bytes], words: np.ndarray) -> np.ndarray:
-    """Fewest edits between the first ``words`` times 64 places of each item and any substring: the recurrence of
+def _least_edits(masks_of: list[np.ndarray], lengths: np.ndarray, owners: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Fewest edits between what the masks of each item stand for, of that length, and any substring: the recurrence of
     ``_scores``, 64 places to a word, a pair to a lane."""
     best = np.zeros(len(owners), np.int64)
+    words = -(-lengths // 64)
     order = np.lexsort(([len(s) for s in strings], words))
     one, top, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
     for same in np.split(order, np.flatnonzero(np.diff(words[order])) + 1):
@@ -283,20 +301,20 @@ def _least_edits(index: Index, owners: np.ndarray, strings: list[bytes], words:
             width = int(words[lanes[0]])
             text = np.ascontiguousarray(_matrix([strings[k] for k in lanes.tolist()]).T)
             held, own = np.unique(owners[lanes], return_inverse=True)
-            masks = np.ascontiguousarray(np.stack([index.masks[k][:, :width] for k in held.tolist()]).transpose(2, 0, 1)).reshape(width, -1)
+            masks = np.ascontiguousarray(np.stack([masks_of[k] for k in held.tolist()]).transpose(2, 0, 1)).reshape(width, -1)
             base = own.ravel() * 256
-            free = (-index.lengths[owners[lanes]] % 64).astype(np.uint64)
+            free = (-lengths[lanes] % 64).astype(np.uint64)
             # No edits before the item's first place.
             up, down = [full << free] + [np.full(len(lanes), full) for _ in range(1, width)], [np.zeros(len(lanes), np.uint64)] * width
             score = width * 64 - free.astype(np.int64)
             least = score.copy()
             for column in text[:-1]:
                 place = base + column
-                plus = minus = np.uint64(0)
                 for w in range(width):
                     equal = masks[w].take(place)
                     vertical = equal | down[w]
-                    equal |= minus
+                    if w:
+                        equal |= minus
                     horizontal = equal & up[w]
                     horizontal += up[w]
                     horizontal ^= up[w]
@@ -306,9 +324,10 @@ def _least_edits(index: Index, owners: np.ndarray, strings: list[bytes], words:
                     more |= down[w]
                     out_plus, out_minus = more >> top, less >> top
                     more <<= one
-                    more |= plus
                     less <<= one
-                    less |= minus
+                    if w:
+                        more |= plus
+                        less |= minus
                     down[w] = more & vertical
                     vertical |= more
                     np.invert(vertical, out=vertical)
@@ -322,19 +341,13 @@ def _least_edits(index: Index, owners: np.ndarray, strings: list[bytes], words:
     return best
 
 
-def _within(values: np.ndarray, held: int, room: np.uint64 | int) -> np.ndarray:
-    """What is left of ``room`` after the values of ``held`` grams, from each gram on."""
-    sums = np.zeros(len(values) + 1, values.dtype)
-    np.cumsum(values, out=sums[1:])
-    within = sums[held:] - sums[:-held]
-    return np.subtract(room, within, out=within)
-
-
 def _windows(index: Index, order: np.ndarray, packed: np.ndarray, place: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(item, grams, sums): where the bounds of the grams from there on, as many as a passage of the item holds, add
     up to no more than its room. Eight items of like length are added up at once, a byte of a word each.
     """
-    most = NEAR + 1
+    most, n = NEAR + 1, len(place)
+    # Large arrays are made once: to make them anew for each group costs as much as to fill them.
+    values, sums_of, within_of, flags = np.empty(n, np.uint64), np.zeros(n + 1, np.uint64), np.empty(n + 1, np.uint64), np.empty(n + 1, bool)
     for group in range(len(packed)):
         own = order[8 * group : 8 * group + 8]
         able = (held[own] > 0) & (held[own] <= len(place)) & (most * held[own] > index.room[own])
@@ -343,23 +356,30 @@ def _windows(index: Index, order: np.ndarray, packed: np.ndarray, place: np.ndar
         small = able & (index.room[own] < 128) & (most * held[own] <= 128 + index.room[own])
         if not able.any():
             continue
-        values = packed[group].take(place)
+        packed[group].take(place, out=values, mode="clip")
         if small.any():
             fewest, room = int(held[own[small]].min()), np.zeros(8, np.uint8)
             room[: len(own)] = np.where(small, index.room[own], 127) | 128
-            left = _within(values, fewest, room.view(np.uint64)[0])
-            some = np.flatnonzero(left & _bytes(np.where(small, 128, 0)))
+            np.cumsum(values, out=sums_of[1:])
+            left, rest = within_of[: n + 1 - fewest], flags[: n + 1 - fewest]
+            np.subtract(sums_of[fewest:], sums_of[:-fewest], out=left)
+            np.subtract(room.view(np.uint64)[0], left, out=left)
+            # The sums are done with: the array holds what is compared, but for its first place.
+            np.bitwise_and(left, _bytes(np.where(small, 128, 0)), out=sums_of[1 : len(left) + 1])
+            np.not_equal(sums_of[1 : len(left) + 1], 0, out=rest)
+            some = np.flatnonzero(rest)
             left = left[some].view(np.uint8).reshape(-1, 8)
         for k in np.flatnonzero(able).tolist():
             item = int(own[k])
-            bounds, allowed = values.view(np.uint8).reshape(-1, 8)[:, k], int(index.room[item])
+            bounds, allowed = values.view(np.uint8), int(index.room[item])
             if small[k]:
                 inside = np.flatnonzero(left[:, k] & 128)
                 at, sums = some[inside], allowed + 128 - left[inside, k].astype(np.int64)
                 for more in range(fewest, int(held[item])):  # grams that this item's passages hold besides
-                    sums += bounds.take(np.minimum(at + more, len(place) - 1))
+                    sums += bounds.take(8 * np.minimum(at + more, n - 1) + k)
             else:
-                sums = allowed - _within(bounds.astype(np.int64), int(held[item]), allowed)
+                sums = np.cumsum(np.r_[0, bounds[k::8].astype(np.int64)])
+                sums = sums[held[item] :] - sums[: -held[item]]
                 at = np.arange(len(sums))
             good = sums <= allowed
             yield item, at[good], sums[good]
@@ -392,6 +412,7 @@ def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> list[tuple[in
         return out
     sizes = np.array([len(text) // GRAM for text in padded])
     owner, first = np.repeat(np.arange(len(padded)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
+    sizes_of = np.array([len(text) for text in texts_of])
     keys = np.zeros(n, np.uint64)
     for k in range(GRAM):
         keys = keys << np.uint64(8) | joined[k::GRAM]
@@ -404,12 +425,18 @@ def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> list[tuple[in
         at, here = at[whole], here[whole]
         if not len(at):
             continue
-        cuts = np.flatnonzero((np.diff(at) > grams_of) | (np.diff(owner[at]) != 0)) + 1
-        for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(at)].tolist(), strict=True):
-            k, least = int(owner[at[lo]]), lo + int(np.argmin(here[lo:hi]))
-            begin, end, window = (GRAM * (int(at[x]) - int(first[k])) for x in (lo, hi - 1, least))
-            end = min(len(texts_of[k]), end + int(index.lengths[item]) + room)
-            out.append((k, item, max(0, begin - GRAM + 1), end, window if 2 * here[least] <= room else -1))
+        of = owner[at]
+        fresh = np.ones(len(at), bool)
+        np.logical_or(at[1:] - at[:-1] > grams_of, of[1:] != of[:-1], out=fresh[1:])
+        lo = np.flatnonzero(fresh)
+        hi = np.append(lo[1:], len(at)) - 1
+        # The first of the least sums of each stretch: sums and places as one number.
+        least = np.minimum.reduceat(here * len(at) + np.arange(len(at)), lo) % len(at)
+        k = of[lo]
+        begin, end, window = (GRAM * (at[x] - first[k]) for x in (lo, hi, least))
+        end = np.minimum(sizes_of[k], end + int(index.lengths[item]) + room)
+        window[2 * here[least] > room] = -1
+        out += zip(k.tolist(), [item] * len(k), np.maximum(0, begin - GRAM + 1).tolist(), end.tolist(), window.tolist(), strict=True)
     return out
 
 
@@ -509,15 +536,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct()
         index = build(sorted((row["item_id"], row["text"].encode("utf-8")) for row in own.collect()), edits)
         if index is not None:
-            part = _scan(docs, spark.sparkContext.broadcast(vars(index)), edits)
+            part = _scan(docs, spark.sparkContext.broadcast({"index": vars(index)}), edits)
             found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], SCHEMA)
 
 
 def _scan(docs: DataFrame, shared, edits: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(**shared.value)
-        near = Bounds(index.items, _by_length(index))
+        # A Python worker keeps the value of a broadcast while its tasks use it: the next one finds tables and bounds there.
+        kept = shared.value
+        index = Index(**kept["index"])
+        if "near" not in kept:
+            kept["near"] = Bounds(index.items, _by_length(index))
+        near = kept["near"]
         for part in pieces(batches):
             found = _search(index, edits, text_bytes(part), near=near)
             if found:

@@ -878,3 +878,60 @@ def test_thinned_runs_leave_no_open_word_out():
             for at in np.flatnonzero(opened & (runs == run)).tolist():  # it is kept, or lies between two that are near
                 low, high = max((k for k in own if k <= at), default=None), min((k for k in own if k >= at), default=None)
                 assert low is not None and high is not None and high - low <= width
+
+
+def test_tasks_of_one_worker_share_the_bounds_of_grams(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    made, works = [], []
+    bounds = decontaminate.Bounds
+    monkeypatch.setattr(decontaminate, "Bounds", lambda *a: made.append(bounds(*a)) or made[-1])
+    monkeypatch.setattr(decontaminate, "texts", lambda docs: docs)
+    monkeypatch.setattr(decontaminate, "arrow_map", lambda docs, work, schema: works.append(work))
+    items = [f"the {k} item speaks of {'one two three four five '[: 5 * k]} things and of no more" for k in range(12)]
+    index = decontaminate.build([(k, item.encode()) for k, item in enumerate(items)], decontaminate.EDITS)
+    decontaminate._scan(None, types.SimpleNamespace(value={"index": vars(index)}), decontaminate.EDITS)
+    words = random.Random(15).choices("one two thing item speaks more of no".split(), k=4000)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array([items[3], " ".join(words), f"so {items[7]} so"])], names=["doc_id", "text"])
+    found = [[(r["doc_id"], r["item_id"], r["edits"]) for part in works[0](iter([rows])) for r in part.to_pylist()] for _ in range(2)]
+    assert found[0] == found[1] and {(0, 3, 0), (2, 7, 0)} <= set(found[0])
+    assert len(made) == 1
+
+
+def test_half_an_item_and_a_shorter_string_decide_most_pairs(monkeypatch):
+    """What is within the edits has its own number, all else a number above them; also where the passage is cut short."""
+    import numpy as np
+
+    rng = random.Random(16)
+    items = ["".join(rng.choices("abcdef ", k=n)).strip() for n in (30, 64, 65, 90, 128, 129, 200, 333)]
+    index = decontaminate.build([(k, item.encode()) for k, item in enumerate(items)], decontaminate.EDITS)
+    owners, strings = [], []
+    for k, item in enumerate(index.items):
+        for _ in range(40):
+            edited = bytearray(item)
+            for _ in range(rng.randrange(int(0.25 * len(item)))):
+                at = rng.randrange(len(edited))
+                edited[at : at + rng.randrange(2)] = rng.choice([b"", b"z", b"zz"])
+            if rng.random() < 0.5:  # the end of it is missing
+                edited = edited[: len(edited) - rng.randrange(int(0.2 * len(item)))]
+            around = ["".join(rng.choices("abcdef ", k=rng.randrange(30))).encode() for _ in "ab"]
+            strings.append(bytes(around[0] + edited + (b"" if rng.random() < 0.5 else around[1])))
+            owners.append(k)
+        strings.append("".join(rng.choices("uvwxyz", k=400)).encode())
+        owners.append(k)
+    taken, least = [], decontaminate._least_edits
+
+    def noted(masks_of, lengths, owners, strings):
+        taken.append(sum(map(len, strings)))
+        return least(masks_of, lengths, owners, strings)
+
+    monkeypatch.setattr(decontaminate, "_least_edits", noted)
+    for few in (0, 10**6):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        got = decontaminate._distances(index, np.array(owners), strings)
+        for k, string, edits in zip(owners, strings, got.tolist(), strict=True):
+            want, room = decontaminate.least_edits(index.items[k], string), int(index.room[k])
+            assert edits == want if want <= room else edits > room
+    assert taken[0] < 0.8 * sum(map(len, strings)) and len(taken) == 3
