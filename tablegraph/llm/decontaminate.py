@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +28,16 @@ NEAR = 2
 #: Slots of a table of items' grams, as a power of two. A gram stands in two of them; one that shares both with others
 #: has its bound lowered, never raised.
 SLOT_BITS = 16
-#: Grams whose bounds a task remembers.
-REMEMBERED_GRAMS = 1 << 18
+#: Grams whose bounds a task remembers, two bits an item.
+REMEMBERED_GRAMS = 1 << 19
+#: Grams whose bounds are added up at once: as many as stay in a core's cache for all items.
+ADDED_GRAMS = 1024
+#: Groups of items whose sums are held at once, over all grams of the text searched.
+ADDED_GROUPS = 8
 #: Bytes of benchmark text, and items, searched for at once: tables take a byte an item for eight slots.
 BLOCK_BYTES, BLOCK_ITEMS = 256 << 10, 256
 #: Bytes of document text searched at once; longer texts are cut, with as much overlap as a passage is long.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 #: Windows embedded or verified at once.
 AT_ONCE = 4096
 #: Windows up to which they are sooner verified one by one.
@@ -56,6 +61,7 @@ class Index:
     buckets: dict[int, list[int]]
 
 
+@functools.lru_cache(maxsize=1)
 def _random() -> tuple[np.ndarray, np.ndarray]:
     """The walks' fixed random bits per (walk, step mod 4096, byte) and the sampled places as shares of the reach."""
     source = np.random.default_rng(20_240_601)
@@ -130,14 +136,16 @@ def _slots(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(64 - SLOT_BITS)).astype(np.intp), (key & rest).astype(np.intp)
 
 
-#: The bits of a byte as the bytes of a word.
+#: The bits of a byte as the bytes of a word, once and twice.
 _SPREAD = sum((np.arange(256, dtype=np.uint64) >> np.uint64(k) & np.uint64(1)) << np.uint64(8 * k) for k in range(8))
+_SPREAD_TWICE = _SPREAD << np.uint64(1)
 
 
 class Bounds:
     """Lower bounds, up to ``NEAR`` + 1, of the edits between a gram and any string of an item, remembered by gram.
 
-    A table has a bit per slot and item. The items stand by length, eight to a word of bounds, a byte each.
+    A table has a bit per slot and item. The items stand by length, eight to a word of bounds, a byte each. Remembered
+    is how far a bound lies below the highest, as two bits.
     """
 
     def __init__(self, items: list[bytes], order: np.ndarray):
@@ -159,10 +167,14 @@ class Bounds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at, self.packed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.empty((self.groups, 1024), np.uint64)
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.below = np.empty((REMEMBERED_GRAMS, 2, self.groups), np.uint8)
 
     def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words of bounds per group of items and column, column of each gram) of distinct grams in order."""
+        """(words of bounds per group of items and column, column of each gram) of distinct grams in order.
+
+        The words of one gram lie side by side in memory.
+        """
         place = np.searchsorted(self.known, grams)
         new = np.ones(len(grams), bool)
         inside = place < len(self.known)
@@ -172,15 +184,19 @@ class Bounds:
             return self.of(grams)
         if new.any():
             first, last = len(self.known), len(self.known) + int(new.sum())
-            if last > self.packed.shape[1]:
-                room = np.empty((self.groups, max(last, min(2 * last, REMEMBERED_GRAMS))), np.uint64)
-                room[:, :first] = self.packed[:, :first]
-                self.packed = room
-            self._make(grams[new], self.packed[:, first:last])
+            if last > len(self.below):
+                self.below = np.empty((last, 2, self.groups), np.uint8)  # nothing is known yet
+            self._make(grams[new], self.below[first:last])
             self.at = np.insert(self.at, place[new], np.arange(first, last))
             self.known = np.insert(self.known, place[new], grams[new])
             place = np.searchsorted(self.known, grams)
-        return self.packed, self.at[place]
+        words = np.empty((len(grams), self.groups), np.uint64)
+        for since in range(0, len(grams), ADDED_GRAMS):
+            below = self.below.take(self.at[place[since : since + ADDED_GRAMS]], 0)
+            own = words[since : since + ADDED_GRAMS]
+            np.subtract(0x0101010101010101 * (NEAR + 1), _SPREAD.take(below[:, 0]), out=own)
+            own -= _SPREAD_TWICE.take(below[:, 1])
+        return words.T, np.arange(len(grams))
 
     def _make(self, grams: np.ndarray, out: np.ndarray) -> None:
         for since in range(0, len(grams), 2048):
@@ -194,12 +210,11 @@ class Bounds:
                 bits.take(second, 0, other, "clip")
                 one &= other
                 near[edits] |= one
-            words = np.full((self.groups, len(own)), 0x0101010101010101 * (NEAR + 1), np.uint64)
-            for edits in range(NEAR + 1):
-                if edits:
-                    near[edits] |= near[edits - 1]
-                words -= _SPREAD.take(np.ascontiguousarray(near[edits].view(np.uint8)[:, : self.groups].T))
-            out[:, since : since + 2048] = words
+            # What is found at some edits counts at more too: one below where at two alone, two at one, three at none.
+            near[1] |= near[0]
+            near[2] |= near[1]
+            for k, bits in enumerate((near[0] ^ near[1] ^ near[2], near[1])):
+                out[since : since + 2048, k] = bits.view(np.uint8)[:, : self.groups]
 
 
 def build(rows: list[tuple[int, bytes]], edits: float) -> Index | None:
@@ -238,13 +253,13 @@ def _scores(item: bytes, text: bytes, anchored: bool = False) -> Iterator[int]:
     up to there. The bit-parallel recurrence over the columns of the edit matrix, one machine word of any length per
     column."""
     m = len(item)
-    masks: dict[int, int] = {}
+    masks = [0] * 256
     for k, byte in enumerate(item):
-        masks[byte] = masks.get(byte, 0) | (1 << k)
+        masks[byte] |= 1 << k
     full, high = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
     for byte in text:
-        equal = masks.get(byte, 0)
+        equal = masks[byte]
         vertical = equal | down
         horizontal = (((equal & up) + up) ^ up) | equal
         more = down | ~(horizontal | up) & full
@@ -341,45 +356,53 @@ def _least_edits(masks_of: list[np.ndarray], lengths: np.ndarray, owners: np.nda
     return best
 
 
+def _sums(packed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Per group of items the sums of the bounds of all grams before each place, and of all."""
+    n, rows = len(place), np.ascontiguousarray(packed.T)
+    out = np.zeros((len(packed), n + 1), np.uint64)
+    for since in range(0, n, ADDED_GRAMS):
+        own = rows.take(place[since : since + ADDED_GRAMS], 0)
+        own[0] += out[:, since]
+        np.cumsum(own, axis=0, out=out[:, since + 1 : since + 1 + len(own)].T)
+    return out
+
+
 def _windows(index: Index, order: np.ndarray, packed: np.ndarray, place: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(item, grams, sums): where the bounds of the grams from there on, as many as a passage of the item holds, add
     up to no more than its room. Eight items of like length are added up at once, a byte of a word each.
     """
     most, n = NEAR + 1, len(place)
     # Large arrays are made once: to make them anew for each group costs as much as to fill them.
-    values, sums_of, within_of, flags = np.empty(n, np.uint64), np.zeros(n + 1, np.uint64), np.empty(n + 1, np.uint64), np.empty(n + 1, bool)
+    within_of, high_of, flags = np.empty(n + 1, np.uint64), np.empty(n + 1, np.uint64), np.empty(n + 1, bool)
     for group in range(len(packed)):
-        own = order[8 * group : 8 * group + 8]
+        if group % ADDED_GROUPS == 0:
+            sums_of = _sums(packed[group : group + ADDED_GROUPS], place)
+        own, added = order[8 * group : 8 * group + 8], sums_of[group % ADDED_GROUPS]
         able = (held[own] > 0) & (held[own] <= len(place)) & (most * held[own] > index.room[own])
         # Sums pass 64 bits, their differences do not: a byte holds what a window may add up to, and its high bit
         # stays within room.
         small = able & (index.room[own] < 128) & (most * held[own] <= 128 + index.room[own])
-        if not able.any():
-            continue
-        packed[group].take(place, out=values, mode="clip")
         if small.any():
             fewest, room = int(held[own[small]].min()), np.zeros(8, np.uint8)
             room[: len(own)] = np.where(small, index.room[own], 127) | 128
-            np.cumsum(values, out=sums_of[1:])
-            left, rest = within_of[: n + 1 - fewest], flags[: n + 1 - fewest]
-            np.subtract(sums_of[fewest:], sums_of[:-fewest], out=left)
+            left, high, rest = (array[: n + 1 - fewest] for array in (within_of, high_of, flags))
+            np.subtract(added[fewest:], added[:-fewest], out=left)
             np.subtract(room.view(np.uint64)[0], left, out=left)
-            # The sums are done with: the array holds what is compared, but for its first place.
-            np.bitwise_and(left, _bytes(np.where(small, 128, 0)), out=sums_of[1 : len(left) + 1])
-            np.not_equal(sums_of[1 : len(left) + 1], 0, out=rest)
+            np.bitwise_and(left, _bytes(np.where(small, 128, 0)), out=high)
+            np.not_equal(high, 0, out=rest)
             some = np.flatnonzero(rest)
             left = left[some].view(np.uint8).reshape(-1, 8)
         for k in np.flatnonzero(able).tolist():
             item = int(own[k])
-            bounds, allowed = values.view(np.uint8), int(index.room[item])
+            grams_of, allowed = int(held[item]), int(index.room[item])
             if small[k]:
-                inside = np.flatnonzero(left[:, k] & 128)
-                at, sums = some[inside], allowed + 128 - left[inside, k].astype(np.int64)
-                for more in range(fewest, int(held[item])):  # grams that this item's passages hold besides
-                    sums += bounds.take(8 * np.minimum(at + more, n - 1) + k)
+                at = some[np.flatnonzero(left[:, k] & 128)]
+                at = at[: np.searchsorted(at, n - grams_of, "right")]  # this item's passages may hold more grams
+                sums = added.take(at + grams_of) - added.take(at)
+                sums = (sums >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)
             else:
-                sums = np.cumsum(np.r_[0, bounds[k::8].astype(np.int64)])
-                sums = sums[held[item] :] - sums[: -held[item]]
+                sums = np.cumsum(np.r_[0, np.diff(added).view(np.uint8)[k::8].astype(np.int64)])
+                sums = sums[grams_of:] - sums[:-grams_of]
                 at = np.arange(len(sums))
             good = sums <= allowed
             yield item, at[good], sums[good]
@@ -392,8 +415,8 @@ def _bytes(values: np.ndarray) -> np.uint64:
     return out.view(np.uint64)[0]
 
 
-def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, begin, end, window) of all stretches that may hold a passage of the item.
+def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> np.ndarray:
+    """Columns (text, item, begin, end, window) of all stretches that may hold a passage of the item.
 
     Grams of a document lie end to end, so those inside a passage are turned into strings of the item one by one:
     the passage has no fewer edits than they have together, and it holds as many as the shortest passage must. A
@@ -405,14 +428,15 @@ def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> list[tuple[in
     n = len(joined) // GRAM
     # Grams that a passage of an item holds at least, wherever it begins.
     held = (index.lengths - index.room - GRAM + 1) // GRAM
-    out = []
+    sizes_of = np.array([len(text) for text in texts_of])
+    out = [np.empty((5, 0), np.int64)]
     for item in np.flatnonzero((held <= 0) | ((NEAR + 1) * held <= index.room)).tolist():
-        out += [(k, item, 0, len(text), -1) for k, text in enumerate(texts_of) if len(text) >= index.lengths[item] - index.room[item]]
+        k = np.flatnonzero(sizes_of >= index.lengths[item] - index.room[item])
+        out.append(np.stack([k, np.full_like(k, item), np.zeros_like(k), sizes_of[k], np.full_like(k, -1)]))
     if n <= 0:
-        return out
+        return np.concatenate(out, axis=1)
     sizes = np.array([len(text) // GRAM for text in padded])
     owner, first = np.repeat(np.arange(len(padded)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
-    sizes_of = np.array([len(text) for text in texts_of])
     keys = np.zeros(n, np.uint64)
     for k in range(GRAM):
         keys = keys << np.uint64(8) | joined[k::GRAM]
@@ -436,8 +460,8 @@ def _regions(index: Index, near: Bounds, texts_of: list[bytes]) -> list[tuple[in
         begin, end, window = (GRAM * (at[x] - first[k]) for x in (lo, hi, least))
         end = np.minimum(sizes_of[k], end + int(index.lengths[item]) + room)
         window[2 * here[least] > room] = -1
-        out += zip(k.tolist(), [item] * len(k), np.maximum(0, begin - GRAM + 1).tolist(), end.tolist(), window.tolist(), strict=True)
-    return out
+        out.append(np.stack([k, np.full_like(k, item), np.maximum(0, begin - GRAM + 1), end, window]))
+    return np.concatenate(out, axis=1)
 
 
 def _by_length(index: Index) -> np.ndarray:
@@ -478,33 +502,41 @@ def _search(index: Index, edits: float, docs: list[bytes], hashes: WordHashes |
     """(place of the document, item, first word, edits, characters) of all passages within ``edits``, best per item."""
     plain = [normal(text)[1] for text in docs]
     near = near or Bounds(index.items, _by_length(index))
-    stretches, opened = [], []
+    made, opened = [], []
     for owners, offsets, texts_of in _parts(index, plain):
-        for k, item, begin, end, window in _regions(index, near, texts_of):
-            # Long stretches are cut, with as much overlap as a passage is long, so that lanes are of like length.
-            length, reach = int(index.lengths[item]), int(index.lengths[item] + index.room[item])
-            step = max(256, reach)
-            for at in range(begin, max(begin + 1, end - reach), step):
-                if at <= window < at + step:
-                    opened.append((len(stretches), item, texts_of[k][window : window + length]))
-                stretches.append((owners[k], item, offsets[k] + at, offsets[k] + min(end, at + step + reach)))
-    if not stretches:
+        k, item, begin, end, window = _regions(index, near, texts_of)
+        # Long stretches are cut, with as much overlap as a passage is long, so that lanes are of like length.
+        reach = index.lengths[item] + index.room[item]
+        step = np.maximum(256, reach)
+        cuts = np.maximum(1, -(-(end - reach - begin) // step))
+        of = np.repeat(np.arange(len(k)), cuts)
+        at = begin[of] + step[of] * (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        inside = np.flatnonzero((at <= window[of]) & (window[of] < at + step[of]))
+        since = sum(part.shape[1] for part in made)
+        for place, text, own, first in zip(inside.tolist(), *(column[of[inside]].tolist() for column in (k, item, window)), strict=True):
+            opened.append((since + place, own, texts_of[text][first : first + int(index.lengths[own])]))
+        shift = np.array(offsets)[k[of]]
+        made.append(np.stack([np.array(owners)[k[of]], item[of], shift + at, shift + np.minimum(end[of], at + step[of] + reach[of])]))
+    columns = np.concatenate(made, axis=1) if made else np.empty((4, 0), np.int64)
+    if not columns.shape[1]:
         return []
     met = _meet(index, [(item, window) for _, item, window in opened])
-    first = [at for (at, _, _), meets in zip(opened, met, strict=True) if meets]
+    first = np.array([at for (at, _, _), meets in zip(opened, met, strict=True) if meets], np.int64)
+    distances = np.empty(columns.shape[1], np.int64)
+    distances[first] = [least_edits(index.items[item], plain[k][begin:end]) for k, item, begin, end in columns[:, first].T.tolist()]
     # What no table brings together is verified too, many at a time.
-    rest = sorted(set(range(len(stretches))) - set(first))
-    found = {at: least_edits(index.items[stretches[at][1]], plain[stretches[at][0]][slice(*stretches[at][2:])]) for at in first}
+    rest = np.ones(len(distances), bool)
+    rest[first] = False
+    rest = np.flatnonzero(rest)
     for since in range(0, len(rest), STRETCHES):
         some = rest[since : since + STRETCHES]
-        own = np.array([stretches[at][1] for at in some], np.int64)
-        strings = [plain[stretches[at][0]][slice(*stretches[at][2:])] for at in some]
-        found |= zip(some, _distances(index, own, strings).tolist(), strict=True)
+        own, item, begin, end = columns[:, some]
+        strings = [plain[k][low:high] for k, low, high in zip(own.tolist(), begin.tolist(), end.tolist(), strict=True)]
+        distances[some] = _distances(index, item, strings)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for at, distance in found.items():
-        k, item, begin, end = stretches[at]
-        if distance <= index.room[item]:
-            best[k, item] = min(best.get((k, item), (distance + 1, 0, 0)), (distance, begin, end))
+    good = np.flatnonzero(distances <= index.room[columns[1]])
+    for (k, item, begin, end), distance in zip(columns[:, good].T.tolist(), distances[good].tolist(), strict=True):
+        best[k, item] = min(best.get((k, item), (distance + 1, 0, 0)), (distance, begin, end))
     out = []
     for (k, item), (distance, begin, end) in sorted(best.items()):
         start = begin + _start(index.items[item], plain[k][begin:end], distance)

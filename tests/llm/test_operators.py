@@ -935,3 +935,47 @@ def test_half_an_item_and_a_shorter_string_decide_most_pairs(monkeypatch):
             want, room = decontaminate.least_edits(index.items[k], string), int(index.room[k])
             assert edits == want if want <= room else edits > room
     assert taken[0] < 0.8 * sum(map(len, strings)) and len(taken) == 3
+
+
+def test_bounds_of_grams_are_made_once_for_many_texts(monkeypatch):
+    """300,000 grams stay remembered, in a byte for four items; before, they were forgotten past 262,144 of eight times that size."""
+    import numpy as np
+
+    source = random.Random(17)
+    index = decontaminate.build([(k, bytes(source.choices(b"abcdefgh ", k=60))) for k in range(16)], decontaminate.EDITS)
+    near = decontaminate.Bounds(index.items, decontaminate._by_length(index))
+    made, make = [], near._make
+    monkeypatch.setattr(near, "_make", lambda grams, out: made.append(len(grams)) or make(grams, out))
+    grams = np.unique(np.random.default_rng(17).integers(0x616161616161, 0x696969696969, 300_000, dtype=np.uint64))
+    for own in (grams[::2], grams[1::2], grams[::2], grams[1::3]):
+        near.of(own)
+    assert sum(made) == len(grams)
+    assert near.below.nbytes <= 4 * decontaminate.REMEMBERED_GRAMS
+
+
+def test_windows_are_those_whose_bounds_add_up_to_no_more_than_the_room(monkeypatch):
+    """Against sums window by window, over more items than are added up at once and more grams than stay in the cache."""
+    import numpy as np
+
+    source = random.Random(18)
+    sizes = [*range(40, 110), 700, 900]  # the last two pass what a byte may add up to
+    items = [bytes(source.choices(b"abcde ", k=n)).strip() or b"a" for n in sizes]
+    index = decontaminate.build(list(enumerate(items)), decontaminate.EDITS)
+    order, held = decontaminate._by_length(index), (index.lengths - index.room - decontaminate.GRAM + 1) // decontaminate.GRAM
+    assert len(items) > 8 * decontaminate.ADDED_GROUPS
+    monkeypatch.setattr(decontaminate, "ADDED_GRAMS", 100)
+    near = decontaminate.Bounds(index.items, order)
+    text = b"".join(source.choice([items[source.randrange(len(items))], bytes(source.choices(b"abcxyz ", k=60))]) for _ in range(40))
+    n = len(text) // decontaminate.GRAM
+    keys = np.array([int.from_bytes(text[6 * k : 6 * k + 6], "big") for k in range(n)], np.uint64)
+    grams, place = np.unique(keys, return_inverse=True)
+    packed, columns = near.of(grams)
+    found = {item: dict(zip(at.tolist(), sums.tolist(), strict=True)) for item, at, sums in decontaminate._windows(index, order, packed, columns[place], held)}
+    total = 0
+    for rank, item in enumerate(order.tolist()):
+        bounds = [int(packed[rank // 8, c]) >> 8 * (rank % 8) & 255 for c in columns[place].tolist()]
+        sums = {at: sum(bounds[at : at + int(held[item])]) for at in range(n - int(held[item]) + 1)}
+        want = {at: value for at, value in sums.items() if value <= index.room[item]}
+        assert found.get(item, {}) == want
+        total += len(want)
+    assert total > 100
