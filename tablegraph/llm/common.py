@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +62,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
+        _POWERS.clear()
         release_memory()
 
     return df.mapInArrow(task, schema)
@@ -97,19 +97,42 @@ _IS_WORD = np.array([byte not in b" \t\n\v\f\r" for byte in range(256)])
 
 def wrapping_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``n`` powers at least of an odd number, modulo 2 ** 64, and their inverses."""
-    return _powers(1 << max(16, n.bit_length()))
+    return _POWERS[1 << max(19, n.bit_length())]  # few sizes, so that a task makes them once
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    step = 0x9E3779B97F4A7C15
-    return tuple(
-        np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64) for base in (step, pow(step, -1, 1 << 64))
-    )
+class _Powers(dict):
+    """``wrapping_powers`` by size, two sizes at most; it travels to a task empty, and not by the name of this module."""
+
+    def __missing__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > 1:
+            self.clear()
+        step = 0x9E3779B97F4A7C15
+        self[n] = tuple(
+            np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64) for base in (step, pow(step, -1, 1 << 64))
+        )
+        return self[n]
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_POWERS = _Powers()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of ``word_bytes``, in order, from sums of powers over all bytes."""
+    return _hashed(text)[0]
+
+
+def word_hashes_of(texts_of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of many texts, one behind the other, and how many words each text has."""
+    hashes, starts = _hashed(b"\n".join(texts_of))
+    ends = np.cumsum([len(text) + 1 for text in texts_of])
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a text and where the words start."""
     raw = np.frombuffer(text.lower(), np.uint8)
     inside = np.zeros(len(raw) + 2, bool)
     _IS_WORD.take(raw, out=inside[1:-1])
@@ -127,7 +150,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         first, past = starts[at:to] - low, ends[at:to] - low
         out[at:to] = (sums[past] - sums[first]) * inverse[first]
         at = to
-    return mixed(out)
+    return mixed(out), starts
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,7 +60,6 @@ class Index:
     buckets: dict[int, list[int]]
 
 
-@functools.lru_cache(maxsize=1)
 def _random() -> tuple[np.ndarray, np.ndarray]:
     """The walks' fixed random bits per (walk, step mod 4096, byte) and the sampled places as shares of the reach."""
     source = np.random.default_rng(20_240_601)

@@ -25,6 +25,7 @@ from tablegraph.llm.common import (
     text_bytes,
     texts,
     word_hashes,
+    word_hashes_of,
     wrapping_powers,
 )
 
@@ -36,6 +37,8 @@ FUNCTIONS = 3
 #: Similarity of the shingle sets of two passages.
 SHARE, PARTS = 80, 100
 REMEMBERED_TEXTS = 200_000
+#: Bytes of texts, or stretches, laid end to end to be worked on at once.
+WINDOWED_BYTES = 1 << 18
 #: Shingles read on either side of the meetings of two texts: a passage of two parts, each just too short to be one
 #: by itself, may have its only meeting at the far end of one of them.
 MARGIN = 128
@@ -68,8 +71,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _centres(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in the order of ``values``, and the centres of the compact windows alone."""
+def _centres(values: np.ndarray, width: int, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in the order of ``values``, and the centres of the compact windows alone.
+
+    ``whole`` tells, where ``values`` are of several texts, which of the places begin ``width`` tokens of one.
+    """
     n = len(values)
     # The place fills the low bits, so values are distinct and the first of equal ones is the least.
     bits = np.uint64(max(24, n.bit_length()))
@@ -79,6 +85,8 @@ def _centres(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     least = _least(ranked, width)
     # Least values stand at places that never fall back, so equal ones lie side by side.
     at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    if whole is not None:
+        at = at[whole]
     return ranked, at[np.r_[True, at[1:] != at[:-1]]]
 
 
@@ -90,18 +98,22 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[list[int], list[int
     them. A node spans that much just when it is the least of some ``width`` consecutive tokens, and then so
     do its ancestors; so the tree is built over those tokens alone.
     """
-    n = len(values)
     ranked, chosen = _centres(values, width)
-    centres, heights = chosen.tolist(), ranked[chosen].tolist()
-    left, right, stack = [0] * len(centres), [n - 1] * len(centres), []
-    for k, at in enumerate(centres):
-        height = heights[k]
+    centres = chosen.tolist()
+    left, right = _reaches(centres, ranked[chosen].tolist(), 0, len(values) - 1)
+    return left, centres, right
+
+
+def _reaches(centres: list[int], heights: list[int], first: int, last: int) -> tuple[list[int], list[int]]:
+    """How far each centre is the least, to the left and to the right, in a sequence from ``first`` to ``last``."""
+    left, right, stack = [first] * len(centres), [last] * len(centres), []
+    for k, height in enumerate(heights):
         while stack and heights[stack[-1]] > height:
-            right[stack.pop()] = at - 1
+            right[stack.pop()] = centres[k] - 1
         if stack:
             left[k] = centres[stack[-1]] + 1
         stack.append(k)
-    return left, centres, right
+    return left, right
 
 
 def _thinned(values: np.ndarray, centres: list[int], step: int) -> list[int]:
@@ -135,63 +147,107 @@ def windows(docs: DataFrame, least_words: int, functions: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()
-        none = np.zeros(0, np.uint64)
-        for part in pieces(batches):
-            text_keys, lengths, all_keys, all_places, all_beside, all_values, all_begins = [], [], [], [], [], [], []
-            for text, named in zip(text_bytes(part), part.column("doc_id").is_valid().to_pylist(), strict=True):
-                words = word_hashes(text)
-                grams = shingles(words)
-                key = _key(grams)
+        for part in pieces(batches, WINDOWED_BYTES):
+            words, lengths = word_hashes_of(text_bytes(part))
+            # Shingles at the end of a text would reach into the next one: they are left out.
+            grams, past = shingles(words), np.cumsum(lengths)
+            text_keys, rows, chosen = [], [], []
+            named = part.column("doc_id").is_valid().to_pylist()
+            for row, (begin, end) in enumerate(zip((past - lengths).tolist(), past.tolist(), strict=True)):
+                own = grams[begin : end - SHINGLE + 1] if end - begin >= SHINGLE else shingles(words[begin:end])
+                key = _key(own)
                 text_keys.append(key)
-                lengths.append(len(words))
-                keys, places, beside, ranges = [none], [none], [none], (none, none)
                 whole = key[0] << 64 | key[1] & 0xFFFFFFFFFFFFFFFF
-                if named and len(words) >= least_words and whole not in sent:
+                if named[row] and end - begin >= least_words and whole not in sent:
                     if len(sent) >= REMEMBERED_TEXTS:
                         sent.clear()
                     sent.add(whole)
-                    for k in range(functions):
-                        values = _function(grams, k)
-                        if k == 0:
-                            left, centre, right = compact_windows(values, width)
-                            ranges = _intervals(grams, values, left, centre, right, width)
-                        else:
-                            centre = _centres(values, width)[1].tolist()
-                        if len(set(values[centre].tolist())) < len(centre):
-                            centre = _thinned(values, centre, width // 2)
-                        keys.append(values[centre])
-                        places.append(np.array(centre, np.uint64))
-                        beside.append(grams[np.minimum(np.array(centre) + SHINGLE, len(grams) - 1)] & np.uint64(0x7FFFFFFF))
-                all_keys.append(np.concatenate(keys))
-                all_places.append(np.concatenate(places))
-                all_beside.append(np.concatenate(beside))
-                all_values.append(ranges[0])
-                all_begins.append(ranges[1])
+                    rows.append(row)
+                    chosen.append(own)
+            made, ranges = _windows_of(chosen, np.array(rows, np.int64), width, functions)
             stacked = np.array(text_keys, np.int64).reshape(-1, 2)
+            n = part.num_rows
             yield batch(
                 doc_id=part.column("doc_id"),
                 n_words=pa.array(lengths, pa.int32()),
                 key=np.ascontiguousarray(stacked[:, 0]),
                 key2=np.ascontiguousarray(stacked[:, 1]),
-                windows=lists(all_keys),
-                places=lists(all_places),
-                beside=lists(all_beside).cast(pa.list_(pa.int32())),
-                values=lists(all_values),
-                begins=lists(all_begins).cast(pa.list_(pa.int32())),
+                windows=_lists_of(made[0], made[1], n, pa.int64()),
+                places=_lists_of(made[0], made[2], n, pa.int64()),
+                beside=_lists_of(made[0], made[3], n, pa.int32()),
+                values=_lists_of(ranges[0], ranges[1], n, pa.int64()),
+                begins=_lists_of(ranges[0], ranges[2], n, pa.int32()),
             )
 
     return arrow_map(texts(docs), work, _FOUND)
 
 
+def _lists_of(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """The values of ``n`` rows, in order of their rows, as a list each."""
+    offsets = np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)
+    flat = values.view(np.int64) if kind == pa.int64() else values.astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def _windows_of(
+    chosen: list[np.ndarray], rows: np.ndarray, width: int, functions: int
+) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Columns (row, key, place, beside) of the windows of texts, each ``width`` shingles at least, and (row, key, first
+    place) of their intervals, both in order of the rows; the texts are laid end to end for it."""
+    none = np.zeros(0, np.uint64)
+    if not chosen:
+        empty = np.zeros(0, np.int64)
+        return (empty, none, none, none), (empty, none, none)
+    grams = np.concatenate(chosen)
+    sizes = np.array([len(own) for own in chosen])
+    last = np.cumsum(sizes) - 1
+    first = last + 1 - sizes
+    whole = np.arange(len(grams) - width + 1) <= np.repeat(last - width + 1, sizes)[: len(grams) - width + 1]
+    columns: list[tuple[np.ndarray, ...]] = []
+    for k in range(functions):
+        values = _function(grams, k)
+        ranked, at = _centres(values, width, whole)
+        ends = np.searchsorted(at, last, "right")
+        begins = np.r_[0, ends[:-1]]
+        if k == 0:
+            centres, heights, left, right = at.tolist(), ranked[at].tolist(), [], []
+            for low, high, begin, end in zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist(), strict=True):
+                reach = _reaches(centres[low:high], heights[low:high], begin, end)
+                left += reach[0]
+                right += reach[1]
+            keys, places = _intervals(grams, values, left, centres, right, width, ends)
+            places = places.astype(np.int64)
+            of = np.searchsorted(last, places)
+            ranges = rows[of], keys, (places - first[of]).astype(np.uint64)
+        of = np.repeat(np.arange(len(chosen)), ends - begins)
+        own = values[at]
+        order = np.lexsort((own, of))
+        twice = np.zeros(len(chosen), bool)
+        twice[of[order[1:]][(own[order][1:] == own[order][:-1]) & (of[order][1:] == of[order][:-1])]] = True
+        if twice.any():
+            kept = ~twice[of]
+            for text in np.flatnonzero(twice).tolist():
+                low, high = int(begins[text]), int(ends[text])
+                some = _thinned(values, at[low:high].tolist(), width // 2)
+                kept[low + np.searchsorted(at[low:high], some)] = True
+            at, of, own = at[kept], of[kept], own[kept]
+        beside = grams[np.minimum(at + SHINGLE, last[of])] & np.uint64(0x7FFFFFFF)
+        columns.append((rows[of], own, (at - first[of]).astype(np.uint64), beside))
+    made = [np.concatenate(column) for column in zip(*columns, strict=True)]
+    order = np.argsort(made[0], kind="stable")
+    return tuple(column[order] for column in made), ranges
+
+
 def _intervals(
-    grams: np.ndarray, values: np.ndarray, left: list[int], centre: list[int], right: list[int], width: int
+    grams: np.ndarray, values: np.ndarray, left: list[int], centre: list[int], right: list[int], width: int, ends: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """(key, first place) of the runs of ``width`` tokens that each window holds around its centre.
 
     The windows' runs lie one behind the other and leave none out, so where one interval ends the next begins. A
     window has one for the runs that reach half a width past its centre and one for those that reach as far
     before it; the key is of the centre's value and of the half that all of them hold, so equal runs have equal keys,
-    and texts that only share the centre do not meet. Neighbours of one key are one interval.
+    and texts that only share the centre do not meet. Neighbours of one key are one interval. Of several texts laid end
+    to end, ``ends`` tells how many windows there are up to the end of each.
     """
     if not centre:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -204,10 +260,14 @@ def _intervals(
     begins[::2], begins[1::2] = low, middle
     blocks[::2], blocks[1::2] = at - half + 1, at
     # Where an interval is empty, so that the next begins at its place, its half may lie outside the text.
-    some = np.append(begins[1:] > begins[:-1], high[-1] >= middle[-1])
+    some = np.append(begins[1:] > begins[:-1], True)
+    final = (np.array([len(at)]) if ends is None else ends) - 1
+    some[2 * final + 1] = high[final] >= middle[final]
     begins = begins[some]
     keys = mixed(np.repeat(values[at], 2)[some] + run_hashes(grams, half, blocks[some]))
     fresh = np.append(True, keys[1:] != keys[:-1])
+    # The first interval of a text begins where the text does, and is its own whatever its key.
+    fresh[np.cumsum(some)[2 * final[:-1] + 1]] = True
     return keys[fresh], begins[fresh].astype(np.uint64)
 
 
@@ -382,6 +442,8 @@ def shared_spans(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -
     if not len(a) or not len(b):
         return []
     places, repeated = _places(a, b, shifts)
+    if not repeated and _too_few(a, places, width):
+        return []
     kept = _joined(a, b, places, width)
     if repeated and len(shifts) > 1:
         inside = lambda f, t, s, u: any(f0 <= f and t <= t0 and s0 <= s and u <= u0 for f0, t0, s0, u0 in kept)
@@ -389,6 +451,15 @@ def shared_spans(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, width: int) -
     return kept
 
 
+def _too_few(a: np.ndarray, places: np.ndarray, width: int) -> bool:
+    """Whether no passage can be similar enough, as in most pairs: of two sequences that repeat no shingle, the second one
+    is known not to, the longer side of a passage has ``width`` different ones, and of them all a share is in both."""
+    if PARTS * np.count_nonzero(places >= 0) >= SHARE * width:
+        return False
+    ranked = np.sort(a)
+    return not (ranked[1:] == ranked[:-1]).any()
+
+
 def _joined(a: np.ndarray, b: np.ndarray, places: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
     """The passages of ``shared_spans`` under one place in ``b`` for each shingle of ``a``."""
     on = np.flatnonzero(places >= 0)
@@ -434,11 +505,20 @@ def short_hashes(words: np.ndarray) -> np.ndarray:
 
 def stretch_grams(words) -> np.ndarray:
     """The shingles of a stretch of short word hashes; none if it is shorter than one."""
-    short = np.frombuffer(words, np.uint8).reshape(-1, WORD_BYTES)
+    return stretches_grams([words])[0]
+
+
+def stretches_grams(stretches: list[bytes]) -> list[np.ndarray]:
+    """``stretch_grams`` of each, made at once; shingles that reach from one stretch into the next are left out."""
+    short = np.frombuffer(b"".join(stretches), np.uint8).reshape(-1, WORD_BYTES)
     whole = np.zeros((len(short), 8), np.uint8)
     whole[:, :WORD_BYTES] = short
-    grams = whole.view(np.uint64).ravel()
-    return shingles(grams) if len(grams) >= SHINGLE else grams[:0]
+    grams, out, at = shingles(whole.view(np.uint64).ravel()), [], 0
+    for words in stretches:
+        n = len(words) // WORD_BYTES
+        out.append(grams[at : at + max(0, n - SHINGLE + 1)])
+        at += n
+    return out
 
 
 def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
@@ -460,11 +540,13 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
     again = join_checked(texts(docs), saved(wanted, "wanted"), ["doc_id"], "inner", 32)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, WINDOWED_BYTES):
             since, until = part.column("since").to_pylist(), part.column("until").to_pylist()
             # Another text under the same id may end before the stretch.
-            own = [word_hashes(text)[lo : hi + SHINGLE - 1] for text, lo, hi in zip(text_bytes(part), since, until, strict=True)]
-            words = pa.array([short_hashes(w).tobytes() for w in own], pa.binary())
+            hashes, lengths = word_hashes_of(text_bytes(part))
+            short, past = short_hashes(hashes), np.cumsum(lengths)
+            ends = zip((past - lengths).tolist(), past.tolist(), since, until, strict=True)
+            words = pa.array([short[begin:end][lo : hi + SHINGLE - 1].tobytes() for begin, end, lo, hi in ends], pa.binary())
             yield batch(doc_id=part.column("doc_id"), since=part.column("since"), words=words)
 
     stretches = arrow_map(again, read, "doc_id long, since int, words binary").repartition("doc_id")
@@ -477,11 +559,11 @@ def verified(docs: DataFrame, met: DataFrame, width: int) -> DataFrame:
         joined = joined.join(own, f"doc_{s}").withColumn(f"words_{s}", part).withColumn(f"since_{s}", start)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, WINDOWED_BYTES):
             rows = []
             ends = zip(*(part.column(c).to_pylist() for c in ("doc_a", "doc_b", "since_a", "since_b")), strict=True)
-            for k, (doc_a, doc_b, from_a, from_b) in enumerate(ends):
-                a, b = (stretch_grams(part.column(c)[k].as_buffer()) for c in ("words_a", "words_b"))
+            grams_a, grams_b = (stretches_grams(part.column(c).to_pylist()) for c in ("words_a", "words_b"))
+            for k, (a, b, (doc_a, doc_b, from_a, from_b)) in enumerate(zip(grams_a, grams_b, ends, strict=True)):
                 shifts = part.column("shifts")[k].values.to_numpy() + (from_a - from_b)
                 for f, t, f2, t2 in shared_spans(a, b, shifts, width):
                     rows.append((doc_a, f + from_a, t - f + SHINGLE, doc_b))

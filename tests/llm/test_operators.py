@@ -979,3 +979,73 @@ def test_windows_are_those_whose_bounds_add_up_to_no_more_than_the_room(monkeypa
         assert found.get(item, {}) == want
         total += len(want)
     assert total > 100
+
+
+def test_windows_of_texts_laid_end_to_end_are_those_of_each():
+    """Against each text by itself, repeats and texts of just a passage's length included; made with few calls for many texts."""
+    import numpy as np
+
+    from tablegraph.llm.common import shingles, word_hashes, word_hashes_of
+
+    source, width, functions = random.Random(19), 6, 3
+    texts = [" ".join(source.choices("abcdefghijklmnop", k=source.choice([0, 1, 4, 5, 9, 10, 11, 40, 90]))) for _ in range(150)]
+    texts += [("one two " * 60).strip(), "  and\n\nblank  ends\t", " ".join("same" for _ in range(80)), "é ñ 漢字   MIT " * 9]
+    hashes, lengths = word_hashes_of([text.encode() for text in texts])
+    assert lengths.tolist() == [len(text.encode().split()) for text in texts]
+    assert (hashes == np.concatenate([word_hashes(text.encode()) for text in texts])).all()
+    rows = [k for k, n in enumerate(lengths.tolist()) if n >= width + 4]
+    chosen = [shingles(word_hashes(texts[k].encode())) for k in rows]
+    made, ranges = passages._windows_of(chosen, np.array(rows), width, functions)
+    for row, grams in zip(rows, chosen, strict=True):
+        want, first = [], None
+        for k in range(functions):
+            values = passages._function(grams, k)
+            left, centre, right = passages.compact_windows(values, width)
+            if k == 0:
+                first = passages._intervals(grams, values, left, centre, right, width)
+            if len(set(values[centre].tolist())) < len(centre):
+                centre = passages._thinned(values, centre, width // 2)
+            want += [(int(values[at]), at, int(grams[min(at + 5, len(grams) - 1)]) & 0x7FFFFFFF) for at in centre]
+        own = made[0] == row
+        assert list(zip(*(column[own].tolist() for column in made[1:]), strict=True)) == want
+        own = ranges[0] == row
+        assert ranges[1][own].tolist() == first[0].tolist() and ranges[2][own].tolist() == first[1].tolist()
+
+
+def test_pairs_that_share_too_few_shingles_are_not_joined(monkeypatch):
+    """The answer is that of joining all runs, and pairs with a few common shingles never come to it."""
+    import numpy as np
+
+    rng = np.random.default_rng(20)
+    joined, width, far = [], 46, 0
+    whole = passages._joined
+    monkeypatch.setattr(passages, "_joined", lambda *a: joined.append(1) or whole(*a))
+    for turn in range(300):
+        a = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+        b = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+        n = int(rng.integers(1, 70))
+        b[20 : 20 + n] = a[40 : 40 + n]
+        b[20 : 20 + n : 9] += np.uint64(turn % 2)
+        if turn % 5 == 0:  # the first one says a shingle again and again
+            a[60:120] = a[59]
+        want = whole(a, b, passages._places(a, b, np.array([-20]))[0], width)
+        assert passages.shared_spans(a, b, np.array([-20]), width) == want
+        far += n < 36 and turn % 5 > 0
+    assert len(joined) <= 300 - far < 200
+
+
+def test_task_functions_need_no_package_on_the_executors():
+    """What is sent names no module of this package, whatever this process has made of it already."""
+    from pyspark import cloudpickle
+
+    from tablegraph.llm import common
+
+    common.word_hashes(b"some words")
+    sent = cloudpickle.dumps([passages._windows_of, passages.run_hashes, common.word_hashes_of, decontaminate._search])
+    code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); print(len(f[2]([b'a b', b'c'])[0]), 'tablegraph' in sys.modules)"
+    import subprocess
+    import sys
+
+    run = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
+    assert run.stdout.decode().split() == ["3", "False"], run.stderr.decode()[-500:]
+    assert len(sent) < 1 << 20
