@@ -74,6 +74,7 @@ def bucket_keys(strings: np.ndarray, lengths: np.ndarray, bits: np.ndarray, shar
     byte says; two strings walk in step again soon after an edit, so the written strings differ in few places.
     """
     rows = np.arange(len(strings))
+    flat, begin = strings.ravel(), rows * strings.shape[1]
     steps = int(lengths.max() * REACH) + 1
     keys = []
     for walk in range(WALKS):
@@ -81,9 +82,9 @@ def bucket_keys(strings: np.ndarray, lengths: np.ndarray, bits: np.ndarray, shar
         written = np.zeros((steps, len(strings)), np.uint8)
         last = strings.shape[1] - 1
         for step in range(steps):
-            byte = strings[rows, at]
+            byte = flat.take(begin + at)
             written[step] = byte
-            at += bits[walk, step % 4096][byte]
+            at += bits[walk, step % 4096].take(byte)
             np.minimum(at, last, out=at)
         sampled = (shares[walk][None, :] * (lengths[:, None] * REACH)).astype(np.int64)
         symbols = written[sampled, rows[:, None]].reshape(len(strings), TABLES, SYMBOLS).astype(np.uint64)
@@ -258,17 +259,17 @@ def _scores(item: bytes, text: bytes, anchored: bool = False) -> Iterator[int]:
     up, down, score = full, 0, m
     for byte in text:
         equal = masks[byte]
-        vertical = equal | down
         horizontal = (((equal & up) + up) ^ up) | equal
-        more = down | ~(horizontal | up) & full
         less = up & horizontal
+        more = down | full & ~(horizontal | up)
         if more & high:
             score += 1
         elif less & high:
             score -= 1
         yield score
-        more, less = (more << 1 | anchored) & full, (less << 1) & full
-        up = less | ~(vertical | more) & full
+        vertical = equal | down
+        more = (more << 1 | anchored) & full
+        up = less << 1 & full | full & ~(vertical | more)
         down = more & vertical
 
 
